@@ -101,8 +101,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc_id, keep_id, group_size, kept, text_sha256) for each row.
 
     Texts are equal when identical without separators; the row with the most code points, then the smallest id stays.
-    Null texts count as empty, and all empty ones as equal.  Rows that repeat an id and its text count each; those of the
-    id that stays with as many code points are all kept.  Other columns are ignored; an empty table gives an empty table.
+    Null texts count as empty, and all empty ones as equal.  Rows that repeat an id and its text count each, and one of
+    them is kept.  Other columns are ignored; an empty table gives an empty table.
     ``key_bits`` under 64 makes keys collide, for tests.
     """
     spark = docs.sparkSession
@@ -167,14 +167,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     held = docs.mapInArrow(verify, "doc_id long, points long, sha binary, key long, bytes binary")
     if sent is None:
         held = held.join(hits.select("key"), "key", "left_semi")
-    held = materialise(held, "texts")
+    held = materialise(held.withColumn("row", F.monotonically_increasing_id()), "texts")
     # the leader's bytes: partial minima keep one text a task and key
     lead = held.groupBy("key").agg(F.min(F.struct("doc_id", "bytes"))["bytes"].alias("lead"))
     same = F.col("bytes") == F.col("lead")
-    checked = held.join(lead, "key").select("doc_id", "points", "sha", "key", same.alias("same"), F.when(same, F.lit(b"")).otherwise(F.col("bytes")).alias("own"))
+    checked = held.join(lead, "key").select("doc_id", "row", "points", "sha", "key", same.alias("same"), F.when(same, F.lit(b"")).otherwise(F.col("bytes")).alias("own"))
     checked = materialise(checked, "checked")
     release(spark)
-    classes = checked.groupBy("key", "same", "own").agg(F.count("*").alias("group_size"), F.min(F.struct((-F.col("points")).alias("p"), F.col("doc_id").alias("i"))).alias("best"))
-    of_hits = checked.join(classes, ["key", "same", "own"]).select("doc_id", F.col("best.i").alias("keep_id"), "group_size", ((F.col("best.p") == -F.col("points")) & F.col("doc_id").eqNullSafe(F.col("best.i"))).alias("kept"), "sha")
+    classes = checked.groupBy("key", "same", "own").agg(F.count("*").alias("group_size"), F.min(F.struct((-F.col("points")).alias("p"), F.col("doc_id").alias("i"), F.col("row").alias("r"))).alias("best"))
+    of_hits = checked.join(classes, ["key", "same", "own"]).select("doc_id", F.col("best.i").alias("keep_id"), "group_size", (F.col("row") == F.col("best.r")).alias("kept"), "sha")
     alone = rows.join(hits.select("key"), "key", "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
     return of_hits.unionByName(alone).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))

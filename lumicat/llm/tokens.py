@@ -2,23 +2,36 @@
 
 from __future__ import annotations
 
+import json
 import re
+from array import array
 from collections.abc import Callable
+from itertools import islice
 
 import numpy as np
-import regex
 from tokenizers import Tokenizer
 
 #: Characters for which all Unicode versions and regex engines agree on classes, case and normal forms.
 _PLAIN = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xac\xae-\xff]")
-_READY: dict[int, object] = {}
+#: What the classes of the split patterns hold among those characters.
+_CLASSES = {r"\p{L}": "A-Za-zªµºÀ-ÖØ-öø-ÿ", r"\p{N}": "0-9²³¹¼-¾", r"\s": r"\t\n\r ", r"\S": r"^\t\n\r "}
+_READY: dict[tuple, object] = {}
 
 
-def ready(key: bytes, make: Callable[[bytes], object]) -> object:
-    """One tokenizer a process and file."""
-    k = hash((key[:200], len(key), key[-200:], make.__qualname__))
+def plain_pattern(pattern: str) -> re.Pattern:
+    """A split pattern for plain characters, with its classes spelled out."""
+    out, inside = "", False
+    for part in re.findall(r"\\p\{\w\}|\\?.", pattern, re.S):
+        inside = part == "[" or inside and part != "]"
+        out += (_CLASSES[part] if inside else f"[{_CLASSES[part]}]") if part in _CLASSES else part
+    return re.compile(out)
+
+
+def ready(raw: bytes, make: Callable[[bytes], object], kind: str) -> object:
+    """One tokenizer a process, file and kind."""
+    k = (hash(raw), len(raw), kind)
     if k not in _READY:
-        _READY[k] = make(key)
+        _READY[k] = make(raw)
     return _READY[k]
 
 
@@ -26,16 +39,18 @@ class WordCache(dict):
     """Pre-token -> its ids as packed integers.  Words not yet seen are encoded by the tokenizers library; the texts a
     pre-token comes from don't matter to its merges."""
 
-    def __init__(self, tokenizer: Tokenizer, bound: int = 500_000):
+    def __init__(self, tokenizer: Tokenizer, bound: int = 600_000):
         super().__init__()
         self.tokenizer, self.bound = tokenizer, bound
 
     def learn(self, words: set[str]) -> None:
-        if len(self) + len(words) > self.bound:
+        if len(self) + len(words) > self.bound:  # words met early are the frequent ones
+            kept = dict(islice(self.items(), self.bound // 2))
             self.clear()
+            self.update(kept)
         words = [*words]
         for word, x in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self[word] = np.array(x.ids, "<u2").tobytes()
+            self[word] = array("H", x.ids).tobytes()
 
 
 class Encoder:
@@ -47,20 +62,18 @@ class Encoder:
         if self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16:
             raise ValueError("ids are packed in 16 bits")
         self.words = WordCache(self.tokenizer)
-        import json
-
         conf = json.loads(raw)
         before = conf["pre_tokenizer"] or {}
         self.lower = False
         self.split = None
         if before.get("type") == "ByteLevel" and not conf["normalizer"] and before["use_regex"] and not before["add_prefix_space"]:
             # fixed: the split pattern of byte-level pre-tokenizers
-            self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
+            self.split = plain_pattern(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
         elif before.get("type") == "Sequence":
             first, *rest = before["pretokenizers"]
             kinds = [x["type"] for x in (conf["normalizer"] or {}).get("normalizers", [])]
             if first["type"] == "Split" and first["behavior"] == "Removed" and first["invert"] and kinds == ["NFC", "Replace", "Lowercase"] and [(x["type"], x["use_regex"]) for x in rest] == [("ByteLevel", False)]:
-                self.split = regex.compile(first["pattern"]["Regex"]).findall
+                self.split = plain_pattern(first["pattern"]["Regex"]).findall
                 self.lower = True
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -80,7 +93,7 @@ class Encoder:
             for i, words in split.items():
                 try:
                     out[i] = np.frombuffer(b"".join(map(cache.__getitem__, words)), "<u2")
-                except KeyError:  # the cache was emptied to stay within its bound
+                except KeyError:  # the cache was cut to stay within its bound
                     cache.learn(set(words))
                     out[i] = np.frombuffer(b"".join(map(cache.__getitem__, words)), "<u2")
         for i, x in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
@@ -89,4 +102,4 @@ class Encoder:
 
 
 def encoder(raw: bytes) -> Encoder:
-    return ready(raw, Encoder)
+    return ready(raw, Encoder, "tokenizers")
