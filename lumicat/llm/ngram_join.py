@@ -21,6 +21,7 @@ are probed in the long lists by binary search, and documents that reach the over
 from __future__ import annotations
 
 import heapq
+import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from math import log2
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix64, partitions, release, slices, texts
+from .common import SPACE, materialise, mix64, partitions, release, slices, texts
 from .components import components
 
 #: Long lists known to every task: at most so many (9 bytes each).  The frequency from which a list is long rises until
@@ -43,34 +44,63 @@ RUN = 4_000_000
 CELL = 128
 #: Shingles that a cell's index holds beyond its pivot's.
 INDEXED = 300_000
+#: Members up to which the pairs of lists are made for many lists at once.
+SHORT = 48
 #: DivideSkip's coefficient for the number of long lists.
 MU = 0.0085
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-
-
-class _Words(dict):
-    """Word -> 64-bit hash, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def shingle_set(text: str, memo: dict, n: int = 5) -> np.ndarray:
+#: A word's hash is a polynomial in an odd base over random values of its bytes, by running sums over the whole text.
+_BASE = 0xE7037ED1A0B428DB
+_BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x8EBC6AF09C88C6E3))
+_IS_WORD = np.ones(256, bool)
+_IS_WORD[list(SPACE)] = False
+_CUT = re.compile(rb"[ \t-\r]")
+#: Bytes hashed at a time, up to the next separator.
+CHUNK = 1 << 20
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers_to(n: int) -> list[np.ndarray]:
+    if len(_powers[0]) < n:
+        n = max(1 << 16, 1 << (n - 1).bit_length())
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            p = np.full(n, base, np.uint64)
+            p[0] = 1
+            _powers[i] = np.cumprod(p, dtype=np.uint64)
+    return _powers
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a text, in order."""
+    out, at = [], 0
+    while at < len(raw):
+        end = len(raw)
+        if end - at > CHUNK and (m := _CUT.search(raw, at + CHUNK)):
+            end = m.start()
+        b = np.frombuffer(raw, np.uint8, end - at, at)
+        word = np.zeros(len(b) + 2, bool)
+        word[1:-1] = _IS_WORD[b]
+        edge = np.flatnonzero(word[1:] != word[:-1])
+        first, last = edge[::2], edge[1::2]
+        power, inverse = _powers_to(len(b))
+        sums = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum(_BYTES[b] * power[: len(b)], out=sums[1:])
+        out.append(mix64((sums[last] - sums[first]) * inverse[first] + (last - first).astype(np.uint64)))
+        at = end
+    return out[0] if len(out) == 1 else np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
+def shingle_set(text: str, n: int = 5) -> np.ndarray:
     """Sorted distinct hashes of the n-word shingles; the whole sequence as one where there are fewer words."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    w = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+    w = word_hashes(text.encode("utf-8", "surrogatepass").lower())
+    if not len(w):
+        return w
     if len(w) < n:
         return np.array([xxhash.xxh3_64_intdigest(w.tobytes(), seed=len(w))], np.uint64)
     m = len(w) - n + 1
-    acc = np.zeros(m, np.uint64)
-    for j in range(n):
-        factor = _FACTORS[j % 5] * np.uint64(2 * (j // 5) + 1)
-        acc += mix64(w[j : j + m] * factor) if j >= 5 else w[j : j + m] * factor
+    acc = w[:m] * _FACTORS[0]
+    for j in range(1, n):
+        acc = acc * np.uint64(0xD1342543DE82EF95) + w[j : j + m] * _FACTORS[j % 5]
     acc = mix64(acc)
     acc.sort()
     return acc[np.concatenate(([True], acc[1:] != acc[:-1]))] if m > 1 else acc
@@ -162,11 +192,12 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # star round
     stars = posted.where("rid <> pivot").select(F.col("pivot").alias("a"), F.col("rid").alias("b"), "n", "pivot_n")
     stars = stars.where(f"{den} * least(n, pivot_n) >= {num} * greatest(n, pivot_n)").select("a", "b").distinct()
+    stars = materialise(stars, "pairs")
     links = materialise(_verify(stars, held, n, num, den), "links")
     label = materialise(components(links), "labels")
     # cross round
     tagged = posted.join(label.withColumnRenamed("node", "rid"), "rid", "left").select("hash", "rid", "n", "slack", F.coalesce("component", "rid").alias("component"))
-    pairs = _cross(tagged, num, den).distinct()
+    pairs = materialise(_cross(tagged, num, den).distinct(), "pairs")
     more = materialise(_verify(pairs, held, n, num, den), "links")
     names = materialise(components(links.unionByName(more)), "labels")
     # a class is named after its smallest document, a component after its smallest class
@@ -179,9 +210,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def _index(docs: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Words()
         for batch in batches:
-            sets = [shingle_set(t, memo, n) for t in batch["text"].to_pylist()]
+            sets = [shingle_set(t, n) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n_shingles", "rid"])
 
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, rid long")
@@ -191,9 +221,8 @@ def _of_class(rows: DataFrame, n: int) -> DataFrame:
     """Rows whose text has the class's set: where ids repeat, another text may come along with it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Words()
         for batch in batches:
-            yield batch.filter(pa.array([set_id(shingle_set(t, memo, n)) == r for t, r in zip(batch["text"].to_pylist(), batch["rid"].to_pylist(), strict=True)], pa.bool_()))
+            yield batch.filter(pa.array([set_id(shingle_set(t, n)) == r for t, r in zip(batch["text"].to_pylist(), batch["rid"].to_pylist(), strict=True)], pa.bool_()))
 
     return rows.mapInArrow(run, "rid long, text string")
 
@@ -227,11 +256,11 @@ def _frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
         return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(packed, pa.binary())], names=["bucket", "hashes"])
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, parts, held = _Words(), [], 0
+        parts, held = [], 0
         for batch in batches:
             for part in slices(batch):
                 for t in part["text"].to_pylist():
-                    parts.append(s := shingle_set(t, memo, n))
+                    parts.append(s := shingle_set(t, n))
                     if (held := held + len(s)) >= RUN:
                         yield flush(parts)
                         parts, held = [], 0
@@ -297,11 +326,11 @@ def _lists(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, levels = long.value
-        memo, seen, parts, held = _Words(), set(), [], 0
+        seen, parts, held = set(), [], 0
         for batch in batches:
             for part in slices(batch):
                 for t in part["text"].to_pylist():
-                    s = shingle_set(t, memo, n)
+                    s = shingle_set(t, n)
                     if not len(s) or (rid := set_id(s)) in seen:
                         continue
                     if len(seen) >= 1_000_000:  # forgetting only posts a copy again
@@ -368,14 +397,14 @@ def _verify(pairs: DataFrame, held: DataFrame, n: int, num: int, den: int) -> Da
     rows = rows.repartition(_buckets(pairs.sparkSession), "a", "cell").sortWithinPartitions("a", "cell", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, at, index, room = _Words(), None, DivideSkip(num, den), 0
+        at, index, room = None, DivideSkip(num, den), 0
         for batch in batches:
             found: list[tuple[int, int]] = []
             for part in slices(batch):
                 for a, cell, b, text in zip(*(part[c].to_pylist() for c in ("a", "cell", "b", "text")), strict=True):
                     if (a, cell) != at:
                         at, index, room = (a, cell), DivideSkip(num, den), INDEXED
-                    s = shingle_set(text, memo, n)
+                    s = shingle_set(text, n)
                     hits = index.search(s)
                     found += [(k, b) for k, _ in hits]
                     if b == a or not hits and len(s) <= room:
@@ -413,8 +442,21 @@ def _cross(tagged: DataFrame, num: int, den: int) -> DataFrame:
         def emit(parts):
             h, *cols = (np.concatenate(x) for x in zip(*parts, strict=True))
             start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            length = np.diff(np.append(start, len(h)))
+            for m in np.unique(length[length <= SHORT]):  # short lists: all of one length at once
+                lists, (i, j) = start[length == m], np.triu_indices(m, 1)
+                step = max(1, 500_000 // max(len(i), 1))
+                for lo in range(0, len(lists), step):
+                    at = lists[lo : lo + step, None]
+                    x, y = (at + i).ravel(), (at + j).ravel()
+                    rid, size, slack, comp = cols
+                    t = -(-num * (size[x] + size[y]) // (num + den))
+                    fits = (comp[x] != comp[y]) & (np.minimum(slack[x], slack[y]) >= t) & (den * np.minimum(size[x], size[y]) >= num * np.maximum(size[x], size[y]))
+                    if fits.any():
+                        yield batch_of([(rid[x[fits]], rid[y[fits]])])
+            start, length = start[length > SHORT], length[length > SHORT]
             out, held = [], 0
-            for lo, hi in zip(start, np.append(start[1:], len(h)), strict=True):
+            for lo, hi in zip(start, start + length, strict=True):
                 for x, y in pairs(*(c[lo:hi] for c in cols)):
                     out.append((x, y))
                     if (held := held + len(x)) > 500_000:
