@@ -317,12 +317,25 @@ def _lists(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     release(spark)
     record = np.dtype([("hash", "<u8"), ("rid", "<i8"), ("n", "<u4"), ("slack", "<u4")])
 
+    def pack(p: np.ndarray) -> bytes:
+        """Columns, those of small numbers byte plane by byte plane: the exchange's compression then drops their zeros."""
+        planes = [np.ascontiguousarray(p[c]).view(np.uint8).reshape(-1, 4).T.tobytes() for c in ("n", "slack")]
+        return b"".join([len(p).to_bytes(4, "little"), _pack(np.ascontiguousarray(p["hash"])), p["rid"].tobytes(), *planes])
+
+    def unpack(x: bytes) -> np.ndarray:
+        k = int.from_bytes(x[:4], "little")
+        p = np.empty(k, record)
+        p["hash"], p["rid"] = _unpack(x[4 : 4 + 6 * k]), np.frombuffer(x, "<i8", k, 4 + 6 * k)
+        for i, c in enumerate(("n", "slack")):
+            p[c] = np.ascontiguousarray(np.frombuffer(x, np.uint8, 4 * k, 4 + 14 * k + 4 * k * i).reshape(4, k).T).view("<u4").ravel()
+        return p
+
     def flush(parts: list[np.ndarray]) -> pa.RecordBatch:
         p = np.concatenate(parts)
         p = p[np.argsort(p["hash"], kind="stable")]
         at = _cuts(p["hash"], buckets)
         full = np.flatnonzero(at[1:] > at[:-1])
-        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([p[at[b] : at[b + 1]].tobytes() for b in full], pa.binary())], names=["bucket", "postings"])
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([pack(p[at[b] : at[b + 1]]) for b in full], pa.binary())], names=["bucket", "postings"])
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, levels = long.value
@@ -362,7 +375,7 @@ def _lists(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
             for b, x in zip(batch["bucket"].to_pylist(), batch["postings"].to_pylist(), strict=True):
                 got.setdefault(b, []).append(x)
         for blobs in got.values():
-            p = np.frombuffer(b"".join(blobs), record)
+            p = np.concatenate([unpack(x) for x in blobs])
             blobs.clear()
             h = np.sort(p["hash"])
             twice = np.unique(h[1:][h[1:] == h[:-1]])
