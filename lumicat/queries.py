@@ -1,13 +1,13 @@
-"""The registered queries and their SQL."""
+"""All registered queries of the catalog and raster operators, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+from .plans import catalog, pointwise, raster  # noqa: F401  registers them
+from .plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
 
 
-QUERIES = {}
-ORACLE_SQL = {}
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filter and sort of the catalog."""
+    return catalog.catalog_filter_sort(spark, sf_dir)
