@@ -170,11 +170,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     held = materialise(held.withColumn("row", F.monotonically_increasing_id()), "texts")
     # the leader's bytes: partial minima keep one text a task and key
     lead = held.groupBy("key").agg(F.min(F.struct("doc_id", "bytes"))["bytes"].alias("lead"))
+    lead = materialise(lead, "leaders")  # an aggregate in the join's own stage would keep Spark from splitting a hot key
     same = F.col("bytes") == F.col("lead")
     checked = held.join(lead, "key").select("doc_id", "row", "points", "sha", "key", same.alias("same"), F.when(same, F.lit(b"")).otherwise(F.col("bytes")).alias("own"))
     checked = materialise(checked, "checked")
     release(spark)
     classes = checked.groupBy("key", "same", "own").agg(F.count("*").alias("group_size"), F.min(F.struct((-F.col("points")).alias("p"), F.col("doc_id").alias("i"), F.col("row").alias("r"))).alias("best"))
+    classes = materialise(classes, "classes")
     of_hits = checked.join(classes, ["key", "same", "own"]).select("doc_id", F.col("best.i").alias("keep_id"), "group_size", (F.col("row") == F.col("best.r")).alias("kept"), "sha")
     alone = rows.join(hits.select("key"), "key", "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
     return of_hits.unionByName(alone).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
