@@ -132,8 +132,8 @@ def grayworld_wb(spark, sf_dir):
     return H.grey_world(m).select("frame", rounded("rm", 6).alias("rm"), "gm", rounded("bm", 6).alias("bm"))
 
 
-@query(f"""with m as (select frame, avg(v) filter (y % 2 = 0) as a, avg(v) filter (y % 2 = 1) as b from {PX} where c = 1 group by frame)
-select frame, y, x, {sql_rounded('v * case when c <> 1 then 1 when y % 2 = 0 then (a + b) / 2 / a else (a + b) / 2 / b end')} as v from {PX} join m using (frame)""")
+@query(f"""with m as (select frame, avg(v) filter (y % 2 = 0) as ma, avg(v) filter (y % 2 = 1) as mb from {PX} where c = 1 group by frame)
+select frame, y, x, {sql_rounded('v * case when c <> 1 then 1 when y % 2 = 0 then (ma + mb) / 2 / ma else (ma + mb) / 2 / mb end')} as v from {PX} join m using (frame)""")
 def green_equalize(spark, sf_dir):
     rows = H.equalize_groups(px(spark, sf_dir), "v", F.col("y") % 2 == 0, F.col("c") == 1)
     return rows.select("frame", "y", "x", rounded("v").alias("v"))
