@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,14 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, texts
-from .tokens import ready
+from .tokens import chunks, ready
 
 #: Texts of more characters are cut at safe boundaries into chunks of about this size.
 CHUNK = 50_000
-#: A single white-space character between two others: every match of a split pattern of this family begins anew there,
-#: and no look-ahead reaches over it.
-_SAFE = re.compile(r"(?<=[0-9A-Za-z])[ \n](?=[0-9A-Za-z])")
-
 
 def encoding(raw: bytes, pattern: str) -> tiktoken.Encoding:
     def make(data: bytes) -> tiktoken.Encoding:
@@ -30,23 +25,11 @@ def encoding(raw: bytes, pattern: str) -> tiktoken.Encoding:
     return ready(raw, make, pattern)
 
 
-def chunks(text: str, size: int = CHUNK) -> Iterator[str]:
-    """``text`` in pieces that encode to the same ids as the whole; without a boundary it stays in one piece."""
-    at = 0
-    while len(text) - at > size:
-        m = _SAFE.search(text, at + size)
-        if not m:
-            break
-        yield text[at : m.start()]
-        at = m.start()
-    yield text[at:]
-
-
 def encode(enc: tiktoken.Encoding, text: str) -> np.ndarray:
     text = text.encode("utf-16", "surrogatepass").decode("utf-16", "replace") if not text.isascii() else text
     if len(text) <= CHUNK:
         return np.array(enc.encode_ordinary(text), "<u4")
-    return np.concatenate([np.array(enc.encode_ordinary(x), "<u4") for x in chunks(text)])
+    return np.concatenate([np.array(enc.encode_ordinary(x), "<u4") for x in chunks(text, CHUNK)])
 
 
 def bpe_encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

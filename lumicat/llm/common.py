@@ -87,3 +87,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(27))
     x = x * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of an odd base modulo 2^64, and of its inverse."""
+    if base not in _POWERS or len(_POWERS[base][0]) < n:
+        n = max(1 << 16, 1 << (n - 1).bit_length())
+        out = []
+        for x in (base, pow(base, -1, 1 << 64)):
+            p = np.full(n, x, np.uint64)
+            p[0] = 1
+            out.append(np.cumprod(p, dtype=np.uint64))
+        _POWERS[base] = tuple(out)
+    return _POWERS[base]

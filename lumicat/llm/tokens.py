@@ -4,27 +4,43 @@ from __future__ import annotations
 
 import json
 import re
-from array import array
-from collections.abc import Callable
-from itertools import islice
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 from tokenizers import Tokenizer
 
+from .common import mix64, powers
+
 #: Characters for which all Unicode versions and regex engines agree on classes, case and normal forms.
 _PLAIN = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xac\xae-\xff]")
-#: What the classes of the split patterns hold among those characters.
-_CLASSES = {r"\p{L}": "A-Za-zªµºÀ-ÖØ-öø-ÿ", r"\p{N}": "0-9²³¹¼-¾", r"\s": r"\t\n\r ", r"\S": r"^\t\n\r "}
+#: Classes of the plain characters by Latin-1 code: white space, letter, number, other; 4 is the end of a text.
+_SPACE, _LETTER, _NUMBER, _OTHER, _END = range(5)
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[[9, 10, 13, 32]] = _SPACE
+_CLASS[[c for c in range(256) if chr(c).isalpha()]] = _LETTER
+_CLASS[[*range(48, 58), 0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE]] = _NUMBER
+_CLASS[0] = _END
+_BASE = 0xD1342543DE82EF95
+_BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
+#: Characters of a text worked on together.
+CHUNK = 1 << 20
+#: A single white-space character between two letters or digits: every match of a split pattern of this family begins
+#: anew there, and no look-ahead reaches over it.
+_SAFE = re.compile(r"(?<=[0-9A-Za-z])[ \n](?=[0-9A-Za-z])")
 _READY: dict[tuple, object] = {}
 
 
-def plain_pattern(pattern: str) -> re.Pattern:
-    """A split pattern for plain characters, with its classes spelled out."""
-    out, inside = "", False
-    for part in re.findall(r"\\p\{\w\}|\\?.", pattern, re.S):
-        inside = part == "[" or inside and part != "]"
-        out += (_CLASSES[part] if inside else f"[{_CLASSES[part]}]") if part in _CLASSES else part
-    return re.compile(out)
+def chunks(text: str, size: int = CHUNK) -> Iterator[str]:
+    """``text`` in pieces that encode to the same ids as the whole; without a boundary it stays in one piece."""
+    at = 0
+    while len(text) - at > size:
+        m = _SAFE.search(text, at + size)
+        if not m:
+            break
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
 
 
 def ready(raw: bytes, make: Callable[[bytes], object], kind: str) -> object:
@@ -35,71 +51,181 @@ def ready(raw: bytes, make: Callable[[bytes], object], kind: str) -> object:
     return _READY[k]
 
 
-class WordCache(dict):
-    """Pre-token -> its ids as packed integers.  Words not yet seen are encoded by the tokenizers library; the texts a
-    pre-token comes from don't matter to its merges."""
-
-    def __init__(self, tokenizer: Tokenizer, bound: int = 600_000):
-        super().__init__()
-        self.tokenizer, self.bound = tokenizer, bound
+#: The split patterns that the fast path knows.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+WORD_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def split_points(b: np.ndarray, words_only: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the pre-tokens of plain texts that are joined by zero bytes (which end the last one too).
+
+    A pre-token begins where the class changes.  By ``BYTE_LEVEL`` the last space before other characters belongs to
+    them and the rest of its run stands alone; by ``WORD_LEVEL`` (``words_only``) white space is dropped and digits stand
+    alone.  In both an apostrophe that begins a pre-token takes the letters of a contraction with it.
+    """
+    cls = _CLASS[b]
+    start = np.empty(len(b), bool)
+    start[0] = True
+    np.not_equal(cls[1:], cls[:-1], out=start[1:])
+    start |= cls == _END
+    if words_only:
+        start |= cls == _NUMBER
+    else:
+        after = np.flatnonzero((cls[1:] != _SPACE) & (cls[:-1] == _SPACE) & (cls[1:] != _END)) + 1
+        start[after - 1] = True
+        start[after[b[after - 1] == 32]] = False
+    quote = np.flatnonzero((b == 39) & start)
+    if len(quote):
+        quote = quote[quote + 3 < len(b)] if quote[-1] + 3 >= len(b) else quote
+        one, two = b[quote + 1], b[quote + 2]
+        short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+        long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+        for hit, n in ((quote[short], 2), (quote[long], 3)):
+            start[hit + 1] = False
+            start[hit + n] = True
+    at = np.flatnonzero(start)
+    end = np.append(at[1:], len(b))
+    keep = cls[at] != _END
+    if words_only:
+        keep &= cls[at] != _SPACE
+    return at[keep], end[keep]
+
+
+class WordTable:
+    """Pre-token hash -> its ids, as an open-addressing table of arrays: whole batches are looked up at once."""
+
+    def __init__(self, bound: int = 1_000_000):
+        self.bound = bound
+        self.slots = 1 << (4 * bound - 1).bit_length()
+        self.hashes, self.counts, self.pool = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint16)
+        self._index()
+
+    def _index(self) -> None:
+        self.keys = np.zeros(self.slots, np.uint64)
+        self.entry = np.full(self.slots, -1, np.int32)
+        self.offsets = np.concatenate(([0], np.cumsum(self.counts)))
+        self._place(self.hashes, np.arange(len(self.hashes), dtype=np.int32))
+
+    def _place(self, h: np.ndarray, entry: np.ndarray) -> None:
+        at = (h & np.uint64(self.slots - 1)).astype(np.int64)
+        while len(h):
+            free = self.entry[at] < 0
+            spot, first = np.unique(at[free], return_index=True)
+            chosen = np.flatnonzero(free)[first]
+            self.keys[spot], self.entry[spot] = h[chosen], entry[chosen]
+            left = np.ones(len(h), bool)
+            left[chosen] = False
+            h, entry, at = h[left], entry[left], (at[left] + 1) & (self.slots - 1)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The entry of each hash, -1 where there is none."""
+        at = (h & np.uint64(self.slots - 1)).astype(np.int64)
+        out = self.entry[at]
+        todo = np.flatnonzero((out >= 0) & (self.keys[at] != h))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & (self.slots - 1)
+            out[todo] = self.entry[at[todo]]
+            todo = todo[(out[todo] >= 0) & (self.keys[at[todo]] != h[todo])]
+        return out
 
-    def learn(self, words: set[str]) -> None:
-        if len(self) + len(words) > self.bound:  # words met early are the frequent ones
-            kept = dict(islice(self.items(), self.bound // 2))
-            self.clear()
-            self.update(kept)
-        words = [*words]
-        for word, x in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self[word] = array("H", x.ids).tobytes()
+    def learn(self, h: np.ndarray, ids: list[list[int]]) -> None:
+        """Adds distinct new hashes.  Beyond the bound the later half is forgotten first: words met early are frequent."""
+        if len(self.hashes) + len(h) > self.bound:
+            k = min(self.bound // 2, len(self.hashes))
+            self.pool, self.hashes, self.counts = self.pool[: self.offsets[k]], self.hashes[:k], self.counts[:k]
+            self._index()
+        first = len(self.hashes)
+        counts = np.array([len(x) for x in ids], np.int64)
+        self.pool = np.concatenate((self.pool, np.array(list(chain.from_iterable(ids)), np.uint16)))
+        self.hashes, self.counts = np.concatenate((self.hashes, h)), np.concatenate((self.counts, counts))
+        self.offsets = np.concatenate((self.offsets, self.offsets[-1] + np.cumsum(counts)))
+        self._place(h, np.arange(first, first + len(h), dtype=np.int32))
+
+    def ids(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all entries in order, running count of ids before each entry and in all)."""
+        n = self.counts[entries]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        at = np.repeat(self.offsets[entries] - ends[:-1], n) + np.arange(ends[-1])
+        return self.pool[at], ends
 
 
 class Encoder:
-    """ids of texts as ``tokenizer.encode`` gives them, for files of fewer than 65,536 ids."""
+    """ids of texts as ``tokenizer.encode`` gives them, for files of fewer than 65,536 ids.
+
+    The merges of a pre-token don't depend on what stands around it.  Texts of plain characters are split by arrays and
+    their pre-tokens looked up by a 64-bit hash; new ones, and all other texts as a whole, go to the tokenizers library.
+    """
 
     def __init__(self, raw: bytes):
         self.tokenizer = Tokenizer.from_str(raw.decode())
         self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16:
             raise ValueError("ids are packed in 16 bits")
-        self.words = WordCache(self.tokenizer)
         conf = json.loads(raw)
-        before = conf["pre_tokenizer"] or {}
-        self.lower = False
-        self.split = None
+        before, kinds = conf["pre_tokenizer"] or {}, [x["type"] for x in (conf["normalizer"] or {}).get("normalizers", [])]
+        self.words = None
         if before.get("type") == "ByteLevel" and not conf["normalizer"] and before["use_regex"] and not before["add_prefix_space"]:
-            # fixed: the split pattern of byte-level pre-tokenizers
-            self.split = plain_pattern(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
-        elif before.get("type") == "Sequence":
+            self.words, self.words_only = WordTable(), False
+        elif before.get("type") == "Sequence" and kinds == ["NFC", "Replace", "Lowercase"]:
             first, *rest = before["pretokenizers"]
-            kinds = [x["type"] for x in (conf["normalizer"] or {}).get("normalizers", [])]
-            if first["type"] == "Split" and first["behavior"] == "Removed" and first["invert"] and kinds == ["NFC", "Replace", "Lowercase"] and [(x["type"], x["use_regex"]) for x in rest] == [("ByteLevel", False)]:
-                self.split = plain_pattern(first["pattern"]["Regex"]).findall
-                self.lower = True
+            if first["type"] == "Split" and first["pattern"].get("Regex") == WORD_LEVEL and first["behavior"] == "Removed" and first["invert"] and [(x["type"], x["use_regex"], x["add_prefix_space"]) for x in rest] == [("ByteLevel", False, False)]:
+                self.words, self.words_only = WordTable(), True
+        if self.words:  # for single pre-tokens: they need no splitting
+            conf |= {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}, "post_processor": None, "added_tokens": []}
+            self.single = Tokenizer.from_str(json.dumps(conf))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """uint16 ids of each text.  Texts of plain characters go word by word through the cache, others as a whole."""
+        """uint16 ids of each text."""
         out: list = [None] * len(texts)
-        split, whole = {}, []
-        for i, t in enumerate(texts):
-            if self.split is None or _PLAIN.search(t):
-                whole.append(i)
-            else:
-                split[i] = self.split(t.lower() if self.lower else t)
-        if split:
-            cache = self.words
-            new = set().union(*split.values()).difference(cache)
-            if new:
-                cache.learn(new)
-            for i, words in split.items():
-                try:
-                    out[i] = np.frombuffer(b"".join(map(cache.__getitem__, words)), "<u2")
-                except KeyError:  # the cache was cut to stay within its bound
-                    cache.learn(set(words))
-                    out[i] = np.frombuffer(b"".join(map(cache.__getitem__, words)), "<u2")
+        plain = [i for i, t in enumerate(texts) if self.words and not _PLAIN.search(t)]
+        for i in plain:
+            if len(texts[i]) > CHUNK:  # a long text in pieces
+                out[i] = np.concatenate([self._plain([x])[0] for x in chunks(texts[i])])
+        plain = [i for i in plain if out[i] is None]
+        lo = 0
+        while lo < len(plain):  # about a megabyte at a time
+            hi, size = lo, 0
+            while hi < len(plain) and size < 1 << 20:
+                size += len(texts[plain[hi]])
+                hi += 1
+            for i, x in zip(plain[lo:hi], self._plain([texts[i] for i in plain[lo:hi]]), strict=True):
+                out[i] = x
+            lo = hi
+        whole = [i for i, x in enumerate(out) if x is None]
         for i, x in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
             out[i] = np.array(x.ids, "<u2")
         return out
 
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        raw = b"".join((t.lower() if self.words_only else t).encode("latin-1") + b"\0" for t in texts)
+        b = np.frombuffer(raw, np.uint8)
+        at, end = split_points(b, self.words_only)
+        power, inverse = powers(len(b), _BASE)
+        sums = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum(_BYTES[b] * power[: len(b)], out=sums[1:])
+        h = mix64((sums[end] - sums[at]) * inverse[at] + (end - at).astype(np.uint64))
+        # so few at a time that what is looked up together fits in the table
+        step = max(1, self.words.bound // 4)
+        parts = [self._ids(h[k : k + step], at[k : k + step], end[k : k + step], raw) for k in range(0, len(h), step)]
+        ids = np.concatenate([x for x, _ in parts]) if parts else np.empty(0, np.uint16)
+        counts = np.concatenate([np.diff(e) for _, e in parts]) if parts else np.empty(0, np.int64)
+        ends = np.concatenate(([0], np.cumsum(counts)))
+        cuts = ends[np.searchsorted(at, np.flatnonzero(b == 0))]
+        return [ids[a:z] for a, z in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)]
+
+    def _ids(self, h: np.ndarray, at: np.ndarray, end: np.ndarray, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pre-tokens and their running count; unknown ones are learned."""
+        entries = self.words.find(h)
+        while (entries < 0).any():
+            missing = np.flatnonzero(entries < 0)
+            new, first = np.unique(h[missing], return_index=True)
+            order = np.argsort(first)  # in the order of the texts: what comes early is kept longest
+            new, first = new[order], missing[first[order]]
+            words = [raw[a:z].decode("latin-1") for a, z in zip(at[first].tolist(), end[first].tolist(), strict=True)]
+            self.words.learn(new, [x.ids for x in self.single.encode_batch_fast(words, add_special_tokens=False)])
+            entries = self.words.find(h)
+        return self.words.ids(entries)
+
 
 def encoder(raw: bytes) -> Encoder:
     return ready(raw, Encoder, "tokenizers")
