@@ -1,0 +1,32 @@
+"""Adaptive interpolation of mosaics as array kernels for tiles."""
+
+from __future__ import annotations
+
+import numpy as np
+
+
+def adaptive_demosaic(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """RGGB mosaic to r, g, b by gradients: green along the smoother direction, corrected by the second difference of the
+    sample's own colour; red and blue from colour differences to green."""
+    h, w = v.shape
+    p = np.pad(np.nan_to_num(v), 2, mode="reflect")
+    at = lambda dy, dx: p[2 + dy : 2 + dy + h, 2 + dx : 2 + dx + w]
+    y, x = np.indices(v.shape)
+    green = (y + x) % 2 == 1
+    side, post = (at(0, -1) + at(0, 1)) / 2, (at(-1, 0) + at(1, 0)) / 2
+    own_x, own_y = (2 * v - at(0, -2) - at(0, 2)) / 4, (2 * v - at(-2, 0) - at(2, 0)) / 4
+    dx = np.abs(at(0, -1) - at(0, 1)) + np.abs(4 * own_x)
+    dy = np.abs(at(-1, 0) - at(1, 0)) + np.abs(4 * own_y)
+    g = np.where(green, v, np.where(dx < dy, side + own_x, np.where(dy < dx, post + own_y, (side + own_x + post + own_y) / 2)))
+    out = []
+    for py, px in ((0, 0), (1, 1)):
+        mine = (y % 2 == py) & (x % 2 == px)
+        d, m = np.where(mine, v - g, 0.0), mine.astype(float)
+        dp, mp = np.pad(d, 1, mode="reflect"), np.pad(m, 1, mode="reflect")
+        top = sum(wt * dp[1 + a : 1 + a + h, 1 + b : 1 + b + w] for a, b, wt in _NEAR)
+        below = sum(wt * mp[1 + a : 1 + a + h, 1 + b : 1 + b + w] for a, b, wt in _NEAR)
+        out.append(np.where(mine, v, g + top / np.maximum(below, 1e-9)))
+    return out[0], g, out[1]
+
+
+_NEAR = tuple((a, b, 1.0 if a == b == 0 else 0.5 if a == 0 or b == 0 else 0.25) for a in (-1, 0, 1) for b in (-1, 0, 1))
