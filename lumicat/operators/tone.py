@@ -47,14 +47,14 @@ def tone_equalizer(px: DataFrame, out: dict[str, str], bands: list[float], radiu
     """Gains in stops by luminance band: Gaussian weights around centres every two stops from -16 up, over a smoothed log
     luminance.  ``out``: new column -> channel."""
     base = px.withColumn("_y", F.log2(F.greatest(F.expr(S.luminance("r", "g", "b")) / 65535, F.lit(2.0**-18))))
-    base = guided_filter(base, "_y", "_y", "_b", radius, 0.01)
+    base = guided_filter(base, "_y", "_y", "_base", radius, 0.01)
     # fifteen windows; the given bands sit in the middle, their neighbours repeat the outer ones
     centres = [-16.0 + 2 * k for k in range(15)]
     gains = [bands[min(len(bands) - 1, max(0, round((c + 16) / 28 * (len(bands) - 1))))] for c in centres]
-    weight = lambda c: F.exp(-F.pow(F.col("_b") - c, 2) / (2 * 2.0**2))
+    weight = lambda c: F.exp(-F.pow(F.col("_base") - c, 2) / (2 * 2.0**2))
     top = sum((weight(c) * (2.0 ** (g / 100 * 2)) for c, g in zip(centres, gains, strict=True)), F.lit(0.0))
     below = sum((weight(c) for c in centres), F.lit(0.0))
-    return base.withColumns({o: F.col(c) * top / below for o, c in out.items()}).drop("_y", "_b")
+    return base.withColumns({o: F.col(c) * top / below for o, c in out.items()}).drop("_y", "_base")
 
 
 def vibrance(px: DataFrame, a: str, b: str, pastels: float, saturated: float, split: float) -> DataFrame:

@@ -148,12 +148,12 @@ def queue_cancel(spark, sf_dir):
     return C.cancel_items(q, q.where("selected"), "entry").select("entry", "seq")
 
 
-@query(f"""with q as (select * from {QUEUE}), e as (select concat('new-', c_custkey) as entry, row_number() over (order by c_custkey) - 1 as k from customer), n as (select count(*) as n from e)
+@query(f"""with q as (select * from {QUEUE}), e as (select concat('new-', c_custkey) as entry, c_custkey - (select min(c_custkey) from customer) as k from customer), n as (select count(*) as n from e)
 select entry, case when processing then seq else seq + n end as seq from q, n union all select entry, 2 + n - 1 - k from e, n""")
 def queue_add_head(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    fresh = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.concat(F.lit("new-"), F.col("c_custkey")).alias("entry"), (F.row_number().over(W.orderBy("c_custkey")) - 1).cast("bigint").alias("seq"), F.lit(False).alias("processing"), F.lit(False).alias("selected"))
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    first = F.broadcast(c.agg(F.min("c_custkey").alias("first")))  # one row
+    fresh = c.crossJoin(first).select(F.concat(F.lit("new-"), F.col("c_custkey")).alias("entry"), (F.col("c_custkey") - F.col("first")).alias("seq"), F.lit(False).alias("processing"), F.lit(False).alias("selected"))
     return C.add_entries(T.table(spark, sf_dir, T.QUEUE), fresh, head=True).select("entry", "seq")
 
 

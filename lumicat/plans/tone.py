@@ -90,8 +90,8 @@ _CURVE = curves.sampled(curves.spline([(0, 0), (0.3, 0.4), (1, 1)]), 33)
 _LIST = "[" + ", ".join(S.num(v) for v in _CURVE) + "]"
 
 
-@query(f"""with k as (select frame, y, x, r / 65535e0 * 32 as at from {PX}), i as (select *, cast(least(floor(at), 31) as bigint) as j from k)
-select frame, y, x, {sql_rounded(f'({_LIST})[j + 1] + (at - j) * (({_LIST})[j + 2] - ({_LIST})[j + 1])', 6)} as v from i""")
+@query(f"""with k as (select frame, y, x, r / 65535e0 * 32 as place from {PX}), i as (select *, cast(least(floor(place), 31) as bigint) as j from k)
+select frame, y, x, {sql_rounded(f'({_LIST})[j + 1] + (place - j) * (({_LIST})[j + 2] - ({_LIST})[j + 1])', 6)} as v from i""")
 def lut_lerp(spark, sf_dir):
     return px(spark, sf_dir).select("frame", "y", "x", rounded(curves.lookup(_CURVE, F.col("r") / 65535 * 32), 6).alias("v"))
 
@@ -173,9 +173,9 @@ def recover_opposed(spark, sf_dir):
 
 @query(f"""with g as (select p, gy, gx, 1 + 0.1e0 * p + 0.02e0 * gy + 0.03e0 * gx as gain from range(4) a(p), range(5) b(gy), range(4) c(gx)),
 k as (select *, x * 3 / {WIDTH}e0 as fx, y * 4 / {HEIGHT}e0 as fy, (y % 2) * 2 + x % 2 as p from {PX})
-select k.frame, k.y, k.x, {sql_rounded('(v - 200) * sum(gain * (case when gx = floor(fx) then 1 - (fx - floor(fx)) else fx - floor(fx) end) * (case when gy = floor(fy) then 1 - (fy - floor(fy)) else fy - floor(fy) end)) + 200')} as v
+select k.frame, k.y, k.x, {sql_rounded('(v - 200) * sum(gain * (case when gx = floor(fx) then 1 - (fx - floor(fx)) else fx - floor(fx) end) * (case when gy = floor(fy) then 1 - (fy - floor(fy)) else fy - floor(fy) end)) + 200', 2)} as v
 from k join g on g.p = k.p and g.gx between floor(fx) and floor(fx) + 1 and g.gy between floor(fy) and floor(fy) + 1 group by k.frame, k.y, k.x, v""")
 def gain_map(spark, sf_dir):
     grid = spark.range(80).select((F.col("id") % 4).alias("parity"), (F.floor(F.col("id") / 4) % 5).alias("gy"), F.floor(F.col("id") / 20).alias("gx"))
     grid = grid.withColumn("gain", 1 + 0.1 * F.col("parity") + 0.02 * F.col("gy") + 0.03 * F.col("gx"))
-    return G.gain_map(px(spark, sf_dir), grid, WIDTH, HEIGHT, 4, 5, "v", "o", 200.0).select("frame", "y", "x", rounded("o").alias("v"))
+    return G.gain_map(px(spark, sf_dir), grid, WIDTH, HEIGHT, 4, 5, "v", "o", 200.0).select("frame", "y", "x", rounded("o", 2).alias("v"))
