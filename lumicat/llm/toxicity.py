@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import bound_batches, slices, texts
 
 #: Labelled rows used for training at most.
 SAMPLE = 6000
@@ -36,8 +36,10 @@ def word_features(word: str) -> list[str]:
     return [word, *(f"{word[:n]}*" for n in BEGINNINGS if len(word) > n)]
 
 
-def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+def words_of(text: str, pool: dict[str, str] | None = None) -> list[str]:
+    """The words of a text; with a pool equal words are one object."""
+    words = _WORD.findall(text.lower())
+    return words if pool is None else [pool.setdefault(w, w) for w in words]
 
 
 class ToxicCRF:
@@ -90,7 +92,7 @@ class ToxicCRF:
                 hot[w] = e
             else:
                 self.dull.add(w)
-        if len(self.dull) > 400_000:
+        if len(self.dull) > 150_000:
             self.dull.clear()
         if not hot:
             return [], []
@@ -133,19 +135,21 @@ def without_copies(rows: list[tuple[list[str], int]]) -> list[tuple[list[str], i
 
 def train(rows: list[tuple[str, int]], rounds: int = 25) -> ToxicCRF:
     """Fits the model to (text, toxic) rows.  Without both labels it finds nothing toxic."""
-    rows = without_copies([(words_of(t), int(y)) for t, y in rows])
+    pool: dict[str, str] = {}
+    rows = without_copies([(words_of(t, pool), int(y)) for t, y in rows])
     toxic = sum(y for _, y in rows)
     move = np.log(np.array([[0.97, 0.03], [0.7, 0.3]]))
     if not 0 < toxic < len(rows):
         return ToxicCRF({}, -8.0, move, np.array([-3.0 if toxic == 0 else 3.0, 0.0, 0.0, 0.0]))
     share = toxic / len(rows)
-    total: Counter[str] = Counter()
     bad: Counter[str] = Counter()
     for words, y in rows:
-        seen = {f for w in set(words) for f in word_features(w)}
-        total.update(seen)
         if y:
-            bad.update(seen)
+            bad.update({f for w in set(words) for f in word_features(w)})
+    bad = Counter({f: k for f, k in bad.items() if k >= 0.9 * SUPPORT})
+    total = Counter()  # only of what toxic documents repeat: the others' words would fill the driver
+    for words, _ in rows:
+        total.update({f for w in set(words) for f in word_features(w) if f in bad})
     seeds = {f for f, k in bad.items() if total[f] >= SUPPORT and k >= 0.9 * total[f] and _tail(total[f], k, share) < CHANCE}
     # token labels: tokens of toxic documents with such a feature; the CRF sees all features of those words
     index = {f: i for i, f in enumerate(sorted(seeds))}
@@ -221,6 +225,7 @@ def toxicity(docs: DataFrame, model: ToxicCRF, id_col: str = "doc_id", text_col:
 
 def reject_toxic(docs: DataFrame, model: ToxicCRF, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with a score under one half, with all their columns."""
+    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
 
