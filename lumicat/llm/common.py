@@ -43,12 +43,26 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Bytes of an Arrow batch between the JVM and Python.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, not only by rows: ten thousand long texts must not meet in one batch.  A setting of
+    the session that is already lower stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator works on, so that other columns of any name can't clash; null text is empty."""
+    bound_batches(df.sparkSession)
     return df.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
 
 
@@ -65,7 +79,7 @@ def map_rows(df: DataFrame, schema: str, rows: Callable[[dict[str, list]], dict[
     return df.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, limit: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """A batch in pieces of at most about ``limit`` bytes (one row at least)."""
     n = batch.num_rows
     if not n:

@@ -110,10 +110,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     buckets = max(64, partitions(spark))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            t = batch["text"].to_pylist()
+        for part in (p for batch in batches for p in slices(batch)):
+            t = part["text"].to_pylist()
             sha = [hashlib.sha256(normal(x)).digest() for x in t]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([len(x) for x in t], pa.int64()), pa.array(sha, pa.binary()), pa.array([key_of(x, key_bits) for x in sha], pa.int64())], names=["doc_id", "points", "sha", "key"])
+            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([len(x) for x in t], pa.int64()), pa.array(sha, pa.binary()), pa.array([key_of(x, key_bits) for x in sha], pa.int64())], names=["doc_id", "points", "sha", "key"])
 
     rows = materialise(docs.mapInArrow(digest, "doc_id long, points long, sha binary, key long"), "digests")
 
@@ -150,7 +150,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hits = materialise(runs.repartitionById(buckets, F.col("bucket")).mapInArrow(compact, "key long, leader long, n long"), "hits")
     sent = None
     if hits.count() <= MAX_SENT:  # 8 bytes each
-        sent = spark.sparkContext.broadcast(np.sort(np.array([r.key for r in hits.select("key").collect()], np.int64)))
+        sent = spark.sparkContext.broadcast(np.sort(hits.select("key").toArrow()["key"].to_numpy()))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts of rows whose key may be a hit."""

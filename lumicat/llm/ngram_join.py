@@ -32,14 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialise, mix64, partitions, release, slices, texts
+from .common import SPACE, materialise, mix64, partitions, powers, release, slices, texts
 from .components import components
 
 #: Long lists known to every task: at most so many (9 bytes each).  The frequency from which a list is long rises until
 #: they fit; this changes only the order of the lists, not the result.
 MAX_LONG = 2_000_000
-#: Shingle hashes gathered before a sorted run is flushed (32 MB).
-RUN = 4_000_000
+#: Shingle hashes gathered before a sorted run is flushed (16 MB).
+RUN = 2_000_000
 #: Members of one search cell besides its pivot.
 CELL = 128
 #: Shingles that a cell's index holds beyond its pivot's.
@@ -56,18 +56,7 @@ _IS_WORD = np.ones(256, bool)
 _IS_WORD[list(SPACE)] = False
 _CUT = re.compile(rb"[ \t-\r]")
 #: Bytes hashed at a time, up to the next separator.
-CHUNK = 1 << 20
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers_to(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        n = max(1 << 16, 1 << (n - 1).bit_length())
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            p = np.full(n, base, np.uint64)
-            p[0] = 1
-            _powers[i] = np.cumprod(p, dtype=np.uint64)
-    return _powers
+CHUNK = 1 << 18
 
 
 def word_hashes(raw: bytes) -> np.ndarray:
@@ -82,7 +71,7 @@ def word_hashes(raw: bytes) -> np.ndarray:
         word[1:-1] = _IS_WORD[b]
         edge = np.flatnonzero(word[1:] != word[:-1])
         first, last = edge[::2], edge[1::2]
-        power, inverse = _powers_to(len(b))
+        power, inverse = powers(len(b), _BASE)
         sums = np.zeros(len(b) + 1, np.uint64)
         np.cumsum(_BYTES[b] * power[: len(b)], out=sums[1:])
         out.append(mix64((sums[last] - sums[first]) * inverse[first] + (last - first).astype(np.uint64)))
@@ -211,8 +200,9 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def _index(docs: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, n) for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n_shingles", "rid"])
+            for part in slices(batch):
+                found = [(len(s), set_id(s) if len(s) else None) for s in (shingle_set(t, n) for t in part["text"].to_pylist())]
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([k for k, _ in found], pa.int64()), pa.array([r for _, r in found], pa.int64())], names=["doc_id", "n_shingles", "rid"])
 
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, rid long")
 

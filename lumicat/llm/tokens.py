@@ -24,7 +24,7 @@ _CLASS[0] = _END
 _BASE = 0xD1342543DE82EF95
 _BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 #: Characters of a text worked on together.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: A single white-space character between two letters or digits: every match of a split pattern of this family begins
 #: anew there, and no look-ahead reaches over it.
 _SAFE = re.compile(r"(?<=[0-9A-Za-z])[ \n](?=[0-9A-Za-z])")
@@ -94,7 +94,7 @@ def split_points(b: np.ndarray, words_only: bool) -> tuple[np.ndarray, np.ndarra
 class WordTable:
     """Pre-token hash -> its ids, as an open-addressing table of arrays: whole batches are looked up at once."""
 
-    def __init__(self, bound: int = 1_000_000):
+    def __init__(self, bound: int = 500_000):
         self.bound = bound
         self.slots = 1 << (4 * bound - 1).bit_length()
         self.hashes, self.counts, self.pool = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint16)
@@ -183,9 +183,9 @@ class Encoder:
                 out[i] = np.concatenate([self._plain([x])[0] for x in chunks(texts[i])])
         plain = [i for i in plain if out[i] is None]
         lo = 0
-        while lo < len(plain):  # about a megabyte at a time
+        while lo < len(plain):  # about half a megabyte at a time
             hi, size = lo, 0
-            while hi < len(plain) and size < 1 << 20:
+            while hi < len(plain) and size < CHUNK:
                 size += len(texts[plain[hi]])
                 hi += 1
             for i, x in zip(plain[lo:hi], self._plain([texts[i] for i in plain[lo:hi]]), strict=True):
