@@ -64,3 +64,20 @@ def xtrans_fast(px: DataFrame, value: str) -> DataFrame:
         below = sum((F.when(hit(i), F.lit(w)).otherwise(0.0) for i, w in enumerate(weights) if i != 4), F.lit(0.0))
         out[name] = F.when(F.col("c") == k, F.col(value)).otherwise(F.try_divide(top, below))
     return near.withColumns(out).drop("near", "_v", "_p", "_c")
+
+
+def demosaic(px: DataFrame, value: str, method: str = "bilinear", contrast: float = 0.0) -> DataFrame:
+    """By method: ``bilinear``, ``mono``, ``half``, ``xtrans_fast``; on tiles those of ``mosaics.METHODS``; ``dual``
+    (``adaptive`` where the contrast mask is high, bilinear elsewhere).  Others raise."""
+    simple = {"bilinear": bilinear, "mono": mono, "half": half_size, "xtrans_fast": xtrans_fast}
+    if method in simple:
+        return simple[method](px, value)
+    from .mosaics import METHODS
+    from .tiles import apply_kernel
+    from .tone import blend_mask
+
+    if method not in METHODS and method != "dual":
+        raise ValueError(f"no method {method}")
+    kernel = METHODS["adaptive" if method == "dual" else method]
+    fine = apply_kernel(px, [value], lambda v: dict(zip("rgb", kernel(v), strict=True)), ["r", "g", "b"], halo=8)
+    return fine if method != "dual" else blend(fine, bilinear(px.drop("r", "g", "b"), value), blend_mask(px, value, "w", contrast))

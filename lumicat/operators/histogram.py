@@ -270,3 +270,50 @@ def weighted_spectrum(spectrum: DataFrame, observer: DataFrame) -> DataFrame:
     rows = spectrum.join(observer, "nm")
     total = F.sum(F.col("power") * F.col("ybar"))
     return rows.groupBy("name").agg(*[F.try_divide(F.sum(F.col("power") * F.col(f"{c}bar")), total).alias(c.upper()) for c in ("x", "y", "z")])
+
+
+def mapping_to_curve(mapping: list[int], points: int = 9) -> list[tuple[float, float]]:
+    """Control points of a tone curve from a bin-to-bin mapping (at most 256 entries): evenly spaced, rising, from (0, 0)
+    to (1, 1).  A mapping that never leaves zero gives the identity."""
+    n = len(mapping)
+    if not n or not any(mapping):
+        return [(0.0, 0.0), (1.0, 1.0)]
+    out, high = [(0.0, 0.0)], 0.0
+    for k in range(1, points - 1):
+        i = round(k * (n - 1) / (points - 1))
+        high = max(high, mapping[i] / (n - 1))
+        out.append((i / (n - 1), min(high, 1.0)))
+    return [*out, (1.0, 1.0)]
+
+
+def matched_tone_curve(source: DataFrame, target: DataFrame, frame: str = "frame") -> DataFrame:
+    """(frame, curve): control points that give the source's luminance histogram the target's shape.
+
+    Both are (frame, bin, cum) of 256 bins; a frame's mapping is at most 256 rows, folded in one grouped call.
+    """
+    import pandas as pd
+
+    matched = cdf_match(source, target, frame)
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        mapping = [0] * 256
+        for b, m in zip(pdf["bin"], pdf["matched"], strict=True):
+            mapping[int(b)] = int(m)
+        known = 0
+        for i, v in enumerate(mapping):  # bins without samples continue the one before
+            known = mapping[i] = v or known
+        return pd.DataFrame([{frame: pdf[frame].iloc[0], "curve": [list(p) for p in mapping_to_curve(mapping)]}])
+
+    return matched.groupBy(frame).applyInPandas(fold, f"{frame} long, curve array<array<double>>")
+
+
+def channel_medians(px: DataFrame, border: float, width: int, height: int, channels: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
+    """Exact medians of each channel without a border of the given share."""
+    bx, by = int(width * border), int(height * border)
+    inside = px.where(F.col("x").between(bx, width - 1 - bx) & F.col("y").between(by, height - 1 - by))
+    return inside.groupBy("frame").agg(*[F.percentile(c, 0.5).alias(c) for c in channels])
+
+
+def noise_residual(mads: DataFrame, *by: str) -> DataFrame:
+    """Sum and maximum of squared deviations over levels and directions."""
+    return mads.groupBy(*by).agg(F.sum(F.col("mad") * F.col("mad")).alias("total"), F.max(F.col("mad") * F.col("mad")).alias("most"))

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import curves
 from ..functions import formulas as S
+from ..operators import detail as K2
 from ..operators import geometry as G
 from ..operators import histogram as H
-from ..operators import retouch as R
+from ..operators import mosaics as R
 from ..operators import tiles as K
 from ..operators import tone as O
 from . import tables as T
@@ -140,7 +141,14 @@ _kernel("tile_gradient_domain", ["r"], lambda r: {"o": K.gradient_domain_map(r)}
 _kernel("tile_false_color", ["r", "g", "b"], lambda r, g, b: dict(zip(("r", "g", "b"), K.false_color(r, g, b, 2), strict=True)), ["r", "g", "b"], 4)
 _kernel("tile_defringe", ["r", "g", "b"], lambda r, g, b: dict(zip(("a", "b"), K.defringe(r, g - 32768, b - 32768, 2.0, 1.3), strict=True)), ["a", "b"], 8)
 _kernel("tile_inpaint", ["r"], lambda r: {"o": K.inpaint(r, r > 60000)}, ["o"], 8)
-_kernel("adaptive_demosaic", ["v"], lambda v: dict(zip("rgb", R.adaptive_demosaic(v), strict=True)), ["r", "g", "b"], 6)
+_kernel("tile_pyramid", ["r"], lambda r: {"o": K2.pyramid_equalizer(r, [1.3, 1.1, 1.0], 500.0)}, ["o"], 16)
+_kernel("tile_edge_sharpen", ["r"], lambda r: {"o": K2.micro_contrast(K2.edge_sharpen(r, 0.2, 2), 0.3, 1.0)}, ["o"], 4)
+_kernel("tile_line_denoise", ["v"], lambda v: {"o": K2.line_denoise(v, 2000.0)}, ["o"], 16)
+_kernel("tile_shrinkage", ["r"], lambda r: {"o": K2.shrink_coefficients(r, 3, 1.0)}, ["o"], 16)
+_kernel("tile_fringe", ["g", "r"], lambda g, r: {"o": K2.correct_fringe(g, r, 16)}, ["o"], 8)
+_kernel("tile_grain", ["r"], lambda r: {"o": r + K.grain(r.shape, 0, 0, 900.0, 3.0)}, ["o"], 0)
+for _method, _f in R.METHODS.items():
+    _kernel(f"{_method}_demosaic", ["v"], lambda v, f=_f: dict(zip("rgb", f(v), strict=True)), ["r", "g", "b"], 8)
 
 
 @query()

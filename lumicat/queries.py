@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import catalog, pointwise, raster, tone  # noqa: F401  registers them
+from .plans import appearance, catalog, measures, pointwise, raster, tone  # noqa: F401  registers them
 from .plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
 
 

@@ -1,7 +1,7 @@
 """Image containers as bytes: PNG, portable pixmaps, TIFF, and the metadata directory of TIFF and JPEG files.
 
-Decoders give (height, width, channels) arrays; encoders take them.  Only the standard library and numpy are used; JPEG
-and JPEG XL pixels need a codec that isn't there and raise ``Unsupported``.
+Decoders give (height, width, channels) arrays; encoders take them.  Only the standard library and numpy are used.
+Baseline JPEG is in ``jpeg``; what needs another codec (JPEG XL, camera raw pixels) raises ``Unsupported``.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ import zlib
 
 import numpy as np
 
+from .jpeg import decode_jpeg, encode_jpeg
+
 
 class Unsupported(ValueError):
     """A container or a variant that no decoder here reads."""
@@ -165,6 +167,48 @@ def tiff_directory(raw: bytes, base: int = 0, at: int | None = None) -> dict[int
     return out
 
 
+def preview(raw: bytes) -> bytes:
+    """The JPEG preview that a TIFF-based or JPEG file carries; empty without one.  Only directories are read."""
+    base = raw.find(b"Exif\0\0", 0, 65536) + 6 if raw[:2] == b"\xff\xd8" else 0
+    try:
+        order = {b"II": "<", b"MM": ">"}[raw[base : base + 2]]
+        at, seen = base + struct.unpack_from(order + "I", raw, base + 4)[0], set()
+        while at > base and at not in seen:
+            seen.add(at)
+            t = tiff_directory(raw, base, at)
+            if isinstance(o := t.get(513), int) and isinstance(n := t.get(514), int):
+                return raw[base + o : base + o + n]
+            entries = struct.unpack_from(order + "H", raw, at)[0]
+            at = base + struct.unpack_from(order + "I", raw, at + 2 + 12 * entries)[0]
+    except (KeyError, struct.error, Unsupported):
+        pass
+    return b""
+
+
+def camera_profile(raw: bytes) -> dict[str, object]:
+    """A camera profile's fields: names, illuminants, colour and forward matrices, tone curve, table sizes.
+
+    Fixed values: the tag numbers.  Such files carry their own magic number after the byte order.
+    """
+    order = {b"II": "<", b"MM": ">"}.get(raw[:2])
+    if not order:
+        raise Unsupported("not a profile")
+    t = tiff_directory(raw[:2] + struct.pack(order + "H", 42) + raw[4:])
+    names = {50708: "camera", 50936: "name", 50778: "illuminant_1", 50779: "illuminant_2", 50721: "color_matrix_1", 50722: "color_matrix_2", 50964: "forward_matrix_1", 50965: "forward_matrix_2", 50940: "tone_curve", 50937: "hue_sat_dims", 50938: "hue_sat_1", 50939: "hue_sat_2", 50981: "look_dims", 50982: "look", 51109: "baseline_exposure"}
+    return {name: t[tag] for tag, name in names.items() if tag in t}
+
+
+def gain_map(raw: bytes) -> dict[str, object]:
+    """A gain map of an opcode list: area, pitches, grid size, spacing, origin and the gains by row; always big-endian."""
+    head = struct.unpack_from(">8I", raw)
+    v, h = struct.unpack_from(">2I", raw, 32)
+    spacing = struct.unpack_from(">4d", raw, 40)
+    planes = struct.unpack_from(">I", raw, 72)[0]
+    gains = struct.unpack_from(f">{v * h * planes}f", raw, 76)
+    keys = ("top", "left", "bottom", "right", "plane", "planes", "row_pitch", "col_pitch")
+    return {**dict(zip(keys, head, strict=True)), "points_y": v, "points_x": h, "spacing": spacing[:2], "origin": spacing[2:], "map_planes": planes, "gains": gains}
+
+
 def tiff_format(raw: bytes) -> dict:
     t = tiff_directory(raw)
     bits = t.get(258, 1)
@@ -238,8 +282,8 @@ def exif(raw: bytes) -> dict[str, object]:
     return out
 
 
-DECODERS = {"png": decode_png, "ppm": decode_pnm, "pgm": decode_pnm, "tif": decode_tiff, "tiff": decode_tiff}
-ENCODERS = {"png": encode_png, "ppm": encode_pnm, "pgm": encode_pnm, "tif": encode_tiff, "tiff": encode_tiff}
+DECODERS = {"jpg": decode_jpeg, "jpeg": decode_jpeg, "png": decode_png, "ppm": decode_pnm, "pgm": decode_pnm, "tif": decode_tiff, "tiff": decode_tiff}
+ENCODERS = {"jpg": encode_jpeg, "jpeg": encode_jpeg, "png": encode_png, "ppm": encode_pnm, "pgm": encode_pnm, "tif": encode_tiff, "tiff": encode_tiff}
 
 
 def decode(raw: bytes, extension: str) -> np.ndarray:

@@ -263,6 +263,54 @@ def test_kernels():
     assert np.allclose(tiles.false_color(a, a, a)[1], a)
 
 
+def test_detail_kernels():
+    from lumicat.operators import detail
+
+    rng = np.random.default_rng(4)
+    a = rng.uniform(50, 200, (48, 48))
+    assert np.allclose(detail.pyramid_equalizer(a, [1.0, 1.0, 1.0]), a)
+    assert detail.pyramid_equalizer(a, [2.0]).std() > a.std()
+    flat = np.full((20, 20), 7.0)
+    for f in (lambda v: detail.edge_sharpen(v, 0.5, 2), lambda v: detail.micro_contrast(v, 0.5, 1.0), lambda v: detail.line_denoise(v, 5.0), lambda v: detail.shrink_coefficients(v, 2, 1.0)):
+        assert np.allclose(f(flat), flat)
+    y, x = np.indices((64, 64), dtype=float)
+    clean = 100 + 20 * np.sin(y / 7) * np.cos(x / 9)
+    noisy = clean + rng.normal(0, 5, clean.shape)
+    assert np.abs(detail.shrink_coefficients(noisy, 3, 1.5) - clean).mean() < 0.8 * np.abs(noisy - clean).mean()
+    striped = clean.copy()
+    striped[::8] += 4
+    assert np.abs(detail.line_denoise(striped, 10.0) - clean).mean() < np.abs(striped - clean).mean()
+    assert np.allclose(detail.resample(clean, lambda yy, xx: (yy, xx)), clean)
+    moved = detail.resample(clean, lambda yy, xx: (np.clip(yy + 0.7, 0, 63), np.clip(xx - 0.4, 0, 63)))
+    fixed = detail.correct_fringe(clean, moved, 16)
+    assert np.abs(fixed - clean)[8:-8, 8:-8].mean() < 0.5 * np.abs(moved - clean)[8:-8, 8:-8].mean()
+    ring = np.zeros((9, 9), bool)
+    ring[2:7, 2:7] = True
+    ring[3:6, 3:6] = False
+    assert detail.flood_mask(ring).sum() == 25
+    k = detail.radial_shift(0.1, 4, 4, 4)(np.array([4.0]), np.array([8.0]))
+    assert np.allclose(k, ([4.0], [8.4]))
+
+
+def test_demosaic_methods(spark):
+    df = raster(spark, np.full((12, 12), 9.0)).withColumn("c", demosaic.rggb(F.col("x"), F.col("y")))
+    from lumicat.operators import mosaics
+
+    y, x = np.indices((40, 40), dtype=float)
+    truth = np.stack((120 + 60 * np.sin(y / 6), 130 + 50 * np.sin((x + y) / 7), 110 + 40 * np.cos(x / 5)), 2)
+    red, green, blue = mosaics._places((40, 40))
+    mosaic = np.where(red, truth[..., 0], np.where(green, truth[..., 1], truth[..., 2]))
+    for f in mosaics.METHODS.values():
+        out = np.stack(f(mosaic), 2)
+        assert np.abs(out - truth)[6:-6, 6:-6].mean() < 5
+        assert np.allclose(out[..., 1][green], mosaic[green]) and np.allclose(out[..., 0][red], mosaic[red])
+    for method in ("bilinear", "mono", "half", "dual", *mosaics.METHODS):
+        rows = demosaic.demosaic(df, "v", method).collect()
+        assert rows and all(abs(r.r - 9) < 1e-9 and abs(r.g - 9) < 1e-9 and abs(r.b - 9) < 1e-9 for r in rows)
+    with pytest.raises(ValueError):
+        demosaic.demosaic(df, "v", "unknown")
+
+
 def test_curves(spark):
     pts = [(0, 0), (0.25, 0.4), (0.75, 0.6), (1, 1)]
     for make in (curves.linear, curves.spline, curves.catmull_rom):

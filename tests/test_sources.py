@@ -25,7 +25,33 @@ def test_float_tiff_and_formats():
     png = codecs.encode_png((px * 255).astype(np.uint8))
     assert codecs.png_format(png)["bits"] == 8 and codecs.png_format(png)["samples"] == 3
     with pytest.raises(codecs.Unsupported):
-        codecs.decode(b"", "jpg")
+        codecs.decode(b"", "jxl")
+
+
+@pytest.mark.parametrize("subsample", [False, True])
+def test_jpeg_round_trip(subsample):
+    y, x = np.indices((37, 50))
+    px = np.stack((128 + 100 * np.sin(y / 9), 2 * y + x, 250 - 3 * y), 2).clip(0, 255).astype(np.uint8)
+    raw = codecs.encode_jpeg(px, 95, subsample)
+    assert raw[:2] == b"\xff\xd8" and np.abs(codecs.decode_jpeg(raw).astype(int) - px).mean() < (6 if subsample else 3)
+    noise = np.random.default_rng(0).integers(0, 255, (24, 24, 1)).astype(np.uint8)
+    assert np.abs(codecs.decode_jpeg(codecs.encode_jpeg(noise, 100))[..., :1].astype(int) - noise).mean() < 3
+    with pytest.raises(ValueError):
+        codecs.decode_jpeg(raw[:200])
+
+
+def test_previews_profiles_and_gain_maps():
+    px = np.full((8, 8, 3), 99, np.uint8)
+    small = codecs.encode_jpeg(px)
+    directory = b"II*\0" + struct.pack("<IH", 8, 2) + struct.pack("<HHII", 513, 4, 1, 100) + struct.pack("<HHII", 514, 4, 1, len(small)) + b"\0\0\0\0"
+    raw = directory.ljust(100, b"\0") + small
+    assert codecs.preview(raw) == small and codecs.preview(b"none") == b""
+    profile = b"IIRC" + struct.pack("<IH", 8, 2) + struct.pack("<HHII", 50778, 3, 1, 17) + struct.pack("<HHII", 50721, 10, 9, 50) + b"\0\0\0\0"
+    profile = profile.ljust(50, b"\0") + struct.pack("<18i", *[v for i in range(9) for v in (i, 2)])
+    got = codecs.camera_profile(profile)
+    assert got["illuminant_1"] == 17 and got["color_matrix_1"][3] == 1.5
+    body = struct.pack(">8I", 0, 0, 10, 20, 0, 1, 2, 2) + struct.pack(">2I", 2, 3) + struct.pack(">4d", 0.5, 0.5, 0, 0) + struct.pack(">I", 1) + struct.pack(">6f", *range(6))
+    assert codecs.gain_map(body)["gains"] == (0, 1, 2, 3, 4, 5) and codecs.gain_map(body)["points_x"] == 3
 
 
 @pytest.mark.parametrize("kind", range(5))
