@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -66,17 +68,17 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     return df.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
 
 
-def map_rows(df: DataFrame, schema: str, rows: Callable[[dict[str, list]], dict[str, list]]) -> DataFrame:
-    """mapInArrow over batches as dicts of Python lists, in slices that keep long texts from piling up."""
+def lean(run: Callable) -> Callable:
+    """A function over Arrow batches that gives its task's memory back to the system at the end: workers live on, and
+    what their allocators keep would add up over the stages of a session."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                out = rows(part.to_pydict())
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=list(out))
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):
+            ctypes.CDLL(None).malloc_trim(0)
 
-    types = arrow_types(schema)
-    return df.mapInArrow(run, schema)
+    return wrapped
 
 
 def slices(batch: pa.RecordBatch, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
@@ -89,11 +91,6 @@ def slices(batch: pa.RecordBatch, limit: int = 4_000_000) -> Iterator[pa.RecordB
         yield batch.slice(at, step)
 
 
-def arrow_types(schema: str) -> list[pa.DataType]:
-    known = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()), "array<float>": pa.list_(pa.float32())}
-    return [known[part.strip().split(" ", 1)[1]] for part in schema.split(",")]
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit numbers."""
     x = x ^ (x >> np.uint64(30))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialise, mix64, partitions, release, slices, texts
+from .common import SPACE, lean, materialise, mix64, partitions, release, slices, texts
 
 #: Keys in a memtable before it is flushed (about 60 MB).
 MEMTABLE = 250_000
@@ -115,7 +115,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             sha = [hashlib.sha256(normal(x)).digest() for x in t]
             yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([len(x) for x in t], pa.int64()), pa.array(sha, pa.binary()), pa.array([key_of(x, key_bits) for x in sha], pa.int64())], names=["doc_id", "points", "sha", "key"])
 
-    rows = materialise(docs.mapInArrow(digest, "doc_id long, points long, sha binary, key long"), "digests")
+    rows = materialise(docs.mapInArrow(lean(digest), "doc_id long, points long, sha binary, key long"), "digests")
 
     def flush(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out():
@@ -146,8 +146,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 run = run[run["n"] > 1]
                 yield pa.RecordBatch.from_arrays([pa.array(run["key"].copy()), pa.array(run["id"].copy()), pa.array(run["n"].copy())], names=["key", "leader", "n"])
 
-    runs = rows.select("doc_id", "key").mapInArrow(flush, "bucket int, run binary")
-    hits = materialise(runs.repartitionById(buckets, F.col("bucket")).mapInArrow(compact, "key long, leader long, n long"), "hits")
+    runs = rows.select("doc_id", "key").mapInArrow(lean(flush), "bucket int, run binary")
+    hits = materialise(runs.repartitionById(buckets, F.col("bucket")).mapInArrow(lean(compact), "key long, leader long, n long"), "hits")
     sent = None
     if hits.count() <= MAX_SENT:  # 8 bytes each
         sent = spark.sparkContext.broadcast(np.sort(hits.select("key").toArrow()["key"].to_numpy()))
@@ -164,7 +164,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 keep = range(len(t)) if sent is None else np.flatnonzero(np.isin(key, sent.value)).tolist()
                 yield pa.RecordBatch.from_arrays([part["doc_id"].take(pa.array(keep, pa.int64())), pa.array([len(t[i]) for i in keep], pa.int64()), pa.array([sha[i] for i in keep], pa.binary()), pa.array([int(key[i]) for i in keep], pa.int64()), pa.array([raw[i] for i in keep], pa.binary())], names=names)
 
-    held = docs.mapInArrow(verify, "doc_id long, points long, sha binary, key long, bytes binary")
+    held = docs.mapInArrow(lean(verify), "doc_id long, points long, sha binary, key long, bytes binary")
     if sent is None:
         held = held.join(hits.select("key"), "key", "left_semi")
     held = materialise(held.withColumn("row", F.monotonically_increasing_id()), "texts")

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices, texts
+from .common import lean, slices, texts
 
 RATE, UP, DOWN = 16_000, 5, 8
 WINDOW, HOP, FFT, MELS = 250, 100, 256, 40
@@ -156,7 +156,7 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 raw = [t.encode("utf-8", "surrogatepass") for t in part["text"].to_pylist()]
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([len(x) for x in raw], pa.int64()), pa.array([encode_wav(x + b"\0" * (-len(x) % 64 or 64 * (not x))) for x in raw], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return texts(docs, id_col, text_col).mapInArrow(lean(run), "doc_id long, n_bytes long, media binary")
 
 
 def audio_features(media: DataFrame) -> DataFrame:
@@ -171,4 +171,4 @@ def audio_features(media: DataFrame) -> DataFrame:
                 spans = [",".join(f"{round(1000 * a)}-{round(1000 * b)}" for a, b in s) for _, s in got]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x for x, _ in read], pa.binary()), pa.array([t for t, _ in got], pa.binary()), pa.array(spans)], names=["doc_id", "n_bytes", "media", "payload", "tensors", "spans"])
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, media binary, payload binary, tensors binary, spans string")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(lean(run), "doc_id long, n_bytes long, media binary, payload binary, tensors binary, spans string")

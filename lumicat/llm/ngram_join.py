@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialise, mix64, partitions, powers, release, slices, texts
+from .common import SPACE, lean, materialise, mix64, partitions, powers, release, slices, texts
 from .components import components
 
 #: Long lists known to every task: at most so many (9 bytes each).  The frequency from which a list is long rises until
@@ -204,7 +204,7 @@ def _index(docs: DataFrame, n: int) -> DataFrame:
                 found = [(len(s), set_id(s) if len(s) else None) for s in (shingle_set(t, n) for t in part["text"].to_pylist())]
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([k for k, _ in found], pa.int64()), pa.array([r for _, r in found], pa.int64())], names=["doc_id", "n_shingles", "rid"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, rid long")
+    return docs.mapInArrow(lean(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, rid long")
 
 
 def _of_class(rows: DataFrame, n: int) -> DataFrame:
@@ -214,12 +214,12 @@ def _of_class(rows: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([set_id(shingle_set(t, n)) == r for t, r in zip(batch["text"].to_pylist(), batch["rid"].to_pylist(), strict=True)], pa.bool_()))
 
-    return rows.mapInArrow(run, "rid long, text string")
+    return rows.mapInArrow(lean(run), "rid long, text string")
 
 
 def _bucketed(rows: DataFrame, reduce, schema: str) -> DataFrame:
     """``rows`` (bucket, ...) dealt so that each bucket is one partition, then reduced."""
-    return rows.repartitionById(_buckets(rows.sparkSession), F.col("bucket")).mapInArrow(reduce, schema)
+    return rows.repartitionById(_buckets(rows.sparkSession), F.col("bucket")).mapInArrow(lean(reduce), schema)
 
 
 def _buckets(spark) -> int:
@@ -274,7 +274,7 @@ def _frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
                 mine = h[level == x]
                 yield pa.RecordBatch.from_arrays([pa.array([int(x)], pa.int32()), pa.array([len(mine)], pa.int64()), pa.array([mine.tobytes()], pa.binary())], names=["level", "n", "hashes"])
 
-    found = materialise(_bucketed(docs.select("text").mapInArrow(runs, "bucket int, hashes binary"), count, "level int, n long, hashes binary"), "frequent")
+    found = materialise(_bucketed(docs.select("text").mapInArrow(lean(runs), "bucket int, hashes binary"), count, "level int, n long, hashes binary"), "frequent")
     total, from_level = 0, 99
     for r in found.groupBy("level").agg(F.sum("n").alias("n")).orderBy(F.desc("level")).collect():  # one row a power of two
         if (total := total + r.n) > MAX_LONG:
@@ -386,7 +386,7 @@ def _lists(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 q, v = p[i : i + 200_000], pivot[i : i + 200_000]
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(q["hash"]).view(np.int64)), pa.array(np.ascontiguousarray(q["rid"])), pa.array(q["n"].astype(np.int64)), pa.array(q["slack"].astype(np.int64)), pa.array(np.ascontiguousarray(v["rid"])), pa.array(v["n"].astype(np.int64))], names=["hash", "rid", "n", "slack", "pivot", "pivot_n"])
 
-    return _bucketed(docs.select("text").mapInArrow(post, "bucket int, postings binary"), group, "hash long, rid long, n long, slack long, pivot long, pivot_n long")
+    return _bucketed(docs.select("text").mapInArrow(lean(post), "bucket int, postings binary"), group, "hash long, rid long, n long, slack long, pivot long, pivot_n long")
 
 
 def _verify(pairs: DataFrame, held: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -415,7 +415,7 @@ def _verify(pairs: DataFrame, held: DataFrame, n: int, num: int, den: int) -> Da
                         room -= len(s) * (b != a)
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return rows.select("a", "cell", "b", "text").mapInArrow(run, "a long, b long").where("a <> b")
+    return rows.select("a", "cell", "b", "text").mapInArrow(lean(run), "a long, b long").where("a <> b")
 
 
 def _cross(tagged: DataFrame, num: int, den: int) -> DataFrame:
@@ -483,4 +483,4 @@ def _cross(tagged: DataFrame, num: int, den: int) -> DataFrame:
         if kept:
             yield from emit(kept)
 
-    return rows.select("hash", "rid", "n", "slack", "component").mapInArrow(run, "a long, b long")
+    return rows.select("hash", "rid", "n", "slack", "component").mapInArrow(lean(run), "a long, b long")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import partitions, slices, texts
+from .common import lean, partitions, slices, texts
 from .tokens import encoder
 
 #: Ids of one segment, unless a single document has more.
@@ -124,7 +124,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: bytes, end_id: int,
         if ids:
             yield segment()
 
-    dealt.mapInArrow(pack, "segment long, n_docs long, n_ids long, doc_ids array<long>, ends binary, ids binary").write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(path)
+    dealt.mapInArrow(lean(pack), "segment long, n_docs long, n_ids long, doc_ids array<long>, ends binary, ids binary").write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(path)
     return read_token_files(spark, path)
 
 
@@ -149,7 +149,7 @@ def document_ids(files: DataFrame) -> DataFrame:
                     s, e = starts[lo : lo + 2000], ends[lo : lo + 2000]
                     yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"][lo : lo + 2000], pa.int64()), pa.array(s + row["first"], pa.int64()), pa.array([ids[a:b].tobytes() for a, b in zip(s, e, strict=True)], pa.binary())], names=["doc_id", "start", "ids"])
 
-    return files.select("first", "doc_ids", "ends", "ids").mapInArrow(run, "doc_id long, start long, ids binary")
+    return files.select("first", "doc_ids", "ends", "ids").mapInArrow(lean(run), "doc_id long, start long, ids binary")
 
 
 def document(files: DataFrame, segment: int, i: int) -> np.ndarray:

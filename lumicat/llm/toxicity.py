@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, slices, texts
+from .common import bound_batches, lean, slices, texts
 
 #: Labelled rows used for training at most.
 SAMPLE = 6000
@@ -220,7 +220,7 @@ def toxicity(docs: DataFrame, model: ToxicCRF, id_col: str = "doc_id", text_col:
                 score = [m.score(p) for p, _ in got]
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(score, pa.float64()), pa.array([int(s >= 0.5) for s in score], pa.int32()), pa.array([",".join(f"{a}:{b}" for a, b in s) for _, s in got])], names=["doc_id", "score", "predicted", "spans"])
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, predicted int, spans string")
+    return texts(docs, id_col, text_col).mapInArrow(lean(run), "doc_id long, score double, predicted int, spans string")
 
 
 def reject_toxic(docs: DataFrame, model: ToxicCRF, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -235,4 +235,4 @@ def reject_toxic(docs: DataFrame, model: ToxicCRF, id_col: str = "doc_id", text_
             for part in slices(batch):
                 yield part.filter(pa.array([m.score(m.tag(t or "")[0]) < 0.5 for t in part[place].to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
