@@ -29,8 +29,12 @@ def staged(df: DataFrame, stages: Stages) -> DataFrame:
 
 
 def staged_sql(source: str, stages: Stages) -> str:
+    known: set[str] = set()
     for stage in stages:
-        source = f"(select *, {', '.join(f'{e} as {k}' for k, e in stage.items())} from {source})"
+        again = ", ".join(k for k in stage if k in known)
+        star = f"* exclude ({again})" if again else "*"
+        source = f"(select {star}, {', '.join(f'{e} as {k}' for k, e in stage.items())} from {source})"
+        known |= set(stage)
     return source
 
 
@@ -85,7 +89,7 @@ def ciecam02(v: Viewing, x: str, y: str, z: str) -> Stages:
 
 
 def xyz_from_ciecam02(v: Viewing, j: str, c: str, h: str) -> Stages:
-    """X, Y, Z of J, C and h in degrees."""
+    """out_x, out_y, out_z (XYZ) of J, C and h in degrees."""
     unsquash = lambda t: f"(sign({t} - 0.1e0) * {num(100 / v.fl)} * power(27.13e0 * abs({t} - 0.1e0) / (400 - abs({t} - 0.1e0)), {num(1 / 0.42)}))"
     back = inverse3(v.to_cones)
     xyz = inverse3(CAT02)
@@ -98,7 +102,7 @@ def xyz_from_ciecam02(v: Viewing, j: str, c: str, h: str) -> Stages:
         {"k_ra": "((460 * k_p2 + 451 * k_a + 288 * k_bb) / 1403e0)", "k_ga": "((460 * k_p2 - 891 * k_a - 261 * k_bb) / 1403e0)", "k_ba": "((460 * k_p2 - 220 * k_a - 6300 * k_bb) / 1403e0)"},
         {f"k_{c_}c": unsquash(f"k_{c_}a") for c_ in "rgb"},
         {f"k_{c_}": f"({row3(row, 'k_rc', 'k_gc', 'k_bc')} / {num(g)})" for c_, row, g in zip("rgb", back, v.gain, strict=True)},
-        {c_: row3(row, "k_r", "k_g", "k_b") for c_, row in zip("XYZ", xyz, strict=True)},
+        {f"out_{c_}": row3(row, "k_r", "k_g", "k_b") for c_, row in zip("xyz", xyz, strict=True)},
     ]
 
 

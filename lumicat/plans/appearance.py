@@ -27,7 +27,7 @@ def _staged(name: str, stages, columns: list[str], digits: int) -> None:
 
 
 _staged("ciecam02_forward", _FORWARD, ["J", "C", "Q", "M"], 5)
-_staged("ciecam02_inverse", _INVERSE, ["X", "Y", "Z"], 5)
+_staged("ciecam02_inverse", _INVERSE, ["out_x", "out_y", "out_z"], 5)
 _staged("chroma_reduction", _REDUCE, ["share"], 6)
 
 

@@ -20,7 +20,7 @@ def test_ciecam02_inverse(spark):
     df = spark.createDataFrame([tuple(map(float, r)) for r in rng.uniform(5, 90, (200, 3))], "x double, y double, z double")
     df = df.where("abs(x - y) < 30 and abs(z - y) < 40")
     out = appearance.staged(appearance.staged(df, appearance.ciecam02(v, "x", "y", "z")), appearance.xyz_from_ciecam02(v, "J", "C", "h")).toPandas()
-    assert len(out) > 20 and np.allclose(out[["x", "y", "z"]], out[["X", "Y", "Z"]], rtol=1e-6)
+    assert len(out) > 20 and np.allclose(out[["x", "y", "z"]], out[["out_x", "out_y", "out_z"]], rtol=1e-6)
 
 
 def test_adaptation_maps_white_to_white():

