@@ -114,13 +114,12 @@ def fringe_shift(reference: np.ndarray, channel: np.ndarray, block: int = 32) ->
     least squares: coefficients (constant, along y, along x) for both directions."""
     gy, gx = np.gradient(channel)
     d = reference - channel
-    d = d - gaussian(d, 4.0)
     rows, vy, vx, weight = [], [], [], []
     h, w = channel.shape
     for y in range(0, h - block // 2, block):
         for x in range(0, w - block // 2, block):
             cut = (slice(y, y + block), slice(x, x + block))
-            a, b, e = gy[cut].ravel(), gx[cut].ravel(), d[cut].ravel()
+            a, b, e = (v[cut].ravel() - v[cut].mean() for v in (gy, gx, d))
             m = np.array([[a @ a, a @ b], [a @ b, b @ b]]) + 1e-6 * np.eye(2)
             s = np.linalg.solve(m, [a @ e, b @ e])
             if np.abs(s).max() < 4:
@@ -134,8 +133,10 @@ def fringe_shift(reference: np.ndarray, channel: np.ndarray, block: int = 32) ->
     return np.linalg.lstsq(m, np.array(vy) * weight, rcond=None)[0], np.linalg.lstsq(m, np.array(vx) * weight, rcond=None)[0]
 
 
-def correct_fringe(reference: np.ndarray, channel: np.ndarray, block: int = 32) -> np.ndarray:
-    """The channel moved onto the reference."""
+def correct_fringe(reference: np.ndarray, channel: np.ndarray, block: int = 32, steps: int = 2) -> np.ndarray:
+    """The channel moved onto the reference, in a few steps of the linearised fit."""
+    if steps > 1:
+        channel = correct_fringe(reference, channel, block, steps - 1)
     cy, cx = fringe_shift(reference, channel, block)
     h, w = channel.shape
 

@@ -49,6 +49,14 @@ def _lookup(counts: bytes, symbols: bytes) -> tuple[list[int], list[int]]:
 
 
 def decode_jpeg(raw: bytes) -> np.ndarray:
+    """(height, width, 3) samples; grey is repeated.  Damaged and unsupported files raise ``UnsupportedJpeg``."""
+    try:
+        return _decode(raw)
+    except (IndexError, KeyError, TypeError, struct.error) as e:
+        raise UnsupportedJpeg("damaged file") from e
+
+
+def _decode(raw: bytes) -> np.ndarray:
     if raw[:2] != b"\xff\xd8":
         raise UnsupportedJpeg("not a JPEG file")
     at, quant, tables, frame, restart = 2, {}, {}, None, 0
