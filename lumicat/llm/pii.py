@@ -2,7 +2,8 @@
 
 Whole-span features score each candidate segment of up to ``LONGEST`` tokens; dynamic programming over segmentations
 chooses boundaries and types jointly.  A segment of a type needs a trigger (a digit or an at-sign, also a spelled one), so
-text away from triggers can only be untyped and the best segmentation falls apart into windows around triggers.
+text ``LONGEST`` tokens away from triggers can only be untyped.  What is scored there too low to win falls out, and the
+best segmentation of the whole text falls apart at tokens that no other candidate covers (``SemiCRF.find``).
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ KINDS = ("email", "ip", "card", "phone")
 LONGEST = 16
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]")
 _TRIGGER = re.compile(r"[0-9@]|[\[({]\s?at\s?[\])}]", re.I)
-#: Characters on either side of a trigger that its window takes in.
-_REACH = 80
+#: With the weak ones: "at" after a bracket or a space.
+_ANY_TRIGGER = re.compile(r"[0-9@]|(?<=[\[({ ])at(?![A-Za-z])|[\[({]\s?at\s?[\])}]", re.I | re.A)
+#: Tokens before a trigger that matter: the longest segment that ends with it and two for the cue.
+_BEFORE = LONGEST + 1
 
 # ---- base patterns: fixed
 
@@ -128,25 +131,37 @@ _INDEX = {k: i for i, k in enumerate(_FEATURES)}
 def candidates(text: str) -> tuple[list[tuple[int, int]], list[list[tuple[int, list[int]]]]]:
     """Tokens of ``text``, and for each end the typed candidate segments (first token, features) that end there."""
     tokens = [m.span() for m in _TOKEN.finditer(text)]
-    ends: list[list[tuple[int, list[int]]]] = [[] for _ in tokens]
-    digit = np.cumsum([0, *(b - a if "0" <= text[a] <= "9" else 0 for a, b in tokens)]).tolist()
-    mark = np.cumsum([0, *(text[a] == "@" or text[a:b].lower() == "at" and a > 0 and text[a - 1] in "[({ " for a, b in tokens)]).tolist()
-    for j in range(len(tokens)):
-        for i in range(j, max(-1, j - LONGEST), -1):
-            n = digit[j + 1] - digit[i]
-            if n > 24:
-                break
-            if not (mark[j + 1] - mark[i] == 1 and j - i >= 4 or 4 <= n and (n >= 7 or j - i >= 6)):
-                continue
-            if tokens[i][0] and i and "\n" in text[tokens[i][0] : tokens[j][1]]:
-                break
-            before = text[slice(*tokens[i - 1])].lower() if i else ""
-            if before in (":", "=", "#") and i > 1:
-                before = text[slice(*tokens[i - 2])].lower()
-            f = span_features(text, tokens[i][0], tokens[j][1], before)
-            if len(f) > 1:
-                ends[j].append((i, f))
-    return tokens, ends
+    digit = np.cumsum([0, *(_digits(text, a, b) for a, b in tokens)]).tolist()
+    mark = np.cumsum([0, *(_mark(text, a, b) for a, b in tokens)]).tolist()
+    return tokens, [list(_ending(text, tokens, digit, mark, j)) for j in range(len(tokens))]
+
+
+def _digits(text: str, a: int, b: int) -> int:
+    return b - a if "0" <= text[a] <= "9" else 0
+
+
+def _mark(text: str, a: int, b: int) -> bool:
+    return text[a] == "@" or b - a == 2 and text[a:b].lower() == "at" and a > 0 and text[a - 1] in "[({ "
+
+
+def _ending(text: str, tokens: list[tuple[int, int]], digit: list[int], mark: list[int], j: int) -> Iterator[tuple[int, list[int]]]:
+    """The candidates that end with token j, shortest first; ``digit`` and ``mark`` count those before each token."""
+    if digit[j + 1] - digit[max(0, j + 1 - LONGEST)] < 4 and mark[j + 1] == mark[max(0, j + 1 - LONGEST)]:
+        return
+    for i in range(j, max(-1, j - LONGEST), -1):
+        n = digit[j + 1] - digit[i]
+        if n > 24:
+            break
+        if not (mark[j + 1] - mark[i] == 1 and j - i >= 4 or 4 <= n and (n >= 7 or j - i >= 6)):
+            continue
+        if tokens[i][0] and i and "\n" in text[tokens[i][0] : tokens[j][1]]:
+            break
+        before = text[slice(*tokens[i - 1])].lower() if i else ""
+        if before in (":", "=", "#") and i > 1:
+            before = text[slice(*tokens[i - 2])].lower()
+        f = span_features(text, tokens[i][0], tokens[j][1], before)
+        if len(f) > 1:
+            yield i, f
 
 
 class SemiCRF:
@@ -185,6 +200,79 @@ class SemiCRF:
             j, state = i, last
         return out[::-1]
 
+    def find(self, text: str) -> list[tuple[int, int, int]]:
+        """What ``decode`` finds, in time and memory that follow the triggers and not the length of the text.
+
+        A segment can only win with more than ``-2 * follow``: else its tokens are better untyped.  Tokens are read from
+        ``_BEFORE`` in front of a trigger until none can belong to a segment with a trigger.
+        """
+        least = -2 * max(0.0, self.follow)
+        # a segment around a mere "at" has no other features than these
+        few = self.weights[[_INDEX[k] for k in ("bias", "letters")]].sum(0) + self.weights[[_INDEX[k] for k in ("glued left", "glued right")]].clip(0).sum(0)
+        few += self.weights[[_INDEX[k] for k in _CUES]].max(0).clip(0)
+        trigger = _TRIGGER if few.max() < least else _ANY_TRIGGER
+        out, floor, m = [], 0, trigger.search(text)
+        while m:
+            # base: number of tokens[0]; held: segments that may touch later ones; far: tokens since the last trigger
+            tokens, digit, mark, base, held, far = [], [0], [0], 0, [], 0
+            at = last = m.start()
+            for t in _TOKEN.finditer(text, _back(text, at, floor)):
+                a, b = t.span()
+                tokens.append((a, b))
+                digit.append(digit[-1] + _digits(text, a, b))
+                mark.append(mark[-1] + _mark(text, a, b))
+                j = len(tokens) - 1
+                if held and base + j - LONGEST > held[-1][1]:
+                    out += self._best(held)
+                    held = []
+                for i, f in _ending(text, tokens, digit, mark, j):
+                    w = self.weights[f].sum(0)
+                    if w[k := int(w.argmax())] >= least:
+                        held.append((base + i, base + j, k, float(w[k]), tokens[i][0], b))
+                if a >= at and (digit[-1] > digit[-2] or mark[-1] > mark[-2] or a == at):
+                    far, last = 0, b
+                elif a > at:
+                    far += 1
+                    if far > LONGEST + _BEFORE:
+                        break
+                if j > 4096:
+                    base += j + 1 - 2 * LONGEST
+                    del tokens[: -2 * LONGEST], digit[: -2 * LONGEST - 1], mark[: -2 * LONGEST - 1]
+            out += self._best(held)
+            floor = last
+            m = trigger.search(text, a) if far > LONGEST + _BEFORE else None  # not from b: a bracket may come before "at"
+        return out
+
+    def _best(self, held: list[tuple[int, int, int, float, int, int]]) -> list[tuple[int, int, int]]:
+        """The best choice of segments (first and last token, kind, score, start, end), which come by their last token."""
+        if not held:
+            return []
+        first = min(s[0] for s in held)
+        best: list[tuple[float, float]] = [(0.0, -1e30)]
+        back: list[tuple] = [(None, None)]
+        at = 0
+        for j in range(held[-1][1] + 1 - first):
+            free = 0 if best[j][0] >= best[j][1] else 1
+            score, step = -1e30, None
+            while at < len(held) and held[at][1] == first + j:
+                s = held[at]
+                before = best[s[0] - first]
+                last = 0 if before[0] >= before[1] + self.follow else 1
+                got = s[3] + before[last] + self.follow * last
+                if got > score:
+                    score, step = got, (last, s)
+                at += 1
+            best.append((best[j][free], score))
+            back.append(((free, None), step))
+        out, j = [], len(best) - 1
+        state = 0 if best[j][0] >= best[j][1] else 1
+        while j:
+            state, s = back[j][state]
+            if s:
+                out.append((s[2], s[4], s[5]))
+            j = s[0] - first if s else j - 1
+        return out[::-1]
+
     def gradient(self, text: str, gold: list[tuple[int, int, int]]) -> tuple[np.ndarray, float, float]:
         """Gradient of the log-likelihood by forward and backward sums over segmentations."""
         tokens, ends = candidates(text)
@@ -277,26 +365,18 @@ def trained(count: int = 600, rounds: int = 6) -> SemiCRF:
     return model
 
 
-def windows(text: str) -> Iterator[tuple[int, int]]:
-    """Parts of ``text`` around triggers, cut at white space where there is some in reach."""
-    lo = hi = -1
-    for m in _TRIGGER.finditer(text):
-        if m.start() < hi:
-            hi = max(hi, m.end() + _REACH)
-            continue
-        if lo >= 0:
-            yield _trim(text, lo, hi)
-        lo, hi = max(0, m.start() - _REACH, hi), m.end() + _REACH
-    if lo >= 0:
-        yield _trim(text, lo, hi)
-
-
-def _trim(text: str, lo: int, hi: int) -> tuple[int, int]:
-    if lo and (m := re.compile(r"\s").search(text, lo, lo + _REACH // 2)):
-        lo = m.end()
-    if hi < len(text) and (at := max(text.rfind(" ", hi - _REACH // 2, hi), text.rfind("\n", hi - _REACH // 2, hi))) > 0:
-        hi = at
-    return lo, min(hi, len(text))
+def _back(text: str, at: int, floor: int) -> int:
+    """Start of the token ``_BEFORE`` tokens before the one at ``at``, or ``floor``, where a token ends."""
+    size = 160
+    while True:
+        lo = max(floor, at - size)
+        # the first of them may be cut
+        starts = [m.start() for m in _TOKEN.finditer(text, lo, at)][lo > floor :]
+        if len(starts) >= _BEFORE:
+            return starts[-_BEFORE]
+        if lo == floor:
+            return floor
+        size *= 2
 
 
 def all_spans(text: str, model: SemiCRF) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -304,12 +384,10 @@ def all_spans(text: str, model: SemiCRF) -> tuple[list[tuple[int, int, int]], li
     base = base_spans(text)
     taken = sorted((a, b) for _, a, b in base)
     added = []
-    for lo, hi in windows(text):
-        for k, a, b in model.decode(text[lo:hi]):
-            a, b = a + lo, b + lo
-            at = bisect_left(taken, (b, 0))
-            if not any(x < b and a < y for x, y in taken[max(0, at - 4) : at]):
-                added.append((k, a, b))
+    for k, a, b in model.find(text):
+        at = bisect_left(taken, (b, 0))
+        if not any(x < b and a < y for x, y in taken[max(0, at - 4) : at]):
+            added.append((k, a, b))
     return base, sorted(added)
 
 

@@ -379,6 +379,43 @@ def test_semi_crf_on_held_out_lines():
     assert pii.all_spans("version 2.0.1 of 2024-01-02, 12,345 items", model) == ([], [])
 
 
+def test_semi_crf_sees_whole_texts():
+    """All spans are those of the best segmentation of the whole text, wherever earlier triggers lie."""
+
+    def total(m, text, spans):
+        tokens, ends = pii.candidates(text)
+        out, last = 0.0, -2
+        for k, a, b in spans:
+            i, j = [x for x, _ in tokens].index(a), [x for _, x in tokens].index(b)
+            out += m.weights[dict(ends[j])[i]].sum(0)[k] + m.follow * (last == i - 1)
+            last = j
+        return out
+
+    model = pii.trained()
+    entities = ["(555) 123-4567", "john.smith [at] host [dot] com", "john.smith (at) host.com", "4111 1111 1111 1111", "10[.]1[.]22[.]33", f"{'x' * 200} [at] host [dot] com"]
+    for entity in entities:
+        assert model.decode(f"so {entity} so")
+        for gap in range(220):
+            for filler in ("word " * 50, "a . " * 60):
+                text = f"on 1 {filler[:gap]} {entity} so"
+                want = model.decode(text)
+                assert model.find(text) == want and want[-1][2] == len(text) - 3
+                base, added = pii.all_spans(text, model)
+                assert set(want) <= {*base, *added}
+    r = random.Random(5)
+    bits = ["7", "12", "4111", "555", "(", ")", "-", ".", "+", "@", "[at]", "(at", "at", "At ", "[dot]", "com", "mail", "visa", ":", "\n", "  ", "é", "x" * 90, " " * 90, " lorem ipsum" * 12, " so . , so" * 20, "(456) 555-2186", "joe.b [at] host [dot] com", "1.2.3.4"]
+    for follow in (model.follow, 1.5, -1.5):
+        for weak in (0.0, 9.0):  # with 9 even a mere "at" can win
+            m = pii.SemiCRF(model.weights.copy(), follow)
+            m.weights[pii._INDEX["letters"]] += weak
+            for _ in range(60):
+                text = "".join(r.choice(bits) + r.choice(("", " ")) for _ in range(r.randint(1, 90)))
+                got, want = m.find(text), m.decode(text)
+                assert got == want or abs(total(m, text, got) - total(m, text, want)) < 1e-9  # a tie
+    text = "call (456) 555-2186 now " * 3000
+    assert len(model.find(text)) == 3000
+
+
 def test_semi_crf_gradient():
     text, gold = next(x for x in pii.examples(50, seed=3) if len(x[1]) > 1)
     model = pii.SemiCRF(np.random.default_rng(0).normal(0, 0.1, pii.SemiCRF().weights.shape), 0.1)
