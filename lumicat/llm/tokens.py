@@ -76,7 +76,7 @@ def split_points(b: np.ndarray, words_only: bool) -> tuple[np.ndarray, np.ndarra
         start[after[b[after - 1] == 32]] = False
     quote = np.flatnonzero((b == 39) & start)
     if len(quote):
-        quote = quote[quote + 3 < len(b)] if quote[-1] + 3 >= len(b) else quote
+        quote = quote[quote + 2 < len(b)]  # with two left the second is the zero byte, which no long contraction has
         one, two = b[quote + 1], b[quote + 2]
         short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
         long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))

@@ -264,6 +264,26 @@ def test_encoder_equals_library(name, edge, sf_dir):
     assert [x.tolist() for x in e.encode(texts)] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_on_final_contractions(name, monkeypatch):
+    """A contraction may end a text, a group of texts and a chunk of a long text."""
+    from lumicat.llm import tokens
+
+    e = tokens.Encoder(queries.vocabulary(name))
+    want = lambda t: e.tokenizer.encode(t, add_special_tokens=False).ids
+    ends = [f"{a}'{c}" for a in ("it", "", "1", " ", "!", "'") for c in ("s", "t", "m", "d", "re", "ve", "ll", "S", "r", "v", "l", "x", "", "'")]
+    for t in ends:
+        assert e.encode([t])[0].tolist() == want(t)
+    assert [x.tolist() for x in e.encode(ends)] == [want(t) for t in ends]
+    whole = tokens.chunks
+    monkeypatch.setattr(tokens, "chunks", lambda text: whole(text, 40))
+    monkeypatch.setattr(tokens, "CHUNK", 40)
+    for c in ("s", "t", "m", "d", "re", "ve", "ll"):
+        for n in range(30, 45):
+            t = "a" * n + f"it'{c} on" + "b" * 50 + f" it'{c} so it'{c}"
+            assert e.encode([t])[0].tolist() == want(t)
+
+
 def test_chat_round_trip(spark):
     r = random.Random(6)
     bits = [*chat.CONTROLS, "\\", "<", "[", "/", "INST]", " ", "\n", "ok", "é", "<\\", "|>"]
