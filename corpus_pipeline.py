@@ -37,7 +37,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 4096 tokens in sequences."""
-    return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), end_id=1, capacity=4096)
+    return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), end_id=1, capacity=4096, special=True)
 
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("ngram_jaccard_join", drop_near_copies), ("pii", mask_personal_data), ("best_fit_packing", pack)]

@@ -59,17 +59,18 @@ def best_fit(lengths: Iterable[int], capacity: int) -> tuple[list[int], list[int
     return where, offset, fill
 
 
-def pack_documents(docs: DataFrame, tokenizer: bytes, end_id: int, capacity: int = 4096, full: float = 0.995, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: bytes, end_id: int, capacity: int = 4096, full: float = 0.995, id_col: str = "doc_id", text_col: str = "text", special: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for each piece.
 
     Documents of more than ``capacity`` ids are cut into full pieces and a rest; no other is.  Null texts count as empty
     and have the end id alone.  Rows that repeat are packed each.  Bins filled to ``full`` of the capacity are final at
     once.  An empty table gives an empty table.
+    ``special``: special tokens of the file are found in texts (the library's default); else they are plain text.
     """
     raw = docs.sparkSession.sparkContext.broadcast(tokenizer)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(raw.value)
+        e = encoder(raw.value, special)
         first = TaskContext.get().partitionId() << 32
         names = ["doc_id", "piece", "start", "length", "ids_crc32", "bin", "place", "fill"]
         kept: list[list] = [[], [], [], [], []]

@@ -60,7 +60,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
     path = f"{scratch_root(spark)}/token-files-{uuid.uuid4().hex}"
-    files = token_files.write_token_files(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"), end_id=2)
+    files = token_files.write_token_files(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"), end_id=2, special=True)
     rows = token_files.document_ids(files)
     return rows.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
@@ -81,7 +81,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1, capacity=4096)
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1, capacity=4096, special=True)
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

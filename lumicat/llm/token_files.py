@@ -91,11 +91,12 @@ class EliasFano:
         return out
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: bytes, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_token_files(docs: DataFrame, path: str, tokenizer: bytes, end_id: int, id_col: str = "doc_id", text_col: str = "text", special: bool = False) -> DataFrame:
     """Encodes each text, appends ``end_id`` and writes the segments under ``path``; returns the files as a table.
 
     Null texts count as empty (one id).  Documents lie in the order of (id, text); rows that repeat an id follow one
     another.  A long text may make a segment longer than ``SEGMENT``.  An empty table gives files without segments.
+    ``special``: special tokens of the file are found in texts (the library's default); else they are plain text.
     """
     spark = docs.sparkSession
     raw = spark.sparkContext.broadcast(tokenizer)
@@ -103,7 +104,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: bytes, end_id: int,
     dealt = texts(docs, id_col, text_col).repartitionByRange(partitions(spark), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(raw.value)
+        e = encoder(raw.value, special)
         part = TaskContext.get().partitionId()
         at, names, ids, held = part << 32, [], [], 0
         end = np.array([end_id], "<u2")

@@ -154,15 +154,22 @@ class Encoder:
 
     The merges of a pre-token don't depend on what stands around it.  Texts of plain characters are split by arrays and
     their pre-tokens looked up by a 64-bit hash; new ones, and all other texts as a whole, go to the tokenizers library.
+    ``special``: the file's special tokens are found in texts, as is the library's default; else they are plain text.
     """
 
-    def __init__(self, raw: bytes):
+    def __init__(self, raw: bytes, special: bool = False):
         self.tokenizer = Tokenizer.from_str(raw.decode())
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
         if self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16:
             raise ValueError("ids are packed in 16 bits")
         conf = json.loads(raw)
         before, kinds = conf["pre_tokenizer"] or {}, [x["type"] for x in (conf["normalizer"] or {}).get("normalizers", [])]
+        # texts that may hold a token of the file's own list aren't split by arrays: as it stands, or before normalisation
+        # in any case and spacing
+        added = [x for x in conf.get("added_tokens") or () if special or not x["special"]]
+        self.exact = [x["content"] for x in added if not x["normalized"]]
+        loose = [r"\s+".join(map(re.escape, re.split(r"\s+", x["content"]))) for x in added if x["normalized"]]
+        self.loose = re.compile("|".join(loose), re.I) if loose else None
         self.words = None
         if before.get("type") == "ByteLevel" and not conf["normalizer"] and before["use_regex"] and not before["add_prefix_space"]:
             self.words, self.words_only = WordTable(), False
@@ -177,7 +184,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """uint16 ids of each text."""
         out: list = [None] * len(texts)
-        plain = [i for i, t in enumerate(texts) if self.words and not _PLAIN.search(t)]
+        plain = [i for i, t in enumerate(texts) if self.words and not _PLAIN.search(t) and not self._listed(t)]
         for i in plain:
             if len(texts[i]) > CHUNK:  # a long text in pieces
                 out[i] = np.concatenate([self._plain([x])[0] for x in chunks(texts[i])])
@@ -196,6 +203,9 @@ class Encoder:
             out[i] = np.array(x.ids, "<u2")
         return out
 
+    def _listed(self, text: str) -> bool:
+        return any(x in text for x in self.exact) or self.loose is not None and self.loose.search(text) is not None
+
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         raw = b"".join((t.lower() if self.words_only else t).encode("latin-1") + b"\0" for t in texts)
         b = np.frombuffer(raw, np.uint8)
@@ -227,5 +237,5 @@ class Encoder:
         return self.words.ids(entries)
 
 
-def encoder(raw: bytes) -> Encoder:
-    return ready(raw, Encoder, "tokenizers")
+def encoder(raw: bytes, special: bool = False) -> Encoder:
+    return ready(raw, lambda x: Encoder(x, special), f"tokenizers {special}")

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import json
 import random
 import re
 import zlib
@@ -284,6 +285,42 @@ def test_encoder_on_final_contractions(name, monkeypatch):
             assert e.encode([t])[0].tolist() == want(t)
 
 
+SPECIAL = ["a <|endoftext|> it's", "<|startoftext|>x<|endoftext|>", "<|ENDOFTEXT|> <|endoftext|", "plain it's", "é – <|endoftext|>", "", "word " * 200_000 + "<|endoftext|> it's"]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_equals_untouched_library(name):
+    from lumicat.llm.tokens import Encoder
+    from tokenizers import Tokenizer
+
+    raw = queries.vocabulary(name)
+    t = Tokenizer.from_file(public_tokenizers.path(name))
+    assert [x.tolist() for x in Encoder(raw, special=True).encode(SPECIAL)] == [t.encode(x, add_special_tokens=False).ids for x in SPECIAL]
+    # tokens of the list that aren't special are found by either setting
+    conf = json.loads(raw)
+    for n, x in enumerate(conf["added_tokens"]):
+        x |= {"special": False, "normalized": bool(n)}
+    raw = json.dumps(conf).encode()
+    t = Tokenizer.from_str(raw.decode())
+    assert [x.tolist() for x in Encoder(raw).encode(SPECIAL)] == [t.encode(x, add_special_tokens=False).ids for x in SPECIAL]
+
+
+def test_registered_queries_find_special_tokens(spark, tmp_path):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    docs = frame(spark, list(enumerate(SPECIAL)))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    crc = lambda t, x, end: zlib.crc32(np.array([*t.encode(x, add_special_tokens=False).ids, end], "<u4").tobytes())
+    got = {r.doc_id: r.ids_crc32 for r in queries.op5_token_files(spark, str(tmp_path)).collect()}
+    assert got == {i: crc(t, x, 2) for i, x in enumerate(SPECIAL)}
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = {i: crc(t, x, 1) for i, x in enumerate(SPECIAL[:-1])}
+    for out in (queries.op7_best_fit_packing(spark, str(tmp_path)), corpus_pipeline.pack(spark, docs, str(tmp_path))):
+        assert {r.doc_id: r.ids_crc32 for r in out.collect() if r.doc_id in want} == want
+
+
 def test_chat_round_trip(spark):
     r = random.Random(6)
     bits = [*chat.CONTROLS, "\\", "<", "[", "/", "INST]", " ", "\n", "ok", "é", "<\\", "|>"]
