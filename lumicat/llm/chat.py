@@ -78,8 +78,13 @@ def format_chat(turns: DataFrame, template: dict = TEMPLATE, machine: dict = MAC
     return conv.select("conv_id", "n_turns", text.alias("formatted"), "segments", (F.col("end.bad").isNull() & F.col("end.at").isin(*accept)).alias("valid"), F.col("end.bad").alias("first_error"))
 
 
+def learned(segments: Column) -> Column:
+    """The original texts of the segments with a loss, one after another."""
+    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
+
+
 def read_chat(formatted: DataFrame, template: dict = TEMPLATE) -> DataFrame:
-    """(conv_id, formatted, turns): the roles and texts found by parsing ``formatted``."""
+    """Adds ``turns``: the roles and texts found by parsing ``formatted``.  Other columns stay."""
 
     def quoted(s: str) -> str:
         return "\\Q" + s + "\\E"
@@ -97,4 +102,4 @@ def read_chat(formatted: DataFrame, template: dict = TEMPLATE) -> DataFrame:
         return out
 
     turns = F.zip_with(heads, bodies, lambda h, b: F.struct(role(h).alias("role"), unescape(b).alias("text")))
-    return formatted.select("conv_id", "formatted", turns.alias("turns"))
+    return formatted.withColumn("turns", turns)

@@ -14,6 +14,8 @@ import pytest
 from lumicat.llm import bpe, chat, exact_dedup, media, ngram_join, packing, pii, queries, secrets, token_files, toxicity
 from lumicat.llm.components import components
 
+from ..compare import connect, difference
+
 DOCS = "doc_id long, text string, source string, kept boolean, bucket int, key string"
 
 
@@ -343,6 +345,20 @@ def test_chat_machine(spark):
     assert got == {1: (True, None), 2: (True, None), 3: (False, 0), 4: (False, 1), 5: (False, None), 6: (False, 1)}
 
 
+def test_chat_query_reads_the_loss_mask_and_the_order(spark, tmp_path, monkeypatch):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b</s>"), (1, 2, "user", "c"), (1, 3, "assistant", "\\d"), (2, 0, "assistant", "e"), (3, 0, "user", "f"), (4, 0, "start", "x"), (4, 1, "user", "y"), (4, 2, "assistant", "z")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    loss = lambda: {r.conv_id: (r.loss_chars, r.loss_sha256) for r in queries.op6_chat_format(spark, str(tmp_path)).collect() if r.conv_id > 0}
+    sha = lambda t: (len(t), hashlib.sha256(t.encode()).hexdigest())
+    assert loss() == {1: sha("b</s>\\d"), 2: sha("e"), 3: sha(""), 4: sha("z")}
+    order = queries.op6_chat_order(spark, str(tmp_path))
+    assert {r.conv_id: (r.valid, r.first_error) for r in order.collect()} == {-7: (True, None), 1: (True, None), 2: (False, 0), 3: (False, None), 4: (False, 0)}
+    assert difference(order, connect(str(tmp_path)), queries.ORACLE_SQL["op6_chat_order"]) == ""
+    # the digests follow the mask
+    monkeypatch.setitem(chat.TEMPLATE, "user", (*chat.TEMPLATE["user"][:2], True))
+    assert loss() == {1: sha("ab</s>c\\d"), 2: sha("e"), 3: sha("f"), 4: sha("yz")}
+
+
 def test_best_fit():
     r = random.Random(8)
     for sizes in ([], [10], [5, 5, 5], [r.randint(1, 100) for _ in range(2000)]):
