@@ -93,9 +93,10 @@ def mel_filters(rate: int, fft: int = FFT, mels: int = MELS) -> np.ndarray:
 
 
 def log_mel(x: np.ndarray, rate: int) -> np.ndarray:
-    """Log-mel energies of overlapped Hann windows, one frame at least."""
-    if len(x) < WINDOW:
-        x = np.concatenate((x, np.zeros(WINDOW - len(x), np.float32)))
+    """Log-mel energies of overlapped Hann windows, one frame at least.  The last is filled up with zeros, so that each
+    sample is in a frame."""
+    n = max(0, -(-(len(x) - WINDOW) // HOP)) * HOP + WINDOW
+    x = np.concatenate((x, np.zeros(n - len(x), np.float32)))
     frames = np.lib.stride_tricks.sliding_window_view(x, WINDOW)[::HOP]
     window, mel = np.hanning(WINDOW).astype(np.float32), mel_filters(rate)
     out = np.empty((len(frames), MELS), np.float32)
