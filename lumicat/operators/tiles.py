@@ -285,13 +285,11 @@ def defringe(l: np.ndarray, a: np.ndarray, b: np.ndarray, radius: float, thresho
     return np.where(hit, top_a / below, a), np.where(hit, top_b / below, b)
 
 
-def inpaint(v: np.ndarray, clipped: np.ndarray, rounds: int = 50) -> np.ndarray:
-    """Clipped samples filled from their surroundings, nearest first, then relaxed."""
+def inpaint(v: np.ndarray, clipped: np.ndarray) -> np.ndarray:
+    """Clipped samples filled from their surroundings, nearest first, until no hole is left; without any other sample they
+    stay.  The reach is unbounded: the halo must be the steps from the deepest clipped sample to the edge of its hole."""
     out = np.where(clipped, np.nan, v)
-    for _ in range(rounds):
-        hole = np.isnan(out)
-        if not hole.any():
-            break
+    while (hole := np.isnan(out)).any() and not hole.all():
         p = np.pad(out, 1, constant_values=np.nan)
         near = np.stack([p[:-2, 1:-1], p[2:, 1:-1], p[1:-1, :-2], p[1:-1, 2:]])
         count = (~np.isnan(near)).sum(0)

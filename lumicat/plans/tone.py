@@ -140,7 +140,8 @@ _kernel("tile_edge_preserving", ["r"], lambda r: {"o": K.compress_range(r, 0.2,
 _kernel("tile_gradient_domain", ["r"], lambda r: {"o": K.gradient_domain_map(r)}, ["o"], 64)
 _kernel("tile_false_color", ["r", "g", "b"], lambda r, g, b: dict(zip(("r", "g", "b"), K.false_color(r, g, b, 2), strict=True)), ["r", "g", "b"], 4)
 _kernel("tile_defringe", ["r", "g", "b"], lambda r, g, b: dict(zip(("a", "b"), K.defringe(r, g - 32768, b - 32768, 2.0, 1.3), strict=True)), ["a", "b"], 8)
-_kernel("tile_inpaint", ["r"], lambda r: {"o": K.inpaint(r, r > 60000)}, ["o"], 8)
+# the deepest hole of a frame of 50 x 60 leaves one corner: 49 + 59 steps
+_kernel("tile_inpaint", ["r"], lambda r: {"o": K.inpaint(r, r > 60000)}, ["o"], 108)
 _kernel("tile_pyramid", ["r"], lambda r: {"o": K2.pyramid_equalizer(r, [1.3, 1.1, 1.0], 500.0)}, ["o"], 16)
 _kernel("tile_edge_sharpen", ["r"], lambda r: {"o": K2.micro_contrast(K2.edge_sharpen(r, 0.2, 2), 0.3, 1.0)}, ["o"], 4)
 _kernel("tile_line_denoise", ["v"], lambda v: {"o": K2.line_denoise(v, 2000.0)}, ["o"], 16)

@@ -257,6 +257,10 @@ def test_kernels():
     hole = a.copy()
     hole[10:14, 10:14] = 9999
     assert tiles.inpaint(hole, hole == 9999).max() < 250
+    deep = np.full((140, 150), 9999.0)
+    deep[0, 0] = 7.0
+    assert (tiles.inpaint(deep, deep == 9999) == 7).all()
+    assert (tiles.inpaint(deep, deep > 0) == deep).all()
     out = tiles.gradient_domain_map(np.exp(rng.normal(size=(20, 20)) * 2))
     assert 0 <= out.min() and out.max() <= 1
     assert tiles.retinex(a, [2.0, 5.0]).shape == a.shape
