@@ -1,8 +1,8 @@
 """Toxicity by a linear-chain conditional random field over tokens.
 
 Training (on a bounded sample of labelled rows): words and word beginnings that occur in toxic documents far more often
-than chance label tokens; a two-state CRF is fitted to those token labels; a logistic layer from the forward-backward
-marginals of a document to its label is fitted to ``labels.toxic``.
+than chance label tokens; the evidence and bias of a two-state CRF with fixed transitions are fitted to those token
+labels; a logistic layer from the forward-backward marginals of a document to its label is fitted to ``labels.toxic``.
 Scoring: tokens without any known feature share one transfer matrix, so forward and backward sums jump over runs of them
 by matrix powers; marginals at the other tokens are exact.
 """
@@ -98,8 +98,14 @@ class ToxicCRF:
             return [], []
         at = [i for i, w in enumerate(words) if w in hot]
         p = self.marginals(at, [hot[words[i]] for i in at], len(words))
-        flagged = {words[i] for i, x in zip(at, p, strict=True) if x >= 0.5}
-        spans = [m.span() for m in _WORD.finditer(text) if m[0].lower() in flagged] if flagged else []
+        flagged = {i for i, x in zip(at, p, strict=True) if x >= 0.5}
+        if not flagged:
+            return p, []
+        low = text.lower()
+        spans = [m.span() for i, m in enumerate(_WORD.finditer(low)) if i in flagged]
+        if len(low) != len(text):  # a capital became two characters
+            origin = [i for i, c in enumerate(text) for _ in c.lower()]
+            spans = [(origin[a], origin[b - 1] + 1) for a, b in spans]
         return p, spans
 
     def score(self, p: list[float]) -> float:

@@ -542,6 +542,16 @@ def test_toxicity_held_out():
     assert m.tag("a Grok, b")[1] == [(2, 6)]
 
 
+def test_toxic_spans_follow_the_marginals_of_each_token():
+    m = toxicity.ToxicCRF({"worse": 12.0, "bad": 4.5}, -3.0, np.log(np.array([[0.97, 0.03], [0.7, 0.3]])), np.zeros(4))
+    text = "bad a a worse Bad a a bad"
+    p, spans = m.tag(text)
+    assert [x >= 0.5 for x in p] == [False, True, True, False]
+    assert spans == [(8, 13), (14, 17)]
+    # a capital whose small form has two characters, of which the second ends a word
+    assert m.tag("\u0130x " + text)[1] == [(11, 16), (17, 20)]
+
+
 def test_crf_marginals_match_enumeration():
     m = toxicity.ToxicCRF({"bad": 3.0}, -1.5, np.log(np.array([[0.8, 0.2], [0.4, 0.6]])), np.zeros(4))
     words = "a b bad c d bad e".split()
