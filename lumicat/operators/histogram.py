@@ -6,8 +6,6 @@ steps are windows over a frame's bins.
 
 from __future__ import annotations
 
-from math import exp, log, log1p, sqrt
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -108,86 +106,6 @@ def cdf_match(source: DataFrame, target: DataFrame, *by: str) -> DataFrame:
     return pairs.groupBy(*by, "bin").agg(F.min_by("tb", F.struct(F.abs(F.col("cum") - F.col("tc")).alias("d"), -F.col("tc"), F.col("tb"))).alias("matched"))
 
 
-def auto_exposure(hist: list[int], compression: int, clip: float) -> dict[str, float]:
-    """Exposure, black point, contrast, highlight compression and brightness from one luminance histogram.
-
-    A fold over at most 65536 >> compression counts: run on the driver, or per frame inside a grouped function.
-    """
-    scale, grey, top = 65536.0, 0.1842, 65536 >> compression
-    nothing = {"expcomp": 0.0, "bright": 0, "contr": 0, "black": 0, "hlcompr": 0, "hlcomprthresh": 0}
-    total = float(sum(hist))
-    if not total:
-        return nothing
-    average = sum(i * n for i, n in enumerate(hist)) / total
-    running = median = 0
-    for median, n in enumerate(hist):
-        running += n
-        if running >= total / 2:
-            break
-    if median == 0 or average < 1:
-        return nothing
-    octile, k = [0.0] * 8, 0
-    for i, n in enumerate(hist[:top]):
-        if k < 8:
-            octile[k] += n
-            if octile[k] > total / 8 or k == 7 and octile[k] > total / 16:
-                octile[k] = log(1 + i) / log(2)
-                k += 1
-    split = min(int(average), top)
-    if not sum(hist[:split]) or not sum(hist[split:top]):
-        return nothing
-    over, limit = 0, log1p(top)  # kept as published: a natural logarithm against binary ones
-    if octile[6] > limit:
-        octile[6], over = 1.5 * octile[5] - 0.5 * octile[4], 2
-    if octile[7] > limit:
-        octile[7], over = 1.5 * octile[6] - 0.5 * octile[5], 1
-    raw6, raw7 = octile[6], octile[7]
-    for i in range(1, 8):
-        octile[i] = octile[i] or octile[i - 1]
-    spread = sum((octile[i + 1] - octile[i]) / max(0.5, octile[i + 1] - octile[3] if i > 2 else octile[3] - octile[i]) for i in range(1, 6)) / 5
-    if spread <= 0:
-        return nothing
-    raw = next((i for i in range(top - 1, 0, -1) if hist[i] > 0), 1)
-    allowed = int(total * clip / 100)
-    cut, white = 0, top - 1
-    while white > 1 and hist[white] + cut <= allowed:
-        cut, white = cut + hist[white], white - 1
-    cut, dark = 0, 0
-    while dark < white - 1 and hist[dark] + cut <= allowed:
-        cut, dark = cut + hist[dark], dark + 1
-    unit = 1 << compression
-    raw, white, average, median, dark = raw * unit, white * unit, average * unit, median * unit, dark * unit
-    first = log(grey * scale / (average - dark + grey * dark)) / log(2)
-    o6, o7 = (raw6, raw7) if not over else (octile[6], octile[7])
-    second = 0.5 * (15.5 - compression - (2 * o7 - o6) + log(scale / raw) / log(2))
-    if abs(first) - abs(second) > 1:
-        comp = (first * abs(second) + second * abs(first)) / (abs(first) + abs(second))
-    else:
-        comp = 0.5 * (first + second)
-    gain = exp(comp * log(2))
-    corr = sqrt(gain * scale / raw)
-    black = int(dark * corr)
-    highlight = max(0, min(100, int(100 * ((gain * white / scale - 1) * 2.3) / (max(0.0, comp) + 1))))
-    mid = gain * sqrt(median * average) / scale
-    bright = (grey - mid) * 15 / (mid if mid < 0.1 else 0.10833 - 0.0833 * mid)
-    bright = int(0.25 * max(0, int(bright)))
-    contrast = max(0, min(100, int(50 * (1.1 - spread))))
-
-    def curve(x: float) -> float:
-        return x * 12.92310 if x <= 0.003040 else 1.055 * x ** (1 / 2.4) - 0.055
-
-    def uncurve(x: float) -> float:
-        return x / 12.92310 if x <= 0.039286 else ((x + 0.055) / 1.055) ** 2.4
-
-    white_g = float(int(curve(white * corr / 65536) * 65536))
-    mean_g = sum(n * curve(min(1.0, corr * i * unit / 65535)) * 65535 for i, n in enumerate(hist[:top])) / total
-    if black < mean_g:
-        white_g = max(white_g, float(int((mean_g - black) * 4 / 3 + black)))
-    white_g = uncurve(white_g / 65535) * 65535
-    black = int(65535 * black / white_g) if white_g else 0
-    return {"expcomp": max(-5.0, min(12.0, comp)), "bright": max(-100, min(100, bright)), "contr": contrast, "black": black, "hlcompr": highlight, "hlcomprthresh": 0}
-
-
 # ---- tiles and channels
 
 

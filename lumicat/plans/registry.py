@@ -24,18 +24,14 @@ def query(sql: str | None = None, name: str | None = None):
     return register
 
 
-#: Added before the floor instead of one half: sums and products of short decimals often end in exactly half a unit, where
-#: engines differ in the last bit.
-_HALF = 0.4871
-
-
 def rounded(c: Column | str, digits: int = 4) -> Column:
-    """Doubles leave a query rounded to ``digits``."""
+    """Doubles leave a query rounded half up to ``digits``, finer than the steps of exact results: ties are decided alike only
+    where sums have no last bit to differ in."""
     c = F.col(c) if isinstance(c, str) else c
     unit = float(10**digits)
-    return F.floor(c * unit + _HALF) / unit
+    return F.floor(c * unit + 0.5) / unit
 
 
 def sql_rounded(expression: str, digits: int = 4) -> str:
     unit = f"1e{digits}"
-    return f"(floor(({expression}) * {unit} + {_HALF}e0) / {unit} + 0.0e0)"
+    return f"(floor(({expression}) * {unit} + 0.5e0) / {unit} + 0.0e0)"

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import curves
 from ..functions import formulas as S
 from ..operators import detail as K2
+from ..operators import exposure as E
 from ..operators import geometry as G
 from ..operators import histogram as H
 from ..operators import mosaics as R
 from ..operators import tiles as K
 from ..operators import tone as O
 from . import tables as T
-from .raster import HEIGHT, PX, WIDTH, _box_sql, _hist, _near_sql, px
+from .raster import _HIST, HEIGHT, PX, WIDTH, _box_sql, _hist, _near_sql, px
 from .registry import query, rounded, sql_rounded
 
 _DIFF = ", ".join(f"lead({c}, {k}) over (partition by frame, {a} order by {o}) - lag({c}, {k}) over (partition by frame, {a} order by {o}) as {n}{k}" for n, c, a, o in (("dx", "r", "y", "x"), ("dy", "r", "x", "y")) for k in (1, 2))
@@ -97,18 +97,36 @@ def lut_lerp(spark, sf_dir):
     return px(spark, sf_dir).select("frame", "y", "x", rounded(curves.lookup(_CURVE, F.col("r") / 65535 * 32), 6).alias("v"))
 
 
-@query()
+# constants and steps typed out: nothing here comes from the operator
+_AUTO = f"""with h as (select frame, bin >> 3 as bin, cast(sum(n) as bigint) as n from {_HIST} where channel = 'l' group by 1, 2),
+c as (select *, sum(n) over (partition by frame order by bin) as cum, sum(n) over (partition by frame) as total from h),
+k as (select frame, max(total) as total, sum(bin * n)::double / sum(n) as mean, min(bin) as lowest, greatest(max(bin), 1) as highest, min(bin) filter (2 * cum >= total) as median,
+  log2(1 + min(bin) filter (cum > total * 0.25e0)) as o1, log2(1 + min(bin) filter (cum > total * 0.375e0)) as o2, log2(1 + min(bin) filter (cum > total * 0.5e0)) as o3,
+  log2(1 + min(bin) filter (cum > total * 0.625e0)) as o4, log2(1 + min(bin) filter (cum > total * 0.75e0)) as o5, log2(1 + min(bin) filter (cum > total * 0.875e0)) as a6, log2(1 + min(bin) filter (cum > total * 0.9375e0)) as a7,
+  min(bin) filter (cum > floor(total * 0.02e0 / 100)) as dark, greatest(max(bin) filter (total - cum + n > floor(total * 0.02e0 / 100)), 1) as white from c group by frame),
+u as (select *, case when a6 > ln(8193e0) then 1.5e0 * o5 - 0.5e0 * o4 else a6 end as o6 from k),
+o as (select *, case when a7 > ln(8193e0) then 1.5e0 * o6 - 0.5e0 * o5 else a7 end as o7 from u),
+s as (select *, ((o2 - o1) / greatest(0.5e0, o3 - o1) + (o3 - o2) / greatest(0.5e0, o3 - o2) + (o4 - o3) / greatest(0.5e0, o4 - o3) + (o5 - o4) / greatest(0.5e0, o5 - o3) + (o6 - o5) / greatest(0.5e0, o6 - o3)) / 5 as spread,
+  8 * least(dark, greatest(white - 1, 0)) as d, 8 * white as w, 8e0 * mean as m, 8 * median as md, 8 * highest as top from o),
+e as (select *, log2(0.1842e0 * 65536 / (m - d + 0.1842e0 * d)) as e1, 0.5e0 * (12.5e0 - (2 * o7 - o6) + log2(65536e0 / top)) as e2 from s),
+g as (select *, case when abs(e1) - abs(e2) > 1 then (e1 * abs(e2) + e2 * abs(e1)) / (abs(e1) + abs(e2)) else (e1 + e2) / 2 end as ev from e),
+f as (select *, sqrt(power(2e0, ev) * 65536 / top) as scale, power(2e0, ev) as gain, power(2e0, ev) * sqrt(md * m) / 65536 as mid from g),
+t as (select frame, sum(n * case when v <= 0.00304e0 then 12.9231e0 * v else 1.055e0 * power(v, 1 / 2.4e0) - 0.055e0 end) * 65535 / sum(n) as shown from (select h.frame, n, least(1, scale * bin * 8 / 65535) as v from h join f using (frame)) group by 1),
+b as (select *, trunc(d * scale) as low, trunc((case when w * scale / 65536 <= 0.00304e0 then 12.9231e0 * w * scale / 65536 else 1.055e0 * power(w * scale / 65536, 1 / 2.4e0) - 0.055e0 end) * 65536) as high from f join t using (frame)),
+r as (select *, (case when low < shown then greatest(high, trunc((shown - low) * 4 / 3 + low)) else high end) / 65535 as x,
+  median > 0 and mean >= 1 and lowest < floor(mean) and spread > 0 as good from b)
+select frame, {sql_rounded('case when good then least(greatest(ev, -5), 12) else 0 end', 6)} as expcomp,
+  cast(case when good then trunc(0.25e0 * greatest(trunc((0.1842e0 - mid) * 15 / case when mid < 0.1e0 then mid else 0.10833e0 - 0.0833e0 * mid end), 0)) else 0 end as int) as bright,
+  cast(case when good then least(greatest(trunc(50 * (1.1e0 - spread)), 0), 100) else 0 end as int) as contr,
+  cast(case when good then trunc(low / (case when x <= 0.039286e0 then x / 12.9231e0 else power((x + 0.055e0) / 1.055e0, 2.4e0) end)) else 0 end as int) as black,
+  cast(case when good then least(greatest(trunc(100 * 2.3e0 * (gain * w / 65536 - 1) / (greatest(ev, 0) + 1)), 0), 100) else 0 end as int) as hlcompr, 0 as hlcomprthresh from r"""
+
+
+@query(_AUTO)
 def auto_exposure(spark, sf_dir):
-    """Per frame from its luminance histogram of 8192 bins: a fold in one grouped call a frame."""
-    import pandas as pd
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        hist = np.zeros(8192, np.int64)
-        np.add.at(hist, pdf["bin"].to_numpy(), pdf["n"].to_numpy())
-        return pd.DataFrame([{"frame": pdf["frame"].iloc[0], **H.auto_exposure(hist.tolist(), 3, 0.02)}])
-
+    """Per frame from its luminance histogram of 8192 bins."""
     h = H.rebin(_hist(spark, sf_dir).where("channel = 'l'"), 3)
-    return h.groupBy("frame").applyInPandas(fold, "frame long, expcomp double, bright int, contr int, black int, hlcompr int, hlcomprthresh int")
+    return E.auto_exposure(h.select("frame", "bin", "n"), 3, 0.02).withColumn("expcomp", rounded("expcomp", 6))
 
 
 @query(f"select frame, count(*) filter (v is null and dy = 0 and dx = -1) as left_edge, count(*) filter (v is null and dy = -1 and dx = 0) as top_edge from {_near_sql('v', 1)} group by frame")
@@ -182,9 +200,9 @@ def recover_opposed(spark, sf_dir):
 
 @query(f"""with g as (select p, gy, gx, 1 + 0.1e0 * p + 0.02e0 * gy + 0.03e0 * gx as gain from range(4) a(p), range(5) b(gy), range(4) c(gx)),
 k as (select *, x * 3 / {WIDTH}e0 as fx, y * 4 / {HEIGHT}e0 as fy, (y % 2) * 2 + x % 2 as p from {PX})
-select k.frame, k.y, k.x, {sql_rounded('(v - 200) * sum(gain * (case when gx = floor(fx) then 1 - (fx - floor(fx)) else fx - floor(fx) end) * (case when gy = floor(fy) then 1 - (fy - floor(fy)) else fy - floor(fy) end)) + 200', 2)} as v
+select k.frame, k.y, k.x, {sql_rounded('(v - 200) * sum(gain * (case when gx = floor(fx) then 1 - (fx - floor(fx)) else fx - floor(fx) end) * (case when gy = floor(fy) then 1 - (fy - floor(fy)) else fy - floor(fy) end)) + 200', 6)} as v
 from k join g on g.p = k.p and g.gx between floor(fx) and floor(fx) + 1 and g.gy between floor(fy) and floor(fy) + 1 group by k.frame, k.y, k.x, v""")
 def gain_map(spark, sf_dir):
     grid = spark.range(80).select((F.col("id") % 4).alias("parity"), (F.floor(F.col("id") / 4) % 5).alias("gy"), F.floor(F.col("id") / 20).alias("gx"))
     grid = grid.withColumn("gain", 1 + 0.1 * F.col("parity") + 0.02 * F.col("gy") + 0.03 * F.col("gx"))
-    return G.gain_map(px(spark, sf_dir), grid, WIDTH, HEIGHT, 4, 5, "v", "o", 200.0).select("frame", "y", "x", rounded("o", 2).alias("v"))
+    return G.gain_map(px(spark, sf_dir), grid, WIDTH, HEIGHT, 4, 5, "v", "o", 200.0).select("frame", "y", "x", rounded("o", 6).alias("v"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumicat.functions import curves, formulas, photo, whitebalance
-from lumicat.operators import catalog, demosaic, edits, geometry, histogram, match, tiles, window
+from lumicat.operators import catalog, demosaic, edits, exposure, geometry, histogram, match, tiles, window
 
 
 def values(spark, expressions: dict[str, str]) -> dict:
@@ -342,17 +342,23 @@ def test_temperatures():
     assert abs(x - 0.9505) < 0.01 and abs(z - 1.089) < 0.02
 
 
-def test_auto_exposure():
-    assert histogram.auto_exposure([0] * 8192, 3, 0.02)["expcomp"] == 0
-    dark = [0] * 8192
-    for i in range(20, 400):
-        dark[i] = 1000 - i
-    got = histogram.auto_exposure(dark, 3, 0.02)
-    assert got["expcomp"] > 1 and 0 <= got["contr"] <= 100 and -100 <= got["bright"] <= 100
-    bright = [0] * 8192
-    for i in range(1000, 8000):
-        bright[i] = 10 + i % 7
-    assert histogram.auto_exposure(bright, 3, 0.02)["expcomp"] < got["expcomp"]
+def test_auto_exposure(spark):
+    dark = {b: 1000 - b for b in range(20, 400)}
+    bright = {b: 10 + b % 7 for b in range(1000, 8000)}
+    flat = {500: 100}
+    rows = [(f, b, n) for f, h in enumerate((dark, bright, flat, {})) for b, n in h.items()]
+    hist = spark.createDataFrame(rows, "frame long, bin long, n long")
+    got = {r.frame: r for r in exposure.auto_exposure(hist, 3, 0.02).collect()}
+    assert got[0].expcomp > max(1, got[1].expcomp) and 0 <= got[0].contr <= 100 and -100 <= got[0].bright <= 100
+    assert got[2].asDict() == {"frame": 2, "expcomp": 0.0, "bright": 0, "contr": 0, "black": 0, "hlcompr": 0, "hlcomprthresh": 0}
+    assert 3 not in got and exposure.auto_exposure(hist.limit(0), 3, 0.02).count() == 0
+    # the order statistics against the sorted values
+    stats = {r.frame: r for r in exposure.levels(hist, 0.02, 8192, "frame").collect()}
+    for f, h in ((0, dark), (1, bright)):
+        v = np.repeat(list(h), list(h.values()))
+        assert stats[f].level == pytest.approx([math.log2(1 + v[int(len(v) * s)]) for s in exposure.LEVELS])
+        allowed = len(v) * 0.02 // 100
+        assert (stats[f].black, stats[f].white) == (v[int(allowed)], v[-1 - int(allowed)])
 
 
 def test_histograms_keep_their_mass(spark):
