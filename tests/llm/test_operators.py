@@ -1,5 +1,6 @@
 """The training-data operators against brute force, exact round trips and held-out accuracy; edge cases of their tables."""
 
+import base64
 import hashlib
 import itertools
 import json
@@ -10,6 +11,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 
 from lumicat.llm import bpe, chat, exact_dedup, media, ngram_join, packing, pii, queries, secrets, token_files, toxicity
 from lumicat.llm.components import components
@@ -430,6 +432,60 @@ def test_bpe_round_trip(spark, edge):
     assert bpe.bpe_encode(frame(spark, []), ranks, public_tokenizers.PATTERN).count() == 0
 
 
+def brute_bpe(ranks, piece):
+    """Ids of one match: pass by pass the pair of the least rank is merged, from the left."""
+    tokens = [piece[i : i + 1] for i in range(len(piece))]
+    while True:
+        pairs = {ranks[x]: x for x in {a + b for a, b in itertools.pairwise(tokens)} if x in ranks}
+        if not pairs:
+            return [ranks[x] for x in tokens]
+        best, out, i = pairs[min(pairs)], [], 0
+        while i < len(tokens):
+            two = i + 1 < len(tokens) and tokens[i] + tokens[i + 1] == best
+            out.append(best if two else tokens[i])
+            i += 1 + two
+        tokens = out
+
+
+@pytest.fixture(scope="module")
+def ranks():
+    rows = (x.split() for x in queries.vocabulary("byte_bpe_multi_50k.tiktoken").splitlines())
+    return {base64.b64decode(a): int(b) for a, b in rows}
+
+
+def brute_encode(ranks, text, pattern=public_tokenizers.PATTERN):
+    seen = {}
+    return [i for m in regex.findall(pattern, text) for i in seen.setdefault(m, brute_bpe(ranks, m.encode()))]
+
+
+def test_bpe_equals_brute_force(ranks, edge):
+    e = bpe.encoding(queries.vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    for t in [*(t for i, t in edge if t and i not in (10, 11, 13, 15)), "it's  we'll\n\n 12.5%\u3000 x", "naïve café 日本語テキスト 🙂🙂", "\u00a0\u2003 a \x1c b"]:
+        assert bpe.encode(e, t).tolist() == brute_encode(ranks, t)
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 1_000_000, " \n" * 500_000, "a" + "\t " * 600_000 + "b c", "x \u3000" + "\n" * 1_200_000 + "\r", " " * 25_000 + "it's" + " \n" * 15_000 + " 7" + " " * 30_000], ids=range(6))
+def test_bpe_of_very_long_blank_runs(ranks, text):
+    e = bpe.encoding(queries.vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    got = bpe.encode(e, text)
+    assert got.tolist() == brute_encode(ranks, text)
+    assert e.decode_bytes(got.tolist()) == text.encode()
+
+
+def test_bpe_of_long_runs_by_another_pattern(ranks):
+    pattern = r"\s*[\r\n]+|\s+(?!\S)|\s+|\S+"
+    e = bpe.encoding(queries.vocabulary("byte_bpe_multi_50k.tiktoken"), pattern)
+    for t in ("ab" + " " * 30_000 + "\n" + " " * 21_000 + "cd", " " * 1_100_000):
+        assert bpe.encode(e, t).tolist() == brute_encode(ranks, t, pattern)
+
+
+def test_bpe_rows_of_long_blanks(spark):
+    raw = queries.vocabulary("byte_bpe_multi_50k.tiktoken")
+    rows = [(1, " " * 1_000_001), (2, None), (3, "\n \n" * 400_000 + "x"), (3, "\n \n" * 400_000 + "x")]
+    out = bpe.bpe_decode(bpe.bpe_encode(frame(spark, rows), raw, public_tokenizers.PATTERN), raw, public_tokenizers.PATTERN).collect()
+    assert sorted((r.doc_id, bytes(r.decoded)) for r in out) == sorted((i, (t or "").encode()) for i, t in rows)
+
+
 def test_safe_chunks():
     e = bpe.encoding(queries.vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     r = random.Random(9)
