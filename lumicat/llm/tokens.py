@@ -92,18 +92,21 @@ def split_points(b: np.ndarray, words_only: bool) -> tuple[np.ndarray, np.ndarra
 
 
 class WordTable:
-    """Pre-token hash -> its ids, as an open-addressing table of arrays: whole batches are looked up at once."""
+    """Pre-token -> its ids, as an open-addressing table of arrays by a 64-bit hash: whole batches are looked up at once,
+    and what is found is compared with the pre-token byte by byte."""
 
-    def __init__(self, bound: int = 500_000):
+    def __init__(self, bound: int = 500_000, dtype: np.dtype = np.uint16):
         self.bound = bound
         self.slots = 1 << (4 * bound - 1).bit_length()
-        self.hashes, self.counts, self.pool = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint16)
+        self.hashes, self.counts, self.pool = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, dtype)
+        self.sizes, self.text = np.empty(0, np.int64), np.empty(0, np.uint8)
         self._index()
 
     def _index(self) -> None:
         self.keys = np.zeros(self.slots, np.uint64)
         self.entry = np.full(self.slots, -1, np.int32)
         self.offsets = np.concatenate(([0], np.cumsum(self.counts)))
+        self.places = np.concatenate(([0], np.cumsum(self.sizes)))
         self._place(self.hashes, np.arange(len(self.hashes), dtype=np.int32))
 
     def _place(self, h: np.ndarray, entry: np.ndarray) -> None:
@@ -128,19 +131,31 @@ class WordTable:
             todo = todo[(out[todo] >= 0) & (self.keys[at[todo]] != h[todo])]
         return out
 
-    def learn(self, h: np.ndarray, ids: list[list[int]]) -> None:
+    def learn(self, h: np.ndarray, words: list[bytes], ids: list[list[int]]) -> None:
         """Adds distinct new hashes.  Beyond the bound the later half is forgotten first: words met early are frequent."""
         if len(self.hashes) + len(h) > self.bound:
             k = min(self.bound // 2, len(self.hashes))
-            self.pool, self.hashes, self.counts = self.pool[: self.offsets[k]], self.hashes[:k], self.counts[:k]
+            self.pool, self.text = self.pool[: self.offsets[k]], self.text[: self.places[k]]
+            self.hashes, self.counts, self.sizes = self.hashes[:k], self.counts[:k], self.sizes[:k]
             self._index()
         first = len(self.hashes)
-        counts = np.array([len(x) for x in ids], np.int64)
-        self.pool = np.concatenate((self.pool, np.array(list(chain.from_iterable(ids)), np.uint16)))
-        self.hashes, self.counts = np.concatenate((self.hashes, h)), np.concatenate((self.counts, counts))
+        counts, sizes = (np.array([len(x) for x in group], np.int64) for group in (ids, words))
+        self.pool = np.concatenate((self.pool, np.array(list(chain.from_iterable(ids)), self.pool.dtype)))
+        self.text = np.concatenate((self.text, np.frombuffer(b"".join(words), np.uint8)))
+        self.hashes, self.counts, self.sizes = np.concatenate((self.hashes, h)), np.concatenate((self.counts, counts)), np.concatenate((self.sizes, sizes))
         self.offsets = np.concatenate((self.offsets, self.offsets[-1] + np.cumsum(counts)))
+        self.places = np.concatenate((self.places, self.places[-1] + np.cumsum(sizes)))
         self._place(h, np.arange(first, first + len(h), dtype=np.int32))
 
+    def alike(self, entries: np.ndarray, b: np.ndarray, at: np.ndarray, end: np.ndarray) -> bool:
+        """Whether each entry holds the bytes ``b[at:end]`` of its pre-token."""
+        sizes = end - at
+        if not np.array_equal(self.sizes[entries], sizes):
+            return False
+        whole = sizes.sum()
+        steps = np.arange(whole) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return np.array_equal(b[np.repeat(at, sizes) + steps], self.text[np.repeat(self.places[entries], sizes) + steps])
+
     def ids(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all entries in order, running count of ids before each entry and in all)."""
         n = self.counts[entries]
@@ -150,18 +165,18 @@ class WordTable:
 
 
 class Encoder:
-    """ids of texts as ``tokenizer.encode`` gives them, for files of fewer than 65,536 ids.
+    """ids of texts as ``tokenizer.encode`` gives them, in 16 bits, or in 32 for files of more than 65,536 ids.
 
     The merges of a pre-token don't depend on what stands around it.  Texts of plain characters are split by arrays and
-    their pre-tokens looked up by a 64-bit hash; new ones, and all other texts as a whole, go to the tokenizers library.
+    their pre-tokens looked up; new ones, texts with a pre-token whose hash another one has, and all other texts as a
+    whole go to the tokenizers library.
     ``special``: the file's special tokens are found in texts, as is the library's default; else they are plain text.
     """
 
     def __init__(self, raw: bytes, special: bool = False):
         self.tokenizer = Tokenizer.from_str(raw.decode())
         self.tokenizer.encode_special_tokens = not special
-        if self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16:
-            raise ValueError("ids are packed in 16 bits")
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         conf = json.loads(raw)
         before, kinds = conf["pre_tokenizer"] or {}, [x["type"] for x in (conf["normalizer"] or {}).get("normalizers", [])]
         # texts that may hold a token of the file's own list aren't split by arrays: as it stands, or before normalisation
@@ -172,17 +187,17 @@ class Encoder:
         self.loose = re.compile("|".join(loose), re.I) if loose else None
         self.words = None
         if before.get("type") == "ByteLevel" and not conf["normalizer"] and before["use_regex"] and not before["add_prefix_space"]:
-            self.words, self.words_only = WordTable(), False
+            self.words, self.words_only = WordTable(dtype=self.dtype), False
         elif before.get("type") == "Sequence" and kinds == ["NFC", "Replace", "Lowercase"]:
             first, *rest = before["pretokenizers"]
             if first["type"] == "Split" and first["pattern"].get("Regex") == WORD_LEVEL and first["behavior"] == "Removed" and first["invert"] and [(x["type"], x["use_regex"], x["add_prefix_space"]) for x in rest] == [("ByteLevel", False, False)]:
-                self.words, self.words_only = WordTable(), True
+                self.words, self.words_only = WordTable(dtype=self.dtype), True
         if self.words:  # for single pre-tokens: they need no splitting
             conf |= {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}, "post_processor": None, "added_tokens": []}
             self.single = Tokenizer.from_str(json.dumps(conf))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """uint16 ids of each text."""
+        """The ids of each text."""
         out: list = [None] * len(texts)
         plain = [i for i, t in enumerate(texts) if self.words and not _PLAIN.search(t) and not self._listed(t)]
         for i in plain:
@@ -199,10 +214,13 @@ class Encoder:
                 out[i] = x
             lo = hi
         whole = [i for i, x in enumerate(out) if x is None]
-        for i, x in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
-            out[i] = np.array(x.ids, "<u2")
+        for i, x in zip(whole, self._library([texts[i] for i in whole]), strict=True):
+            out[i] = x
         return out
 
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, self.dtype) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _listed(self, text: str) -> bool:
         return any(x in text for x in self.exact) or self.loose is not None and self.loose.search(text) is not None
 
@@ -216,25 +234,29 @@ class Encoder:
         h = mix64((sums[end] - sums[at]) * inverse[at] + (end - at).astype(np.uint64))
         # so few at a time that what is looked up together fits in the table
         step = max(1, self.words.bound // 4)
-        parts = [self._ids(h[k : k + step], at[k : k + step], end[k : k + step], raw) for k in range(0, len(h), step)]
-        ids = np.concatenate([x for x, _ in parts]) if parts else np.empty(0, np.uint16)
+        parts = []
+        for k in range(0, len(h), step):
+            if (found := self._ids(h[k : k + step], at[k : k + step], end[k : k + step], raw, b)) is None:
+                return self._library(texts)
+            parts.append(found)
+        ids = np.concatenate([x for x, _ in parts]) if parts else np.empty(0, self.dtype)
         counts = np.concatenate([np.diff(e) for _, e in parts]) if parts else np.empty(0, np.int64)
         ends = np.concatenate(([0], np.cumsum(counts)))
         cuts = ends[np.searchsorted(at, np.flatnonzero(b == 0))]
         return [ids[a:z] for a, z in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)]
 
-    def _ids(self, h: np.ndarray, at: np.ndarray, end: np.ndarray, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of pre-tokens and their running count; unknown ones are learned."""
+    def _ids(self, h: np.ndarray, at: np.ndarray, end: np.ndarray, raw: bytes, b: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """The ids of pre-tokens and their running count; unknown ones are learned.  None where hashes collide."""
         entries = self.words.find(h)
         while (entries < 0).any():
             missing = np.flatnonzero(entries < 0)
             new, first = np.unique(h[missing], return_index=True)
             order = np.argsort(first)  # in the order of the texts: what comes early is kept longest
             new, first = new[order], missing[first[order]]
-            words = [raw[a:z].decode("latin-1") for a, z in zip(at[first].tolist(), end[first].tolist(), strict=True)]
-            self.words.learn(new, [x.ids for x in self.single.encode_batch_fast(words, add_special_tokens=False)])
+            words = [raw[a:z] for a, z in zip(at[first].tolist(), end[first].tolist(), strict=True)]
+            self.words.learn(new, words, [x.ids for x in self.single.encode_batch_fast([w.decode("latin-1") for w in words], add_special_tokens=False)])
             entries = self.words.find(h)
-        return self.words.ids(entries)
+        return self.words.ids(entries) if self.words.alike(entries, b, at, end) else None
 
 
 def encoder(raw: bytes, special: bool = False) -> Encoder:

@@ -244,15 +244,17 @@ def test_elias_fano():
     r = np.random.default_rng(0)
     for values in ([], [0], [5], [0, 0, 7, 7, 9], np.cumsum(r.integers(0, 5000, 3000)).tolist()):
         e = token_files.EliasFano.frombytes(token_files.EliasFano.of(np.array(values, np.int64)).tobytes())
-        assert e.values().tolist() == list(values)
         assert [e.select(i) for i in range(len(values))] == list(values)
+        for lo, hi in ((0, len(values)), (0, 0), (1, 2), (127, 129), (128, 256), (130, 1500), (2999, 3000)):
+            if hi <= len(values):
+                assert e.select_range(lo, hi).tolist() == list(values[lo:hi])
     dense = token_files.EliasFano.of(np.cumsum(r.integers(0, 1000, 10_000)))
     assert len(dense.tobytes()) * 8 / 10_000 < 2 + np.log2(1000) + 1
     with pytest.raises(IndexError):
         dense.select(10_000)
 
 
-def test_token_files_round_trip(spark, edge, tmp_path, monkeypatch):
+def test_token_files_round_trip(spark, edge, tmp_path):
     from tokenizers import Tokenizer
 
     raw = queries.vocabulary("byte_bpe_50k.json")
@@ -267,6 +269,14 @@ def test_token_files_round_trip(spark, edge, tmp_path, monkeypatch):
         at += len(ids)
     first = files.orderBy("segment").first()
     assert list(token_files.document(files, first.segment, 0)) == got[0][2]
+    with pytest.raises(KeyError):
+        token_files.document(files, -5, 0)
+    with pytest.raises(IndexError):
+        token_files.document(files, first.segment, 10_000)
+    again = token_files.write_token_files(frame(spark, rows[3:9] * 5), str(tmp_path / "h"), raw, 2, segment=40)  # many a part
+    assert again.groupBy("part").count().agg({"count": "max"}).first()[0] > 1
+    starts = [(r.start, len(r.ids) // 4) for r in token_files.document_ids(again).orderBy("start").collect()]
+    assert starts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in itertools.pairwise(starts)) and len(starts) == 30
     assert token_files.document_ids(token_files.write_token_files(frame(spark, []), str(tmp_path / "g"), raw, 2)).count() == 0
 
 
@@ -282,6 +292,16 @@ def test_encoder_equals_library(name, edge, sf_dir):
     assert [x.tolist() for x in e.encode(texts)] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_with_colliding_hashes(name, monkeypatch):
+    from lumicat.llm import tokens
+
+    e = tokens.Encoder(queries.vocabulary(name))
+    monkeypatch.setattr(tokens, "mix64", lambda x: x & np.uint64(31))
+    texts = [f"word{i} and it's {'x' * (i % 7)} end" for i in range(50)]
+    assert [x.tolist() for x in e.encode(texts)] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_on_final_contractions(name, monkeypatch):
     """A contraction may end a text, a group of texts and a chunk of a long text."""
