@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import regex
+from pyspark.sql import functions as F
 
 from lumicat.llm import bpe, chat, exact_dedup, media, ngram_join, packing, pii, queries, secrets, token_files, toxicity
 from lumicat.llm.components import components
@@ -141,17 +142,44 @@ def test_dedup_of_nothing(spark):
     assert exact_dedup.exact_dedup(frame(spark, [])).count() == 0
 
 
+def test_dedup_takes_counts_and_rows_from_the_index(spark):
+    """Groups of every kind: repeats of an id, null ids, ties of length, one huge group."""
+    r = random.Random(8)
+    rows = [(r.choice([None, *range(40)]), r.choice(["a b", "ab", " a  b", "c", "c ", "", None, "d" * 50])) for _ in range(600)]
+    rows += [(1000 + i, "e " * (i % 3) + "e") for i in range(900)]
+    for bits in (64, 2):
+        got = exact_dedup.exact_dedup(frame(spark, rows), key_bits=bits).collect()
+        groups = {}
+        for i, t in rows:
+            groups.setdefault("".join((t or "").split(" ")), []).append((-len(t or ""), i is not None, i or 0))
+        want = {hashlib.sha256(k.encode()).hexdigest(): (min(v)[2] if min(v)[1] else None, len(v)) for k, v in groups.items()}
+        assert len(got) == len(rows) and all((x.keep_id, x.group_size) == want[x.text_sha256] for x in got)
+        kept = [(x.text_sha256, x.doc_id) for x in got if x.kept]
+        assert sorted(kept, key=str) == sorted(((h, i) for h, (i, _) in want.items()), key=str)
+
+
+def test_sent_filter(spark):
+    keys = spark.range(5000).select(F.xxhash64("id").alias("key"))
+    f = exact_dedup.sent_filter(keys, 5000)
+    have = np.array([x.key for x in keys.collect()], np.int64)
+    assert f.may_hold(have).all() and f.may_hold(have + 1).mean() < 0.05
+    assert not exact_dedup.sent_filter(keys.limit(0), 0).may_hold(have).any()
+    assert exact_dedup.SentFilter.width(10**12) * exact_dedup.BLOCKS == 8 * exact_dedup.BLOCK_BYTES * exact_dedup.BLOCKS
+
+
 def test_levels_fold_runs():
     r = random.Random(2)
     levels, want = exact_dedup.Levels(), {}
     for _ in range(30):
-        run = {r.randint(-50, 50): (r.randint(0, 999), r.randint(1, 3)) for _ in range(20)}
-        levels.add(np.array(sorted((k, i, n) for k, (i, n) in run.items()), exact_dedup._RUN))
-        for k, (i, n) in run.items():
-            old = want.get(k, (10**9, 0))
-            want[k] = (min(old[0], i), old[1] + n)
-    got = {int(x["key"]): (int(x["id"]), int(x["n"])) for run, _ in levels.runs for x in run}
-    assert got == want
+        table = exact_dedup.Memtable()
+        for _ in range(20):
+            k, i, p = r.randint(-50, 50), r.randint(0, 999), r.randint(0, 3)
+            table.add(k, i, p)
+            want.setdefault(k, []).append((-p, i))
+        for _, run in table.runs(1):
+            levels.add(run)
+    got = {x[0]: x[1:] for run, _ in levels.runs for x in run.tolist()}
+    assert got == {k: (min(i for _, i in v), len(v), -min(v)[0], min(v)[1]) for k, v in want.items()}
 
 
 def test_bloom_has_no_false_negatives():
