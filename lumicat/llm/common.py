@@ -7,6 +7,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,11 +37,26 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+_WRITTEN: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``materialise`` wrote, once what was made of them is written itself."""
+    for df in tables:
+        ref, path = _WRITTEN.pop(id(df), (lambda: None, ""))
+        if ref() is df:
+            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove shuffle files of finished phases now instead of at some later collection."""
+    """Lets Spark's cleaner remove shuffle files of finished phases now instead of at its next periodic collection: they
+    would add up over the phases of an operator."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

@@ -23,15 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, lean, materialise, mix64, partitions, release, slices, texts
+from .common import SPACE, discard, lean, materialise, mix64, partitions, release, slices, texts
+from .filters import pair_key, sent_filter
 
 #: Keys in a memtable before it is flushed (about 60 MB).
 MEMTABLE = 250_000
 #: Distinct keys of a key range, about: its levels are 40 bytes a key.
 RANGE = 1_000_000
-#: The hits' filter that is sent to all tasks: so many blocks, at most so many bytes each (16 MB in all, at any size of
-#: the data).  With very many hits it lets more through; the join decides either way.
-BLOCKS, BLOCK_BYTES = 256, 1 << 16
 _RUN = np.dtype([("key", "<i8"), ("id", "<i8"), ("n", "<i8"), ("points", "<i8"), ("best", "<i8")])
 #: A null id in the index: before all others.
 _NULL = -(1 << 63)
@@ -123,75 +121,6 @@ class Memtable:
             yield int(b), run[at[b] : at[b + 1]]
 
 
-class SentFilter:
-    """A Bloom filter in blocks by the upper bits of a scrambled key: blocks are built by different tasks, and all of them
-    together have a fixed size at most."""
-
-    def __init__(self, bits: int, blocks: dict[int, np.ndarray]):
-        self.bits = bits  # of one block, a power of two
-        self.words = np.zeros((BLOCKS, bits // 8), np.uint8)
-        for b, x in blocks.items():
-            self.words[b] = x
-
-    @staticmethod
-    def width(keys: int) -> int:
-        return min(8 * BLOCK_BYTES, 1 << max(9, int(16 * keys / BLOCKS).bit_length()))
-
-    @staticmethod
-    def place(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(block, scrambled key) of each key."""
-        h = mix64(keys.astype(np.int64).view(np.uint64) ^ np.uint64(0xA0761D6478BD642F))
-        return (h >> np.uint64(56)).astype(np.int64), h
-
-    @staticmethod
-    def probes(h: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-        step = mix64(h) | np.uint64(1)
-        for i in range(4):
-            yield ((h + np.uint64(i) * step) & np.uint64(bits - 1)).astype(np.int64)
-
-    @classmethod
-    def block(cls, h: np.ndarray, bits: int) -> np.ndarray:
-        out = np.zeros(bits, np.uint8)
-        for at in cls.probes(h, bits):
-            out[at] = 1
-        return np.packbits(out, bitorder="little")
-
-    def may_hold(self, keys: np.ndarray) -> np.ndarray:
-        block, h = self.place(keys)
-        out = np.ones(len(keys), bool)
-        for at in self.probes(h, self.bits):
-            out &= (self.words[block, at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-        return out
-
-
-def sent_filter(keys: DataFrame, n: int) -> SentFilter:
-    """The filter of about ``n`` keys (a column of 64-bit integers), each block built by one task."""
-    bits = SentFilter.width(n)
-
-    def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            block, h = SentFilter.place(batch["key"].to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), pa.array(h.view(np.int64))], names=["block", "h"])
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[int, np.ndarray] = {}
-        for batch in batches:
-            block, h = (batch[c].to_numpy(zero_copy_only=False) for c in ("block", "h"))
-            for b in np.unique(block).tolist():
-                x = SentFilter.block(np.ascontiguousarray(h[block == b]).view(np.uint64), bits)
-                made[b] = made[b] | x if b in made else x
-        yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int32()), pa.array([x.tobytes() for x in made.values()], pa.binary())], names=["block", "bits"])
-
-    dealt = keys.mapInArrow(lean(by_block), "block int, h long").repartitionById(min(BLOCKS, partitions(keys.sparkSession)), F.pmod("block", F.lit(min(BLOCKS, partitions(keys.sparkSession)))))
-    rows = dealt.mapInArrow(lean(build), "block int, bits binary").collect()  # BLOCKS rows of BLOCK_BYTES at most
-    return SentFilter(bits, {r.block: np.frombuffer(r.bits, np.uint8) for r in rows})
-
-
-def pair_key(key: np.ndarray, i: np.ndarray) -> np.ndarray:
-    """One number for a key and an id."""
-    return (key.view(np.uint64) ^ mix64(i.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))).view(np.int64)
-
-
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_bits: int = 64) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) for each row.
 
@@ -211,6 +140,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     same = F.col("bytes") == F.col("lead")
     checked = held.join(lead, "key").select("doc_id", "row", "points", "sha", "key", "n", same.alias("same"), F.when(same, F.lit(b"")).otherwise(F.col("bytes")).alias("own"), (same & (F.col("points") == F.col("most")) & (F.coalesce("doc_id", F.lit(_NULL)) == F.col("best"))).alias("best"))
     checked = materialise(checked, "checked")
+    discard(held, lead)
     release(docs.sparkSession)
     collided = materialise(checked.where("not same").select("key").distinct(), "collided")
     # keys of one text: the index's count, and the row it names (one of those that repeat)

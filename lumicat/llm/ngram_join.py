@@ -10,9 +10,11 @@ Distributed plan
 3. In the order "short lists by hash, then long lists by frequency", T - 1 of a set's lists are set aside and the other
    s - T + 1 are posted: any linked pair meets in one of those lists.  The lists set aside are the ones DivideSkip
    leaves to probing.
-4. Star round: in each list, members are searched against the list's pivot; groups of near copies collapse.
+4. Star round: in each list, members are searched against the list's pivot; groups of near copies collapse.  Very
+   frequent lists lie in parts of bounded size, each with its pivot, and their pivots form stars as well.
 5. Cross round: lists that still hold several components give the pairs not yet known to be connected, if the position
-   of the shared shingle leaves enough room for the overlap; those are searched as well.
+   of the shared shingle leaves enough room for the overlap; those are searched as well.  A long list is dealt into
+   blocks, and a task takes two of them.
 In 4 and 5 the search inside a cell of bounded size is DivideSkip: a heap merges the short lists and counts, survivors
 are probed in the long lists by binary search, and documents that reach the overlap are retained.
 6. Components by star contraction.
@@ -32,8 +34,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, lean, materialise, mix64, partitions, powers, release, slices, texts
+from .common import SPACE, discard, lean, materialise, mix64, partitions, powers, release, slices, texts
 from .components import components
+from .filters import sent_filter
 
 #: Long lists known to every task: at most so many (9 bytes each).  The frequency from which a list is long rises until
 #: they fit; this changes only the order of the lists, not the result.
@@ -46,6 +49,10 @@ CELL = 128
 INDEXED = 300_000
 #: Members up to which the pairs of lists are made for many lists at once.
 SHORT = 48
+#: Lists that this power of two of documents share lie in parts of about so many members.
+SPLIT = 16
+#: Members of one block of a list in the cross round; a task holds two blocks.
+BLOCK = 20_000
 #: DivideSkip's coefficient for the number of long lists.
 MU = 0.0085
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -162,39 +169,52 @@ class DivideSkip:
         return out
 
 
-def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 75, den: int = 100) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 75, den: int = 100, split: int = SPLIT, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs``.
 
     Null and empty texts, and texts of separators only, have the empty set, link to nothing and are their own component.
-    Texts of fewer than ``n`` words have one shingle.  Repeated rows are kept; equal ids count as one document of its
-    own text each.  Other columns are ignored.  An empty table gives an empty table.
+    Texts of fewer than ``n`` words have one shingle.  Repeated rows are kept; rows that share an id count by their own
+    text each.  Null ids link like others and name a component only if it has no other id.  Other columns are ignored.
+    An empty table gives an empty table.  ``split`` and ``block`` bound what a task holds and don't change the result.
     """
-    spark = docs.sparkSession
     docs = texts(docs, id_col, text_col)
     index = materialise(_index(docs, n), "sets")
-    classes = index.where("n_shingles > 0").groupBy("rid", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    posted = materialise(_lists(docs, n, num, den), "lists")
-    release(spark)
-    wanted = posted.select("rid").distinct().join(classes, "rid")
-    held = materialise(_of_class(wanted.join(docs, F.col("rep") == docs.doc_id).select("rid", "text"), n), "texts")
-    release(spark)
-    # star round
-    stars = posted.where("rid <> pivot").select(F.col("pivot").alias("a"), F.col("rid").alias("b"), "n", "pivot_n")
+    buckets = _ranges(docs.sparkSession, index.agg(F.sum("n_shingles")).first()[0] or 0)
+    classes = materialise(index.where("n_shingles > 0").groupBy("rid", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
+    posted = materialise(_lists(docs, n, num, den, buckets, split), "lists")
+    release(docs.sparkSession)
+    wanted = materialise(posted.select("rid").distinct().join(classes, "rid").select("rid", "rep"), "wanted")
+    held = materialise(_texts_of(docs, wanted, n), "texts")
+    release(docs.sparkSession)
+    # star round: each part of a list by its pivot, and the pivots of a list by the first of them
+    parts = posted.where("split").select("hash", "pivot", "pivot_n").distinct()
+    first = parts.groupBy("hash").agg(F.min(F.struct(F.xxhash64("pivot").alias("x"), F.col("pivot"), F.col("pivot_n"))).alias("f"))
+    tops = parts.join(first, "hash").select(F.col("f.pivot").alias("a"), F.col("pivot").alias("b"), F.col("pivot_n").alias("n"), F.col("f.pivot_n").alias("pivot_n"))
+    stars = posted.select(F.col("pivot").alias("a"), F.col("rid").alias("b"), "n", "pivot_n").unionByName(tops).where("a <> b")
     stars = stars.where(f"{den} * least(n, pivot_n) >= {num} * greatest(n, pivot_n)").select("a", "b").distinct()
     stars = materialise(stars, "pairs")
-    links = materialise(_verify(stars, held, n, num, den), "links")
+    links = materialise(_verify(stars, held, n, num, den, buckets), "links")
     label = materialise(components(links), "labels")
     # cross round
     tagged = posted.join(label.withColumnRenamed("node", "rid"), "rid", "left").select("hash", "rid", "n", "slack", F.coalesce("component", "rid").alias("component"))
-    pairs = materialise(_cross(tagged, num, den).distinct(), "pairs")
-    more = materialise(_verify(pairs, held, n, num, den), "links")
+    pairs = materialise(_cross(tagged, num, den, buckets, block).distinct(), "pairs")
+    more = materialise(_verify(pairs, held, n, num, den, buckets), "links")
+    discard(posted, held, stars, pairs)
     names = materialise(components(links.unionByName(more)), "labels")
-    # a class is named after its smallest document, a component after its smallest class
+    # a class is named after its smallest document, a component after its smallest class; no aggregate stands in the stage
+    # of a join, so that hot components and classes can be split
     named = classes.join(names.withColumnRenamed("node", "rid"), "rid", "left").select("rid", "n_shingles", "rep", F.coalesce("component", "rid").alias("c"))
-    least = named.groupBy("c").agg(F.min("rep").alias("component_id"))
+    named = materialise(named, "named")
+    least = materialise(named.groupBy("c").agg(F.min("rep").alias("component_id")), "least")
     named = named.join(least, "c").select("rid", F.col("n_shingles").alias("size"), "component_id")
     same = (index.rid == named.rid) & (index.n_shingles == named["size"])
-    return index.join(named, same, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return index.join(named, same, "left").select("doc_id", "n_shingles", F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def _ranges(spark, shingles: int) -> int:
+    """Hash ranges for so many shingles: their number grows with the power two thirds, their size with one third, from
+    64 of a quarter of a million to hundreds of thousands of 25 million at 10^13."""
+    return max(64, partitions(spark), int(shingles ** (2 / 3) / 1000))
 
 
 def _index(docs: DataFrame, n: int) -> DataFrame:
@@ -207,23 +227,25 @@ def _index(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(lean(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, rid long")
 
 
-def _of_class(rows: DataFrame, n: int) -> DataFrame:
-    """Rows whose text has the class's set: where ids repeat, another text may come along with it."""
+def _texts_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """One text of each wanted class (rid, rep).  A filter of the representatives' ids passes few other rows; only what it
+    passes is hashed again and moved."""
+    keys = wanted.select(F.xxhash64("rep").alias("key"))
+    ids = docs.sparkSession.sparkContext.broadcast(sent_filter(keys, wanted.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array([set_id(shingle_set(t, n)) == r for t, r in zip(batch["text"].to_pylist(), batch["rid"].to_pylist(), strict=True)], pa.bool_()))
+        for part in (p for batch in batches for p in slices(batch)):
+            part = part.filter(pa.array(ids.value.may_hold(part["key"].to_numpy(zero_copy_only=False))))
+            found = [set_id(s) if len(s := shingle_set(t, n)) else None for t in part["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), part["text"]], names=["rid", "text"])
 
-    return rows.mapInArrow(lean(run), "rid long, text string")
+    rows = docs.select(F.xxhash64("doc_id").alias("key"), "text").mapInArrow(lean(run), "rid long, text string")
+    return rows.join(wanted.select("rid"), "rid", "left_semi").groupBy("rid").agg(F.first("text").alias("text"))
 
 
-def _bucketed(rows: DataFrame, reduce, schema: str) -> DataFrame:
+def _bucketed(rows: DataFrame, reduce, schema: str, buckets: int) -> DataFrame:
     """``rows`` (bucket, ...) dealt so that each bucket is one partition, then reduced."""
-    return rows.repartitionById(_buckets(rows.sparkSession), F.col("bucket")).mapInArrow(lean(reduce), schema)
-
-
-def _buckets(spark) -> int:
-    return max(64, partitions(spark))
+    return rows.repartitionById(buckets, F.col("bucket")).mapInArrow(lean(reduce), schema)
 
 
 def _cuts(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -232,25 +254,38 @@ def _cuts(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(hashes, edges), [len(hashes)]))
 
 
-def _frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The long lists: sorted hashes and the binary logarithm of their document frequency."""
-    buckets = _buckets(docs.sparkSession)
+def _frequent(docs: DataFrame, n: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The long lists: sorted hashes and the binary logarithm of their document frequency, in which equal sets that a
+    task meets count once.  Runs go to the ranges with equal hashes folded: those of one document, then the others with
+    their counts."""
 
     def flush(parts: list[np.ndarray]) -> pa.RecordBatch:
-        h = np.concatenate(parts)
-        h.sort()
+        # 48 bits of a hash; a collision only misplaces a shingle in the order
+        h, count = np.unique(np.concatenate(parts) >> np.uint64(16), return_counts=True)
+        h <<= np.uint64(16)
         at = _cuts(h, buckets)
         full = np.flatnonzero(at[1:] > at[:-1])
-        # 48 bits of a hash; a collision only misplaces a shingle in the order
-        packed = [_pack(h[at[b] : at[b + 1]]) for b in full]
+        packed = []
+        for b in full:
+            x, c = h[at[b] : at[b + 1]], count[at[b] : at[b + 1]].astype("<u4")
+            packed.append(int((c == 1).sum()).to_bytes(4, "little") + _pack(x[c == 1]) + _pack(x[c > 1]) + c[c > 1].tobytes())
         return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(packed, pa.binary())], names=["bucket", "hashes"])
 
+    def unpack(x: bytes) -> tuple[np.ndarray, np.ndarray]:
+        ones = int.from_bytes(x[:4], "little")
+        more = (len(x) - 4 - 6 * ones) // 10
+        cut = 4 + 6 * (ones + more)
+        return _unpack(x[4:cut]), np.concatenate((np.ones(ones, "<u4"), np.frombuffer(x, "<u4", more, cut)))
+
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
+        seen, parts, held = set(), [], 0
         for batch in batches:
             for part in slices(batch):
                 for t in part["text"].to_pylist():
-                    parts.append(s := shingle_set(t, n))
+                    s = shingle_set(t, n)
+                    if _seen(seen, s):
+                        continue
+                    parts.append(s)
                     if (held := held + len(s)) >= RUN:
                         yield flush(parts)
                         parts, held = [], 0
@@ -258,35 +293,45 @@ def _frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
             yield flush(parts)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for b, x in zip(batch["bucket"].to_pylist(), batch["hashes"].to_pylist(), strict=True):
-                got.setdefault(b, []).append(x)
-        for blobs in got.values():
-            h = _unpack(b"".join(blobs))
-            blobs.clear()
-            h.sort()
-            start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-            df = np.diff(np.append(start, len(h)))
-            h, df = h[start[df >= 8]], df[df >= 8]
-            level = np.floor(np.log2(df)).astype(np.int32) if len(df) else df.astype(np.int32)
-            for x in np.unique(level):
-                mine = h[level == x]
-                yield pa.RecordBatch.from_arrays([pa.array([int(x)], pa.int32()), pa.array([len(mine)], pa.int64()), pa.array([mine.tobytes()], pa.binary())], names=["level", "n", "hashes"])
-
-    found = materialise(_bucketed(docs.select("text").mapInArrow(lean(runs), "bucket int, hashes binary"), count, "level int, n long, hashes binary"), "frequent")
+        got = [unpack(x) for batch in batches for x in batch["hashes"].to_pylist()]
+        if not got:
+            return
+        h, c = (np.concatenate(x) for x in zip(*got, strict=True))
+        got.clear()
+        order = np.argsort(h)
+        h, c = h[order], c[order]
+        start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        df = np.add.reduceat(c.astype(np.int64), start)
+        h, df = h[start[df >= 8]], df[df >= 8]
+        level = np.floor(np.log2(df)).astype(np.int32) if len(df) else df.astype(np.int32)
+        for x in np.unique(level):
+            mine = h[level == x]
+            yield pa.RecordBatch.from_arrays([pa.array([int(x)], pa.int32()), pa.array([len(mine)], pa.int64()), pa.array([mine.tobytes()], pa.binary())], names=["level", "n", "hashes"])
+
+    found = materialise(_bucketed(docs.select("text").mapInArrow(lean(runs), "bucket int, hashes binary"), count, "level int, n long, hashes binary", buckets), "frequent")
     total, from_level = 0, 99
     for r in found.groupBy("level").agg(F.sum("n").alias("n")).orderBy(F.desc("level")).collect():  # one row a power of two
         if (total := total + r.n) > MAX_LONG:
             break
         from_level = r.level
     rows = found.where(F.col("level") >= from_level).select("level", "hashes").collect()  # MAX_LONG hashes at most
+    discard(found)
     h = np.concatenate([np.frombuffer(r.hashes, np.uint64) for r in rows] or [np.empty(0, np.uint64)])
     level = np.concatenate([np.full(len(r.hashes) // 8, r.level, np.uint8) for r in rows] or [np.empty(0, np.uint8)])
     order = np.argsort(h)
     return h[order], level[order]
 
 
+def _seen(seen: set[int], s: np.ndarray) -> bool:
+    """Whether the set is empty or was met before by this task; forgetting only has a copy counted or posted again."""
+    if not len(s) or (rid := set_id(s)) in seen:
+        return True
+    if len(seen) >= 1_000_000:
+        seen.clear()
+    seen.add(rid)
+    return False
+
+
 def _pack(h: np.ndarray) -> bytes:
     """The upper 48 bits of each hash, 6 bytes each."""
     return np.ascontiguousarray((h >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
@@ -298,14 +343,14 @@ def _unpack(x: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def _lists(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Posted inverted lists of two members or more: (hash, rid, n, slack, pivot, pivot_n); slack: shingles from this one
-    on in the set's order."""
+def _lists(docs: DataFrame, n: int, num: int, den: int, buckets: int, level: int) -> DataFrame:
+    """Posted inverted lists of two members or more: (hash, rid, n, slack, pivot, pivot_n, split); slack: shingles from
+    this one on in the set's order; split: the list lies in several parts, each with its own pivot, as those of more than
+    2^level documents do."""
     spark = docs.sparkSession
-    buckets = _buckets(spark)
-    long = spark.sparkContext.broadcast(_frequent(docs, n))
+    long = spark.sparkContext.broadcast(_frequent(docs, n, buckets))
     release(spark)
-    record = np.dtype([("hash", "<u8"), ("rid", "<i8"), ("n", "<u4"), ("slack", "<u4")])
+    record = np.dtype([("hash", "<u8"), ("rid", "<i8"), ("n", "<u4"), ("slack", "<u4"), ("level", "u1")])
 
     def pack(p: np.ndarray) -> bytes:
         """Columns, those of small numbers byte plane by byte plane: the exchange's compression then drops their zeros."""
@@ -323,9 +368,21 @@ def _lists(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     def flush(parts: list[np.ndarray]) -> pa.RecordBatch:
         p = np.concatenate(parts)
         p = p[np.argsort(p["hash"], kind="stable")]
-        at = _cuts(p["hash"], buckets)
-        full = np.flatnonzero(at[1:] > at[:-1])
-        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([pack(p[at[b] : at[b + 1]]) for b in full], pa.binary())], names=["bucket", "postings"])
+        often = p["level"] > level
+        found = []
+        for split, q in ((False, p[~often]), (True, p[often])):
+            at = _cuts(q["hash"], buckets)
+            for b in np.flatnonzero(at[1:] > at[:-1]).tolist():
+                x = q[at[b] : at[b + 1]]
+                if not split:
+                    found.append((b, False, pack(x)))
+                    continue
+                # the parts of a very frequent list go to the ranges after its own
+                salt = (mix64(x["rid"].astype(np.uint64) ^ np.uint64(0x2545F4914F6CDD1D)) >> (np.uint64(64) - np.minimum(x["level"] - level, 40).astype(np.uint64))).astype(np.int64)
+                to = (b + salt) % buckets
+                found += [(int(k), True, pack(x[to == k])) for k in np.unique(to)]
+        cols = list(zip(*found, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.bool_()), pa.array(cols[2], pa.binary())], names=["bucket", "split", "postings"])
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, levels = long.value
@@ -334,24 +391,20 @@ def _lists(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
             for part in slices(batch):
                 for t in part["text"].to_pylist():
                     s = shingle_set(t, n)
-                    if not len(s) or (rid := set_id(s)) in seen:
+                    if _seen(seen, s):
                         continue
-                    if len(seen) >= 1_000_000:  # forgetting only posts a copy again
-                        seen.clear()
-                    seen.add(rid)
+                    rank = np.zeros(len(s), np.uint8)
                     if len(keys):
                         short = s >> np.uint64(16)
                         at = np.searchsorted(keys, short)
                         at[at == len(keys)] = 0
-                        rank = np.where(keys[at] == short, levels[at], 0)
-                        order = np.argsort(rank, kind="stable") if rank.any() else None
-                    else:
-                        order = None
+                        rank = np.where(keys[at] == short, levels[at], rank)
+                    order = np.argsort(rank, kind="stable") if rank.any() else slice(None)
                     size = len(s)
                     keep = size - -(-num * size // den) + 1
                     p = np.empty(keep, record)
-                    p["hash"] = (s if order is None else s[order])[:keep]
-                    p["rid"], p["n"], p["slack"] = rid, size, size - np.arange(keep)
+                    p["hash"], p["level"] = s[order][:keep], rank[order][:keep]
+                    p["rid"], p["n"], p["slack"] = set_id(s), size, size - np.arange(keep)
                     parts.append(p)
                     if (held := held + keep) >= RUN // 3:
                         yield flush(parts)
@@ -359,45 +412,51 @@ def _lists(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         if held:
             yield flush(parts)
 
-    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for b, x in zip(batch["bucket"].to_pylist(), batch["postings"].to_pylist(), strict=True):
-                got.setdefault(b, []).append(x)
-        for blobs in got.values():
-            p = np.concatenate([unpack(x) for x in blobs])
-            blobs.clear()
+    def lists(p: np.ndarray, split: bool) -> Iterator[pa.RecordBatch]:
+        if not split:  # a list of one member is of no use; one member of a part is
             h = np.sort(p["hash"])
             twice = np.unique(h[1:][h[1:] == h[:-1]])
             if not len(twice):
-                continue
+                return
             at = np.searchsorted(twice, p["hash"])
             at[at == len(twice)] = 0
             p = p[twice[at] == p["hash"]]
-            # the member that comes first in one random order of all sets is its lists' pivot
-            p = p[np.lexsort((mix64(p["rid"].astype(np.uint64)), p["hash"]))]
-            p = p[np.concatenate(([True], (p["hash"][1:] != p["hash"][:-1]) | (p["rid"][1:] != p["rid"][:-1])))]
-            start = np.flatnonzero(np.concatenate(([True], p["hash"][1:] != p["hash"][:-1])))
-            length = np.diff(np.append(start, len(p)))
-            first = np.repeat(start, length)
-            keep = np.repeat(length > 1, length)
-            p, pivot = p[keep], p[first[keep]]
-            for i in range(0, len(p), 200_000):
-                q, v = p[i : i + 200_000], pivot[i : i + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(q["hash"]).view(np.int64)), pa.array(np.ascontiguousarray(q["rid"])), pa.array(q["n"].astype(np.int64)), pa.array(q["slack"].astype(np.int64)), pa.array(np.ascontiguousarray(v["rid"])), pa.array(v["n"].astype(np.int64))], names=["hash", "rid", "n", "slack", "pivot", "pivot_n"])
-
-    return _bucketed(docs.select("text").mapInArrow(lean(post), "bucket int, postings binary"), group, "hash long, rid long, n long, slack long, pivot long, pivot_n long")
-
-
-def _verify(pairs: DataFrame, held: DataFrame, n: int, num: int, den: int) -> DataFrame:
+        # the member that comes first in one random order of all sets is its lists' pivot
+        p = p[np.lexsort((mix64(p["rid"].astype(np.uint64)), p["hash"]))]
+        p = p[np.concatenate(([True], (p["hash"][1:] != p["hash"][:-1]) | (p["rid"][1:] != p["rid"][:-1])))]
+        start = np.flatnonzero(np.concatenate(([True], p["hash"][1:] != p["hash"][:-1])))
+        length = np.diff(np.append(start, len(p)))
+        first = np.repeat(start, length)
+        keep = np.repeat(length > 1, length) | split
+        p, pivot = p[keep], p[first[keep]]
+        for i in range(0, len(p), 200_000):
+            q, v = p[i : i + 200_000], pivot[i : i + 200_000]
+            cols = [np.ascontiguousarray(q["hash"]).view(np.int64), np.ascontiguousarray(q["rid"]), q["n"].astype(np.int64), q["slack"].astype(np.int64), np.ascontiguousarray(v["rid"]), v["n"].astype(np.int64), np.full(len(q), split)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["hash", "rid", "n", "slack", "pivot", "pivot_n", "split"])
+
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: dict[bool, list[np.ndarray]] = {}
+        for batch in batches:
+            for split, x in zip(batch["split"].to_pylist(), batch["postings"].to_pylist(), strict=True):
+                got.setdefault(split, []).append(unpack(x))
+        for split in list(got):
+            yield from lists(np.concatenate(got.pop(split)), split)
+
+    posted = docs.select("text").mapInArrow(lean(post), "bucket int, split boolean, postings binary")
+    return _bucketed(posted, group, "hash long, rid long, n long, slack long, pivot long, pivot_n long, split boolean", buckets)
+
+
+def _verify(pairs: DataFrame, held: DataFrame, n: int, num: int, den: int, buckets: int) -> DataFrame:
     """Links (a, b) among ``pairs``.  The b of one a are dealt over cells of about ``CELL``; in a cell each b is searched
     in an index of a and of earlier members that linked to nothing, so each given pair is decided exactly."""
-    size = pairs.groupBy("a").agg(F.ceil(F.count("*") / CELL).alias("cells"))
-    dealt = pairs.join(size, "a").select("a", F.pmod(F.xxhash64("b"), "cells").alias("cell"), "b")
+    # only pivots of more than one cell are looked up, in a table of at most one row a CELL pairs that is written first:
+    # no aggregate stands in the join's stage, so that a pivot of very many pairs can be split
+    size = materialise(pairs.groupBy("a").agg(F.ceil(F.count("*") / CELL).alias("cells")).where("cells > 1"), "cells")
+    dealt = pairs.join(size, "a", "left").select("a", F.coalesce(F.pmod(F.xxhash64("b"), "cells"), F.lit(0)).alias("cell"), "b")
     lead = dealt.select("a", "cell", F.col("a").alias("b"), F.lit(0).alias("place")).distinct()
     cells = dealt.select("a", "cell", "b", F.lit(1).alias("place")).unionByName(lead)
     rows = cells.join(held.select(F.col("rid").alias("b"), "text"), "b")
-    rows = rows.repartition(_buckets(pairs.sparkSession), "a", "cell").sortWithinPartitions("a", "cell", "place")
+    rows = rows.repartition(buckets, "a", "cell").sortWithinPartitions("a", "cell", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, index, room = None, DivideSkip(num, den), 0
@@ -418,28 +477,36 @@ def _verify(pairs: DataFrame, held: DataFrame, n: int, num: int, den: int) -> Da
     return rows.select("a", "cell", "b", "text").mapInArrow(lean(run), "a long, b long").where("a <> b")
 
 
-def _cross(tagged: DataFrame, num: int, den: int) -> DataFrame:
+def _cross(tagged: DataFrame, num: int, den: int, buckets: int, size: int) -> DataFrame:
     """Pairs of a list in different components for which the shared shingle can be their first one: the shingles from it
-    on must suffice for the overlap.  Members are compared by classes of (size, slack), not one by one."""
-    multi = tagged.groupBy("hash").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("hash")
-    rows = tagged.join(multi, "hash").repartition(_buckets(tagged.sparkSession), "hash").sortWithinPartitions("hash")
-
-    def pairs(rid: np.ndarray, size: np.ndarray, slack: np.ndarray, comp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    on must suffice for the overlap.  Members are compared by classes of (size, slack), not one by one.  A list of more
+    than ``size`` members is dealt into blocks; each two of them meet in one cell, and pairs leave in bounded batches."""
+    multi = tagged.groupBy("hash").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / size).alias("blocks")).where("lo <> hi").select("hash", "blocks")
+    rows = tagged.join(materialise(multi, "multi"), "hash").withColumn("block", F.pmod(F.xxhash64("rid"), "blocks"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.withColumn("cell", F.xxhash64("hash", F.least("block", "other"), F.greatest("block", "other"))).withColumn("alone", F.col("block") == F.col("other"))
+    rows = rows.repartition(buckets, "cell").sortWithinPartitions("cell")
+    limit = 500_000
+
+    def pairs(rid, size, slack, comp, block, alone) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         kinds, of = np.unique(np.stack((size, slack), 1), axis=0, return_inverse=True)
         of = of.ravel()
         order = np.lexsort((comp, of))
-        rid, comp, of = rid[order], comp[order], of[order]
+        rid, comp, of, block = rid[order], comp[order], of[order], np.where(alone[order], -1, block[order])
         edge = np.searchsorted(of, np.arange(len(kinds) + 1))
         s, k = kinds[:, 0], kinds[:, 1]
         for i in range(len(kinds)):
             t = -(-num * (s[i] + s[i:]) // (num + den))
             fits = np.flatnonzero((np.minimum(k[i], k[i:]) >= t) & (den * np.minimum(s[i], s[i:]) >= num * np.maximum(s[i], s[i:]))) + i
             for j in fits:
-                a, ca, b, cb = rid[edge[i] : edge[i + 1]], comp[edge[i] : edge[i + 1]], rid[edge[j] : edge[j + 1]], comp[edge[j] : edge[j + 1]]
-                for c in np.unique(ca):  # rows of one component against the rest: no pair inside it is made
-                    x, y = a[ca == c], b[(cb > c) if i == j else (cb != c)]
-                    if len(x) and len(y):
-                        yield np.repeat(x, len(y)), np.tile(y, len(x))
+                x, y = np.arange(edge[i], edge[i + 1]), np.arange(edge[j], edge[j + 1])
+                for c in np.unique(comp[x]):  # rows of one component against the rest: no pair inside it is made
+                    mine, rest = x[comp[x] == c], y[(comp[y] > c) if i == j else (comp[y] != c)]
+                    step = max(1, limit // max(len(rest), 1))
+                    for lo in range(0, len(mine), step):
+                        a, b = np.repeat(mine[lo : lo + step], len(rest)), np.tile(rest, len(mine[lo : lo + step]))
+                        keep = (block[a] < 0) | (block[a] != block[b])
+                        yield rid[a[keep]], rid[b[keep]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(parts):
@@ -448,13 +515,14 @@ def _cross(tagged: DataFrame, num: int, den: int) -> DataFrame:
             length = np.diff(np.append(start, len(h)))
             for m in np.unique(length[length <= SHORT]):  # short lists: all of one length at once
                 lists, (i, j) = start[length == m], np.triu_indices(m, 1)
-                step = max(1, 500_000 // max(len(i), 1))
+                step = max(1, limit // max(len(i), 1))
                 for lo in range(0, len(lists), step):
                     at = lists[lo : lo + step, None]
                     x, y = (at + i).ravel(), (at + j).ravel()
-                    rid, size, slack, comp = cols
+                    rid, size, slack, comp, block, alone = cols
                     t = -(-num * (size[x] + size[y]) // (num + den))
                     fits = (comp[x] != comp[y]) & (np.minimum(slack[x], slack[y]) >= t) & (den * np.minimum(size[x], size[y]) >= num * np.maximum(size[x], size[y]))
+                    fits &= alone[x] | (block[x] != block[y])
                     if fits.any():
                         yield batch_of([(rid[x[fits]], rid[y[fits]])])
             start, length = start[length > SHORT], length[length > SHORT]
@@ -462,7 +530,7 @@ def _cross(tagged: DataFrame, num: int, den: int) -> DataFrame:
             for lo, hi in zip(start, start + length, strict=True):
                 for x, y in pairs(*(c[lo:hi] for c in cols)):
                     out.append((x, y))
-                    if (held := held + len(x)) > 500_000:
+                    if (held := held + len(x)) > limit:
                         yield batch_of(out)
                         out, held = [], 0
             if out:
@@ -474,8 +542,8 @@ def _cross(tagged: DataFrame, num: int, den: int) -> DataFrame:
 
         kept: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            cols = tuple(batch[c].to_numpy(zero_copy_only=False) for c in ("hash", "rid", "n", "slack", "component"))
-            cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last list may go on in the next batch
+            cols = tuple(batch[c].to_numpy(zero_copy_only=False) for c in ("cell", "rid", "n", "slack", "component", "block", "alone"))
+            cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last cell may go on in the next batch
             if cut:
                 yield from emit([*kept, tuple(c[:cut] for c in cols)])
                 kept = []
@@ -483,4 +551,4 @@ def _cross(tagged: DataFrame, num: int, den: int) -> DataFrame:
         if kept:
             yield from emit(kept)
 
-    return rows.select("hash", "rid", "n", "slack", "component").mapInArrow(lean(run), "a long, b long")
+    return rows.select("cell", "rid", "n", "slack", "component", "block", "alone").mapInArrow(lean(run), "a long, b long")

@@ -14,7 +14,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from lumicat.llm import bpe, chat, exact_dedup, media, ngram_join, packing, pii, queries, secrets, token_files, toxicity
+from lumicat.llm import bpe, chat, exact_dedup, filters, media, ngram_join, packing, pii, queries, secrets, token_files, toxicity
 from lumicat.llm.components import components
 
 from ..compare import connect, difference
@@ -81,6 +81,45 @@ def test_join_of_edited_copies(spark):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == brute_components(rows)
 
 
+def test_join_of_null_and_repeated_ids(spark):
+    """Rows without an id link like others; rows that repeat don't multiply anything."""
+    r = random.Random(12)
+    base = [f"w{r.randint(0, 999)}" for _ in range(60)]
+    near = [*base[:59], "other"]
+    rows = [(None, " ".join(base)), (5, " ".join(near)), (None, "alone"), (None, None), (7, " ".join(base[:8])), (7, " ".join(near))]
+    rows += [(9, " ".join(base))] * 3000
+    got = ngram_join.ngram_jaccard_join(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    seen = {(x.doc_id, x.n_shingles, x.component_id) for x in got}
+    assert seen == {(None, 56, 5), (5, 56, 5), (None, 1, None), (None, 0, None), (7, 4, 7), (7, 56, 5), (9, 56, 5)}
+
+
+def test_join_of_frequent_lists_in_parts_and_blocks(spark):
+    """Lists of many members, with parts and blocks of a few: chains of edits, where pivots don't link to all."""
+    r = random.Random(13)
+    rows, i = [], 0
+    for _ in range(4):
+        words = [f"w{r.randint(0, 5000)}" for _ in range(30)]
+        for _ in range(70):
+            rows.append((i, " ".join(words)))
+            i += 1
+            words = list(words)
+            words[r.randrange(len(words))] = f"w{r.randint(0, 5000)}"
+            if r.random() < 0.2:
+                words = words[: r.randint(20, 30)] + [f"w{r.randint(0, 9)}"] * r.randint(0, 8)
+    shared = [f"s{k}" for k in range(7)]
+    rows += [(i + k, " ".join([*shared[: r.randint(5, 7)], *r.choices(shared, k=r.randint(0, 3))])) for k in range(120)]
+    want = brute_components(rows)
+    for split, block in ((16, 20_000), (3, 5), (4, 30)):
+        got = ngram_join.ngram_jaccard_join(frame(spark, rows), split=split, block=block).collect()
+        assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == want
+
+
+def test_ranges_grow_with_the_data(spark):
+    few, many = (ngram_join._ranges(spark, n) for n in (10**6, 10**13))
+    assert few == 64 and 10**13 / many < 30_000_000
+
+
 def test_join_of_nothing(spark):
     assert ngram_join.ngram_jaccard_join(frame(spark, [])).count() == 0
     assert [tuple(r) for r in ngram_join.ngram_jaccard_join(frame(spark, [(1, None)])).collect()] == [(1, 0, 1)]
@@ -160,11 +199,11 @@ def test_dedup_takes_counts_and_rows_from_the_index(spark):
 
 def test_sent_filter(spark):
     keys = spark.range(5000).select(F.xxhash64("id").alias("key"))
-    f = exact_dedup.sent_filter(keys, 5000)
+    f = filters.sent_filter(keys, 5000)
     have = np.array([x.key for x in keys.collect()], np.int64)
     assert f.may_hold(have).all() and f.may_hold(have + 1).mean() < 0.05
-    assert not exact_dedup.sent_filter(keys.limit(0), 0).may_hold(have).any()
-    assert exact_dedup.SentFilter.width(10**12) * exact_dedup.BLOCKS == 8 * exact_dedup.BLOCK_BYTES * exact_dedup.BLOCKS
+    assert not filters.sent_filter(keys.limit(0), 0).may_hold(have).any()
+    assert filters.SentFilter.width(10**12) == 8 * filters.BLOCK_BYTES
 
 
 def test_levels_fold_runs():
