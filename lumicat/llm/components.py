@@ -12,21 +12,22 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``links`` (a, b) -> (node, component): the smallest node that each linked node reaches.
 
     Each round points every neighbour at the smallest one it can see (large star, then small star), so chains shrink by
-    a constant factor.  Only minima are aggregated, never neighbour lists; the joins back to the edges are plain
-    equi-joins, which adaptive execution splits for hot nodes.  Self links and null ends are dropped; an empty table
+    a constant factor.  Only minima are aggregated, never neighbour lists, and written before they are joined back to the
+    edges: such a join is a plain equi-join, which adaptive execution splits for hot nodes.  Self links and null ends are dropped; an empty table
     gives an empty table.
     """
     edges = materialise(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     state = None
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
+        large = materialise(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        discard(low)
+        low = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").select(F.greatest("v", "m").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         before, edges = edges, materialise(small, "edges")
-        discard(before)
+        discard(before, large, low)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break

@@ -261,8 +261,7 @@ def _frequent(docs: DataFrame, n: int, buckets: int) -> tuple[np.ndarray, np.nda
 
     def flush(parts: list[np.ndarray]) -> pa.RecordBatch:
         # 48 bits of a hash; a collision only misplaces a shingle in the order
-        h, count = np.unique(np.concatenate(parts) >> np.uint64(16), return_counts=True)
-        h <<= np.uint64(16)
+        h, count = np.unique(np.concatenate(parts) & _UPPER, return_counts=True)
         at = _cuts(h, buckets)
         full = np.flatnonzero(at[1:] > at[:-1])
         packed = []
@@ -271,11 +270,15 @@ def _frequent(docs: DataFrame, n: int, buckets: int) -> tuple[np.ndarray, np.nda
             packed.append(int((c == 1).sum()).to_bytes(4, "little") + _pack(x[c == 1]) + _pack(x[c > 1]) + c[c > 1].tobytes())
         return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(packed, pa.binary())], names=["bucket", "hashes"])
 
-    def unpack(x: bytes) -> tuple[np.ndarray, np.ndarray]:
+    def unpack(x: bytes) -> np.ndarray:
+        """Hashes in the upper 48 bits, counts (65,535 at most) in the lower 16: one sort brings them together."""
         ones = int.from_bytes(x[:4], "little")
         more = (len(x) - 4 - 6 * ones) // 10
         cut = 4 + 6 * (ones + more)
-        return _unpack(x[4:cut]), np.concatenate((np.ones(ones, "<u4"), np.frombuffer(x, "<u4", more, cut)))
+        h = _unpack(x[4:cut]) << np.uint64(16)
+        h[:ones] |= np.uint64(1)
+        h[ones:] |= np.minimum(np.frombuffer(x, "<u4", more, cut), 65535).astype(np.uint64)
+        return h
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, parts, held = set(), [], 0
@@ -296,12 +299,12 @@ def _frequent(docs: DataFrame, n: int, buckets: int) -> tuple[np.ndarray, np.nda
         got = [unpack(x) for batch in batches for x in batch["hashes"].to_pylist()]
         if not got:
             return
-        h, c = (np.concatenate(x) for x in zip(*got, strict=True))
+        h = np.concatenate(got)
         got.clear()
-        order = np.argsort(h)
-        h, c = h[order], c[order]
+        h.sort()
+        c, h = (h & np.uint64(65535)).astype(np.int64), h >> np.uint64(16)
         start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        df = np.add.reduceat(c.astype(np.int64), start)
+        df = np.add.reduceat(c, start)
         h, df = h[start[df >= 8]], df[df >= 8]
         level = np.floor(np.log2(df)).astype(np.int32) if len(df) else df.astype(np.int32)
         for x in np.unique(level):
@@ -332,6 +335,10 @@ def _seen(seen: set[int], s: np.ndarray) -> bool:
     return False
 
 
+#: The part of a hash that travels; the lower bits are free.
+_UPPER = np.uint64(0xFFFFFFFFFFFF0000)
+
+
 def _pack(h: np.ndarray) -> bytes:
     """The upper 48 bits of each hash, 6 bytes each."""
     return np.ascontiguousarray((h >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
@@ -350,7 +357,7 @@ def _lists(docs: DataFrame, n: int, num: int, den: int, buckets: int, level: int
     spark = docs.sparkSession
     long = spark.sparkContext.broadcast(_frequent(docs, n, buckets))
     release(spark)
-    record = np.dtype([("hash", "<u8"), ("rid", "<i8"), ("n", "<u4"), ("slack", "<u4"), ("level", "u1")])
+    record = np.dtype([("hash", "<u8"), ("rid", "<i8"), ("n", "<u4"), ("slack", "<u4")])  # a posting's level is in its hash's lower bits
 
     def pack(p: np.ndarray) -> bytes:
         """Columns, those of small numbers byte plane by byte plane: the exchange's compression then drops their zeros."""
@@ -368,9 +375,10 @@ def _lists(docs: DataFrame, n: int, num: int, den: int, buckets: int, level: int
     def flush(parts: list[np.ndarray]) -> pa.RecordBatch:
         p = np.concatenate(parts)
         p = p[np.argsort(p["hash"], kind="stable")]
-        often = p["level"] > level
+        rank = p["hash"] & ~_UPPER
+        often = rank > level
         found = []
-        for split, q in ((False, p[~often]), (True, p[often])):
+        for split, q in ((False, p[~often]), (True, p[often])) if often.any() else ((False, p),):
             at = _cuts(q["hash"], buckets)
             for b in np.flatnonzero(at[1:] > at[:-1]).tolist():
                 x = q[at[b] : at[b + 1]]
@@ -378,7 +386,7 @@ def _lists(docs: DataFrame, n: int, num: int, den: int, buckets: int, level: int
                     found.append((b, False, pack(x)))
                     continue
                 # the parts of a very frequent list go to the ranges after its own
-                salt = (mix64(x["rid"].astype(np.uint64) ^ np.uint64(0x2545F4914F6CDD1D)) >> (np.uint64(64) - np.minimum(x["level"] - level, 40).astype(np.uint64))).astype(np.int64)
+                salt = (mix64(x["rid"].astype(np.uint64) ^ np.uint64(0x2545F4914F6CDD1D)) >> (np.uint64(64) - np.minimum((x["hash"] & ~_UPPER) - np.uint64(level), np.uint64(40)))).astype(np.int64)
                 to = (b + salt) % buckets
                 found += [(int(k), True, pack(x[to == k])) for k in np.unique(to)]
         cols = list(zip(*found, strict=True))
@@ -403,7 +411,7 @@ def _lists(docs: DataFrame, n: int, num: int, den: int, buckets: int, level: int
                     size = len(s)
                     keep = size - -(-num * size // den) + 1
                     p = np.empty(keep, record)
-                    p["hash"], p["level"] = s[order][:keep], rank[order][:keep]
+                    p["hash"] = s[order][:keep] & _UPPER | rank[order][:keep]
                     p["rid"], p["n"], p["slack"] = set_id(s), size, size - np.arange(keep)
                     parts.append(p)
                     if (held := held + keep) >= RUN // 3:
