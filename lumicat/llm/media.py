@@ -46,11 +46,21 @@ def decode_wav(raw: bytes) -> tuple[bytes, int]:
             if (form, channels, bits) != (1, 1, 8):
                 raise ValueError("only 8-bit mono PCM")
         elif kind == b"data":
+            if rate * UP < DOWN:
+                raise ValueError("no format or rate before the samples")
             return raw[at + 8 : at + 8 + n], rate
         at += 8 + n + n % 2
     raise ValueError("no samples")
 
 
+def read_wav(raw: bytes | None) -> tuple[bytes, int] | None:
+    """As ``decode_wav``; None for null media and what is no such container."""
+    try:
+        return None if raw is None else decode_wav(raw)
+    except (ValueError, struct.error):
+        return None
+
+
 @lru_cache(maxsize=8)
 def polyphase_filter(up: int, down: int, half: int = 8) -> np.ndarray:
     """A Hamming-windowed sinc in ``up`` phases."""
@@ -162,14 +172,17 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def audio_features(media: DataFrame) -> DataFrame:
     """Adds to (doc_id, n_bytes, media): ``payload`` (the samples read back), ``tensors`` (an Arrow stream, see
-    ``from_arrow``) and ``spans`` (start-end in milliseconds of each segment, joined by commas)."""
+    ``from_arrow``) and ``spans`` (start-end in milliseconds of each segment, joined by commas).
+
+    All three are null for null media and for media that are no 8-bit mono WAV container; other rows aren't touched by
+    them.  An empty table gives an empty table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 4_000_000):
-                read = [decode_wav(x) for x in part["media"].to_pylist()]
-                got = [features(*x) for x in read]
-                spans = [",".join(f"{round(1000 * a)}-{round(1000 * b)}" for a, b in s) for _, s in got]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x for x, _ in read], pa.binary()), pa.array([t for t, _ in got], pa.binary()), pa.array(spans)], names=["doc_id", "n_bytes", "media", "payload", "tensors", "spans"])
+                read = [read_wav(x) for x in part["media"].to_pylist()]
+                got = [x and features(*x) for x in read]
+                spans = [x and ",".join(f"{round(1000 * a)}-{round(1000 * b)}" for a, b in x[1]) for x in got]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x and x[0] for x in read], pa.binary()), pa.array([x and x[0] for x in got], pa.binary()), pa.array(spans, pa.string())], names=["doc_id", "n_bytes", "media", "payload", "tensors", "spans"])
 
     return media.select("doc_id", "n_bytes", "media").mapInArrow(lean(run), "doc_id long, n_bytes long, media binary, payload binary, tensors binary, spans string")

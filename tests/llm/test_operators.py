@@ -250,6 +250,61 @@ def test_polyphase_equals_direct_convolution():
     assert np.allclose(media.resample(x), want, atol=1e-5)
 
 
+def test_audio_of_null_and_malformed_media(spark):
+    good = media.encode_wav(b"\x80\x90" * 300)
+    bad = [None, b"", b"RIFF", good[:20], good.replace(b"fmt ", b"none"), good[:34] + b"\x10\x00" + good[36:], b"x" * 500, media.encode_wav(b"")]
+    rows = spark.createDataFrame([(i, 1, x) for i, x in enumerate([*bad, good])], "doc_id long, n_bytes long, media binary")
+    got = {r.doc_id: r for r in media.audio_features(rows).collect()}
+    assert all(got[i].payload is None and got[i].tensors is None and got[i].spans is None for i in range(7))
+    assert bytes(got[7].payload) == b"" and got[7].tensors and bytes(got[8].payload) == b"\x80\x90" * 300
+    assert media.audio_features(rows.limit(0)).count() == 0
+
+
+def brute_features(payload):
+    """The stored feature by plain sums: no stride tricks, no FFT, no phases."""
+    x = (np.frombuffer(payload, np.uint8).astype(float) - 128) / 128
+    cut = max(media.UP, media.DOWN)
+    taps = np.arange(-8 * cut, 8 * cut + 1)
+    h = np.sinc(taps / cut) * np.hamming(len(taps)) * media.UP / cut
+    y = []
+    for i in range(-(-len(x) * media.UP // media.DOWN)):
+        at = i * media.DOWN  # on the grid of ``UP`` times the rate
+        y.append(sum(x[k] * h[at - k * media.UP + 8 * cut] for k in range(len(x)) if abs(at - k * media.UP) <= 8 * cut))
+    rate = media.RATE * media.UP // media.DOWN
+    mel = lambda f: 2595 * np.log10(1 + f / 700)
+    edges = [700 * (10 ** (mel(rate / 2) * m / (media.MELS + 1) / 2595) - 1) for m in range(media.MELS + 2)]
+    frames = []
+    for start in range(0, max(1, len(y) - media.WINDOW + media.HOP), media.HOP):
+        part = np.array([*y[start : start + media.WINDOW], *[0.0] * media.WINDOW])[: media.WINDOW] * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(media.WINDOW) / (media.WINDOW - 1)))
+        row = []
+        power = [abs(sum(part * np.exp(-2j * np.pi * k * np.arange(media.WINDOW) / media.FFT))) ** 2 for k in range(media.FFT // 2 + 1)]
+        for a, b, c in zip(edges, edges[1:], edges[2:]):
+            f = [k * rate / media.FFT for k in range(media.FFT // 2 + 1)]
+            row.append(np.log10(sum(p * max(0, min((v - a) / (b - a), (c - v) / (c - b))) for p, v in zip(power, f)) + media.FLOOR))
+        frames.append(row)
+    return np.array(frames)
+
+
+def test_features_equal_plain_sums():
+    r = random.Random(4)
+    for n in (64, 640, 1024):
+        payload = bytes(r.choice(b"abc XYZ,.\x00\xff") for _ in range(n))
+        want = brute_features(payload)
+        stored, spans = media.features(payload, media.RATE)
+        got = media.from_arrow(stored)[0].reshape(-1, media.MELS)[: len(want)] / 100
+        assert np.abs(got - want).max() < 0.011
+        level, active, found = want.mean(1), None, []
+        for i, v in enumerate([*level, -np.inf]):  # the hysteresis one frame at a time
+            if active is None and v >= media.ON:
+                active = i
+            elif active is not None and v < media.OFF:
+                if i - active >= media.LEAST:
+                    found.append((active, i))
+                active = None
+        hop = media.HOP / (media.RATE * media.UP // media.DOWN)
+        assert spans == [(a * hop, b * hop) for a, b in found]
+
+
 def test_hysteresis():
     level = np.array([0, 5, 5, 3, 3, 3, 1, 5, 1], float)
     assert media.segments(level, 4, 2, 2) == [(1, 6)]
