@@ -1,8 +1,8 @@
 """Toxicity by a linear-chain conditional random field over tokens.
 
 Training (on a bounded sample of labelled rows): words and word beginnings that occur in toxic documents far more often
-than chance label tokens; the evidence and bias of a two-state CRF with fixed transitions are fitted to those token
-labels; a logistic layer from the forward-backward marginals of a document to its label is fitted to ``labels.toxic``.
+than chance label tokens; evidence, bias and transition scores of a two-state CRF are fitted to those token labels by
+forward-backward expectations; a logistic layer from the forward-backward marginals of a document to its label is fitted to ``labels.toxic``.
 Scoring: tokens without any known feature share one transfer matrix, so forward and backward sums jump over runs of them
 by matrix powers; marginals at the other tokens are exact.
 """
@@ -21,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, lean, slices, texts
+from .common import bound_batches, discard, lean, materialise, slices, texts
 
-#: Labelled rows used for training at most.
-SAMPLE = 6000
+#: Labelled rows used for training at most, and the bytes of their texts at most.
+SAMPLE, SAMPLE_BYTES = 6000, 64 << 20
+#: Transition probabilities before training, and how strongly scores are held to them.
+MOVE, HOLD = ((0.97, 0.03), (0.7, 0.3)), 2.0
 #: Documents with a feature at least, and how unlikely (natural logarithm) its share of toxic ones must be by chance.
 SUPPORT, CHANCE = 4, -12.0
 #: Lengths of word beginnings.
@@ -112,6 +114,47 @@ class ToxicCRF:
         return float(1 / (1 + np.exp(-np.clip(summary(p) @ self.layer, -30, 30))))
 
 
+class Expectations:
+    """Expected transitions into and within the toxic state, and expected toxic tokens, of a chain.
+
+    Matrices carry their derivatives with respect to the two scores and the bias ([M, dM/d score 1, ...], multiplied by the
+    product rule), so that runs of tokens without evidence are powers here too: the derivatives of log Z are the sums of
+    edge and node marginals over all tokens.
+    """
+
+    def __init__(self, move: np.ndarray, bias: float):
+        m = np.exp(move) * np.array([1.0, exp(bias)])
+        self.step = np.stack((m, m * [[0, 1], [0, 0]], m * [[0, 0], [0, 1]], m * [0, 1]))
+        self.powers = {0: np.stack((np.eye(2), *np.zeros((3, 2, 2))))}
+
+    @staticmethod
+    def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = a[0] @ b
+        out[1:] += a[1:] @ b[0]
+        return out / out[0].max()
+
+    def run(self, k: int) -> np.ndarray:
+        if k not in self.powers:
+            half = self.run(k // 2)
+            whole = self.product(half, half)
+            self.powers[k] = self.product(whole, self.step) if k % 2 else whole
+        return self.powers[k]
+
+    def of(self, at: list[int], evidence: list[float], n: int) -> np.ndarray:
+        chain, last = self.powers[0], -1
+        for i, e in zip(at, evidence, strict=True):
+            chain = self.product(self.product(chain, self.run(i - last - 1)), self.step * np.array([1.0, exp(min(e, 50.0))]))
+            last = i
+        z = self.product(chain, self.run(n - 1 - last))[:, 0].sum(1)
+        return z[1:] / z[0]
+
+
+def observed(at: list[int], y: int) -> np.ndarray:
+    """The same counts where the tokens ``at`` are toxic if y is, and the others are not."""
+    within = sum(b == a + 1 for a, b in zip(at, at[1:], strict=False))
+    return np.array([len(at) - within, within, len(at)], float) * y
+
+
 def summary(p: list[float]) -> np.ndarray:
     """Of a document's marginals: a constant, the largest, the chance of any, and the expected number up to 3."""
     return np.array([1.0, max(p, default=0.0), 1 - float(np.prod([1 - x for x in p])), min(3.0, sum(p)) / 3])
@@ -144,7 +187,7 @@ def train(rows: list[tuple[str, int]], rounds: int = 25) -> ToxicCRF:
     pool: dict[str, str] = {}
     rows = without_copies([(words_of(t, pool), int(y)) for t, y in rows])
     toxic = sum(y for _, y in rows)
-    move = np.log(np.array([[0.97, 0.03], [0.7, 0.3]]))
+    move = np.log(np.array(MOVE))
     if not 0 < toxic < len(rows):
         return ToxicCRF({}, -8.0, move, np.array([-3.0 if toxic == 0 else 3.0, 0.0, 0.0, 0.0]))
     share = toxic / len(rows)
@@ -165,20 +208,22 @@ def train(rows: list[tuple[str, int]], rounds: int = 25) -> ToxicCRF:
         at = [i for i, w in enumerate(words) if any(f in index for f in word_features(w))]
         if at:
             docs.append((len(words), at, [[index[f] for f in word_features(words[i]) if f in index] for i in at], y))
-    power, bias_power = np.full(len(index), 1e-2), 1e-2
-    for _ in range(rounds):  # gradient: labels less marginals, summed over tokens
-        model = ToxicCRF({}, bias, move, np.zeros(4))
-        grad, bias_grad = np.zeros(len(index)), 0.0
+    power, rest_power, start = np.full(len(index), 1e-2), np.full(3, 1e-2), move.copy()
+    for _ in range(rounds):  # gradient: labels less marginals, summed over tokens and over edges
+        model, chain = ToxicCRF({}, bias, move, np.zeros(4)), Expectations(move, bias)
+        grad, rest = np.zeros(len(index)), np.array([*HOLD * (start - move)[:, 1], 0.0])
         for n, at, fs, y in docs:
-            p = model.marginals(at, [float(weights[f].sum()) for f in fs], n)
-            for f, x in zip(fs, p, strict=True):
+            evidence = [float(weights[f].sum()) for f in fs]
+            for f, x in zip(fs, model.marginals(at, evidence, n), strict=True):
                 grad[f] += y - x
-                bias_grad += y - x
+            rest += observed(at, y) - chain.of(at, evidence, n)
         grad -= 0.05 * weights
         power += grad * grad
-        bias_power += bias_grad * bias_grad
+        rest_power += rest * rest
         weights += 2.0 * grad / np.sqrt(power)
-        bias = min(-3.0, bias + 0.2 * bias_grad / bias_power**0.5)
+        step = 0.2 * rest / np.sqrt(rest_power)
+        move = move + np.array([[0, step[0]], [0, step[1]]])
+        bias = bias + step[2]
     features = {f: float(weights[i]) for f, i in index.items() if weights[i]}
     model = ToxicCRF(features, bias, move, np.zeros(4))
     x, y = [], []
@@ -201,13 +246,22 @@ def fold(doc_id) -> object:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicCRF:
-    """Trains on at most ``sample`` labelled rows outside fold 0, the first in an order by a hash of the id.  Rows with a
-    null label are left out."""
-    chosen = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic"))
-    chosen = chosen.where(fold(F.col("id")) != 0).orderBy(F.xxhash64("id"), "id", "toxic").limit(sample)
-    rows = texts(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("text", "toxic")  # ``sample`` rows of two numbers
-    return train(sorted((r.text, r.toxic) for r in rows.collect()))
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> ToxicCRF:
+    """Trains on at most ``sample`` labelled rows outside fold 0, the first in an order by a hash of the id, as far as
+    their texts have ``sample_bytes`` together.  Rows with a null label or id are left out; of rows that share an id the
+    first text in order counts, of labels that share one the smallest."""
+    chosen = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.min(F.col("toxic").cast("int")).alias("toxic"))
+    chosen = chosen.where(fold(F.col("id")) != 0).orderBy(F.xxhash64("id"), "id").limit(sample)
+    rows = texts(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))  # ``sample`` rows of two numbers
+    rows = materialise(rows.groupBy("id", "toxic").agg(F.min("text").alias("text")), "labelled")
+    taken, room = [], sample_bytes
+    for r in rows.select("id", F.octet_length("text").alias("n")).orderBy(F.xxhash64("id"), "id").collect():
+        if (room := room - r.n) < 0:
+            break
+        taken.append(r.id)
+    got = rows.where(F.col("id").isin(taken)).select("text", "toxic").collect() if taken else []
+    discard(rows)
+    return train(sorted((r.text, r.toxic) for r in got))
 
 
 def toxicity(docs: DataFrame, model: ToxicCRF, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -766,6 +766,34 @@ def test_crf_marginals_match_enumeration():
     assert np.allclose(m.marginals(at, [3.0, 3.0], len(words)), hit / total)
 
 
+def test_expected_transitions_match_enumeration():
+    r = random.Random(21)
+    for _ in range(30):
+        n = r.randint(1, 8)
+        at = sorted(r.sample(range(n), r.randint(0, n)))
+        e = [r.uniform(-1, 3) for _ in at]
+        move, bias = np.log(np.array(toxicity.MOVE)) + r.uniform(-0.5, 0.5), r.uniform(-3, 0)
+        z, want = 0.0, np.zeros(3)
+        for states in itertools.product((0, 1), repeat=n):
+            score = sum(move[a, b] for a, b in zip((0, *states), states, strict=False)) + sum(bias for x in states if x) + sum(v for i, v in zip(at, e, strict=True) if states[i])
+            path = [0, *states]
+            counts = [sum(a == 0 and b == 1 for a, b in itertools.pairwise(path)), sum(a == b == 1 for a, b in itertools.pairwise(path)), sum(states)]
+            z += np.exp(score)
+            want += np.exp(score) * np.array(counts)
+        assert np.allclose(toxicity.Expectations(move, bias).of(at, e, n), want / z)
+    assert toxicity.observed([1, 2, 5, 6, 7], 1).tolist() == [2, 3, 5] and not toxicity.observed([1, 2], 0).any()
+
+
+def test_toxicity_fit_is_bounded(spark, sf_dir):
+    docs, labels = (queries.table(spark, sf_dir, x) for x in ("documents", "labels"))
+    twice = docs.unionByName(docs)
+    a, b = toxicity.fit(docs, labels), toxicity.fit(twice, labels.unionByName(labels))
+    assert a.features == b.features and np.allclose(a.move, b.move)
+    assert toxicity.fit(docs, labels, sample_bytes=0).features == {}
+    text = docs.first().text
+    assert toxicity.fit(docs.limit(0), labels).score([]) < 0.5 and isinstance(a.tag(text)[0], list)
+
+
 def test_toxicity_rows(spark, edge):
     m = toxicity.train(toxic_rows(400, 1))
     got = toxicity.toxicity(frame(spark, edge), m).collect()
