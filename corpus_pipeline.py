@@ -20,7 +20,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = exact_dedup.exact_dedup(docs).where("kept").select(F.col("doc_id").alias("id"), "text_sha256")
     sha = F.sha2(F.translate(F.coalesce("text", F.lit("")), SPACE.decode(), "").cast("binary"), 256)
     rows = docs.withColumn("_sha", sha).join(kept, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("_sha") == F.col("text_sha256")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_sha"]).select(*docs.columns)
+    # only rows whose id occurs again have to meet: usually a tiny table, so that texts don't move a second time
+    again = materialise(docs.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n")).where("n > 1").select("id"), "repeated")
+    same = F.col("doc_id").eqNullSafe(F.col("id"))
+    twice = rows.join(again, same, "left_semi").dropDuplicates(["doc_id", "_sha"])
+    return rows.join(again, same, "left_anti").unionByName(twice).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
