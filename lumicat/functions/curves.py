@@ -162,11 +162,17 @@ def film_like(r: Column, g: Column, b: Column, curve: Sequence[float]) -> tuple[
 
 
 def weighted_triangle(r: Column, g: Column, b: Column, curve: Sequence[float]) -> tuple[Column, Column, Column]:
-    """Each channel: one half of its own curved value, a quarter of each other channel's curve's scaling of it."""
-    at = lambda c: lookup(curve, c * (len(curve) - 1))
-    scale = lambda c: F.coalesce(F.try_divide(at(c), c), F.lit(1.0))
-    kr, kg, kb = scale(r), scale(g), scale(b)
-    return r * (0.5 * kr + 0.25 * kg + 0.25 * kb), g * (0.25 * kr + 0.5 * kg + 0.25 * kb), b * (0.25 * kr + 0.25 * kg + 0.5 * kb)
+    """Each channel (0..1): one half of its own curved value, a quarter of where each other channel's change moves it:
+    towards black in proportion below that channel, towards white in proportion above it."""
+    channels = (r, g, b)
+    curved = [lookup(curve, c * (len(curve) - 1)) for c in channels]
+
+    def moved(by: int, c: Column) -> Column:
+        a, change = channels[by], curved[by] - channels[by]
+        room = F.when(c < a, F.try_divide(c, a)).otherwise(F.try_divide(1 - c, 1 - a))
+        return F.when(c == a, curved[by]).otherwise(c + change * room)
+
+    return tuple(0.5 * curved[i] + sum(0.25 * moved(j, c) for j in range(3) if j != i) for i, c in enumerate(channels))
 
 
 def cube_lookup(r: Column, g: Column, b: Column, table: Sequence[Sequence[float]], level: int) -> tuple[Column, Column, Column]:

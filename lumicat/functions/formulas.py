@@ -294,9 +294,9 @@ def trapezoid(x: str, low: float, low_full: float, high_full: float, high: float
 
 
 def soft_light(x: str, strength: float) -> str:
-    """A value in 0..1 blended with its own soft light."""
-    v = f"({x} * {x} * (3 - 2 * {x}))"
-    return mix(num(strength), v, x)
+    """A value in 0..1 blended with its own soft light, which is taken on the sRGB curve; values outside pass through."""
+    v = gamma(x)
+    return _case((f"{x} < 0 or {x} > 1", x), other=mix(num(strength), gamma_inverse(f"({v} * {v} * (3 - 2 * {v}))"), x))
 
 
 def planck(wavelength_nm: str, temperature: str) -> str:

@@ -21,8 +21,9 @@ def histogram(px: DataFrame, channels: dict[str, Column], weight: int = 1, low:
 def histogram2d(px: DataFrame, row: Column, column: Column, size: int, *by: str) -> DataFrame:
     """(by, row, col, n) on a size x size grid; what lies outside is dropped."""
     by = by or ("frame",)
-    cells = px.select(*by, row.cast("bigint").alias("row"), column.cast("bigint").alias("col"), row.alias("_r"), column.alias("_c"))
-    return cells.where((F.col("_r") >= 0) & (F.col("_c") >= 0) & F.col("row").between(0, size - 1) & F.col("col").between(0, size - 1)).groupBy(*by, "row", "col").agg(F.count("*").alias("n"))
+    cells = px.select(*by, F.inline(F.array(F.struct(row.alias("_r"), column.alias("_c")))))  # each place is computed once
+    inside = (F.col("_r") >= 0) & (F.col("_c") >= 0) & (F.col("_r") < size) & (F.col("_c") < size)
+    return cells.where(inside).groupBy(*by, F.col("_r").cast("bigint").alias("row"), F.col("_c").cast("bigint").alias("col")).agg(F.count("*").alias("n"))
 
 
 def waveform(px: DataFrame, channels: dict[str, Column], levels: int = 256, top: float = 65536.0) -> DataFrame:

@@ -25,14 +25,18 @@ def halo_tiles(px: DataFrame, size: int, halo: int) -> DataFrame:
     return rows.withColumn("tx", F.explode(reach("x")))
 
 
-def apply_kernel(px: DataFrame, columns: list[str], kernel: Callable[..., dict[str, np.ndarray]], out: list[str], size: int = 256, halo: int = 16) -> DataFrame:
+def apply_kernel(px: DataFrame, columns: list[str], kernel: Callable[..., dict[str, np.ndarray]], out: list[str], size: int = 256, halo: int = 16, period: int = 1) -> DataFrame:
     """(frame, y, x, *out): ``kernel`` gets one array a column (tile with halo; NaN where there is no pixel) and returns
-    arrays of the same shape; the core is kept."""
+    arrays of the same shape; the core is kept.  ``period``: arrays begin at multiples of it, as kernels of mosaics need
+    (the halo is widened to one; the size must be one)."""
+    if size % period:
+        raise ValueError("size must be a multiple of the period")
+    halo = -(-halo // period) * period
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         frame, ty, tx = (k.as_py() for k in key)
         y, x = table["y"].to_numpy(), table["x"].to_numpy()
-        y0, x0 = int(y.min()), int(x.min())
+        y0, x0 = max(0, ty * size - halo), max(0, tx * size - halo)
         shape = (int(y.max()) - y0 + 1, int(x.max()) - x0 + 1)
         planes = []
         for c in columns:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumicat.functions import curves, formulas, photo, whitebalance
-from lumicat.operators import catalog, demosaic, edits, exposure, geometry, histogram, match, tiles, window
+from lumicat.operators import catalog, demosaic, detail, edits, exposure, geometry, histogram, match, mosaics, tiles, window
 
 
 def values(spark, expressions: dict[str, str]) -> dict:
@@ -382,3 +382,46 @@ def test_undo_redo():
     assert [edits.undo_position(p, 5) for p in (4, 0, -1)] == [3, 0, 3]
     assert [edits.redo_position(p, 5) for p in (3, 4, -1)] == [4, 4, 3]
     assert math.isfinite(1.0)
+
+
+LOCAL = {
+    "bilateral": (lambda a: tiles.bilateral(a, 1.5, 8000.0), 4),
+    "false colour": (lambda a: tiles.false_color(a, a * 0.7 + 1000, a * 0.5, 2)[0], 4),
+    "edge sharpening": (lambda a: detail.micro_contrast(detail.edge_sharpen(a, 0.2, 2), 0.3, 1.0), 4),
+    "gaussian": (lambda a: tiles.gaussian(a, 1.2), 4),
+    "pyramid": (lambda a: detail.pyramid_equalizer(a, [1.3, 1.1], 500.0), 6),
+    **{f"{n} mosaic": (lambda a, f=f: f(a)[0] + 3 * f(a)[2], 14) for n, f in mosaics.METHODS.items()},
+}
+
+
+@pytest.mark.parametrize("name", LOCAL)
+def test_local_kernels_leave_no_seams(spark, name):
+    """Several tiles with a halo give what the whole frame gives."""
+    kernel, halo = LOCAL[name]
+    a = np.random.default_rng(5).integers(0, 65535, (50, 60)).astype(float)
+    rows = tiles.apply_kernel(raster(spark, a), ["v"], lambda v: {"o": kernel(v)}, ["o"], 16, halo, 2)
+    assert np.allclose(grid(rows, "o", 50, 60), kernel(a), rtol=1e-9, atol=1e-6)
+
+
+def test_kernels_of_mosaics_keep_their_colours(spark):
+    a = np.random.default_rng(6).integers(0, 65535, (40, 44)).astype(float)
+    f = mosaics.METHODS["adaptive"]
+    rows = tiles.apply_kernel(raster(spark, a), ["v"], lambda v: {"o": f(v)[0]}, ["o"], 10, 7, 2)  # an odd halo is widened
+    assert np.allclose(grid(rows, "o", 40, 44), f(a)[0])
+    with pytest.raises(ValueError, match="period"):
+        tiles.apply_kernel(raster(spark, a), ["v"], lambda v: {"o": v}, ["o"], 9, 4, 2)
+
+
+def test_weighted_triangle_moves_towards_the_ends(spark):
+    curve = [0.0, 0.7, 1.0]  # 0.5 -> 0.7
+    df = spark.createDataFrame([(0.5, 0.25, 0.75)], "r double, g double, b double")
+    got = df.select(*curves.weighted_triangle(F.col("r"), F.col("g"), F.col("b"), curve)).first()
+    at = {0.5: 0.7, 0.25: 0.35, 0.75: 0.85}
+
+    def moved(a, b):
+        return b + (at[a] - a) * (b / a if b < a else (1 - b) / (1 - a))
+
+    for c, value in zip((0.5, 0.25, 0.75), got, strict=True):
+        assert value == pytest.approx(0.5 * at[c] + 0.25 * sum(moved(a, c) for a in at if a != c))
+    white = spark.createDataFrame([(1.0, 1.0, 0.5)], "r double, g double, b double")
+    assert all(v <= 1 for v in white.select(*curves.weighted_triangle(F.col("r"), F.col("g"), F.col("b"), curve)).first())
