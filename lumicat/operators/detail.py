@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 import numpy as np
 
-from .tiles import a_trous, gaussian
-
 
 def directional_smooth(a: np.ndarray, step: int, spread: float) -> np.ndarray:
     """Means of the 5 x 5 samples at distances of ``step``, weighted down by difference of value."""
@@ -58,26 +56,6 @@ def micro_contrast(a: np.ndarray, amount: float, uniformity: float) -> np.ndarra
     return a + amount * d / (1 + uniformity * spread / (np.abs(a) + 1))
 
 
-def line_denoise(a: np.ndarray, noise: float) -> np.ndarray:
-    """Offsets of whole rows and columns: the part of their means that stands out from a smooth course, limited by noise."""
-    for axis in (1, 0):
-        mean = np.nanmean(a, axis=axis)
-        smooth = gaussian(mean[:, None], 3.0)[:, 0]
-        offset = np.clip(mean - smooth, -noise, noise)
-        a = a - (offset[:, None] if axis == 1 else offset[None, :])
-    return a
-
-
-def shrink_coefficients(a: np.ndarray, levels: int, strength: float) -> np.ndarray:
-    """Wavelet denoising: each level's coefficients by c^2 / (c^2 + noise^2), the factors smoothed so that edges don't ring."""
-    details, rest = a_trous(a, levels)
-    for k, d in enumerate(details):
-        noise = strength * np.median(np.abs(d)) / 0.6745
-        factor = d * d / (d * d + noise * noise * np.exp(-d * d / (9 * noise * noise + 1e-30)) + 1e-30)
-        rest = rest + gaussian(factor, 1.0 + k / 2) * d
-    return rest
-
-
 def resample(a: np.ndarray, where: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """``a`` read at the source coordinates that ``where`` gives for each place, by bicubic interpolation; 0 outside."""
     y, x = np.indices(a.shape, dtype=float)
@@ -109,44 +87,6 @@ def radial_shift(k: float, cy: float, cx: float, size: float) -> Callable:
     return where
 
 
-def fringe_shift(reference: np.ndarray, channel: np.ndarray, block: int = 32) -> tuple[np.ndarray, np.ndarray]:
-    """Shift of a channel against a reference, as linear functions of the distance from the centre fitted to block-wise
-    least squares: coefficients (constant, along y, along x) for both directions."""
-    gy, gx = np.gradient(channel)
-    d = reference - channel
-    rows, vy, vx, weight = [], [], [], []
-    h, w = channel.shape
-    for y in range(0, h - block // 2, block):
-        for x in range(0, w - block // 2, block):
-            cut = (slice(y, y + block), slice(x, x + block))
-            a, b, e = (v[cut].ravel() - v[cut].mean() for v in (gy, gx, d))
-            m = np.array([[a @ a, a @ b], [a @ b, b @ b]]) + 1e-6 * np.eye(2)
-            s = np.linalg.solve(m, [a @ e, b @ e])
-            if np.abs(s).max() < 4:
-                rows.append((1.0, (y + block / 2) / h - 0.5, (x + block / 2) / w - 0.5))
-                vy.append(s[0])
-                vx.append(s[1])
-                weight.append(np.sqrt(np.trace(m)))
-    if len(rows) < 3:
-        return np.zeros(3), np.zeros(3)
-    m = np.array(rows) * np.array(weight)[:, None]
-    return np.linalg.lstsq(m, np.array(vy) * weight, rcond=None)[0], np.linalg.lstsq(m, np.array(vx) * weight, rcond=None)[0]
-
-
-def correct_fringe(reference: np.ndarray, channel: np.ndarray, block: int = 32, steps: int = 2) -> np.ndarray:
-    """The channel moved onto the reference, in a few steps of the linearised fit."""
-    if steps > 1:
-        channel = correct_fringe(reference, channel, block, steps - 1)
-    cy, cx = fringe_shift(reference, channel, block)
-    h, w = channel.shape
-
-    def where(y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        u, v = y / h - 0.5, x / w - 0.5
-        return np.clip(y + cy[0] + cy[1] * u + cy[2] * v, 0, h - 1), np.clip(x + cx[0] + cx[1] * u + cx[2] * v, 0, w - 1)
-
-    return resample(channel, where)
-
-
 def flood_mask(mask: np.ndarray) -> np.ndarray:
     """A mask with its holes filled: what the border can't reach outside it."""
     free = np.pad(~mask, 1, constant_values=True)

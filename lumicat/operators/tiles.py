@@ -8,6 +8,7 @@ kernels with unbounded reach (recursive filters, solvers) state their halo.
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+class Place(NamedTuple):
+    """Where a tile's array lies: its first row and column in the frame, and the sides on which the frame goes on."""
+
+    y0: int
+    x0: int
+    top: bool
+    left: bool
+    bottom: bool
+    right: bool
+
+
 def halo_tiles(px: DataFrame, size: int, halo: int) -> DataFrame:
     """``px`` with (ty, tx), a row for each tile whose halo holds the pixel."""
     def reach(c: str):
@@ -25,10 +37,10 @@ def halo_tiles(px: DataFrame, size: int, halo: int) -> DataFrame:
     return rows.withColumn("tx", F.explode(reach("x")))
 
 
-def apply_kernel(px: DataFrame, columns: list[str], kernel: Callable[..., dict[str, np.ndarray]], out: list[str], size: int = 256, halo: int = 16, period: int = 1) -> DataFrame:
+def apply_kernel(px: DataFrame, columns: list[str], kernel: Callable[..., dict[str, np.ndarray]], out: list[str], size: int = 256, halo: int = 16, period: int = 1, placed: bool = False) -> DataFrame:
     """(frame, y, x, *out): ``kernel`` gets one array a column (tile with halo; NaN where there is no pixel) and returns
     arrays of the same shape; the core is kept.  ``period``: arrays begin at multiples of it, as kernels of mosaics need
-    (the halo is widened to one; the size must be one)."""
+    (the halo is widened to one; the size must be one).  ``placed``: the kernel gets the tile's ``Place`` as ``at``."""
     if size % period:
         raise ValueError("size must be a multiple of the period")
     halo = -(-halo // period) * period
@@ -43,7 +55,8 @@ def apply_kernel(px: DataFrame, columns: list[str], kernel: Callable[..., dict[s
             a = np.full(shape, np.nan)
             a[y - y0, x - x0] = table[c].to_numpy()
             planes.append(a)
-        made = kernel(*planes)
+        at = Place(y0, x0, y0 > 0, x0 > 0, int(y.max()) == (ty + 1) * size - 1 + halo, int(x.max()) == (tx + 1) * size - 1 + halo)
+        made = kernel(*planes, at=at) if placed else kernel(*planes)
         core = (y // size == ty) & (x // size == tx)
         y, x = y[core], x[core]
         return pa.table({"frame": pa.array(np.full(len(y), frame, np.int64)), "y": pa.array(y), "x": pa.array(x), **{o: pa.array(np.asarray(made[o], np.float64)[y - y0, x - x0]) for o in out}})
@@ -137,25 +150,6 @@ def a_trous(a: np.ndarray, levels: int) -> tuple[list[np.ndarray], np.ndarray]:
     return details, a
 
 
-def wavelet_equalize(a: np.ndarray, gains: list[float], thresholds: list[float] | None = None) -> np.ndarray:
-    """Details scaled by level; those under a level's threshold times the deviation of its noise shrink first."""
-    details, rest = a_trous(a, len(gains))
-    for d, g, t in zip(details, gains, thresholds or [0.0] * len(gains), strict=True):
-        noise = np.median(np.abs(d)) / 0.6745
-        limit = t * noise
-        kept = d * d / (d * d + limit * limit + 1e-30) * d if limit else d
-        rest = rest + g * kept
-    return rest
-
-
-def retinex(a: np.ndarray, sigmas: list[float], gain: float = 1.0) -> np.ndarray:
-    """Mean over scales of log(value) - log(blur), stretched around its mean to the input's range."""
-    a = np.maximum(a, 1e-3)
-    r = np.mean([np.log(a) - np.log(np.maximum(gaussian(a, s), 1e-3)) for s in sigmas], axis=0)
-    spread = r.std() or 1.0
-    return np.clip(a.mean() + gain * a.std() * (r - r.mean()) / spread, 0, a.max())
-
-
 def conjugate_gradient(apply: Callable[[np.ndarray], np.ndarray], b: np.ndarray, precondition: np.ndarray, iterations: int = 60, tolerance: float = 1e-8) -> np.ndarray:
     """Solves a symmetric positive system given by its product, with a diagonal preconditioner."""
     x = np.zeros_like(b)
@@ -175,69 +169,6 @@ def conjugate_gradient(apply: Callable[[np.ndarray], np.ndarray], b: np.ndarray,
     return x
 
 
-def edge_preserving(a: np.ndarray, scale: float, stopping: float) -> np.ndarray:
-    """Smoothing that minimises distance to the input plus gradients weighted down at edges."""
-    gx, gy = np.diff(a, axis=1), np.diff(a, axis=0)
-    wx, wy = scale / (np.abs(gx) ** stopping + 1e-4), scale / (np.abs(gy) ** stopping + 1e-4)
-
-    def product(u: np.ndarray) -> np.ndarray:
-        out = u.copy()
-        dx, dy = wx * np.diff(u, axis=1), wy * np.diff(u, axis=0)
-        out[:, :-1] -= dx
-        out[:, 1:] += dx
-        out[:-1] -= dy
-        out[1:] += dy
-        return out
-
-    diagonal = np.ones_like(a)
-    diagonal[:, :-1] += wx
-    diagonal[:, 1:] += wx
-    diagonal[:-1] += wy
-    diagonal[1:] += wy
-    return conjugate_gradient(product, a, diagonal)
-
-
-def compress_range(a: np.ndarray, scale: float, stopping: float, exponent: float, detail: float) -> np.ndarray:
-    """Base layer raised to an exponent, details by their own factor, in the logarithm."""
-    logs = np.log(np.maximum(a, 1e-4))
-    base = edge_preserving(logs, scale, stopping)
-    return np.exp(exponent * base + detail * (logs - base) + (1 - exponent) * base.max())
-
-
-def poisson(rhs: np.ndarray) -> np.ndarray:
-    """Solves laplace(u) = rhs with zero normal derivatives by cosine transforms; the mean of u is zero."""
-    def cosine(n: int) -> np.ndarray:
-        k = np.arange(n)
-        c = np.cos(np.pi * (k[None, :] + 0.5) * k[:, None] / n) * np.sqrt(2 / n)
-        c[0] /= np.sqrt(2)
-        return c
-
-    cy, cx = cosine(rhs.shape[0]), cosine(rhs.shape[1])
-    f = cy @ rhs @ cx.T
-    lam = (2 * np.cos(np.pi * np.arange(rhs.shape[0]) / rhs.shape[0]) - 2)[:, None] + (2 * np.cos(np.pi * np.arange(rhs.shape[1]) / rhs.shape[1]) - 2)[None, :]
-    lam[0, 0] = 1
-    f /= lam
-    f[0, 0] = 0
-    return cy.T @ f @ cx
-
-
-def gradient_domain_map(a: np.ndarray, alpha: float = 0.1, beta: float = 0.8) -> np.ndarray:
-    """Tone mapping that attenuates large gradients of log luminance and integrates them again."""
-    h = np.log(np.maximum(a, 1e-4))
-    gx, gy = np.zeros_like(h), np.zeros_like(h)
-    gx[:, :-1], gy[:-1] = np.diff(h, axis=1), np.diff(h, axis=0)
-    size = np.hypot(gx, gy) + 1e-4
-    phi = (size / (alpha * size.mean() + 1e-9)) ** (beta - 1)
-    gx, gy = gx * phi, gy * phi
-    div = gx.copy()
-    div[:, 1:] -= gx[:, :-1]
-    div += gy
-    div[1:] -= gy[:-1]
-    u = np.exp(poisson(div))
-    lo, hi = np.percentile(u, 0.1), np.percentile(u, 99.9)
-    return np.clip((u - lo) / max(hi - lo, 1e-9), 0, 1)
-
-
 def false_color(r: np.ndarray, g: np.ndarray, b: np.ndarray, steps: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Median of both chroma planes, luminance kept."""
     y = 0.299 * r + 0.587 * g + 0.114 * b
@@ -270,25 +201,6 @@ def grain(shape: tuple[int, int], y0: int, x0: int, strength: float, scale: floa
     return strength * (top * (1 - ty) + low * ty)
 
 
-def defringe(l: np.ndarray, a: np.ndarray, b: np.ndarray, radius: float, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Chroma far from its blur is replaced by a mean of neighbours, weighted by how ordinary they are."""
-    da, db = a - gaussian(a, radius), b - gaussian(b, radius)
-    chroma = da * da + db * db
-    limit = threshold * chroma.mean()
-    r = max(1, int(2 * radius))
-    w = 1 / (chroma + limit / 33 + 1e-12)
-    pw, pa_, pb = _edge(w, r), _edge(a, r), _edge(b, r)
-    top_a, top_b, below = (np.zeros_like(a) for _ in range(3))
-    for dy in range(2 * r + 1):
-        for dx in range(2 * r + 1):
-            cut = (slice(dy, dy + a.shape[0]), slice(dx, dx + a.shape[1]))
-            top_a += pw[cut] * pa_[cut]
-            top_b += pw[cut] * pb[cut]
-            below += pw[cut]
-    hit = chroma > limit
-    return np.where(hit, top_a / below, a), np.where(hit, top_b / below, b)
-
-
 def inpaint(v: np.ndarray, clipped: np.ndarray) -> np.ndarray:
     """Clipped samples filled from their surroundings, nearest first, until no hole is left; without any other sample they
     stay.  The reach is unbounded: the halo must be the steps from the deepest clipped sample to the edge of its hole."""

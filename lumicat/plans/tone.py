@@ -8,6 +8,7 @@ from ..functions import curves
 from ..functions import formulas as S
 from ..operators import detail as K2
 from ..operators import exposure as E
+from ..operators import frames as FR
 from ..operators import geometry as G
 from ..operators import histogram as H
 from ..operators import mosaics as R
@@ -140,10 +141,10 @@ def edge_counts(spark, sf_dir):
 # ---- whole frames and tiles through array kernels: rows only; tests hold the kernels against properties
 
 
-def _kernel(name: str, columns: list[str], f, out: list[str], halo: int, size: int = 64, period: int = 1):
+def _kernel(name: str, columns: list[str], f, out: list[str], halo: int, size: int = 64, period: int = 1, placed: bool = False):
     @query(name=name)
     def run(spark, sf_dir):
-        rows = K.apply_kernel(px(spark, sf_dir), columns, f, out, size=size, halo=halo, period=period)
+        rows = K.apply_kernel(px(spark, sf_dir), columns, f, out, size=size, halo=halo, period=period, placed=placed)
         return rows.select("frame", "y", "x", *[rounded(c, 3).alias(c) for c in out])
 
     return run
@@ -152,24 +153,37 @@ def _kernel(name: str, columns: list[str], f, out: list[str], halo: int, size: i
 _kernel("tile_gaussian_recursive", ["r"], lambda r: {"o": K.recursive_gaussian(r, 3.0)}, ["o"], 16)
 _kernel("tile_bilateral", ["r"], lambda r: {"o": K.bilateral(r, 1.5, 8000.0)}, ["o"], 4, 16)
 _kernel("tile_deconvolution", ["r"], lambda r: {"o": K.richardson_lucy(r, 0.8, 10, 0.2)}, ["o"], 16)
-_kernel("tile_wavelet", ["r"], lambda r: {"o": K.wavelet_equalize(r, [1.4, 1.2, 1.0], [2.0, 1.0, 0.0])}, ["o"], 16)
-_kernel("tile_retinex", ["r"], lambda r: {"o": K.retinex(r, [2.0, 6.0])}, ["o"], 18)
-_kernel("tile_edge_preserving", ["r"], lambda r: {"o": K.compress_range(r, 0.2, 1.0, 0.6, 1.1)}, ["o"], 16)
-_kernel("tile_gradient_domain", ["r"], lambda r: {"o": K.gradient_domain_map(r)}, ["o"], 64)
 _kernel("tile_false_color", ["r", "g", "b"], lambda r, g, b: dict(zip(("r", "g", "b"), K.false_color(r, g, b, 2), strict=True)), ["r", "g", "b"], 4, 16)
-_kernel("tile_defringe", ["r", "g", "b"], lambda r, g, b: dict(zip(("a", "b"), K.defringe(r, g - 32768, b - 32768, 2.0, 1.3), strict=True)), ["a", "b"], 8)
 # the deepest hole of a frame of 50 x 60 leaves one corner: 49 + 59 steps
 _kernel("tile_inpaint", ["r"], lambda r: {"o": K.inpaint(r, r > 60000)}, ["o"], 108)
 _kernel("tile_pyramid", ["r"], lambda r: {"o": K2.pyramid_equalizer(r, [1.3, 1.1, 1.0], 500.0)}, ["o"], 16)
 _kernel("tile_edge_sharpen", ["r"], lambda r: {"o": K2.micro_contrast(K2.edge_sharpen(r, 0.2, 2), 0.3, 1.0)}, ["o"], 4, 16)
-_kernel("tile_line_denoise", ["v"], lambda v: {"o": K2.line_denoise(v, 2000.0)}, ["o"], 16)
-_kernel("tile_shrinkage", ["r"], lambda r: {"o": K2.shrink_coefficients(r, 3, 1.0)}, ["o"], 16)
-_kernel("tile_fringe", ["g", "r"], lambda g, r: {"o": K2.correct_fringe(g, r, 16)}, ["o"], 8)
-_kernel("tile_grain", ["r"], lambda r: {"o": r + K.grain(r.shape, 0, 0, 900.0, 3.0)}, ["o"], 0)
+_kernel("tile_grain", ["r"], lambda r, at: {"o": r + K.grain(r.shape, at.y0, at.x0, 900.0, 3.0)}, ["o"], 0, 16, placed=True)
 for _method, _f in R.METHODS.items():
     _kernel(f"{_method}_demosaic", ["v"], lambda v, f=_f: dict(zip("rgb", f(v), strict=True)), ["r", "g", "b"], 14, 16, 2)
 
 
+# ---- operators of whole frames, on several tiles a frame
+
+
+def _frames(name: str, f, out: list[str], sql: str | None = None):
+    @query(sql, name=name)
+    def run(spark, sf_dir):
+        return f(px(spark, sf_dir)).select("frame", "y", "x", *[rounded(c, 3).alias(c) for c in out])
+
+    return run
+
+
+_frames("tile_wavelet", lambda p: FR.wavelet_equalize(p, "r", "o", [1.4, 1.2, 1.0], [2.0, 1.0, 0.0], 16), ["o"])
+_frames("tile_retinex", lambda p: FR.retinex(p, "r", "o", [2.0, 6.0], size=16), ["o"])
+_frames("tile_edge_preserving", lambda p: FR.compress_range(p, "r", "o", 0.2, 1.0, 0.6, 1.1, 32, 16), ["o"])
+_frames("tile_gradient_domain", lambda p: FR.gradient_domain_map(p, "r", "o"), ["o"])
+_frames("tile_defringe", lambda p: FR.defringe(p.withColumns({"a": F.col("g") - 32768, "b": F.col("b") - 32768}), "a", "b", 2.0, 1.3, 16), ["a", "b"])
+_frames("tile_line_denoise", lambda p: FR.line_denoise(p, "v", "o", 2000.0), ["o"])
+_frames("tile_shrinkage", lambda p: FR.shrink_coefficients(p, "r", "o", 3, 1.0, 16), ["o"])
+_frames("tile_fringe", lambda p: FR.correct_fringe(p, "g", "r", "o", 16, size=32), ["o"])
+
+
 @query()
 def dehaze(spark, sf_dir):
     rows = O.dehaze(px(spark, sf_dir), 5, 0.6, 4)

@@ -239,19 +239,10 @@ def test_kernels():
     a = rng.uniform(50, 200, (40, 40))
     details, rest = tiles.a_trous(a, 4)
     assert np.allclose(sum(details) + rest, a)
-    assert np.allclose(tiles.wavelet_equalize(a, [1.0] * 3), a)
     assert np.allclose(tiles.recursive_gaussian(np.full((20, 20), 3.0), 4.0), 3.0)
     assert np.allclose(tiles.bilateral(np.full((9, 9), 3.0), 1.5, 10.0), 3.0)
     blurred = tiles.gaussian(a, 1.0)
     assert np.abs(tiles.richardson_lucy(blurred, 1.0, 20) - a)[5:-5, 5:-5].mean() < np.abs(blurred - a)[5:-5, 5:-5].mean()
-    u = rng.normal(size=(12, 16))
-    u -= u.mean()
-    p = np.pad(u, 1, mode="edge")
-    lap = p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * u
-    assert np.allclose(tiles.poisson(lap), u)
-    smooth = tiles.edge_preserving(a, 5.0, 1.0)
-    assert smooth.std() < a.std()
-    assert np.allclose(tiles.compress_range(np.full((8, 8), 5.0), 1.0, 1.0, 0.5, 1.0), 5.0)
     n = tiles.grain((30, 30), 0, 0, 1.0, 4.0)
     assert np.allclose(n[10:20, 5:25], tiles.grain((10, 20), 10, 5, 1.0, 4.0)) and n.std() > 0.1
     hole = a.copy()
@@ -261,9 +252,6 @@ def test_kernels():
     deep[0, 0] = 7.0
     assert (tiles.inpaint(deep, deep == 9999) == 7).all()
     assert (tiles.inpaint(deep, deep > 0) == deep).all()
-    out = tiles.gradient_domain_map(np.exp(rng.normal(size=(20, 20)) * 2))
-    assert 0 <= out.min() and out.max() <= 1
-    assert tiles.retinex(a, [2.0, 5.0]).shape == a.shape
     assert np.allclose(tiles.false_color(a, a, a)[1], a)
 
 
@@ -275,19 +263,11 @@ def test_detail_kernels():
     assert np.allclose(detail.pyramid_equalizer(a, [1.0, 1.0, 1.0]), a)
     assert detail.pyramid_equalizer(a, [2.0]).std() > a.std()
     flat = np.full((20, 20), 7.0)
-    for f in (lambda v: detail.edge_sharpen(v, 0.5, 2), lambda v: detail.micro_contrast(v, 0.5, 1.0), lambda v: detail.line_denoise(v, 5.0), lambda v: detail.shrink_coefficients(v, 2, 1.0)):
+    for f in (lambda v: detail.edge_sharpen(v, 0.5, 2), lambda v: detail.micro_contrast(v, 0.5, 1.0)):
         assert np.allclose(f(flat), flat)
     y, x = np.indices((64, 64), dtype=float)
     clean = 100 + 20 * np.sin(y / 7) * np.cos(x / 9)
-    noisy = clean + rng.normal(0, 5, clean.shape)
-    assert np.abs(detail.shrink_coefficients(noisy, 3, 1.5) - clean).mean() < 0.8 * np.abs(noisy - clean).mean()
-    striped = np.full((64, 64), 100.0)
-    striped[::8] += 4
-    assert detail.line_denoise(striped, 10.0).std() < 0.3 * striped.std()
     assert np.allclose(detail.resample(clean, lambda yy, xx: (yy, xx)), clean)
-    moved = detail.resample(clean, lambda yy, xx: (np.clip(yy + 0.7, 0, 63), np.clip(xx - 0.4, 0, 63)))
-    fixed = detail.correct_fringe(clean, moved, 16)
-    assert np.abs(fixed - clean)[8:-8, 8:-8].mean() < 0.5 * np.abs(moved - clean)[8:-8, 8:-8].mean()
     ring = np.zeros((9, 9), bool)
     ring[2:7, 2:7] = True
     ring[3:6, 3:6] = False
