@@ -79,5 +79,5 @@ def demosaic(px: DataFrame, value: str, method: str = "bilinear", contrast: floa
     if method not in METHODS and method != "dual":
         raise ValueError(f"no method {method}")
     kernel = METHODS["adaptive" if method == "dual" else method]
-    fine = apply_kernel(px, [value], lambda v: dict(zip("rgb", kernel(v), strict=True)), ["r", "g", "b"], halo=8)
+    fine = apply_kernel(px, [value], lambda v: dict(zip("rgb", kernel(v), strict=True)), ["r", "g", "b"], halo=14, period=2)
     return fine if method != "dual" else blend(fine, bilinear(px.drop("r", "g", "b"), value), blend_mask(px, value, "w", contrast))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import curves
 from ..functions import formulas as S
+from ..operators import demosaic as D
 from ..operators import detail as K2
 from ..operators import exposure as E
 from ..operators import frames as FR
@@ -14,7 +15,9 @@ from ..operators import histogram as H
 from ..operators import mosaics as R
 from ..operators import tiles as K
 from ..operators import tone as O
+from ..operators import window as N
 from . import tables as T
+from . import tile_sql as Q
 from .raster import _HIST, HEIGHT, PX, WIDTH, _box_sql, _hist, _near_sql, px
 from .registry import query, rounded, sql_rounded
 
@@ -40,6 +43,27 @@ def blend_highlights(spark, sf_dir):
     return px(spark, sf_dir).select("frame", "y", "x", *[rounded(F.expr(e), 3).alias(f"o_{c}") for c, e in zip("rgb", S.highlight_luminance("r", "g", "b", S.num(60000)), strict=True)])
 
 
+@query(Q.BLEND_HIGHLIGHTS)
+def blend_highlight_columns(spark, sf_dir):
+    made = O.blend_highlights(F.col("r"), F.col("g"), F.col("b"), 60000.0)
+    return px(spark, sf_dir).select("frame", "y", "x", *[rounded(e, 3).alias(f"o_{c}") for c, e in zip("rgb", made, strict=True)])
+
+
+@query(Q.GREEN_LOCAL)
+def green_equilibrate_local(spark, sf_dir):
+    return N.green_equilibrate_local(px(spark, sf_dir), "v", "o", 0.6).select("frame", "y", "x", rounded("o", 6).alias("v"))
+
+
+@query(Q.XTRANS_FAST)
+def xtrans_fast(spark, sf_dir):
+    return D.xtrans_fast(px(spark, sf_dir), "v").select("frame", "y", "x", *[rounded(c, 6).alias(c) for c in "rgb"])
+
+
+@query(Q.MONO)
+def mono_demosaic(spark, sf_dir):
+    return D.demosaic(px(spark, sf_dir), "v", "mono").select("frame", "y", "x", "r", "g", "b")
+
+
 @query(f"""with s as (select frame, y, sum(v) as s from {PX} group by 1, 2), n as (select *, lag(s) over w as a, lead(s) over w as b from s window w as (partition by frame order by y))
 select frame, y from n where y in (3, 9, 15, 21, 27, 33) and s > 1.01e0 * greatest(a, b)""")
 def line_artefacts(spark, sf_dir):
@@ -141,8 +165,8 @@ def edge_counts(spark, sf_dir):
 # ---- whole frames and tiles through array kernels: rows only; tests hold the kernels against properties
 
 
-def _kernel(name: str, columns: list[str], f, out: list[str], halo: int, size: int = 64, period: int = 1, placed: bool = False):
-    @query(name=name)
+def _kernel(name: str, columns: list[str], f, out: list[str], halo: int, size: int = 64, period: int = 1, placed: bool = False, sql: str | None = None):
+    @query(sql, name=name)
     def run(spark, sf_dir):
         rows = K.apply_kernel(px(spark, sf_dir), columns, f, out, size=size, halo=halo, period=period, placed=placed)
         return rows.select("frame", "y", "x", *[rounded(c, 3).alias(c) for c in out])
@@ -151,13 +175,13 @@ def _kernel(name: str, columns: list[str], f, out: list[str], halo: int, size: i
 
 
 _kernel("tile_gaussian_recursive", ["r"], lambda r: {"o": K.recursive_gaussian(r, 3.0)}, ["o"], 16)
-_kernel("tile_bilateral", ["r"], lambda r: {"o": K.bilateral(r, 1.5, 8000.0)}, ["o"], 4, 16)
+_kernel("tile_bilateral", ["r"], lambda r: {"o": K.bilateral(r, 1.5, 8000.0)}, ["o"], 4, 16, sql=Q.BILATERAL)
 _kernel("tile_deconvolution", ["r"], lambda r: {"o": K.richardson_lucy(r, 0.8, 10, 0.2)}, ["o"], 16)
-_kernel("tile_false_color", ["r", "g", "b"], lambda r, g, b: dict(zip(("r", "g", "b"), K.false_color(r, g, b, 2), strict=True)), ["r", "g", "b"], 4, 16)
+_kernel("tile_false_color", ["r", "g", "b"], lambda r, g, b: dict(zip(("r", "g", "b"), K.false_color(r, g, b, 2), strict=True)), ["r", "g", "b"], 4, 16, sql=Q.FALSE_COLOR)
 # the deepest hole of a frame of 50 x 60 leaves one corner: 49 + 59 steps
 _kernel("tile_inpaint", ["r"], lambda r: {"o": K.inpaint(r, r > 60000)}, ["o"], 108)
-_kernel("tile_pyramid", ["r"], lambda r: {"o": K2.pyramid_equalizer(r, [1.3, 1.1, 1.0], 500.0)}, ["o"], 16)
-_kernel("tile_edge_sharpen", ["r"], lambda r: {"o": K2.micro_contrast(K2.edge_sharpen(r, 0.2, 2), 0.3, 1.0)}, ["o"], 4, 16)
+_kernel("tile_pyramid", ["r"], lambda r: {"o": K2.pyramid_equalizer(r, [1.3, 1.1, 1.0], 500.0)}, ["o"], 16, sql=Q.PYRAMID)
+_kernel("tile_edge_sharpen", ["r"], lambda r: {"o": K2.micro_contrast(K2.edge_sharpen(r, 0.2, 2), 0.3, 1.0)}, ["o"], 4, 16, sql=Q.EDGE_SHARPEN)
 _kernel("tile_grain", ["r"], lambda r, at: {"o": r + K.grain(r.shape, at.y0, at.x0, 900.0, 3.0)}, ["o"], 0, 16, placed=True)
 for _method, _f in R.METHODS.items():
     _kernel(f"{_method}_demosaic", ["v"], lambda v, f=_f: dict(zip("rgb", f(v), strict=True)), ["r", "g", "b"], 14, 16, 2)
@@ -174,39 +198,39 @@ def _frames(name: str, f, out: list[str], sql: str | None = None):
     return run
 
 
-_frames("tile_wavelet", lambda p: FR.wavelet_equalize(p, "r", "o", [1.4, 1.2, 1.0], [2.0, 1.0, 0.0], 16), ["o"])
-_frames("tile_retinex", lambda p: FR.retinex(p, "r", "o", [2.0, 6.0], size=16), ["o"])
+_frames("tile_wavelet", lambda p: FR.wavelet_equalize(p, "r", "o", [1.4, 1.2, 1.0], [2.0, 1.0, 0.0], 16), ["o"], Q.WAVELET)
+_frames("tile_retinex", lambda p: FR.retinex(p, "r", "o", [2.0, 6.0], size=16), ["o"], Q.RETINEX)
 _frames("tile_edge_preserving", lambda p: FR.compress_range(p, "r", "o", 0.2, 1.0, 0.6, 1.1, 32, 16), ["o"])
 _frames("tile_gradient_domain", lambda p: FR.gradient_domain_map(p, "r", "o"), ["o"])
-_frames("tile_defringe", lambda p: FR.defringe(p.withColumns({"a": F.col("g") - 32768, "b": F.col("b") - 32768}), "a", "b", 2.0, 1.3, 16), ["a", "b"])
-_frames("tile_line_denoise", lambda p: FR.line_denoise(p, "v", "o", 2000.0), ["o"])
-_frames("tile_shrinkage", lambda p: FR.shrink_coefficients(p, "r", "o", 3, 1.0, 16), ["o"])
+_frames("tile_defringe", lambda p: FR.defringe(p.withColumns({"a": F.col("g") - 32768, "b": F.col("b") - 32768}), "a", "b", 2.0, 1.3, 16), ["a", "b"], Q.DEFRINGE)
+_frames("tile_line_denoise", lambda p: FR.line_denoise(p, "v", "o", 2000.0), ["o"], Q.LINE_DENOISE)
+_frames("tile_shrinkage", lambda p: FR.shrink_coefficients(p, "r", "o", 3, 1.0, 16), ["o"], Q.SHRINKAGE)
 _frames("tile_fringe", lambda p: FR.correct_fringe(p, "g", "r", "o", 16, size=32), ["o"])
 
 
-@query()
+@query(Q.DEHAZE)
 def dehaze(spark, sf_dir):
     rows = O.dehaze(px(spark, sf_dir), 5, 0.6, 4)
     return rows.select("frame", "y", "x", *[rounded(c, 3).alias(c) for c in "rgb"])
 
 
-@query()
+@query(Q.TONE_EQUALIZER)
 def tone_equalizer(spark, sf_dir):
     rows = O.tone_equalizer(px(spark, sf_dir), {"o_r": "r", "o_g": "g", "o_b": "b"}, [20.0, 10.0, 0.0, -10.0, -20.0], 3)
     return rows.select("frame", "y", "x", *[rounded(f"o_{c}", 3).alias(c) for c in "rgb"])
 
 
-@query()
+@query(Q.SHADOWS_HIGHLIGHTS)
 def shadows_highlights(spark, sf_dir):
     return O.shadows_highlights(px(spark, sf_dir), "r", "o", 4, 40.0, 30.0).select("frame", "y", "x", rounded("o", 3).alias("v"))
 
 
-@query()
+@query(Q.IMPULSE_DENOISE)
 def impulse_denoise(spark, sf_dir):
     return O.impulse_denoise(px(spark, sf_dir), "r", "o", 1.5, 4.0).select("frame", "y", "x", rounded("o", 3).alias("v"))
 
 
-@query()
+@query(Q.RECOVER_OPPOSED)
 def recover_opposed(spark, sf_dir):
     rows = O.recover_opposed(px(spark, sf_dir), 60000.0)
     return rows.select("frame", "y", "x", *[rounded(c, 3).alias(c) for c in "rgb"])
