@@ -332,3 +332,39 @@ def job_order(spark, sf_dir):
 @query(f"select image, event, last_access from (select image, event, max(seq) as last_access, row_number() over (partition by image order by max(seq) desc) as k from {EDITS} group by image, event) where k <= 3")
 def lru_keep(spark, sf_dir):
     return E.lru_keep(T.table(spark, sf_dir, T.EDITS), "image", "event", "seq", 3)
+
+
+# ---- files
+
+_MOVED = f"""with s as (select shot_id, file, shot_id % 7 = 3 as chosen from {SHOTS}),
+t as (select shot_id, file, 0 as new from s {{stay}} union all select shot_id, '/sorted/' || regexp_replace(file, '^.*/', ''), 1 from s where chosen),
+k as (select *, row_number() over (partition by file order by new, shot_id) - 1 as k from t)
+select shot_id, case when new = 0 or k = 0 then file when k < 100 then regexp_replace(file, '\\.[^.]*$', '') || '-' || cast(k as varchar) || regexp_extract(file, '\\.[^.]*$') end as file from k"""
+
+
+def _placed(spark, sf_dir, move: bool):
+    shots = T.table(spark, sf_dir, T.SHOTS)
+    return C.copy_or_move(shots, shots.where("shot_id % 7 = 3"), "/sorted/", move).select("shot_id", "file")
+
+
+@query(_MOVED.format(stay=""))
+def copy_files(spark, sf_dir):
+    return _placed(spark, sf_dir, False)
+
+
+@query(_MOVED.format(stay="where not chosen"))
+def move_files(spark, sf_dir):
+    return _placed(spark, sf_dir, True)
+
+
+@query(f"""with s as (select shot_id, file, regexp_extract(file, '^.*/') as folder, regexp_extract(file, '\\.[^.]*$') as ext from {SHOTS}),
+w as (select *, folder || case shot_id % 20 when 0 then 'new ' || cast(shot_id as varchar) || ext when 5 then 'tiff ' || cast(shot_id as varchar) || '.tif' when 15 then regexp_replace(file, '^.*/', '') end as wanted from s),
+r as (select *, wanted is not null and wanted not in (select file from {SHOTS}) as renamed from w)
+select shot_id, case when renamed then wanted else file end as file, renamed from r""")
+def rename_files(spark, sf_dir):
+    """New names without an extension inherit it; a folder in the name and names that exist are rejected."""
+    shots, n = T.table(spark, sf_dir, T.SHOTS), F.col("shot_id") % 20
+    number = F.col("shot_id").cast("string")
+    name = F.when(n == 0, F.concat(F.lit("new "), number)).when(n == 5, F.concat(F.lit("tiff "), number, F.lit(".tif"))).when(n == 10, F.concat(F.lit("other/"), number)).when(n == 15, F.substring_index("file", "/", -1))
+    names = shots.where(n.isin(0, 5, 10, 15)).select("shot_id", name.alias("new_name"))
+    return C.rename(shots, names).select("shot_id", "file", "renamed")
