@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, media, ngram_join, packing, pii, secrets, token_files, toxicity
+from . import bpe, chat, divergence, exact_dedup, lexical, media, ngram_join, packing, pii, secrets, token_files, toxicity, warc
 from .common import scratch_root
 
 
@@ -118,7 +118,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (toxicity.fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted", F.col("spans").alias("toxic_spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_exact_dedup, op3_audio_features, op4_secret_scan, op5_token_files, op6_chat_format, op6_chat_order, op7_best_fit_packing, op8_byte_bpe, op9_pii_spans, op10_toxicity)}
+def op11_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    path = f"{scratch_root(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archive(warc.page_records(table(spark, sf_dir, "pages")), path)
+    rows = warc.read_archive(spark, path)
+    return rows.select(F.col("id").alias("page_id"), F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), warc.field("WARC-Type").alias("record_type"), "refers_to")
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_exact_dedup, op3_audio_features, op4_secret_scan, op5_token_files, op6_chat_format, op6_chat_order, op7_best_fit_packing, op8_byte_bpe, op9_pii_spans, op10_toxicity, op11_warc_archive, op12_source_divergence, op13_ranked_search)}
 
 _SPACES = r"[\x20\x09-\x0D]"
 _BREAKS = [(c, f"{c[0]}\\{c[1:]}") for c in chat.CONTROLS]
@@ -168,4 +185,32 @@ cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as lo
 sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
 cast(sum(length({_escaped('text')}) + {_marks()}) as bigint) as formatted_chars
 from c group by conv_id""",
+    "op11_warc_archive": """
+with p as (select page_id, encode(coalesce(html, '')) as b from pages),
+w as (select page_id, octet_length(b) as n, sha256(b) as d, first_value(page_id) over h as lead, row_number() over h as i from p window h as (partition by b order by page_id nulls first))
+select page_id, n as payload_bytes, d as payload_digest, case when n >= 100 and i > 1 then 'revisit' else 'response' end as record_type, case when n >= 100 and i > 1 then lead end as refers_to from w""",
+    "op12_source_divergence": r"""
+with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+w as (select r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+k as (select lang, term, count(*) as total from w group by all having count(distinct r) >= 10),
+c as (select lang, source, term, count(*) as n from w group by all),
+g as (select distinct lang, source from d),
+x as (select g.lang, g.source, k.term, k.total, coalesce(c.n, 0) as n from g join k on k.lang = g.lang left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+s as (select *, 1 + (1000000000::hugeint * (n + 2)) // (sum(n) over a + 2 * count(*) over a) as p, 1 + (1000000000::hugeint * (total + 2)) // (sum(total) over a + 2 * count(*) over a) as q from x window a as (partition by lang, source)),
+f as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as v from s a join s b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+o as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(f.v, 0) as value from g a join g b on a.lang = b.lang and a.source <> b.source left join f on f.lang = a.lang and f.source = a.source and f.item = b.source
+union all select lang, source, 'term', term, (p - q) * (p - q) // (p + q) from s where n > 0 and p > q),
+z as (select *, row_number() over (partition by lang, source, part order by value desc, encode(item)) as rank from o)
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as int) as rank from z where part = 'pair' or rank <= 10""",
+    "op13_ranked_search": r"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as t from documents),
+i as (select row_number() over () as i, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+q as (select i, item_id, term, count(*) as times from i group by all),
+a as (select count(*)::hugeint as n, sum(len(t))::hugeint as total from d where len(t) > 0),
+p as (select r, term, count(*) as tf from (select r, unnest(t) as term from d) where term in (select term from q) group by all),
+w as (select term, cast(floor(1000 * ln((2 * n + 2)::double / (2 * count(*) + 1)::double)) as bigint) as w from p, a group by term, n),
+m as (select r, doc_id, 75 + (25 * len(t) * n) // total as m from d, a where len(t) > 0),
+s as (select q.i, q.item_id, m.doc_id, m.r, sum(q.times * w.w * (1000000000::hugeint * p.tf // (1000 * p.tf + 12 * m.m))) as score from q join w using (term) join p using (term) join m using (r) group by all),
+z as (select *, row_number() over (partition by i order by score desc, doc_id nulls first) as rank from s where score > 0)
+select item_id, cast(rank as int) as rank, doc_id, cast(score as bigint) as score from z where rank <= 20""",
 }
