@@ -16,11 +16,10 @@ from __future__ import annotations
 import heapq
 from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +34,8 @@ BLOCK = 400_000
 SHARD = 1_000_000
 #: Pairs of sources that a task works on at a time, and sums it holds before it hands them on.
 PAIRS, HELD = 1_000_000, 500_000
+#: Rows of a window of merged runs, about.
+WINDOW = 100_000
 #: Frequencies are parts of so many.
 SCALE = 1_000_000_000
 
@@ -103,19 +104,70 @@ def _spill(rows: DataFrame, block: int) -> DataFrame:
     return rows.mapInArrow(lean(index), _RUN)
 
 
+def _key(rows: pa.RecordBatch, at: int) -> tuple[bytes, bytes]:
+    return rows["lang"][at].as_py().encode(), rows["term"][at].as_py().encode()
+
+
+def _windows(runs: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of sorted runs in windows of keys, in order: the rows of a key are in one window.
+
+    A heap holds, of each run, the key some rows ahead; the smallest bounds the next window, and each run gives its rows up to
+    there.
+    """
+    at, step = [0] * len(runs), max(1, WINDOW // max(1, len(runs)))
+    ahead = lambda r, k: min(k + step, runs[r].num_rows)
+    heap = [(_key(run, ahead(r, 0) - 1), r, ahead(r, 0)) for r, run in enumerate(runs) if run.num_rows]
+    heapq.heapify(heap)
+    while heap:
+        taken, bound = 0, None
+        while heap and taken < WINDOW:
+            bound, r, end = heapq.heappop(heap)
+            taken += step
+            if end < runs[r].num_rows:
+                heapq.heappush(heap, (_key(runs[r], ahead(r, end) - 1), r, ahead(r, end)))
+        parts = []
+        for r, run in enumerate(runs):
+            lo, hi = at[r], run.num_rows
+            while lo < hi:  # the first row behind the bound
+                mid = (lo + hi) // 2
+                lo, hi = (mid + 1, hi) if _key(run, mid) <= bound else (lo, mid)
+            if lo > at[r]:
+                parts.append(run.slice(at[r], lo - at[r]))
+                at[r] = lo
+        if parts:
+            yield pa.concat_batches(parts)
+
+
+def _summed(rows: pa.RecordBatch, least: int) -> pa.RecordBatch:
+    """One row a key of at least so many documents, its sources in order."""
+    # a term has no zero byte, so the last one of a key ends its language
+    keys = pc.binary_join_element_wise(rows["lang"], rows["term"], "\0").dictionary_encode().indices.to_numpy()
+    docs = np.zeros(int(keys.max(initial=-1)) + 1, np.int64)
+    np.add.at(docs, keys, rows["docs"].to_numpy())
+    kept = np.flatnonzero(docs >= least)
+    mine = rows.filter(pa.array(docs[keys] >= least))
+    keys_kept = keys[docs[keys] >= least]
+    sizes = np.diff(mine["sources"].offsets.to_numpy())
+    sources = mine["sources"].flatten().dictionary_encode()
+    names = sorted(enumerate(sources.dictionary.to_pylist()), key=lambda x: x[1].encode())
+    place = np.zeros(len(names), np.int64)
+    place[[i for i, _ in names]] = np.arange(len(names))
+    width = max(1, len(names))
+    cells, cell = np.unique(np.repeat(keys_kept, sizes) * width + place[sources.indices.to_numpy()], return_inverse=True)
+    counts = np.zeros(len(cells), np.int64)
+    np.add.at(counts, cell, mine["counts"].flatten().to_numpy())
+    offsets = np.append(np.searchsorted(cells, kept * width), len(cells))
+    _, first = np.unique(keys_kept, return_index=True)
+    first = pa.array(first)
+    ordered = pa.array([n for _, n in names], pa.string()).take(pa.array(cells % width))
+    return pa.RecordBatch.from_arrays([mine["lang"].take(first), mine["term"].take(first), pa.array(docs[kept]), _lists(offsets, ordered), _lists(offsets, pa.array(counts))], names=["lang", "term", "docs", "sources", "counts"])
+
+
 def _merge(runs: DataFrame, least: int, shard: int) -> DataFrame:
     """One row for each (language, term) in ``least`` documents or more."""
     postings = runs.agg(F.coalesce(F.sum(F.size("sources")), F.lit(0))).first()[0]
     shards = max(partitions(runs.sparkSession), -(-postings // shard))
 
-    def rows_of(parts: list[pa.RecordBatch]) -> Iterator[tuple]:
-        for part in parts:
-            for piece in slices(part, 500_000):
-                yield from zip(*(piece[c].to_pylist() for c in ("lang", "term", "docs", "sources", "counts")), strict=True)
-
-    def order(part: pa.RecordBatch, at: int) -> tuple[bytes, bytes]:
-        return part["lang"][at].as_py().encode(), part["term"][at].as_py().encode()
-
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[list[pa.RecordBatch]] = []  # sorted runs of this shard
         latest: dict[int, list[pa.RecordBatch]] = {}
@@ -127,32 +179,13 @@ def _merge(runs: DataFrame, least: int, shard: int) -> DataFrame:
                     continue
                 part = batch.slice(lo, hi - lo)
                 known = latest.get(int(run[lo]))
-                if known and order(known[-1], known[-1].num_rows - 1) <= order(part, 0):
+                if known and _key(known[-1], known[-1].num_rows - 1) <= _key(part, 0):
                     known.append(part)
                 else:  # a new run, or a part that came out of order: a run of its own
                     latest[int(run[lo])] = parts = [part]
                     found.append(parts)
-        out: list[tuple] = []
-        merged = heapq.merge(*map(rows_of, found), key=lambda r: (r[0].encode(), r[1].encode()))
-        for (lang, term), same in groupby(merged, key=itemgetter(0, 1)):
-            docs, counts = 0, {}
-            for _, _, d, sources, ns in same:
-                docs += d
-                for s, n in zip(sources, ns, strict=True):
-                    counts[s] = counts.get(s, 0) + n
-            if docs >= least:
-                names = sorted(counts, key=str.encode)
-                out.append((lang, term, docs, names, [counts[s] for s in names]))
-            if len(out) >= 5000:
-                yield packed(out)
-                out = []
-        if out:
-            yield packed(out)
-
-    types = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
-
-    def packed(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["lang", "term", "docs", "sources", "counts"])
+        for window in _windows([pa.concat_batches(parts) for parts in found]):
+            yield _summed(window, least)
 
     dealt = runs.withColumn("shard", F.pmod(F.xxhash64("lang", "term"), F.lit(shards)).cast("int"))
     return dealt.repartitionById(shards, F.col("shard")).drop("shard").mapInArrow(lean(merge), _MERGED)
