@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import log2
 
 from pyspark.sql import Column, DataFrame
@@ -17,7 +18,6 @@ HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "entropy")
 #: Strings whose windows are measured: long, with letters and digits.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 #: Character class -> (what the whole string must match, window, least entropy of its best window in bits).  The first
 #: that matches counts.
 CLASSES = {
@@ -31,6 +31,16 @@ ALLOWED = (r"(?i)example|placeholder|dummy|changeme", r"(?i)(x{4}|0{6}|1{6})", r
 _SPAN = "array<struct<start:long,rank:int,stop:long,text:string>>"
 
 
+#: Matches that one fold gathers, and characters of a piece of a candidate: folds copy what they have gathered, and a
+#: substring is found by walking to it, so both are kept short and long texts cost as many times more as they are longer.
+GATHERED, PIECE = 64, 200
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once: a lambda's variable, where an expression would be computed at each use."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def spans(text: Column, pattern: str, rank: int, value_group: int | None = None, least: int = 0) -> Column:
     """(start, rank, stop, text) of the leftmost non-overlapping matches, in code points.
 
@@ -39,7 +49,7 @@ def spans(text: Column, pattern: str, rank: int, value_group: int | None = None,
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)) if value_group else found
-    parts = F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("b"), found.alias("f"), value.alias("v"))
+    parts = bound(found, lambda f: F.arrays_zip(F.slice(between, F.lit(1), F.size(f)).alias("b"), f.alias("f"), (value if value_group else f).alias("v")))
 
     def add(s: Column, x: Column) -> Column:
         start = s["at"] + F.length(x["b"])
@@ -47,33 +57,51 @@ def spans(text: Column, pattern: str, rank: int, value_group: int | None = None,
         one = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), stop.alias("stop"), x["f"].alias("text")))
         return F.struct(stop.alias("at"), (F.when(F.length(x["v"]) >= least, F.concat(s["out"], one)).otherwise(s["out"]) if least else F.concat(s["out"], one)).alias("out"))
 
-    return F.aggregate(parts, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPAN).alias("out")), add, lambda s: s["out"])
+    def in_groups(parts: Column) -> Column:
+        first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPAN).alias("out"))
+        groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / GATHERED).cast("int")), lambda k: F.aggregate(F.slice(parts, k * GATHERED + 1, F.lit(GATHERED)), first, add))
+        return F.when(F.size(parts) > 0, bound(groups, placed)).otherwise(F.array().cast(_SPAN))
 
+    def placed(groups: Column) -> Column:
+        """The groups' spans moved by the lengths of the groups before."""
+        ends = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("starts"))
+        starts = F.aggregate(groups, ends, lambda s, g: F.struct((s["at"] + g["at"]).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")), lambda s: s["starts"])
+        moved = lambda g, by: F.transform(g["out"], lambda x: F.struct((x["start"] + by).alias("start"), x["rank"].alias("rank"), (x["stop"] + by).alias("stop"), x["text"].alias("text")))
+        return F.flatten(F.zip_with(groups, starts, moved))
 
-def best_entropy(candidate: Column, window: int) -> Column:
-    """The largest Shannon entropy of a window, by counts that each step changes in two places."""
+    return bound(parts, in_groups)
+
+
+def best_entropy(candidate: Column, window: int, enough: float = float("inf")) -> Column:
+    """The largest Shannon entropy of a window (0 without a whole window), by incremental counts: each step needs the count of
+    the character that leaves and of the one that enters.  Where a window has ``enough``, the rest isn't measured."""
     term = F.array(*[F.lit(0.0 if c < 2 else c * log2(c)) for c in range(window + 1)])
-    symbols = F.transform(F.split(candidate, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
-    moves = F.transform(symbols, lambda c, i: F.struct(c.alias("into"), F.when(i >= window, F.get(symbols, i - window)).otherwise(-1).alias("out")))
+    pieces = F.regexp_extract_all(candidate, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    # each piece with the beginning of the next one, so that every window lies in a piece
+    whole = bound(pieces, lambda p: F.zip_with(p, F.concat(F.slice(p, F.lit(2), F.size(p)), F.array(F.lit(""))), lambda a, b: F.concat(a, F.substring(b, 1, window - 1))))
+    count = lambda inside, c: F.length(inside) - F.length(F.replace(inside, c, F.lit("")))
+
+    def of_piece(best: Column, piece: Column) -> Column:
+        def step(s: Column, i: Column) -> Column:
+            old, new = F.substring(piece, i - window, F.lit(1)), F.substring(piece, i, F.lit(1))
+            stay = F.substring(piece, F.greatest(i - window + 1, F.lit(1)), F.least(i - 1, F.lit(window - 1)))
+            leaves, enters = count(stay, old) + 1, count(stay, new)
+            out = F.when(i > window, F.get(term, leaves - 1) - F.get(term, leaves)).otherwise(F.lit(0.0))
+            total = s["total"] + out + F.get(term, enters + 1) - F.get(term, enters)
+            bits = F.when(i >= window, F.lit(log2(window)) - total / window).otherwise(F.lit(0.0))
+            return F.when(s["best"] >= enough, s).otherwise(F.struct(total.alias("total"), F.greatest(s["best"], bits).alias("best")))
 
-    def step(s: Column, m: Column) -> Column:
-        leaves = F.when(m["out"] >= 0, F.get(s["counts"], m["out"])).otherwise(1)
-        enters = F.get(s["counts"], m["into"]) - F.when(m["out"] == m["into"], 1).otherwise(0)
-        total = s["total"] - F.get(term, leaves) + F.get(term, leaves - 1) - F.get(term, enters) + F.get(term, enters + 1)
-        counts = F.transform(s["counts"], lambda c, i: c + F.when(i == m["into"], 1).otherwise(0) - F.when(i == m["out"], 1).otherwise(0))
-        size = F.least(s["n"] + 1, F.lit(window))
-        bits = F.when(s["n"] + 1 >= window, F.lit(log2(window)) - total / window).otherwise(F.lit(0.0))
-        return F.struct(counts.alias("counts"), total.alias("total"), size.alias("n"), F.greatest(s["best"], bits).alias("best"))
+        start = F.struct(F.lit(0.0).alias("total"), best.alias("best"))
+        return F.aggregate(F.sequence(F.lit(1), F.length(piece)), start, step, lambda s: s["best"])
 
-    zero = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0.0).alias("total"), F.lit(0).alias("n"), F.lit(0.0).alias("best"))
-    return F.aggregate(moves, zero, step, lambda s: s["best"])
+    return F.aggregate(whole, F.lit(0.0), lambda best, piece: F.when((best >= enough) | (F.length(piece) < window), best).otherwise(of_piece(best, piece)))
 
 
 def is_random(candidate: Column, classes: dict = CLASSES, allowed: tuple = ALLOWED) -> Column:
     """Whether a candidate's best window reaches its class's entropy and no allow-list entry covers it."""
     out = F.lit(False)
     for pattern, window, least in reversed(list(classes.values())):
-        out = F.when(F.rlike(candidate, F.lit(pattern)), best_entropy(candidate, window) >= least).otherwise(out)
+        out = F.when(F.rlike(candidate, F.lit(pattern)), best_entropy(candidate, window, least) >= least).otherwise(out)
     quiet = F.lit(False)
     for pattern in allowed:
         quiet = quiet | F.rlike(candidate, F.lit(pattern))
