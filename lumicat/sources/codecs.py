@@ -1,7 +1,7 @@
 """Image containers as bytes: PNG, portable pixmaps, TIFF, and the metadata directory of TIFF and JPEG files.
 
 Decoders give (height, width, channels) arrays; encoders take them.  Only the standard library and numpy are used.
-Baseline JPEG is in ``jpeg``; what needs another codec (JPEG XL, camera raw pixels) raises ``Unsupported``.
+JPEG is in ``jpeg``, camera raw files in ``raw``; what needs another codec (JPEG XL) raises ``Unsupported``.
 """
 
 from __future__ import annotations

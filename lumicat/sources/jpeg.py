@@ -1,7 +1,8 @@
-"""Baseline JPEG: sequential Huffman coding of 8-bit samples, grey or YCbCr, with or without subsampled chroma.
+"""JPEG: Huffman coding of 8-bit samples, grey or YCbCr, with or without subsampled chroma.
 
-The decoder reads what cameras embed as previews; progressive and arithmetic files raise.  The encoder makes its own
-Huffman tables from the picture's symbols and quantisation tables from a rule.
+The decoder reads sequential and progressive files, of one scan or many; arithmetic, lossless and 12-bit files raise.  The
+encoder writes sequential files; it makes its own Huffman tables from the picture's symbols and quantisation tables from a
+rule.
 """
 
 from __future__ import annotations
@@ -51,20 +52,34 @@ def _lookup(counts: bytes, symbols: bytes) -> tuple[list[int], list[int]]:
 def decode_jpeg(raw: bytes) -> np.ndarray:
     """(height, width, 3) samples; grey is repeated.  Damaged and unsupported files raise ``UnsupportedJpeg``."""
     try:
-        return _decode(raw)
-    except (IndexError, KeyError, TypeError, struct.error) as e:
+        return _render(*coefficients(raw))
+    except UnsupportedJpeg:
+        raise
+    except (ValueError, IndexError, KeyError, TypeError, struct.error) as e:
         raise UnsupportedJpeg("damaged file") from e
 
 
-def _decode(raw: bytes) -> np.ndarray:
+Frame = tuple[int, int, list[tuple[int, int, int, int]]]
+
+
+def coefficients(raw: bytes) -> tuple[Frame, dict[int, np.ndarray], dict[int, np.ndarray]]:
+    """((height, width, components), blocks of 64 coefficients by component, quantisation tables): all scans of a file, in
+    which each component may come by itself and, in progressive files, in parts of its spectrum and bit by bit."""
     if raw[:2] != b"\xff\xd8":
         raise UnsupportedJpeg("not a JPEG file")
-    at, quant, tables, frame, restart = 2, {}, {}, None, 0
+    at, quant, tables, frame, restart, progressive, scans = 2, {}, {}, None, 0, False, 0
+    planes: dict[int, np.ndarray] = {}
     while True:
+        if raw[at : at + 2] == b"\xff\xd9" or at + 4 > len(raw) and scans:
+            break
         if at + 4 > len(raw) or raw[at] != 0xFF:
             raise UnsupportedJpeg("damaged file")
+        if raw[at + 1] == 0xFF:
+            at += 1
+            continue
         kind, n = raw[at + 1], struct.unpack_from(">H", raw, at + 2)[0]
         body = raw[at + 4 : at + 2 + n]
+        at += 2 + n
         if kind == 0xDB:
             k = 0
             while k < len(body):
@@ -78,30 +93,37 @@ def _decode(raw: bytes) -> np.ndarray:
                 size = sum(counts)
                 tables[body[k]] = _lookup(counts, body[k + 17 : k + 17 + size])
                 k += 17 + size
-        elif kind in (0xC0, 0xC1):
+        elif kind in (0xC0, 0xC1, 0xC2):
             bits, h, w, parts = struct.unpack_from(">BHHB", body)
             if bits != 8:
                 raise UnsupportedJpeg("only 8 bits")
+            progressive = kind == 0xC2
             frame = (h, w, [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(parts)])
-        elif 0xC2 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
-            raise UnsupportedJpeg("only baseline files")
+            hmax, vmax = (max(p[k] for p in frame[2]) for k in (1, 2))
+            planes = {name: np.zeros((-(-h // (8 * vmax)) * vs, -(-w // (8 * hmax)) * hs, 64), np.int32) for name, hs, vs, _ in frame[2]}
+        elif 0xC3 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
+            raise UnsupportedJpeg("only baseline and progressive files")
         elif kind == 0xDD:
             restart = struct.unpack(">H", body)[0]
         elif kind == 0xDA:
-            break
-        at += 2 + n
-    scan = {body[1 + 2 * i]: (body[2 + 2 * i] >> 4, 16 + (body[2 + 2 * i] & 15)) for i in range(body[0])}
-    return _scan(raw, at + 2 + n, frame, scan, quant, tables, restart)
+            chosen = [(body[1 + 2 * i], body[2 + 2 * i] >> 4, 16 + (body[2 + 2 * i] & 15)) for i in range(body[0])]
+            first, last, bits = body[1 + 2 * body[0] :]
+            segments, at = _segments(raw, at)
+            grid = _grid(frame, chosen)
+            if progressive:
+                _progressive(segments, grid, planes, tables, restart, first, last, bits >> 4, bits & 15)
+            else:
+                _sequential(segments, grid, planes, tables, restart)
+            scans += 1
+    if not scans:
+        raise UnsupportedJpeg("no picture")
+    return frame, planes, quant
 
 
-def _scan(raw: bytes, at: int, frame, scan, quant, tables, restart: int) -> np.ndarray:
-    h, w, parts = frame
-    hmax, vmax = max(p[1] for p in parts), max(p[2] for p in parts)
-    across, down = -(-w // (8 * hmax)), -(-h // (8 * vmax))
-    planes = {p[0]: np.zeros((down * p[2], across * p[1], 64), np.int32) for p in parts}
-    segments, k = [], at
-    start = at
-    while k < len(raw) - 1:  # entropy-coded segments between restart markers
+def _segments(raw: bytes, at: int) -> tuple[list[bytes], int]:
+    """The coded bytes between restart markers, and where the next other marker is."""
+    segments, start, k = [], at, at
+    while k < len(raw) - 1:
         k = raw.find(b"\xff", k)
         if k < 0 or k + 1 >= len(raw):
             k = len(raw)
@@ -115,10 +137,28 @@ def _scan(raw: bytes, at: int, frame, scan, quant, tables, restart: int) -> np.n
         else:
             break
     segments.append(raw[start:k])
-    units = [(name, x, y, hs, vs, *scan[name]) for name, hs, vs, _ in parts for y in range(vs) for x in range(hs)]
-    mcu, total = 0, across * down
-    for segment in segments:
-        data = segment.replace(b"\xff\x00", b"\xff") + b"\0" * 8
+    return [s.replace(b"\xff\x00", b"\xff") + b"\0" * 8 for s in segments], k
+
+
+def _grid(frame: Frame, chosen: list[tuple[int, int, int]]) -> tuple[int, int, list[tuple[int, int, int, int, int, int, int]]]:
+    """Units across, units in all, and the blocks of a unit: (component, x, y, blocks across, blocks down, tables).  A scan of one
+    component goes block by block over the blocks that hold samples."""
+    h, w, parts = frame
+    size = {name: (hs, vs) for name, hs, vs, _ in parts}
+    hmax, vmax = (max(p[k] for p in parts) for k in (1, 2))
+    if len(chosen) == 1:
+        name, dc, ac = chosen[0]
+        hs, vs = size[name]
+        across, down = -(-(-(-w * hs // hmax)) // 8), -(-(-(-h * vs // vmax)) // 8)
+        return across, across * down, [(name, 0, 0, 1, 1, dc, ac)]
+    across, down = -(-w // (8 * hmax)), -(-h // (8 * vmax))
+    return across, across * down, [(name, x, y, *size[name], dc, ac) for name, dc, ac in chosen for y in range(size[name][1]) for x in range(size[name][0])]
+
+
+def _sequential(segments: list[bytes], grid, planes: dict[int, np.ndarray], tables, restart: int) -> None:
+    across, total, units = grid
+    mcu = 0
+    for data in segments:
         bits, acc, pos = 0, 0, 0
         last = dict.fromkeys(planes, 0)
         for _ in range(min(restart or total, total - mcu)):
@@ -157,6 +197,116 @@ def _scan(raw: bytes, at: int, frame, scan, quant, tables, restart: int) -> np.n
                     block[ZIGZAG[k]] = v
                     k += 1
             mcu += 1
+
+
+class _Bits:
+    """Bits of a segment, from the highest on."""
+
+    def __init__(self, data: bytes):
+        self.data, self.at, self.end = data, 0, 8 * len(data)
+
+    def take(self, n: int) -> int:
+        if self.at + n > self.end:
+            raise UnsupportedJpeg("damaged data")
+        byte = self.at >> 3
+        word = int.from_bytes(self.data[byte : byte + 4].ljust(4, b"\0"), "big")
+        out = word >> (32 - n - (self.at & 7)) & ((1 << n) - 1)
+        self.at += n
+        return out
+
+    def symbol(self, table: tuple[list[int], list[int]]) -> int:
+        byte = self.at >> 3
+        word = int.from_bytes(self.data[byte : byte + 3].ljust(3, b"\0"), "big") >> (8 - (self.at & 7)) & 0xFFFF
+        if table[0][word] < 0 or self.at + table[1][word] > self.end:
+            raise UnsupportedJpeg("damaged data")
+        self.at += table[1][word]
+        return table[0][word]
+
+    def signed(self, n: int) -> int:
+        v = self.take(n) if n else 0
+        return v - (1 << n) + 1 if n and v < 1 << (n - 1) else v
+
+
+def _progressive(segments: list[bytes], grid, planes: dict[int, np.ndarray], tables, restart: int, first: int, last: int, high: int, low: int) -> None:
+    """A scan of the coefficients ``first`` to ``last``: their bits from ``low`` on, or (``high`` not 0) one more bit of each."""
+    if first and len(grid[2]) > 1 or last > 63 or first > last:
+        raise UnsupportedJpeg("damaged file")
+    across, total, units = grid
+    mcu = 0
+    for data in segments:
+        bits, before, empty = _Bits(data), dict.fromkeys(planes, 0), 0
+        for _ in range(min(restart or total, total - mcu)):
+            row, col = divmod(mcu, across)
+            for name, bx, by, hs, vs, dc, ac in units:
+                block = planes[name][row * vs + by, col * hs + bx]
+                if not first and not high:
+                    before[name] += bits.signed(bits.symbol(tables[dc]))
+                    block[0] = before[name] << low
+                elif not first:
+                    block[0] |= bits.take(1) << low
+                elif empty and not high:
+                    empty -= 1
+                elif not high:
+                    empty = _first_bits(bits, block, tables[ac], first, last, low)
+                else:
+                    empty = _next_bit(bits, block, tables[ac], first, last, low, empty)
+            mcu += 1
+
+
+def _first_bits(bits: _Bits, block: np.ndarray, table, first: int, last: int, low: int) -> int:
+    """The first bits of a block's coefficients; how many blocks after it have none."""
+    k = first
+    while k <= last:
+        run, size = divmod(bits.symbol(table), 16)
+        if size:
+            k += run
+            if k > last:
+                raise UnsupportedJpeg("damaged data")
+            block[ZIGZAG[k]] = bits.signed(size) * (1 << low)
+        elif run < 15:
+            return (1 << run) + bits.take(run) - 1 if run else 0
+        else:
+            k += 15
+        k += 1
+    return 0
+
+
+def _next_bit(bits: _Bits, block: np.ndarray, table, first: int, last: int, low: int, empty: int) -> int:
+    """One more bit of the coefficients that aren't 0, and those that become 1 or -1 at this bit; how many blocks after this one
+    have none of the latter."""
+    unit, k = 1 << low, first
+
+    def refine(at: int) -> bool:
+        """Reads the bit of a coefficient that isn't 0; false for one that is."""
+        v = block[at]
+        if v and bits.take(1):
+            block[at] += unit if v > 0 else -unit
+        return bool(v)
+
+    while not empty and k <= last:
+        run, size = divmod(bits.symbol(table), 16)
+        if not size and run < 15:
+            empty = (1 << run) + (bits.take(run) if run else 0)
+            break
+        value = (unit if bits.take(1) else -unit) if size else 0
+        while k <= last:  # to the place behind ``run`` coefficients that are and stay 0
+            at = ZIGZAG[k]
+            k += 1
+            if not refine(at):
+                if not run:
+                    block[at] = value
+                    break
+                run -= 1
+    if empty:
+        for at in ZIGZAG[k : last + 1]:
+            refine(at)
+        return empty - 1
+    return 0
+
+
+def _render(frame: Frame, planes: dict[int, np.ndarray], quant: dict[int, np.ndarray]) -> np.ndarray:
+    h, w, parts = frame
+    hmax, vmax = (max(p[k] for p in parts) for k in (1, 2))
     out = []
     for name, hs, vs, q in parts:
         table = np.zeros(64, np.int32)
