@@ -67,15 +67,22 @@ def xtrans_fast(px: DataFrame, value: str) -> DataFrame:
 
 
 def demosaic(px: DataFrame, value: str, method: str = "bilinear", contrast: float = 0.0) -> DataFrame:
-    """By method: ``bilinear``, ``mono``, ``half``, ``xtrans_fast``; on tiles those of ``mosaics.METHODS``; ``dual``
-    (``adaptive`` where the contrast mask is high, bilinear elsewhere).  Others raise."""
+    """By method: ``bilinear``, ``mono``, ``half``, ``xtrans_fast``; on tiles those of ``mosaics.METHODS`` and ``texture``; for
+    six-by-six mosaics ``xtrans`` (three passes) and ``xtrans_one`` (one); ``dual`` (``adaptive`` where the contrast mask is
+    high, bilinear elsewhere).  Others raise."""
     simple = {"bilinear": bilinear, "mono": mono, "half": half_size, "xtrans_fast": xtrans_fast}
     if method in simple:
         return simple[method](px, value)
     from .mosaics import METHODS
+    from .textures import six_by_six, texture_aware
     from .tiles import apply_kernel
     from .tone import blend_mask
 
+    if method in ("xtrans", "xtrans_one"):
+        passes = 3 if method == "xtrans" else 1
+        return apply_kernel(px, [value], lambda v: dict(zip("rgb", six_by_six(v, passes), strict=True)), ["r", "g", "b"], size=252, halo=24 if passes == 3 else 12, period=6)
+    if method == "texture":
+        return apply_kernel(px, [value], lambda v: dict(zip("rgb", texture_aware(v), strict=True)), ["r", "g", "b"], halo=22, period=2)
     if method not in METHODS and method != "dual":
         raise ValueError(f"no method {method}")
     kernel = METHODS["adaptive" if method == "dual" else method]
