@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Callable, Sequence
+from math import log
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -95,16 +96,81 @@ def catmull_rom(points: Sequence[tuple[float, float]], steps: int = 64) -> Calla
     return linear([(x, min(1.0, max(0.0, y))) for x, y in out])
 
 
+def b_spline(points: Sequence[tuple[float, float]], weights: Sequence[float] | None = None, degree: int = 2) -> Callable[[float], float]:
+    """A rational B-spline over control points sorted by x, through the first and the last one; constant beyond them.
+
+    Knots are uniform between clamped ends.  The curve is a function of x where the controls' x rise; its parameter is found by
+    bisection, so values are exact and not read from a polyline.
+    """
+    pts = sorted(points)
+    if len(pts) <= degree:
+        return linear(pts)
+    w = list(weights) if weights else [1.0] * len(pts)
+    spans = len(pts) - degree
+    knots = [0.0] * degree + [float(i) for i in range(spans + 1)] + [float(spans)] * degree
+
+    def at(u: float) -> tuple[float, float]:
+        k = min(degree + int(u), len(pts) - 1)  # the knot span
+        basis = [1.0]
+        for d in range(1, degree + 1):  # each pass raises the degree of the basis functions of the span by one
+            grown = [0.0] * (d + 1)
+            for i, n in enumerate(basis):
+                low, high = knots[k - d + 1 + i], knots[k + 1 + i]
+                share = (u - low) / (high - low)
+                grown[i] += (1 - share) * n
+                grown[i + 1] += share * n
+            basis = grown
+        parts = [(n * w[i], *pts[i]) for n, i in zip(basis, range(k - degree, k + 1), strict=True)]
+        below = sum(n for n, _, _ in parts)
+        return sum(n * x for n, x, _ in parts) / below, sum(n * y for n, _, y in parts) / below
+
+    def value(t: float) -> float:
+        if t <= pts[0][0]:
+            return pts[0][1]
+        if t >= pts[-1][0]:
+            return pts[-1][1]
+        low, high = 0.0, float(spans)
+        for _ in range(60):
+            mid = (low + high) / 2
+            low, high = (mid, high) if at(mid)[0] < t else (low, mid)
+        return at((low + high) / 2)[1]
+
+    return value
+
+
+def _bend(x: float, low: float, high: float) -> float:
+    """A curve from (0, 0) to (1, 1) whose lower half hangs (``low`` 0) or rises (1), and the upper half by ``high``: the mean of
+    the four combinations, weighted by both."""
+    hang = lambda t: t**3 * (2 - t)
+    rise = lambda t: 1 - hang(1 - t)
+    half = lambda first, second: first(2 * x) / 2 if x <= 0.5 else 0.5 + second(2 * x - 1) / 2
+    shapes = {(0, 0): hang(x), (1, 1): rise(x), (0, 1): half(hang, rise), (1, 0): half(rise, hang)}
+    return sum((low if a else 1 - low) * (high if b else 1 - high) * y for (a, b), y in shapes.items())
+
+
 def parametric(highlights: float, lights: float, darks: float, shadows: float, splits: tuple[float, float, float] = (0.25, 0.5, 0.75)) -> Callable[[float], float]:
-    """Four sliders of -100..100 over regions between three splits: bell-shaped offsets that vanish at 0 and 1."""
-    centres = (splits[0] / 2, (splits[0] + splits[1]) / 2, (splits[1] + splits[2]) / 2, (splits[2] + 1) / 2)
+    """Four sliders of -100..100 over the regions between three splits.
+
+    Darks and lights bend the whole curve with the middle split at its centre; below what becomes of the centre, shadows bend
+    the curve around the first split, above it highlights around the last.  Powers bring each split to the middle of its
+    range, so regions may be unequal.
+    """
+    if not any((highlights, lights, darks, shadows)):
+        return lambda t: t
+    low, mid, top = (min(max(s, 0.001), 0.99) for s in splits)
+    sh, dk, lt, hl = ((v + 100) / 200 for v in (shadows, darks, lights, highlights))
+    to_half = lambda x: log(0.5) / log(x)  # noqa: E731  the power that brings x to one half
+    whole, under, over = to_half(mid), to_half(min(low / mid, 0.999)), to_half(max(min((top - mid) / (1 - mid), 0.999), 0.001))
+    centre = _bend(0.5, dk, lt) ** (1 / whole)
 
     def value(t: float) -> float:
-        y = t
-        for c, amount in zip(centres, (shadows, darks, lights, highlights), strict=True):
-            near = max(0.0, 1 - abs(t - c) / 0.35)
-            y += amount / 100 * 0.2 * near * near * (3 - 2 * near) * 4 * t * (1 - t)
-        return min(1.0, max(0.0, y))
+        if t <= 1e-14:
+            return 0.0
+        y = _bend(t**whole, dk, lt) ** (1 / whole)
+        if t < mid:
+            return centre * _bend((y / centre) ** under, sh, 0.5) ** (1 / under)
+        part = max(0.0, (y - centre) / (1 - centre))
+        return y if part**over < 1e-6 else centre + (1 - centre) * _bend(part**over, 0.5, hl) ** (1 / over)
 
     return value
 
@@ -124,7 +190,7 @@ def sampled(curve: Callable[[float], float], size: int = 256) -> list[float]:
 
 def in_gamma(curve: Callable[[float], float], size: int = 256) -> list[float]:
     """A curve applied in the display's transfer curve: to gamma, curve, back.  The identity gives an empty table."""
-    from math import exp, log
+    from math import exp
 
     up = lambda x: x * 12.92310 if x <= 0.003040 else 1.055 * exp(log(x) / 2.4) - 0.055
     down = lambda x: x / 12.92310 if x <= 0.039286 else exp(log((x + 0.055) / 1.055) * 2.4)

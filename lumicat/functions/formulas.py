@@ -282,6 +282,20 @@ def highlight_luminance(r: str, g: str, b: str, top: str) -> tuple[str, str, str
     return tuple(_case((hit, o), other=c) for o, c in zip(out, (r, g, b), strict=True))
 
 
+def highlight_lab(r: str, g: str, b: str, top: str, to_xyz: Matrix = XYZ_FROM_SRGB, from_xyz: Matrix = SRGB_FROM_XYZ) -> list[dict[str, str]]:
+    """Stages of columns to out_r, out_g, out_b: clipped colours keep the lightness of the unclipped ones and take the hue and
+    chroma (a and b of Lab) of the clipped ones.  Intermediates begin with ``k_``."""
+    cut = [f"least({c}, {top})" for c in (r, g, b)]
+    hit = f"({r} > {top} or {g} > {top} or {b} > {top})"
+    back = lambda t: f"(65535 * {_lab_inverse(t)})"
+    return [
+        {"k_y": row3(to_xyz[1], r, g, b), **{f"k_c{n}": row3(row, *cut) for n, row in zip("xyz", to_xyz, strict=True)}},
+        {"k_f": _lab_f("(k_y / 65535)"), **{f"k_f{n}": _lab_f(f"(k_c{n} / 65535)") for n in "xyz"}},
+        {"k_x": back("(k_f + k_fx - k_fy)"), "k_z": back("(k_f - k_fy + k_fz)")},
+        {f"out_{n}": _case((hit, row3(row, "k_x", "k_y", "k_z")), other=c) for n, c, row in zip("rgb", (r, g, b), from_xyz, strict=True)},
+    ]
+
+
 def lab_grid(l: str, a: str, b: str, a_low: float, a_high: float, b_low: float, b_high: float) -> tuple[str, str]:
     """Toning: a and b move linearly with lightness between a shadow and a highlight offset."""
     share = f"({l} / {num(32768)})"

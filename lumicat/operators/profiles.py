@@ -93,24 +93,3 @@ def spot_white_balance(px: DataFrame, spots: list[tuple[int, int]], size: int, t
     near = (F.col("x").between(F.col("sx") - half, F.col("sx") + half)) & (F.col("y").between(F.col("sy") - half, F.col("sy") + half))
     rows = px.where(F.greatest("r", "g", "b") < top).join(F.broadcast(table), near)  # the picked points: a few rows
     return rows.groupBy("frame").agg(*[F.avg(c).alias(c) for c in "rgb"], F.count("*").alias("n"))
-
-
-def correlated_temperature(px: DataFrame, temperatures: list[int], bins: int = 24) -> DataFrame:
-    """(frame, temperature): the illuminant that makes a frame's colours most like neutral-centred ones.
-
-    Pixels are binned by chromaticity (a table of bins a frame); each candidate's multipliers move the bins, and the
-    candidate with the least weighted spread around grey wins.
-    """
-    from ..functions import whitebalance
-
-    total = F.col("r") + F.col("g") + F.col("b")
-    cells = px.where(total > 0).select("frame", F.floor(F.col("r") / total * bins).alias("i"), F.floor(F.col("b") / total * bins).alias("j"))
-    cells = cells.groupBy("frame", "i", "j").agg(F.count("*").alias("n"))
-    rows = [(t, *whitebalance.multipliers(t)) for t in temperatures]
-    table = px.sparkSession.createDataFrame(rows, "temperature int, mr double, mg double, mb double")
-    joined = cells.crossJoin(F.broadcast(table))  # bins of a frame by candidates: bounded both ways
-    r, b = (F.col("i") + 0.5) / bins, (F.col("j") + 0.5) / bins
-    g = F.greatest(1 - r - b, F.lit(0.01))
-    x, y = F.log(r * F.col("mr") / (g * F.col("mg"))), F.log(b * F.col("mb") / (g * F.col("mg")))
-    spread = F.sum(F.sqrt(F.col("n")) * F.sqrt(x * x + y * y)) / F.sum(F.sqrt(F.col("n")))
-    return joined.groupBy("frame", "temperature").agg(spread.alias("s")).groupBy("frame").agg(F.min_by("temperature", F.struct("s", "temperature")).alias("temperature"))

@@ -54,11 +54,6 @@ def spot_white_balance(spark, sf_dir):
     return rows.select("frame", *[rounded(c).alias(c) for c in "rgb"], "n")
 
 
-@query()
-def correlated_temperature(spark, sf_dir):
-    return P.correlated_temperature(px(spark, sf_dir), list(range(2500, 12001, 500)))
-
-
 _LENS_SQL = f"(select lens as lens, 1.0e0 + shot_id % 3 as crop, min(shot_id) as lens_id from {T.sql(T.SHOTS)} where shot_id % 5 <> 0 group by 1, 2)"
 
 
