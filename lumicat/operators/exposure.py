@@ -17,8 +17,8 @@ from .histogram import clip_points, cumulative
 
 #: Middle grey, full scale, limits of the exposure.
 GREY, FULL, STOPS = 0.1842, 65536.0, (-5.0, 12.0)
-#: Shares of the mass at which the eight levels are read; the last is the middle of the last eighth.
-LEVELS = (0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875, 0.9375)
+#: The shares of the mass that the eight levels hold, each counted from where the level before it ended.
+LEVELS = (1 / 8,) * 7 + (1 / 16,)
 #: The stops of the upper levels' exposure; gain of highlight compression; gain and share of brightness,
 #: with its divisor below and above a knee; gain and top of contrast.
 UPPER, HIGHLIGHT, BRIGHT, BRIGHT_SHARE, KNEE, LINE, CONTRAST, EVEN = 15.5, 2.3, 15.0, 0.25, 0.1, (0.10833, 0.0833), 50.0, 1.1
@@ -37,17 +37,30 @@ def _within(c: Column, low: float, high: float) -> Column:
 def levels(hist: DataFrame, clip: float, top: int, *by: str) -> DataFrame:
     """(by, mean, lowest, highest, median, level array, black, white): order statistics of each histogram, in bins.
 
-    ``level``: log2(1 + bin) of the first bin beyond each of ``LEVELS``; black and white: clip points for ``clip`` percent.
+    ``level``: a level ends with the first bin at which what it holds exceeds its share of ``LEVELS``, as log2(1 + bin), and
+    the next one starts empty after it; of levels that don't end, the first is the mass it holds (more than any logarithm
+    of a bin unless it is tiny) and the others are 0.  Black and white: clip points for ``clip`` percent.
     """
     c = cumulative(hist.where("n > 0"), *by)
-    beyond = lambda share: F.min(F.when(F.col("cum") > F.col("total") * share, F.col("bin")))
     order = c.groupBy(*by).agg(
         (F.sum(F.col("bin") * F.col("n")) / F.sum("n")).alias("mean"),
         F.min("bin").alias("lowest"),
         F.greatest(F.max("bin"), F.lit(1)).alias("highest"),
         F.min(F.when(F.col("cum") * 2 >= F.col("total"), F.col("bin"))).alias("median"),
-        F.array(*[F.log2(1.0 + beyond(s)) for s in LEVELS]).alias("level"),
+        F.max("total").alias("total"),
+        F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("bins"),  # no more than a histogram has bins
     )
+    share = F.array(*[F.lit(s) for s in LEVELS])
+
+    def fill(s: Column, b: Column) -> Column:
+        held = s["held"] + b["n"]
+        ends = F.coalesce(held > F.col("total") * F.get(share, F.size(s["out"])), F.lit(False))
+        out = F.when(ends, F.concat(s["out"], F.array(F.log2(1.0 + b["bin"])))).otherwise(s["out"])
+        return F.struct(F.when(ends, F.lit(0).cast("long")).otherwise(held).alias("held"), out.alias("out"))
+
+    start = F.struct(F.lit(0).cast("long").alias("held"), F.array().cast("array<double>").alias("out"))
+    rest = lambda s: F.slice(F.concat(s["out"], F.array(s["held"].cast("double")), F.array_repeat(F.lit(0.0), len(LEVELS))), 1, len(LEVELS))
+    order = order.withColumn("level", F.aggregate("bins", start, fill, rest)).drop("bins", "total")
     return order.join(clip_points(hist, clip, top - 1, *by), list(by)).withColumn("white", F.greatest(F.least("white", F.lit(top - 1)), F.lit(1)))
 
 
@@ -55,7 +68,7 @@ def auto_exposure(hist: DataFrame, compression: int, clip: float, *by: str) -> D
     """(by, expcomp, bright, contr, black, hlcompr, hlcomprthresh) for each luminance histogram (by, bin, n).
 
     Bins are 16-bit values shifted right by ``compression``; ``clip``: the percentage that may be clipped at either end.
-    The levels are quantiles of the whole mass.  Histograms that are empty, have their median in the first bin or one
+    Histograms that are empty, have their median in the first bin or one
     value only give zeros; an empty table gives an empty table.
     """
     by = by or ("frame",)

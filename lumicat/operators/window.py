@@ -180,13 +180,30 @@ def guided_filter(px: DataFrame, guide: str, source: str, out: str, radius: int,
 
 
 def green_equilibrate_local(px: DataFrame, value: str, out: str, threshold: float) -> DataFrame:
-    """Greens of odd rows move to the mean of their two green kinds where the local imbalance is under the threshold."""
-    near = neighbourhood(px, value, 1)
-    diagonal = (F.get("near", 0) + F.get("near", 2) + F.get("near", 6) + F.get("near", 8)) / 4
-    d = diagonal - F.col(value)
-    fits = F.abs(d) < threshold * (diagonal + F.col(value)) / 2
-    green = (F.col("c") == 1) & (F.col("y") % 2 == 1)
-    return near.withColumn(out, F.when(green & fits, F.col(value) + d / 2).otherwise(F.col(value))).drop("near")
+    """Greens halfway to what the other kind of green says where the two kinds differ by more than either varies.
+
+    The four greens on the diagonals are of the other kind, those two samples away along rows and columns of the same one.
+    Where their spreads together stay below ``threshold`` times the difference of their sums (spreads are sums over the six
+    pairs, hence the factor), the green is interpolated from its diagonals, each continued by half the slope beyond it and
+    weighted against the changes along it; what would brighten it by more than ``threshold`` is left.  Samples within four rows
+    of an edge (four columns left, six right) stay.
+    """
+    near = neighbourhood(px, value, 3)
+    at = lambda dy, dx: F.get("near", 7 * (dy + 3) + dx + 3)
+    ways = [(a, b) for a in (-1, 1) for b in (-1, 1)]
+    kinds = {"_o": [at(a, b) for a, b in ways], "_s": [at(-2, 0), at(2, 0), at(0, -2), at(0, 2)]}
+    sums = {k: sum(v[1:], v[0]) for k, v in kinds.items()}
+    spread = [F.abs(v[i] - v[j]) for v in kinds.values() for i in range(4) for j in range(i)]
+    differ = sum(spread[1:], spread[0]) < 6 * threshold * F.abs(sums["_o"] - sums["_s"])
+    v = F.col(value)
+    weights = [1 / (1 + F.pow(v - at(2 * a, 2 * b), F.lit(2)) + F.pow(at(3 * a, 3 * b) - at(a, b), F.lit(2))) for a, b in ways]
+    values = [at(a, b) + (v - at(2 * a, 2 * b)) / 2 for a, b in ways]
+    guess = sum((x * w for x, w in zip(values[1:], weights[1:], strict=True)), values[0] * weights[0]) / sum(weights[1:], weights[0])
+    ends = px.groupBy("frame").agg(F.max("y").alias("_my"), F.max("x").alias("_mx"))
+    inner = F.col("y").between(4, F.col("_my") - 4) & (F.col("x") >= 4) & (F.col("x") <= F.col("_mx") - 6)
+    rows = near.join(ends, "frame").withColumn("_g", F.when((F.col("c") == 1) & inner & differ, guess))
+    lifted = (F.col("_g") + v) / 2
+    return rows.withColumn(out, F.when(F.col("_g") - v < threshold * (F.col("_g") + v), lifted).otherwise(v)).drop("near", "_g", "_my", "_mx")
 
 
 def flat_field(px: DataFrame, value: str, flat: str, out: str, radius: int, black: float) -> DataFrame:

@@ -159,9 +159,14 @@ k as (select *, sqrt(3e0) * (r - g) as c1, 2 * b - r - g as c2, sqrt(3e0) * (cr
 s as (select *, case when c1 * c1 + c2 * c2 > 0 then sqrt((k1 * k1 + k2 * k2) / (c1 * c1 + c2 * c2)) else 1 end as s, greatest(r, g, b) > 57000 as hit from k)
 select frame, y, x, {sql_rounded('case when hit then l - s * c2 / 6 + s * c1 / (2 * sqrt(3e0)) else r end', 3)} as o_r, {sql_rounded('case when hit then l - s * c2 / 6 - s * c1 / (2 * sqrt(3e0)) else g end', 3)} as o_g, {sql_rounded('case when hit then l + s * c2 / 3 else b end', 3)} as o_b from s"""
 
-GREEN_LOCAL = f"""with n as (select frame, y, x, any_value(c_v) as v, any_value(c_c) as c, avg(n_v) filter (abs(dy) = 1 and abs(dx) = 1) as m from {_near('v c', PX, '[-1, 0, 1]', '[-1, 0, 1]')} group by 1, 2, 3),
-e as (select frame, max(y) as my, max(x) as mx from {PX} group by 1)
-select frame, y, x, {sql_rounded('case when c = 1 and y % 2 = 1 and y < my and x > 0 and x < mx and abs(m - v) < 0.6e0 * (m + v) / 2 then v + (m - v) / 2 else v end', 6)} as v from n join e using (frame)"""
+_SPREAD = " + ".join(f"abs({k}{i} - {k}{j})" for k in "os" for i in range(4) for j in range(i))
+_GUESS = [f"(o{k} + (v - p{k}) / 2) / (1 + (v - p{k}) ** 2 + (q{k} - o{k}) ** 2)" for k in range(4)], [f"1 / (1 + (v - p{k}) ** 2 + (q{k} - o{k}) ** 2)" for k in range(4)]
+_PICK = ", ".join(f"any_value(n_v) filter (dy = {dy} and dx = {dx}) as {n}" for k, (a, b) in enumerate([(-1, -1), (-1, 1), (1, -1), (1, 1)]) for n, dy, dx in ((f"o{k}", a, b), (f"p{k}", 2 * a, 2 * b), (f"q{k}", 3 * a, 3 * b)))
+_SAME = ", ".join(f"any_value(n_v) filter (dy = {dy} and dx = {dx}) as s{k}" for k, (dy, dx) in enumerate([(-2, 0), (2, 0), (0, -2), (0, 2)]))
+GREEN_LOCAL = f"""with n as (select frame, y, x, any_value(c_v) as v, any_value(c_c) as c, {_PICK}, {_SAME} from {_near('v c', PX, '[-3, -2, -1, 0, 1, 2, 3]', '[-3, -2, -1, 0, 1, 2, 3]')} group by 1, 2, 3),
+e as (select frame, max(y) as my, max(x) as mx from {PX} group by 1),
+g as (select n.*, case when c = 1 and y >= 4 and y <= my - 4 and x >= 4 and x <= mx - 6 and {_SPREAD} < 6 * 0.6e0 * abs(o0 + o1 + o2 + o3 - s0 - s1 - s2 - s3) then ({' + '.join(_GUESS[0])}) / ({' + '.join(_GUESS[1])}) end as g from n join e using (frame))
+select frame, y, x, {sql_rounded('case when g - v < 0.6e0 * (g + v) then (g + v) / 2 else v end', 6)} as v from g"""
 
 _W = "(case abs(dy) + abs(dx) when 1 then 0.5e0 else 0.25e0 end)"
 _XT = ", ".join(f"sum(case when n_c = {i} then n_v * {_W} end) filter (inside) / sum(case when n_c = {i} then {_W} end) filter (inside) as m{i}" for i in range(3))

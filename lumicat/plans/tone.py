@@ -122,14 +122,21 @@ def lut_lerp(spark, sf_dir):
     return px(spark, sf_dir).select("frame", "y", "x", rounded(curves.lookup(_CURVE, F.col("r") / 65535 * 32), 6).alias("v"))
 
 
+# each level starts where the one before it ended
+_LEVELS = ",\n".join(
+    f"""n{i} as (select v.frame, min(bin) as bin, min(cum) as cum from v{i} v join c on c.frame = v.frame and c.cum > v.m + v.total / {16 if i == 7 else 8}.0 and not v.open group by 1),
+v{i + 1} as (select v.frame, v.total, {"".join(f"v.o{j}, " for j in range(i))}case when v.open then 0 when n.bin is null then v.total - v.m else log2(1 + n.bin) end as o{i}, v.open or n.bin is null as open, coalesce(n.cum, v.m) as m from v{i} v left join n{i} n using (frame))"""
+    for i in range(8)
+)
 # constants and steps typed out: nothing here comes from the operator
 _AUTO = f"""with h as (select frame, bin >> 3 as bin, cast(sum(n) as bigint) as n from {_HIST} where channel = 'l' group by 1, 2),
 c as (select *, sum(n) over (partition by frame order by bin) as cum, sum(n) over (partition by frame) as total from h),
 k as (select frame, max(total) as total, sum(bin * n)::double / sum(n) as mean, min(bin) as lowest, greatest(max(bin), 1) as highest, min(bin) filter (2 * cum >= total) as median,
-  log2(1 + min(bin) filter (cum > total * 0.25e0)) as o1, log2(1 + min(bin) filter (cum > total * 0.375e0)) as o2, log2(1 + min(bin) filter (cum > total * 0.5e0)) as o3,
-  log2(1 + min(bin) filter (cum > total * 0.625e0)) as o4, log2(1 + min(bin) filter (cum > total * 0.75e0)) as o5, log2(1 + min(bin) filter (cum > total * 0.875e0)) as a6, log2(1 + min(bin) filter (cum > total * 0.9375e0)) as a7,
   min(bin) filter (cum > floor(total * 0.02e0 / 100)) as dark, greatest(max(bin) filter (total - cum + n > floor(total * 0.02e0 / 100)), 1) as white from c group by frame),
-u as (select *, case when a6 > ln(8193e0) then 1.5e0 * o5 - 0.5e0 * o4 else a6 end as o6 from k),
+v0 as (select frame, total, 0 as m, false as open from k),
+{_LEVELS},
+w8 as (select k.*, o0, o1, o2, o3, o4, o5, o6 as a6, o7 as a7 from k join v8 using (frame)),
+u as (select *, case when a6 > ln(8193e0) then 1.5e0 * o5 - 0.5e0 * o4 else a6 end as o6 from w8),
 o as (select *, case when a7 > ln(8193e0) then 1.5e0 * o6 - 0.5e0 * o5 else a7 end as o7 from u),
 s as (select *, ((o2 - o1) / greatest(0.5e0, o3 - o1) + (o3 - o2) / greatest(0.5e0, o3 - o2) + (o4 - o3) / greatest(0.5e0, o4 - o3) + (o5 - o4) / greatest(0.5e0, o5 - o3) + (o6 - o5) / greatest(0.5e0, o6 - o3)) / 5 as spread,
   8 * least(dark, greatest(white - 1, 0)) as d, 8 * white as w, 8e0 * mean as m, 8 * median as md, 8 * highest as top from o),
