@@ -84,7 +84,11 @@ def learned(segments: Column) -> Column:
 
 
 def read_chat(formatted: DataFrame, template: dict = TEMPLATE) -> DataFrame:
-    """Adds ``turns``: the roles and texts found by parsing ``formatted``.  Other columns stay."""
+    """Adds what parsing ``formatted`` finds: ``turns`` (role, text) and ``segments`` (text, loss), the flags from the template.
+
+    Other columns stay (an earlier ``segments`` is replaced).  Text between turns, and a turn without its closing, is in neither;
+    null text gives nulls, a text without turns empty arrays.
+    """
 
     def quoted(s: str) -> str:
         return "\\Q" + s + "\\E"
@@ -93,13 +97,20 @@ def read_chat(formatted: DataFrame, template: dict = TEMPLATE) -> DataFrame:
     closing = "|".join(quoted(b) for _, b, _ in template.values())
     other = f"{quoted(OTHER[0])}.*?{quoted(OTHER[1])}"
     turn = f"(?s)({opening}|{other})(.*?)({closing}|{quoted(OTHER[2])})"
-    heads, bodies = (F.regexp_extract_all("formatted", F.lit(turn), F.lit(g)) for g in (1, 2))
+    parts = F.arrays_zip(*[F.regexp_extract_all("formatted", F.lit(turn), F.lit(g)).alias(n) for g, n in ((1, "head"), (2, "body"), (3, "tail"))])
 
-    def role(head: Column) -> Column:
-        out = unescape(F.regexp_replace(head, F.lit("(?s)^" + quoted(OTHER[0]) + "|" + quoted(OTHER[1]) + "$"), F.lit("")))
+    def known(head: Column, role: Column, values: dict[str, Column]) -> Column:
         for name, (start, _, _) in template.items():
-            out = F.when(head == start, F.lit(name)).otherwise(out)
-        return out
+            role = F.when(head == start, values[name]).otherwise(role)
+        return role
+
+    def role(head: Column) -> Column:
+        named = unescape(F.regexp_replace(head, F.lit("(?s)^" + quoted(OTHER[0]) + "|" + quoted(OTHER[1]) + "$"), F.lit("")))
+        return known(head, named, {name: F.lit(name) for name in template})
+
+    def three(x: Column) -> Column:
+        flag = known(x["head"], F.lit(False), {name: F.lit(loss) for name, (_, _, loss) in template.items()})
+        return F.array(*[F.struct(x[n].alias("text"), loss.alias("loss")) for n, loss in (("head", F.lit(False)), ("body", flag), ("tail", F.lit(False)))])
 
-    turns = F.zip_with(heads, bodies, lambda h, b: F.struct(role(h).alias("role"), unescape(b).alias("text")))
-    return formatted.withColumn("turns", turns)
+    turns = F.transform(parts, lambda x: F.struct(role(x["head"]).alias("role"), unescape(x["body"]).alias("text")))
+    return formatted.withColumns({"turns": turns, "segments": F.flatten(F.transform(parts, three))})

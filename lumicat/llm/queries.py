@@ -80,11 +80,13 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length(learned).cast("long").alias("loss_chars"),
         F.sha2(learned, 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
+        F.col("first_error").cast("long").alias("first_error"),
     )
 
 
 def op6_chat_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The machine's verdict on each conversation of op6_chat_format, whose columns its SQL fixes."""
+    """The machine's verdict alone, without formatting."""
     return _formatted(spark, sf_dir).select("conv_id", "n_turns", "valid", F.col("first_error").cast("long").alias("first_error"))
 
 
@@ -157,6 +159,13 @@ def _moves() -> str:
     return " or ".join(f"i {'=' if state == 'start' else '>'} 0 and state = '{state}' and role = '{role}'" for state, to in chat.MACHINE.items() for role in to).join("()")
 
 
+_TURNS = """select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'"""
+# a state bears the name of the role that led to it
+_ORDER = f"""t as (select conv_id, role, row_number() over w - 1 as i, coalesce(lag(role) over w, 'start') as state from c window w as (partition by conv_id order by turn nulls first, role, text)),
+e as (select conv_id, count(*) as n_turns, arg_max(role, i) as last, min(i) filter (not {_moves()}) as first_error from t group by conv_id),
+o as (select conv_id, n_turns, first_error is null and last in ({", ".join(f"'{s}'" for s in chat.ACCEPT)}) as valid, first_error from e)"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": r"""
 with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
@@ -170,21 +179,14 @@ select n.doc_id, n.n as n_shingles, min(r.b) as component_id from n join r on r.
 with t as (select doc_id, length(coalesce(text, '')) as n, sha256(regexp_replace(coalesce(text, ''), '{_SPACES}', '', 'g')) as h from documents)
 select doc_id, first_value(doc_id) over w as keep_id, count(*) over (partition by h) as group_size, row_number() over w = 1 as kept, h as text_sha256
 from t window w as (partition by h order by n desc, doc_id)""",
-    # a state bears the name of the role that led to it
-    "op6_chat_order": f"""
-with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
-union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
-t as (select conv_id, role, row_number() over w - 1 as i, coalesce(lag(role) over w, 'start') as state from c window w as (partition by conv_id order by turn nulls first, role, text)),
-g as (select conv_id, count(*) as n_turns, arg_max(role, i) as last, min(i) filter (not {_moves()}) as first_error from t group by conv_id)
-select conv_id, n_turns, first_error is null and last in ({", ".join(f"'{s}'" for s in chat.ACCEPT)}) as valid, first_error from g""",
+    "op6_chat_order": f"with c as ({_TURNS}), {_ORDER} select * from o",
     "op6_chat_format": f"""
-with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
-union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+with c as ({_TURNS}), {_ORDER}
 select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
 cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
 sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
-cast(sum(length({_escaped('text')}) + {_marks()}) as bigint) as formatted_chars
-from c group by conv_id""",
+cast(sum(length({_escaped('text')}) + {_marks()}) as bigint) as formatted_chars, any_value(o.valid) as valid, any_value(o.first_error) as first_error
+from c join o using (conv_id) group by conv_id""",
     "op11_warc_archive": """
 with p as (select page_id, encode(coalesce(html, '')) as b from pages),
 w as (select page_id, octet_length(b) as n, sha256(b) as d, first_value(page_id) over h as lead, row_number() over h as i from p window h as (partition by b order by page_id nulls first))
