@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import appearance, catalog, develop, measures, pointwise, raster, temperature, tone  # noqa: F401  registers them
+from .plans import appearance, catalog, develop, measures, pointwise, raster, small, temperature, tone  # noqa: F401  registers them
 from .plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
 
 

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -116,6 +117,22 @@ def encode_images(px: DataFrame, kind: str = "png", bits: int = 8, frame: str =
     return rows.groupBy(frame).applyInArrow(run, f"{frame} long, content binary")
 
 
+def write_images(px: DataFrame, path: str, kind: str = "png", bits: int = 8, frame: str = "frame") -> DataFrame:
+    """Writes each frame as ``path/<frame>.<kind>`` on any file system that Arrow reaches; returns (frame, bytes).  A task writes
+    the files it encodes; nothing is written before an action."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(path)
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            for i, body in zip(batch[frame].to_pylist(), batch["content"], strict=True):
+                with store.open_output_stream(f"{root}/{i}.{kind}") as out:
+                    out.write(body.as_buffer())
+            yield pa.RecordBatch.from_arrays([batch[frame], pa.array([len(b.as_buffer()) for b in batch["content"]], pa.int64())], names=[frame, "bytes"])
+
+    return encode_images(px, kind, bits, frame).mapInArrow(run, f"{frame} long, bytes long")
+
+
 # ---- configuration
 
 

@@ -47,11 +47,26 @@ def history(events: DataFrame) -> DataFrame:
     return events.groupBy("image").applyInPandasWithState(step, "image long, seq long, event string", "seq long, event string", "append", GroupStateTimeout.NoTimeout)
 
 
-def drain(stream: DataFrame, mode: str, name: str, checkpoint: str) -> DataFrame:
-    """Runs a stream over what is there now and gives the result table: the batch queue's loop until it is empty."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drain(stream: DataFrame, mode: str, path: str, checkpoint: str) -> DataFrame:
+    """Runs a stream over what is there now and gives the result: the batch queue's loop until it is empty.
+
+    Each micro-batch is written under its number in the shared folder ``path``; the result of complete mode is the last one, of
+    append mode all of them, of update mode all versions with their ``batch``.
+    """
+    spark, written = stream.sparkSession, []
+
+    def write(batch: DataFrame, number: int) -> None:
+        written.append(number)
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    if not written:  # nothing was there
+        return spark.createDataFrame([], stream.schema)
+    rows = spark.read.parquet(path)
+    if mode == "complete":
+        rows = rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0])
+    return rows if mode == "update" else rows.drop("batch")
 
 
 def sink_batches(stream: DataFrame, path: str, key: str, checkpoint: str):
