@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Callable, Sequence
+from functools import reduce
 from math import log
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -242,7 +243,8 @@ def weighted_triangle(r: Column, g: Column, b: Column, curve: Sequence[float]) -
 
 
 def cube_lookup(r: Column, g: Column, b: Column, table: Sequence[Sequence[float]], level: int) -> tuple[Column, Column, Column]:
-    """Trilinear interpolation in a level^3 table of (r, g, b), red fastest; channels in 0..1."""
+    """Trilinear interpolation in a small level^3 table of (r, g, b), red fastest; channels in 0..1.  The table stands in the plan:
+    ``apply_cube`` takes tables of a usual size."""
     planes = [F.array(*[F.lit(float(row[c])) for row in table]) for c in range(3)]
     at = [F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)) * (level - 1) for c in (r, g, b)]
     base = [F.least(F.floor(a), F.lit(level - 2)).cast("int") for a in at]
@@ -259,3 +261,33 @@ def cube_lookup(r: Column, g: Column, b: Column, table: Sequence[Sequence[float]
             total = total + w * F.get(plane, index)
         out.append(total)
     return tuple(out)
+
+
+#: Cells of a table that is sent to all tasks (about 50 MB); larger ones are joined as Spark sees fit.
+CELLS_SENT = 250_000
+
+
+def cube_cells(nodes: DataFrame) -> DataFrame:
+    """(ci, cj, ck, r0 ... b7): the eight corners of each cell of a table (ri, gi, bi, r, g, b), each node once."""
+    corners = nodes.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    at = [(F.col(c) - F.shiftright(F.col("k"), i).bitwiseAND(1)).cast("long").alias(n) for i, (c, n) in enumerate((("ri", "ci"), ("gi", "cj"), ("bi", "ck")))]
+    named = [F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{c}{k}") for k in range(8) for c in "rgb"]
+    return corners.groupBy(*at).agg(*named)
+
+
+def apply_cube(px: DataFrame, nodes: DataFrame, level: int, r: str = "r", g: str = "g", b: str = "b", top: float = 65535.0) -> DataFrame:
+    """``px`` with r, g and b (0..top) through a table of level^3 nodes (ri, gi, bi, r, g, b in 0..top), trilinear.
+
+    A pixel looks its cell up in a table of (level - 1)^3 rows; nothing of the table stands in the plan.
+    """
+    cells = cube_cells(nodes)
+    if (level - 1) ** 3 <= CELLS_SENT:
+        cells = F.broadcast(cells)
+    names = [(r, "ci"), (g, "cj"), (b, "ck")]
+    at = {f"_{n}": F.least(F.greatest(F.col(c) / top, F.lit(0.0)), F.lit(1.0)) * (level - 1) for c, n in names}
+    rows = px.withColumns(at).withColumns({n: F.least(F.floor(f"_{n}"), F.lit(level - 2)).cast("long") for _, n in names})
+    rows = rows.withColumns({f"_{n}": F.col(f"_{n}") - F.col(n) for _, n in names})
+    low = cells.select("ci", "cj", "ck", *[F.col(f"{c}{k}").alias(f"_{c}{k}") for k in range(8) for c in "rgb"])
+    share = lambda k: reduce(lambda a, w: a * w, [F.col(f"_{n}") if k >> i & 1 else 1 - F.col(f"_{n}") for i, (_, n) in enumerate(names)])
+    new = {name: reduce(lambda a, w: a + w, [share(k) * F.col(f"_{c}{k}") for k in range(8)]) for name, c in zip((r, g, b), "rgb", strict=True)}
+    return rows.join(low, ["ci", "cj", "ck"], "left").withColumns(new).select(*px.columns)

@@ -227,10 +227,19 @@ def matched_tone_curve(source: DataFrame, target: DataFrame, frame: str = "frame
 
 
 def channel_medians(px: DataFrame, border: float, width: int, height: int, channels: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
-    """Exact medians of each channel without a border of the given share."""
+    """Exact medians of each channel without a border of the given share.
+
+    Equal values are counted first, and the middle is found on running counts over sorted values, which spill; no task holds
+    a frame's values at once.
+    """
     bx, by = int(width * border), int(height * border)
     inside = px.where(F.col("x").between(bx, width - 1 - bx) & F.col("y").between(by, height - 1 - by))
-    return inside.groupBy("frame").agg(*[F.percentile(c, 0.5).alias(c) for c in channels])
+    named = inside.select("frame", F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in channels])).alias("s")).select("frame", "s.*").where("v is not null")
+    counts = named.groupBy("frame", "c", "v").agg(F.count("*").alias("n"))
+    w = W.partitionBy("frame", "c")
+    ranked = counts.withColumns({"cum": F.sum("n").over(w.orderBy("v")), "total": F.sum("n").over(w)})
+    middle = (F.min(F.when(F.col("cum") * 2 >= F.col("total"), F.col("v"))) + F.min(F.when(F.col("cum") * 2 > F.col("total"), F.col("v")))) / 2
+    return ranked.groupBy("frame").pivot("c", list(channels)).agg(middle)
 
 
 def noise_residual(mads: DataFrame, *by: str) -> DataFrame:

@@ -1,13 +1,14 @@
 """Matching joins: nearest calibration frames, sensitivity levels, profile rules, bracketed lens frames.
 
-Nearest matches run in two steps, so that no step is a nested loop over large sides: an equi-join on the exact key keeps
-the best by time; what is left is matched inside its camera against the distinct calibration keys.  Both keep one row a
-probe by aggregation (``min_by``), never a sorted list of candidates.
+Nearest matches run in two steps, so that no step is a nested loop over large sides: frames and probes of an exact key are read
+together in the order of time; what is left is matched inside its camera, distinct settings against distinct calibration
+settings, whose number doesn't grow with the shots.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import photo
@@ -29,21 +30,45 @@ def nearest_calibration(probes: DataFrame, frames: DataFrame, exact: list[str],
 
     ``weights``: field -> weight of its squared distance in stops; fields that differ otherwise must be in ``camera``.
     """
-    p = probes.select(probe_id, *camera, *weights, F.col(time).alias("_pt"), calibration_key(exact).alias("_key"))
-    f = frames.select(F.col(frame_id).alias("_f"), *[F.col(c).alias(f"_{c}") for c in (*camera, *weights)], F.col(time).alias("_ft"), calibration_key(exact).alias("_key"))
-    gap = F.abs(F.col("_pt") - F.col("_ft"))
-    same = p.join(f.select("_key", "_f", "_ft"), "_key").groupBy(probe_id).agg(F.min(F.struct(gap.alias("gap"), "_f")).alias("m"))
-    same = same.select(probe_id, F.col("m._f").alias("frame_id"), F.lit(0.0).alias("distance"))
+    p = probes.select(probe_id, *camera, *weights, F.col(time).alias("_t"), calibration_key(exact).alias("_key"))
+    f = frames.select(F.col(frame_id).alias("_f"), *[F.col(c).alias(f"_{c}") for c in (*camera, *weights)], F.col(time).alias("_t"), calibration_key(exact).alias("_key"))
+    same = nearest_in_time(p.select(probe_id, "_key", "_t"), f.select("_key", "_f", "_t"), probe_id).withColumn("distance", F.lit(0.0))
     left = p.join(same, probe_id, "left_anti")
-    # frames that share all values are one candidate: the first of them
+    # frames that share all values are one candidate, the first of them; probes that do are matched once
     kinds = f.groupBy(*[f"_{c}" for c in (*camera, *weights)]).agg(F.min("_f").alias("_f"))
-    on = [F.upper(left[c]) == F.upper(kinds[f"_{c}"]) for c in camera]
+    fields = [*camera, *weights]
+    wanted = left.select(*fields).distinct()
+    on = [F.upper(wanted[c]) == F.upper(kinds[f"_{c}"]) for c in camera]
     distance = F.sqrt(sum((F.lit(w) * F.pow(stops(F.col(c).cast("double"), F.col(f"_{c}").cast("double")), 2) for c, w in weights.items()), F.lit(0.0)))
-    near = left.join(kinds, on).withColumn("distance", distance).where(F.col("distance").isNotNull())
-    near = near.groupBy(probe_id).agg(F.min(F.struct("distance", "_f")).alias("m")).select(probe_id, F.col("m._f").alias("frame_id"), F.col("m.distance").alias("distance"))
+    near = wanted.join(kinds, on).withColumn("distance", distance).where(F.col("distance").isNotNull())
+    near = near.groupBy(*fields).agg(F.min(F.struct("distance", "_f")).alias("m")).select(*[F.col(c).alias(f"_{c}") for c in fields], F.col("m._f").alias("frame_id"), F.col("m.distance").alias("distance"))
+    near = left.join(near, [left[c].eqNullSafe(near[f"_{c}"]) for c in fields]).select(probe_id, "frame_id", "distance")
     return probes.select(probe_id).join(same.unionByName(near), probe_id, "left")
 
 
+def nearest_in_time(probes: DataFrame, frames: DataFrame, probe_id: str, span: int = 86_400) -> DataFrame:
+    """(probe_id, frame_id): of the frames (_key, _f, _t) of a probe's key (probe_id, _key, _t) the nearest in time, then the
+    smallest id; probes without any, or without a time, are left out.
+
+    Both sides are dealt by key and ``span`` of time and read in the order of time, so neither a pair of a probe and a frame
+    nor a key as a whole comes together anywhere; what lies in other spans is carried over by one row a key and span.
+    """
+    frame = F.when(F.col("_f").isNotNull(), F.struct("_t", "_f"))
+    sole = frames.groupBy("_key", "_t").agg(F.min("_f").alias("_f"))
+    rows = probes.select("_key", "_t", F.col(probe_id).alias("_p"), F.lit(True).alias("_probe"), F.lit(None).cast(frames.schema["_f"].dataType).alias("_f"))
+    rows = rows.unionByName(sole.select("_key", "_t", F.lit(None).cast(probes.schema[probe_id].dataType).alias("_p"), F.lit(False).alias("_probe"), "_f")).where(F.col("_t").isNotNull())
+    rows = rows.withColumns({"_span": F.floor(F.col("_t") / span), "_x": frame})
+    spans = rows.groupBy("_key", "_span").agg(F.max("_x").alias("_last"), F.min("_x").alias("_first"))
+    whole = W.partitionBy("_key").rowsBetween(W.unboundedPreceding, -1)
+    spans = spans.select("_key", "_span", F.last("_last", True).over(whole.orderBy("_span")).alias("_before"), F.last("_first", True).over(whole.orderBy(F.desc("_span"))).alias("_after"))
+    within = W.partitionBy("_key", "_span").rangeBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumns({"_lo": F.max("_x").over(within.orderBy("_t")), "_hi": F.min("_x").over(within.orderBy(F.desc("_t")))})
+    found = rows.where("_probe").join(spans, ["_key", "_span"]).withColumns({"_lo": F.coalesce("_lo", "_before"), "_hi": F.coalesce("_hi", "_after")})
+    gap = lambda c: F.struct(F.abs(F.col("_t") - F.col(f"{c}._t")).alias("gap"), F.col(f"{c}._f").alias("f"))
+    best = F.least(*[F.when(F.col(c).isNotNull(), gap(c)) for c in ("_lo", "_hi")])
+    return found.select(F.col("_p").alias(probe_id), best["f"].alias("frame_id")).where(F.col("frame_id").isNotNull())
+
+
 def dark_frames(probes: DataFrame, darks: DataFrame) -> DataFrame:
     return nearest_calibration(probes, darks, ["make", "model", "iso", "shutter"], ["make", "model"], {"iso": 1.0, "shutter": 1.0})
 

@@ -143,19 +143,34 @@ def blend_highlights(r: Column, g: Column, b: Column, top: float) -> tuple[Colum
     return tuple(F.when(hit, o).otherwise(c) for o, c in zip(out, (r, g, b), strict=True))
 
 
+def _spot_layers(spots: list[dict]) -> list[list[dict]]:
+    """Spots in layers: those of a layer neither read nor write what another of it writes, so their order doesn't matter."""
+    def meet(a: tuple[float, float], ra: float, b: tuple[float, float], rb: float) -> bool:
+        return all(abs(p - q) <= ra + rb for p, q in zip(a, b, strict=True))
+
+    level: list[int] = []
+    for i, s in enumerate(spots):
+        before = [level[j] + 1 for j, e in enumerate(spots[:i]) if any(meet(s[a], s["radius"], e[b], e["radius"]) for a, b in (("source", "target"), ("target", "target"), ("target", "source")))]
+        level.append(max(before, default=0))
+    return [[s for s, at in zip(spots, level, strict=True) if at == k] for k in range(max(level, default=-1) + 1)]
+
+
 def remove_spots(px: DataFrame, spots: list[dict], channels: list[str]) -> DataFrame:
     """Source circles copied over target circles with a feathered edge, in order: a spot may copy what an earlier one made.
 
-    A step joins the pixels of a spot's source square to those of its target by an offset: a few pixels against the raster.
+    Spots that don't touch each other are one layer.  A layer takes the pixels of its source squares (against the user's few
+    marks, sent to all tasks) and joins them to the raster once, so there are as many joins as spots build on each other.
     """
-    for s in spots:
-        (sx, sy), (tx, ty), r, feather, opacity = s["source"], s["target"], s["radius"], s.get("feather", 0.0), s.get("opacity", 1.0)
-        inside = F.col("x").between(sx - r, sx + r) & F.col("y").between(sy - r, sy + r)
-        source = px.where(inside).select("frame", (F.col("y") + ty - sy).alias("y"), (F.col("x") + tx - sx).alias("x"), *[F.col(c).alias(f"_s{c}") for c in channels])
-        d = F.sqrt(F.pow(F.col("x") - tx, 2) + F.pow(F.col("y") - ty, 2))
-        hard = r * (1 - feather)
-        w = F.when(d > r, F.lit(0.0)).when(d <= hard, F.lit(opacity)).otherwise(opacity * (r - d) / max(r - hard, 1e-9))
-        px = px.join(source, ["frame", "y", "x"], "left").withColumns({c: F.when(F.col(f"_s{c}").isNull(), F.col(c)).otherwise(w * F.col(f"_s{c}") + (1 - w) * F.col(c)) for c in channels}).drop(*[f"_s{c}" for c in channels])
+    for layer in _spot_layers(spots):
+        marks = [F.struct(*[F.lit(float(v)).alias(n) for n, v in (("sx", s["source"][0]), ("sy", s["source"][1]), ("tx", s["target"][0]), ("ty", s["target"][1]), ("r", s["radius"]), ("hard", s["radius"] * (1 - s.get("feather", 0.0))), ("most", s.get("opacity", 1.0)))]) for s in layer]
+        near = F.filter(F.array(*marks), lambda m: F.col("x").between(m["sx"] - m["r"], m["sx"] + m["r"]) & F.col("y").between(m["sy"] - m["r"], m["sy"] + m["r"]))
+        source = px.select("frame", "y", "x", *channels, F.explode(near).alias("m"))
+        y, x, m = F.col("y") + F.col("m.ty") - F.col("m.sy"), F.col("x") + F.col("m.tx") - F.col("m.sx"), F.col("m")
+        d = F.sqrt(F.pow(x - m["tx"], 2) + F.pow(y - m["ty"], 2))
+        w = F.when(d > m["r"], F.lit(0.0)).when(d <= m["hard"], m["most"]).otherwise(m["most"] * (m["r"] - d) / F.greatest(m["r"] - m["hard"], F.lit(1e-9)))
+        source = source.select("frame", y.cast("long").alias("y"), x.cast("long").alias("x"), w.alias("_w"), *[F.col(c).alias(f"_s{c}") for c in channels])
+        made = {c: F.when(F.col("_w").isNull(), F.col(c)).otherwise(F.col("_w") * F.col(f"_s{c}") + (1 - F.col("_w")) * F.col(c)) for c in channels}
+        px = px.join(source, ["frame", "y", "x"], "left").withColumns(made).drop("_w", *[f"_s{c}" for c in channels])
     return px
 
 

@@ -75,7 +75,20 @@ def plan_jobs(spark, sf_dir):
 _TABLE = [(10.0 * i - 15 + 5 * j, 0.8 + 0.1 * i, 0.9 + 0.05 * j) for i in range(4) for j in range(3)]
 
 
-@query()
+def _entry(i: int) -> str:
+    """Bilinear read of one plane of the table at (h * 4, s * 2), hues wrapping."""
+    values = "[" + ", ".join(S.num(t[i]) for t in _TABLE) + "]"
+    at = lambda dh, ds: f"({values})[((hi + {dh}) % 4) * 3 + least(si + {ds}, 2) + 1]"
+    return f"((1 - fh) * ((1 - fs) * {at(0, 0)} + fs * {at(0, 1)}) + fh * ((1 - fs) * {at(1, 0)} + fs * {at(1, 1)}))"
+
+
+@query(
+    f"""with u as (select frame, y, x, r / 65535e0 as r, g / 65535e0 as g, b / 65535e0 as b, greatest(r, g, b) / 65535e0 as v, (greatest(r, g, b) - least(r, g, b)) / 65535e0 as d from {PX}),
+t as (select frame, y, x, v, case when d < 1e-5 then 0 else d / v end as s, case when d < 1e-5 then 0 when r = v and g < b then 1 + (g - b) / (6 * d) when r = v then (g - b) / (6 * d) when g = v then 1 / 3e0 + (b - r) / (6 * d) else 2 / 3e0 + (r - g) / (6 * d) end as h from u),
+i as (select *, cast(floor(h * 4) as bigint) as hi, cast(least(floor(s * 2), 1) as bigint) as si, h * 4 - floor(h * 4) as fh, s * 2 - least(floor(s * 2), 1) as fs from t),
+o as (select frame, y, x, h + {_entry(0)} / 360 as h, least(s * {_entry(1)}, 1) as s, v * {_entry(2)} as v from i)
+select frame, y, x, {sql_rounded('h - floor(h)', 6)} as h, {sql_rounded('s', 6)} as s, {sql_rounded('v', 6)} as v from o"""
+)
 def hue_sat_table(spark, sf_dir):
     h, s, v = (F.expr(e) for e in S.hsv("r", "g", "b"))
     out = P.hue_sat_table(F.col("h"), F.col("s"), F.col("v"), _TABLE, 4, 3)

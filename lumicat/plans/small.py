@@ -352,3 +352,19 @@ def cache_upsert(spark, sf_dir):
     rows = shots(spark, sf_dir).select("shot_id", "rank")
     fresh = rows.where("shot_id % 10 = 3").withColumn("rank", F.col("rank") + 10).unionByName(rows.where("shot_id % 10 = 7").withColumn("shot_id", F.col("shot_id") + 1000000))
     return files.upsert(rows, fresh, "shot_id").select("shot_id", F.col("rank").cast("int").alias("rank"))
+
+
+_NODES = {"r": "(({i} * 7 + {j} * 3 + {k} * 11) % 256) * 257.0e0", "g": "(({i} * {i} + {j} * 5 + {k}) % 256) * 257.0e0", "b": "{k} * 65535.0e0 / 16"}
+
+
+@query(
+    f"""with p as (select frame, y, x, r / 65535e0 * 16 as u, g / 65535e0 * 16 as v, b / 65535e0 * 16 as w from {PX}),
+q as (select *, cast(least(floor(u), 15) as bigint) as i, cast(least(floor(v), 15) as bigint) as j, cast(least(floor(w), 15) as bigint) as k from p),
+n as (select *, (case when di = 1 then u - i else 1 - u + i end) * (case when dj = 1 then v - j else 1 - v + j end) * (case when dk = 1 then w - k else 1 - w + k end) as share from q cross join (select unnest([0, 1]) as di) cross join (select unnest([0, 1]) as dj) cross join (select unnest([0, 1]) as dk))
+select frame, y, x, {", ".join(sql_rounded(f"sum(share * {e.format(i='(i + di)', j='(j + dj)', k='(k + dk)')})", 3) + f" as o_{c}" for c, e in _NODES.items())} from n group by frame, y, x"""
+)
+def film_simulation(spark, sf_dir):
+    """A table of 17^3 nodes over every pixel, looked up cell by cell."""
+    nodes = spark.range(17**3).select((F.col("id") % 17).alias("ri"), (F.floor(F.col("id") / 17) % 17).alias("gi"), F.floor(F.col("id") / 289).alias("bi"))
+    nodes = nodes.select("*", *[F.expr(e.format(i="ri", j="gi", k="bi")).alias(c) for c, e in _NODES.items()])
+    return curves.apply_cube(px(spark, sf_dir), nodes, 17).select("frame", "y", "x", *[rounded(c, 3).alias(f"o_{c}") for c in "rgb"])

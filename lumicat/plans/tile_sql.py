@@ -182,3 +182,51 @@ d as (select frame, ty, tx, least(min(r / ar), min(g / ag), min(b / ab)) as d fr
 t as (select frame, y, x, r, g, b, ar, ag, ab, (0.2126729e0 * r + 0.7151521e0 * g + 0.0721750e0 * b) / 65535 as l, 1 - 0.6e0 * least(greatest(d, 0), 1) as t from p join a using (frame) join d using (frame, ty, tx)),
 m as (select *, greatest(m, 0.1e0) as k from {_guided('l', 't', 'm', 4, '1e-4', 't')})
 select frame, y, x, {', '.join(sql_rounded(f'({c} - a{c}) / k + a{c}', 3) + f' as {c}' for c in 'rgb')} from m"""
+
+# ---- mosaics: red at even rows and columns, blue at odd ones; mirrored edges keep parity
+
+# whole numbers, so that results have few digits and rounding has no ties
+_WHOLE = f"(select frame, y, x, r as v from {PX})"
+_R, _B = "(y % 2 = 0 and x % 2 = 0)", "(y % 2 = 1 and x % 2 = 1)"
+_NR, _NB = (f"(abs(y + dy) % 2 = {k} and abs(x + dx) % 2 = {k})" for k in (0, 1))
+_TENT = "(case abs(dy) + abs(dx) when 0 then 1e0 when 1 then 0.5e0 else 0.25e0 end)"
+_NEAR1, _NEAR2 = "[-1, 0, 1]", "[-2, -1, 0, 1, 2]"
+
+
+def _pick(**at: tuple[int, int]) -> str:
+    return ", ".join(f"any_value(n_v) filter (dy = {dy} and dx = {dx}) as {n}" for n, (dy, dx) in at.items())
+
+
+ADAPTIVE_DEMOSAIC = f"""with n as (select frame, y, x, any_value(c_v) as v, {_pick(w1=(0, -1), e1=(0, 1), w2=(0, -2), e2=(0, 2), n1=(-1, 0), s1=(1, 0), n2=(-2, 0), s2=(2, 0))} from {_near('v', _WHOLE, _NEAR2, _NEAR2, True)} group by 1, 2, 3),
+d as (select *, (w1 + e1) / 2 + (2 * v - w2 - e2) / 4 as along, (n1 + s1) / 2 + (2 * v - n2 - s2) / 4 as down, abs(w1 - e1) + abs(2 * v - w2 - e2) as dx, abs(n1 - s1) + abs(2 * v - n2 - s2) as dy from n),
+g as (select frame, y, x, v, case when (y + x) % 2 = 1 then v when dx < dy then along when dy < dx then down else (along + down) / 2 end as g from d),
+m as (select frame, y, x, any_value(c_v) as v, any_value(c_g) as g, sum({_TENT} * (n_v - n_g)) filter ({_NR}) / sum({_TENT}) filter ({_NR}) as dr, sum({_TENT} * (n_v - n_g)) filter ({_NB}) / sum({_TENT}) filter ({_NB}) as db from {_near('v g', 'g', _NEAR1, _NEAR1, True)} group by 1, 2, 3)
+select frame, y, x, {sql_rounded(f'case when {_R} then v else g + dr end', 6)} as r, {sql_rounded('g', 6)} as g, {sql_rounded(f'case when {_B} then v else g + db end', 6)} as b from m"""
+
+_NG = f"(not {_NR} and not {_NB})"
+_COLORS = {"r": (_R, _NR), "g": (f"(not {_R} and not {_B})", _NG), "b": (_B, _NB)}
+_BASE = ", ".join(f"case when {mine} then any_value(c_v) else sum({_TENT} * n_v) filter ({near}) / sum({_TENT}) filter ({near}) end as b{c}" for c, (mine, near) in _COLORS.items())
+_WAYS = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
+_GRADIENTS = ", ".join(f"abs(p{k} - v) + abs(o{k} - o{7 - k}) as g{k}" for k in range(8))
+_SUMS = ", ".join(f"({' + '.join(f'case when g{k} <= most then (q{c}{k} + b{c}) / 2 else 0 end' for k in range(8))}) / ({' + '.join(f'case when g{k} <= most then 1 else 0 end' for k in range(8))}) as m{c}" for c in "rgb")
+_SHIFTED = ", ".join(f"any_value(n_{n}) filter (dy = {f * a} and dx = {f * b}) as {p}{k}" for k, (a, b) in enumerate(_WAYS) for n, p, f in (("v", "o", 1), ("v", "p", 2), ("br", "qr", 1), ("bg", "qg", 1), ("bb", "qb", 1)))
+VNG_DEMOSAIC = f"""with b as (select frame, y, x, any_value(c_v) as v, {_BASE} from {_near('v', _WHOLE, _NEAR1, _NEAR1, True)} group by 1, 2, 3),
+n as (select frame, y, x, any_value(c_v) as v, any_value(c_br) as br, any_value(c_bg) as bg, any_value(c_bb) as bb, {_SHIFTED} from {_near('v br bg bb', 'b', _NEAR2, _NEAR2, True)} group by 1, 2, 3),
+g as (select *, {_GRADIENTS} from n),
+l as (select *, least({", ".join(f"g{k}" for k in range(8))}) * 1.5e0 + 0.5e0 * (greatest({", ".join(f"g{k}" for k in range(8))}) - least({", ".join(f"g{k}" for k in range(8))})) as most from g),
+m as (select frame, y, x, v, {_SUMS} from l),
+o as (select *, case when {_R} then mr when {_B} then mb else mg end as own from m)
+select frame, y, x, {", ".join(sql_rounded(f'case when {mine} then v else v + m{c} - own end', 6) + f" as {c}" for c, (mine, _) in _COLORS.items())} from o"""
+
+_FOUR = "[-4, -3, -2, -1, 0, 1, 2, 3, 4]"
+_SIDES = [(0, -1), (0, 1), (-1, 0), (1, 0)]
+_LINE = ", ".join(f"any_value(n_v) filter (dy = {f * a} and dx = {f * b}) as v{k}{f}" for k, (a, b) in enumerate(_SIDES) for f in (1, 2, 3)) + ", " + ", ".join(f"any_value(n_low) filter (dy = {2 * a} and dx = {2 * b}) as l{k}" for k, (a, b) in enumerate(_SIDES))
+_ESTIMATES = ", ".join(f"v{k}1 * (1 + (low - l{k}) / (1e-5 + low + l{k})) as e{k}, 1e-5 + abs(v{k}1 - v{k ^ 1}1) + abs(v - v{k}2) + abs(v{k}1 - v{k}3) as g{k}" for k in range(4))
+RATIO_DEMOSAIC = f"""with l as (select frame, y, x, any_value(c_v) as v, sum({_TENT} * n_v) / 4 as low from {_near('v', _WHOLE, _NEAR1, _NEAR1, True)} group by 1, 2, 3),
+n as (select frame, y, x, any_value(c_v) as v, any_value(c_low) as low, {_LINE} from {_near('v low', 'l', _FOUR, _FOUR, True)} where dy = 0 or dx = 0 group by 1, 2, 3),
+e as (select *, {_ESTIMATES}, v03 - 3 * v01 + 3 * v11 - v13 as rh, v23 - 3 * v21 + 3 * v31 - v33 as rv from n),
+k as (select frame, y, x, v, (e0 * g1 + e1 * g0) / (g0 + g1) as along, (e2 * g3 + e3 * g2) / (g2 + g3) as down, rh, rv from e),
+q as (select frame, y, x, any_value(c_v) as v, any_value(c_along) as along, any_value(c_down) as down, sum(n_rh * n_rh) + 1e-9 as a, sum(n_rv * n_rv) + 1e-9 as b from {_near('v along down rh rv', 'k', _NEAR1, _NEAR1, True)} group by 1, 2, 3),
+g as (select frame, y, x, v, case when (y + x) % 2 = 1 then v else b / (a + b) * along + a / (a + b) * down end as g from q),
+m as (select frame, y, x, any_value(c_v) as v, any_value(c_g) as g, sum({_TENT} * (n_v - n_g)) filter ({_NR}) / sum({_TENT}) filter ({_NR}) as dr, sum({_TENT} * (n_v - n_g)) filter ({_NB}) / sum({_TENT}) filter ({_NB}) as db from {_near('v g', 'g', _NEAR1, _NEAR1, True)} group by 1, 2, 3)
+select frame, y, x, {sql_rounded(f'case when {_R} then v else g + dr end', 3)} as r, {sql_rounded('g', 3)} as g, {sql_rounded(f'case when {_B} then v else g + db end', 3)} as b from m"""

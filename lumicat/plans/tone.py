@@ -172,11 +172,11 @@ def edge_counts(spark, sf_dir):
 # ---- whole frames and tiles through array kernels: rows only; tests hold the kernels against properties
 
 
-def _kernel(name: str, columns: list[str], f, out: list[str], halo: int, size: int = 64, period: int = 1, placed: bool = False, sql: str | None = None):
+def _kernel(name: str, columns: list[str], f, out: list[str], halo: int, size: int = 64, period: int = 1, placed: bool = False, sql: str | None = None, digits: int = 3):
     @query(sql, name=name)
     def run(spark, sf_dir):
         rows = K.apply_kernel(px(spark, sf_dir), columns, f, out, size=size, halo=halo, period=period, placed=placed)
-        return rows.select("frame", "y", "x", *[rounded(c, 3).alias(c) for c in out])
+        return rows.select("frame", "y", "x", *[rounded(c, digits).alias(c) for c in out])
 
     return run
 
@@ -190,8 +190,9 @@ _kernel("tile_inpaint", ["r"], lambda r: {"o": K.inpaint(r, r > 60000)}, ["o"],
 _kernel("tile_pyramid", ["r"], lambda r: {"o": K2.pyramid_equalizer(r, [1.3, 1.1, 1.0], 500.0)}, ["o"], 16, sql=Q.PYRAMID)
 _kernel("tile_edge_sharpen", ["r"], lambda r: {"o": K2.micro_contrast(K2.edge_sharpen(r, 0.2, 2), 0.3, 1.0)}, ["o"], 4, 16, sql=Q.EDGE_SHARPEN)
 _kernel("tile_grain", ["r"], lambda r, at: {"o": r + K.grain(r.shape, at.y0, at.x0, 900.0, 3.0)}, ["o"], 0, 16, placed=True)
+_METHOD_SQL = {"adaptive": Q.ADAPTIVE_DEMOSAIC, "vng": Q.VNG_DEMOSAIC, "ratio": Q.RATIO_DEMOSAIC}
 for _method, _f in R.METHODS.items():
-    _kernel(f"{_method}_demosaic", ["v"], lambda v, f=_f: dict(zip("rgb", f(v), strict=True)), ["r", "g", "b"], 14, 16, 2)
+    _kernel(f"{_method}_demosaic", ["r" if _method in _METHOD_SQL else "v"], lambda v, f=_f: dict(zip("rgb", f(v), strict=True)), ["r", "g", "b"], 14, 16, 2, sql=_METHOD_SQL.get(_method), digits=3 if _method == "ratio" else 6)
 
 
 # ---- operators of whole frames, on several tiles a frame
@@ -200,7 +201,7 @@ for _method, _f in R.METHODS.items():
 def _frames(name: str, f, out: list[str], sql: str | None = None):
     @query(sql, name=name)
     def run(spark, sf_dir):
-        return f(px(spark, sf_dir)).select("frame", "y", "x", *[rounded(c, 3).alias(c) for c in out])
+        return f(px(spark, sf_dir)).select("frame", "y", "x", *[rounded(c, digits).alias(c) for c in out])
 
     return run
 
