@@ -7,6 +7,9 @@ settings, whose number doesn't grow with the shots.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -145,15 +148,25 @@ def lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
 
 
 def calibration_groups(frames: DataFrame, key: list[str], ts: str = "ts", hours: int = 6) -> DataFrame:
-    """``group_start``: frames of a key join the group of the first frame within ``hours`` of its start.
+    """``group_start``: frames of a key join the group of the first frame within ``hours`` of its start; null for a null time.
 
-    A fold per key over its sorted times; times of a key are gathered as one array.
+    Which frame starts a group depends on the start before it, so a key's distinct times are read in order, in one pass that
+    holds a single start; no key is gathered.  Keys are told apart by all their values, nulls too.
     """
     span = hours * 3600
-    start = F.aggregate(
-        F.array_sort(F.collect_list(ts)),
-        F.array().cast("array<bigint>"),
-        lambda acc, t: F.when((F.size(acc) == 0) | (t - F.element_at(acc, -1) > span), F.concat(acc, F.array(t))).otherwise(acc),
-    )
-    starts = frames.groupBy(*key).agg(start.alias("_starts"))
-    return frames.join(starts, key).withColumn("group_start", F.array_max(F.filter("_starts", lambda s: s <= F.col(ts)))).drop("_starts")
+    named = frames.withColumn("_k", F.to_json(F.struct(*key), {"ignoreNullFields": "false"}))
+    times = named.where(F.col(ts).isNotNull()).select("_k", F.col(ts).cast("long").alias("_t")).distinct()
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, start = None, 0
+        for batch in batches:
+            out = []
+            for k, t in zip(batch["_k"].to_pylist(), batch["_t"].to_pylist(), strict=True):
+                if k != known or t - start > span:
+                    known, start = k, t
+                out.append(start)
+            yield pa.RecordBatch.from_arrays([batch["_k"], batch["_t"], pa.array(out, pa.int64())], names=["_k", "_t", "group_start"])
+
+    starts = times.repartition("_k").sortWithinPartitions("_k", "_t").mapInArrow(fold, "_k string, _t long, group_start long")
+    rows = named.join(starts, (named["_k"] == starts["_k"]) & (named[ts].cast("long") == starts["_t"]), "left")
+    return rows.select(*[named[c] for c in frames.columns], "group_start")

@@ -102,12 +102,22 @@ def noise_residual(spark, sf_dir):
     return H.noise_residual(m, "frame").select("frame", rounded("total", 3).alias("total"), rounded("most", 3).alias("most"))
 
 
-@query()
+# places of the seven inner points: the nearest of 256 bins to each eighth
+@query(
+    f"""with c as (select frame, channel, bin, sum(n) over (partition by frame, channel order by bin) as cum from {_HIST8}),
+m as (select s.frame, s.bin, arg_min(t.bin, (abs(s.cum - t.cum), -t.cum, t.bin)) as matched from c s join c t on t.frame = s.frame and s.channel = 'r' and t.channel = 'l' group by 1, 2),
+p as (select frame, k, i from (select distinct frame from m where matched > 0) cross join (select unnest([1, 2, 3, 4, 5, 6, 7]) as k, unnest([32, 64, 96, 128, 159, 191, 223]) as i)),
+v as (select p.frame, p.k, any_value(p.i) as i, coalesce(arg_max(matched, bin) filter (matched > 0 and bin <= p.i), 0) as v from p join m on m.frame = p.frame group by 1, 2),
+o as (select frame, k, i / 255e0 as x, least(max(v) over (partition by frame order by k) / 255e0, 1) as y from v
+union all select frame, 0, 0e0, 0e0 from (select distinct frame from m) union all select frame, case when frame in (select frame from p) then 8 else 1 end, 1e0, 1e0 from (select distinct frame from m))
+select frame, cast(k as int) as k, {sql_rounded('x', 6)} as x, {sql_rounded('y', 6)} as y from o"""
+)
 def matched_tone_curve(spark, sf_dir):
-    """Control points as text: a table of nine points a frame."""
+    """Control points of each frame's curve, a row each."""
     c = H.cumulative(_hist8(spark, sf_dir))
     rows = H.matched_tone_curve(c.where("channel = 'r'"), c.where("channel = 'l'"))
-    return rows.select("frame", F.array_join(F.transform("curve", lambda p: F.concat_ws(":", F.round(F.get(p, 0), 6).cast("string"), F.round(F.get(p, 1), 6).cast("string"))), ",").alias("curve"))
+    rows = rows.select("frame", F.posexplode("curve").alias("k", "p"))
+    return rows.select("frame", "k", rounded(F.get("p", 0), 6).alias("x"), rounded(F.get("p", 1), 6).alias("y"))
 
 
 @query(f"select shot_id, {sql_rounded('log2(iso / 100e0)', 6)} as stops, iso between 200 and 1600 and upper(make) = 'BRAND' as listed from {T.sql(T.SHOTS)}")

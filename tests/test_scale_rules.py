@@ -89,3 +89,18 @@ def test_cubes_by_cells_equal_literal_tables(spark):
         assert (got[x.id].r, got[x.id].g, got[x.id].b) == pytest.approx((65535 * x.r, 65535 * x.g, 65535 * x.b), abs=1e-6)
     plan = curves.apply_cube(px, nodes, level)._jdf.queryExecution().optimizedPlan().toString()
     assert "BroadcastHint" in plan or "broadcast" in plan.lower()
+
+
+def test_calibration_groups_in_one_pass(spark):
+    r = random.Random(12)
+    rows = [(r.choice(["a", "b", None]), r.choice([100, 200]), r.choice([None, r.randint(0, 400_000), 7_200 * r.randint(0, 50)]), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "make string, iso int, ts long, id long")
+    got = {x.id: x.group_start for x in match.calibration_groups(df, ["make", "iso"]).collect()}
+    want = {}
+    for k in {row[:2] for row in rows}:
+        start = None
+        for t, i in sorted((t, i) for *key, t, i in rows if tuple(key) == k and t is not None):
+            if start is None or t - start > 6 * 3600:
+                start = t
+            want[i] = start
+    assert got == {i: want.get(i) for *_, i in rows}
