@@ -100,20 +100,37 @@ _FEATURES = ("bias", *_SHAPES, "parts under 256", "luhn", "no luhn", "13 to 19 d
 _CUES = {"cue email": {"mail", "email", "contact", "write"}, "cue ip": {"ip", "host", "server", "address"}, "cue card": {"card", "visa", "credit", "pay"}, "cue phone": {"phone", "call", "tel", "mobile", "fax"}}
 
 
-def span_features(text: str, start: int, end: int, before: str) -> list[int]:
-    """Indices of the features of text[start:end] as one segment; ``before``: the word before it."""
+_SAME_DIGIT = str.maketrans("0123456789", "1" * 10)
+
+
+@lru_cache(maxsize=1 << 16)
+def _alike(s: str) -> tuple[str, ...]:
+    """The shapes that ``s`` matches."""
+    return tuple(k for k, rx in _SHAPES.items() if rx.fullmatch(s))
+
+
+def _shapes(text: str, masked: str, start: int, end: int) -> tuple[str, ...]:
+    """The shapes of text[start:end].  Beyond its first three characters no shape looks at which digit stands where, so spans
+    with digits in the same places share one answer; ``masked``: the text with all digits alike."""
+    return _alike(text[start : min(start + 3, end)] + masked[start + 3 : end])
+
+
+def span_features(text: str, start: int, end: int, before: str, shapes: tuple[str, ...] | None = None) -> list[int]:
+    """Indices of the features of text[start:end] as one segment; ``before``: the word before it; ``shapes``: what it matches,
+    where that is known."""
     s = text[start:end]
-    digits = "".join(c for c in s if c in "0123456789")
-    on = ["bias", *(k for k, rx in _SHAPES.items() if rx.fullmatch(s))]
-    parts = s.split(".")
-    if len(parts) == 4 and all(p.isdigit() and p.isascii() and len(p) < 4 and int(p) < 256 for p in parts):
+    shapes = _alike(s) if shapes is None else shapes
+    on = ["bias", *shapes]
+    # four parts of up to three digits each are what the shape says
+    if "quad" in shapes and all(int(p) < 256 for p in s.split(".")):
         on.append("parts under 256")
-    if 13 <= len(digits) <= 19:
+    n = s.translate(_SAME_DIGIT).count("1")
+    if 13 <= n <= 19:
         on.append("13 to 19 digits")
-        on.append("luhn" if luhn(digits) else "no luhn")
-    if 9 <= len(digits) <= 15:
+        on.append("luhn" if luhn("".join(c for c in s if c in "0123456789")) else "no luhn")
+    if 9 <= n <= 15:
         on.append("9 to 15 digits")
-    elif 7 <= len(digits) <= 8:
+    elif 7 <= n <= 8:
         on.append("7 or 8 digits")
     if start and (text[start - 1].isalnum() or text[start - 1] in "@._%+-$/"):
         on.append("glued left")
@@ -133,7 +150,8 @@ def candidates(text: str) -> tuple[list[tuple[int, int]], list[list[tuple[int, l
     tokens = [m.span() for m in _TOKEN.finditer(text)]
     digit = np.cumsum([0, *(_digits(text, a, b) for a, b in tokens)]).tolist()
     mark = np.cumsum([0, *(_mark(text, a, b) for a, b in tokens)]).tolist()
-    return tokens, [list(_ending(text, tokens, digit, mark, j)) for j in range(len(tokens))]
+    masked = text.translate(_SAME_DIGIT)
+    return tokens, [list(_ending(text, masked, tokens, digit, mark, j)) for j in range(len(tokens))]
 
 
 def _digits(text: str, a: int, b: int) -> int:
@@ -144,22 +162,28 @@ def _mark(text: str, a: int, b: int) -> bool:
     return text[a] == "@" or b - a == 2 and text[a:b].lower() == "at" and a > 0 and text[a - 1] in "[({ "
 
 
-def _ending(text: str, tokens: list[tuple[int, int]], digit: list[int], mark: list[int], j: int) -> Iterator[tuple[int, list[int]]]:
-    """The candidates that end with token j, shortest first; ``digit`` and ``mark`` count those before each token."""
+def _ending(text: str, masked: str, tokens: list[tuple[int, int]], digit: list[int], mark: list[int], j: int, bare: bool = True) -> Iterator[tuple[int, list[int]]]:
+    """The candidates that end with token j, shortest first; ``digit`` and ``mark`` count those before each token.  ``bare``: also
+    those that match no shape."""
     if digit[j + 1] - digit[max(0, j + 1 - LONGEST)] < 4 and mark[j + 1] == mark[max(0, j + 1 - LONGEST)]:
         return
+    broken, end = False, tokens[j][1]
     for i in range(j, max(-1, j - LONGEST), -1):
-        n = digit[j + 1] - digit[i]
+        n, start = digit[j + 1] - digit[i], tokens[i][0]
         if n > 24:
             break
-        if not (mark[j + 1] - mark[i] == 1 and j - i >= 4 or 4 <= n and (n >= 7 or j - i >= 6)):
+        broken = broken or i < j and "\n" in text[tokens[i][1] : tokens[i + 1][0]]
+        if not (4 <= n and (n >= 7 or j - i >= 6) or mark[j + 1] - mark[i] == 1 and j - i >= 4):
             continue
-        if tokens[i][0] and i and "\n" in text[tokens[i][0] : tokens[j][1]]:
+        if broken and start and i:
             break
+        shapes = _shapes(text, masked, start, end)
+        if not shapes and not bare:
+            continue
         before = text[slice(*tokens[i - 1])].lower() if i else ""
         if before in (":", "=", "#") and i > 1:
             before = text[slice(*tokens[i - 2])].lower()
-        f = span_features(text, tokens[i][0], tokens[j][1], before)
+        f = span_features(text, start, end, before, shapes)
         if len(f) > 1:
             yield i, f
 
@@ -170,6 +194,23 @@ class SemiCRF:
     def __init__(self, weights: np.ndarray | None = None, follow: float = 0.0):
         self.weights = np.zeros((len(_FEATURES), len(KINDS))) if weights is None else weights
         self.follow = follow
+        self._known: dict[tuple[int, ...], tuple[int, float]] = {}
+        self._known_of = self.weights.copy()
+
+    def _best_kind(self, features: list[int]) -> tuple[int, float]:
+        """The kind that scores most with some features, and its score; the same few sets of features come again and again."""
+        key = tuple(features)
+        if (got := self._known.get(key)) is None:
+            w = self.weights[features].sum(0)
+            got = self._known[key] = (k := int(w.argmax()), float(w[k]))
+        return got
+
+    def _without_shape(self) -> np.ndarray:
+        """The most that a segment without any shape can score, by kind."""
+        w = lambda *names: self.weights[[_INDEX[k] for k in names]]
+        many = w("9 to 15 digits")[0].clip(0) + w("13 to 19 digits")[0] + w("luhn", "no luhn").max(0)
+        digits = np.max([many, w("9 to 15 digits")[0], w("7 or 8 digits")[0]], axis=0).clip(0)
+        return w("bias")[0] + digits + w("glued left", "glued right", "letters").clip(0).sum(0) + w(*_CUES).clip(0).sum(0)
 
     def decode(self, text: str) -> list[tuple[int, int, int]]:
         """(kind, start, end) of the typed segments of the best segmentation."""
@@ -206,7 +247,10 @@ class SemiCRF:
         A segment can only win with more than ``-2 * follow``: else its tokens are better untyped.  Tokens are read from
         ``_BEFORE`` in front of a trigger until none can belong to a segment with a trigger.
         """
-        least = -2 * max(0.0, self.follow)
+        if not np.array_equal(self._known_of, self.weights):
+            self._known, self._known_of = {}, self.weights.copy()
+        least, masked = -2 * max(0.0, self.follow), text.translate(_SAME_DIGIT)
+        bare = self._without_shape().max() >= least
         # a segment around a mere "at" has no other features than these
         few = self.weights[[_INDEX[k] for k in ("bias", "letters")]].sum(0) + self.weights[[_INDEX[k] for k in ("glued left", "glued right")]].clip(0).sum(0)
         few += self.weights[[_INDEX[k] for k in _CUES]].max(0).clip(0)
@@ -225,10 +269,10 @@ class SemiCRF:
                 if held and base + j - LONGEST > held[-1][1]:
                     out += self._best(held)
                     held = []
-                for i, f in _ending(text, tokens, digit, mark, j):
-                    w = self.weights[f].sum(0)
-                    if w[k := int(w.argmax())] >= least:
-                        held.append((base + i, base + j, k, float(w[k]), tokens[i][0], b))
+                for i, f in _ending(text, masked, tokens, digit, mark, j, bare):
+                    k, score = self._best_kind(f)
+                    if score >= least:
+                        held.append((base + i, base + j, k, score, tokens[i][0], b))
                 if a >= at and (digit[-1] > digit[-2] or mark[-1] > mark[-2] or a == at):
                     far, last = 0, b
                 elif a > at:
