@@ -7,6 +7,8 @@ import pytest
 import corpus_pipeline as P
 from lumicat.llm import toxicity
 
+from .test_operators import toxic_rows
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, text_sha256 string, _sha string, sha string, n long, wanted string, kept boolean, component_id string"
 STAGES = dict(P.STAGES)
 
@@ -58,7 +60,7 @@ def test_masking(spark, rows):
 
 def test_toxic_documents_and_packing(spark, rows, sf_dir):
     docs = documents(spark, rows)
-    model = toxicity.train([("fine words", 0), ("grok grok", 1)] * 50)
+    model = toxicity.train(toxic_rows(400, 1))
     assert told(toxicity.reject_toxic(docs, model)) == told(docs)
     out = STAGES["toxicity"](spark, docs, sf_dir)
     assert out.schema == docs.schema and out.count() <= len(rows)
