@@ -230,3 +230,112 @@ q as (select frame, y, x, any_value(c_v) as v, any_value(c_along) as along, any_
 g as (select frame, y, x, v, case when (y + x) % 2 = 1 then v else b / (a + b) * along + a / (a + b) * down end as g from q),
 m as (select frame, y, x, any_value(c_v) as v, any_value(c_g) as g, sum({_TENT} * (n_v - n_g)) filter ({_NR}) / sum({_TENT}) filter ({_NR}) as dr, sum({_TENT} * (n_v - n_g)) filter ({_NB}) / sum({_TENT}) filter ({_NB}) as db from {_near('v g', 'g', _NEAR1, _NEAR1, True)} group by 1, 2, 3)
 select frame, y, x, {sql_rounded(f'case when {_R} then v else g + dr end', 3)} as r, {sql_rounded('g', 3)} as g, {sql_rounded(f'case when {_B} then v else g + db end', 3)} as b from m"""
+
+# ---- the recursive Gaussian of width 3, published coefficients: forward and backward along columns, then along rows
+_Q = 0.98711 * 3 - 0.96330
+_B0 = 1.57825 + 2.44413 * _Q + 1.4281 * _Q**2 + 0.422205 * _Q**3
+_BACK = ((2.44413 * _Q + 2.85619 * _Q**2 + 1.26661 * _Q**3) / _B0, -(1.4281 * _Q**2 + 1.26661 * _Q**3) / _B0, 0.422205 * _Q**3 / _B0)
+
+
+def _sweep(name: str, source: str, back: bool) -> str:
+    """A recursive CTE along ``pos`` of each (frame, line) of ``source``; the first sample stands for all before it."""
+    first = f"pos = (select max(pos) from {source} m where m.frame = s.frame)" if back else "pos = 0"
+    terms = " + ".join(f"({b!r}e0) * f.w{i}" for i, b in enumerate(_BACK, 1))
+    return f"""{name} as (select frame, line, pos, v as w1, v as w2, v as w3 from {source} s where {first}
+union all select s.frame, s.line, s.pos, {1 - sum(_BACK)!r}e0 * s.v + {terms}, f.w1, f.w2 from {name} f join {source} s on s.frame = f.frame and s.line = f.line and s.pos = f.pos {'-' if back else '+'} 1)"""
+
+
+GAUSSIAN_RECURSIVE = f"""with recursive a0 as (select frame, x as line, y as pos, r as v from {PX}), {_sweep('a1', 'a0', False)},
+a2 as (select frame, line, pos, w1 as v from a1), {_sweep('a3', 'a2', True)},
+c0 as (select frame, pos as line, line as pos, w1 as v from a3), {_sweep('c1', 'c0', False)},
+c2 as (select frame, line, pos, w1 as v from c1), {_sweep('c3', 'c2', True)}
+select frame, line as y, pos as x, {sql_rounded('w1', 3)} as o from c3"""
+
+# ---- grain: a hash of the lattice's corners in 64-bit arithmetic, blended smoothly; three samples a cell
+_WRAP = "18446744073709551616::hugeint"
+GRAIN = f"""with p as (select frame, y, x, r, y / 3e0 - floor(y / 3e0) as fy, x / 3e0 - floor(x / 3e0) as fx, cast(floor(y / 3e0) as bigint) as iy, cast(floor(x / 3e0) as bigint) as ix from {PX}),
+c as (select p.*, dy, dx, xor((((iy + dy)::hugeint * 11400714819323198485::hugeint) % {_WRAP})::ubigint, (((ix + dx)::hugeint * 14029467366897019727::hugeint) % {_WRAP})::ubigint) as h0 from p cross join (select unnest([0, 1]) as dy) cross join (select unnest([0, 1]) as dx)),
+h as (select *, xor(h0, h0 >> 29) as h1 from c),
+m as (select *, ((((h1 >> 32)::hugeint * 13787848793156543929::hugeint) % 4294967296::hugeint * 4294967296::hugeint + (h1 & 4294967295)::hugeint * 13787848793156543929::hugeint) % {_WRAP})::ubigint as h2 from h),
+v as (select *, xor(h2, h2 >> 32)::double / 9223372036854775808e0 - 1 as noise, fy * fy * (3 - 2 * fy) as ty, fx * fx * (3 - 2 * fx) as tx from m)
+select frame, y, x, {sql_rounded('any_value(r) + 900 * sum(noise * (case dy when 1 then ty else 1 - ty end) * (case dx when 1 then tx else 1 - tx end))', 3)} as o from v group by frame, y, x"""
+
+# ---- ten rounds of damped deconvolution by a Gaussian of 0.8, seven taps, edges repeated
+
+
+def _taps(column: str, along: str) -> str:
+    from math import exp
+
+    weights = [exp(-(k * k) / (2 * 0.8**2)) for k in range(-3, 4)]
+    across = "x" if along == "y" else "y"
+    w = f"(partition by frame, {across} order by {along})"
+    whole = f"(partition by frame, {across} order by {along} rows between unbounded preceding and unbounded following)"
+    side = {-1: lambda k: f"coalesce(lag({column}, {k}) over {w}, first_value({column}) over {whole})", 1: lambda k: f"coalesce(lead({column}, {k}) over {w}, last_value({column}) over {whole})"}
+    return " + ".join(f"({weight / sum(weights)!r}e0) * {column if k == 0 else side[1 if k > 0 else -1](abs(k))}" for k, weight in zip(range(-3, 4), weights, strict=True))
+
+
+def _round(i: int) -> str:
+    return f"""d{i} as materialized (select *, {_taps('z', 'y')} as t from z{i}),
+e{i} as materialized (select frame, y, x, a, z, a / greatest({_taps('t', 'x')}, 1e-6) - 1 as t from d{i}),
+f{i} as materialized (select frame, y, x, a, z, 1 + t * least(1, abs(t) / 0.2e0) ** 2 as t from e{i}),
+g{i} as materialized (select frame, y, x, a, z, {_taps('t', 'y')} as t from f{i}),
+z{i + 1} as materialized (select frame, y, x, a, z * ({_taps('t', 'x')}) as z from g{i})"""
+
+
+DECONVOLUTION = f"""with z0 as materialized (select frame, y, x, greatest(r, 1e-6) as a, greatest(r, 1e-6) as z from {PX}),
+{", ".join(map(_round, range(10)))} select frame, y, x, {sql_rounded('z', 3)} as o from z10"""
+
+# ---- holes filled from their surroundings: a place's turn is its distance in steps to the nearest sample that isn't clipped, its
+# value the mean of the neighbours whose turn was just before.  Ten turns: deeper holes would stay out of the result
+_TURNS = ",\n".join(
+    f"""i{n} as materialized (select * from i{n - 1} union all select c.frame, c.y, c.x, {n} as turn, avg(k.v) as v from turns c join i{n - 1} k on k.frame = c.frame and k.turn = {n - 1} and abs(k.y - c.y) + abs(k.x - c.x) = 1 where c.turn = {n} group by all)"""
+    for n in range(1, 11)
+)
+INPAINT = f"""with p as (select frame, y, x, r from {PX}),
+turns as materialized (select h.frame, h.y, h.x, min(abs(h.y - k.y) + abs(h.x - k.x)) as turn from p h join p k on k.frame = h.frame and k.r <= 60000 where h.r > 60000 group by all),
+i0 as materialized (select frame, y, x, 0 as turn, r as v from p where r <= 60000),
+{_TURNS}
+select frame, y, x, {sql_rounded('v', 3)} as o from i10"""
+
+# ---- differences along rows and columns, smoothed and fused by their variances
+
+
+def _nine() -> list[float]:
+    from math import exp
+
+    w = [exp(-(k * k) / 8) for k in range(-4, 5)]
+    return [x / sum(w) for x in w]
+
+
+_CROSS = {"h": ("dy = 0", "dx"), "v": ("dx = 0", "dy")}
+_WEIGHT = "(case abs({0}) " + " ".join(f"when {k} then {_nine()[4 + k]!r}e0" for k in range(5)) + " end)"
+_SMOOTH = ", ".join(f"sum({_WEIGHT.format(at)} * n_d{a}) filter ({on}) as s{a}" for a, (on, at) in _CROSS.items())
+_STATS = ", ".join(f"avg(n_s{a}) filter ({on}) as m{a}, var_pop(n_s{a}) filter ({on}) + 1e-9 as g{a}, avg((n_d{a} - n_s{a}) ** 2) filter ({on}) + 1e-9 as q{a}" for a, (on, _) in _CROSS.items())
+_FROM_GREEN = f"""m as (select frame, y, x, any_value(c_v) as v, any_value(c_g) as g, sum({_TENT} * (n_v - n_g)) filter ({_NR}) / sum({_TENT}) filter ({_NR}) as dr, sum({_TENT} * (n_v - n_g)) filter ({_NB}) / sum({_TENT}) filter ({_NB}) as db from {_near('v g', 'g', _NEAR1, _NEAR1, True)} group by 1, 2, 3)
+select frame, y, x, {sql_rounded(f'case when {_R} then v else g + dr end', 3)} as r, {sql_rounded('g', 3)} as g, {sql_rounded(f'case when {_B} then v else g + db end', 3)} as b from m"""
+_DIRECTIONS = f"""n as (select frame, y, x, any_value(c_v) as v, {_pick(w1=(0, -1), e1=(0, 1), w2=(0, -2), e2=(0, 2), n1=(-1, 0), s1=(1, 0), n2=(-2, 0), s2=(2, 0))} from {_near('v', _WHOLE, _NEAR2, _NEAR2, True)} group by 1, 2, 3)"""
+LMMSE_DEMOSAIC = f"""with {_DIRECTIONS},
+d as (select frame, y, x, v, (case when (y + x) % 2 = 1 then 1 else -1 end) * (v - (w1 + e1) / 2 - (2 * v - w2 - e2) / 4) as dh, (case when (y + x) % 2 = 1 then 1 else -1 end) * (v - (n1 + s1) / 2 - (2 * v - n2 - s2) / 4) as dv from n),
+s as materialized (select frame, y, x, any_value(c_v) as v, any_value(c_dh) as dh, any_value(c_dv) as dv, {_SMOOTH} from {_near('v dh dv', 'd', _FOUR, _FOUR, True)} where dy = 0 or dx = 0 group by 1, 2, 3),
+t as (select frame, y, x, any_value(c_v) as v, any_value(c_dh) as dh, any_value(c_dv) as dv, {_STATS} from {_near('v dh dv sh sv', 's', _FOUR, _FOUR, True)} where dy = 0 or dx = 0 group by 1, 2, 3),
+e as (select frame, y, x, v, mh + gh / (gh + qh) * (dh - mh) as a, gh * qh / (gh + qh) + 1e-9 as va, mv + gv / (gv + qv) * (dv - mv) as b, gv * qv / (gv + qv) + 1e-9 as vb from t),
+g as materialized (select frame, y, x, v, case when (y + x) % 2 = 1 then v else v + (a * vb + b * va) / (va + vb) end as g from e),
+{_FROM_GREEN}"""
+
+# ---- both directions rendered, the more homogeneous one taken
+_AXES = ("a", "d")  # along rows, down columns
+_DIFFER = ", ".join(f"sum({_TENT} * (n_v - n_g{k})) filter ({near}) / sum({_TENT}) filter ({near}) as {c}{k}" for k in _AXES for c, near in (("r", _NR), ("b", _NB)))
+_PLANES = ", ".join(f"116 * {{l}} as l{k}, 500 * (cbrt(greatest(r{k}, 0)) - {{l}}) as p{k}, 200 * ({{l}} - cbrt(greatest(b{k}, 0))) as q{k}".replace("{l}", f"cbrt(greatest(0.2126729e0 * r{k} + 0.7151521e0 * g{k} + 0.072175e0 * b{k}, 0))") for k in _AXES)
+_GAPS = ", ".join(f"any_value(abs(c_l{k} - n_l{k})) filter (dy = {dy} and dx = {dx}) as l{k}{i}, any_value((c_p{k} - n_p{k}) ** 2 + (c_q{k} - n_q{k}) ** 2) filter (dy = {dy} and dx = {dx}) as c{k}{i}" for k in _AXES for i, (dy, dx) in enumerate(((0, -1), (0, 1), (-1, 0), (1, 0))))
+_ALIKE = ", ".join(" + ".join(f"case when l{k}{i} <= ll and c{k}{i} <= lc then 1 else 0 end" for i in range(4)) + f" as n{k}" for k in _AXES)
+HOMOGENEITY_DEMOSAIC = f"""with {_DIRECTIONS},
+g as (select frame, y, x, v, case when (y + x) % 2 = 1 then v else (w1 + e1) / 2 + (2 * v - w2 - e2) / 4 end as ga, case when (y + x) % 2 = 1 then v else (n1 + s1) / 2 + (2 * v - n2 - s2) / 4 end as gd from n),
+m as (select frame, y, x, any_value(c_v) as v, any_value(c_ga) as ga, any_value(c_gd) as gd, {_DIFFER} from {_near('v ga gd', 'g', _NEAR1, _NEAR1, True)} group by 1, 2, 3),
+c as materialized (select frame, y, x, ga, gd, {", ".join(f"case when {mine} then v else g{k} + {c}{k} end as {c}{k}" for k in _AXES for c, mine in (("r", _R), ("b", _B)))} from m),
+k as materialized (select *, {_PLANES} from c),
+w as (select frame, y, x, {_GAPS} from {_near('la pa qa ld pd qd', 'k', _NEAR1, _NEAR1, True)} group by 1, 2, 3),
+u as (select *, least(greatest(la0, la1), greatest(ld2, ld3)) as ll, least(greatest(ca0, ca1), greatest(cd2, cd3)) as lc from w),
+h as materialized (select frame, y, x, {_ALIKE} from u),
+t as (select frame, y, x, sum(n_na) as ta, sum(n_nd) as td from {_near('na nd', 'h', _NEAR1, _NEAR1, True)} group by 1, 2, 3),
+o as (select c.*, case when ta > td then 1e0 when ta < td then 0e0 else 0.5e0 end as f from c join t using (frame, y, x))
+select frame, y, x, {", ".join(sql_rounded(f'f * {c}a + (1 - f) * {c}d', 6) + f" as {c}" for c in "rgb")} from o"""

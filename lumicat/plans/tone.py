@@ -181,18 +181,18 @@ def _kernel(name: str, columns: list[str], f, out: list[str], halo: int, size: i
     return run
 
 
-_kernel("tile_gaussian_recursive", ["r"], lambda r: {"o": K.recursive_gaussian(r, 3.0)}, ["o"], 16)
+_kernel("tile_gaussian_recursive", ["r"], lambda r: {"o": K.recursive_gaussian(r, 3.0)}, ["o"], 16, sql=Q.GAUSSIAN_RECURSIVE)
 _kernel("tile_bilateral", ["r"], lambda r: {"o": K.bilateral(r, 1.5, 8000.0)}, ["o"], 4, 16, sql=Q.BILATERAL)
-_kernel("tile_deconvolution", ["r"], lambda r: {"o": K.richardson_lucy(r, 0.8, 10, 0.2)}, ["o"], 16)
+_kernel("tile_deconvolution", ["r"], lambda r: {"o": K.richardson_lucy(r, 0.8, 10, 0.2)}, ["o"], 16, sql=Q.DECONVOLUTION)
 _kernel("tile_false_color", ["r", "g", "b"], lambda r, g, b: dict(zip(("r", "g", "b"), K.false_color(r, g, b, 2), strict=True)), ["r", "g", "b"], 4, 16, sql=Q.FALSE_COLOR)
 # the deepest hole of a frame of 50 x 60 leaves one corner: 49 + 59 steps
-_kernel("tile_inpaint", ["r"], lambda r: {"o": K.inpaint(r, r > 60000)}, ["o"], 108)
+_kernel("tile_inpaint", ["r"], lambda r: {"o": K.inpaint(r, r > 60000)}, ["o"], 108, sql=Q.INPAINT)
 _kernel("tile_pyramid", ["r"], lambda r: {"o": K2.pyramid_equalizer(r, [1.3, 1.1, 1.0], 500.0)}, ["o"], 16, sql=Q.PYRAMID)
 _kernel("tile_edge_sharpen", ["r"], lambda r: {"o": K2.micro_contrast(K2.edge_sharpen(r, 0.2, 2), 0.3, 1.0)}, ["o"], 4, 16, sql=Q.EDGE_SHARPEN)
-_kernel("tile_grain", ["r"], lambda r, at: {"o": r + K.grain(r.shape, at.y0, at.x0, 900.0, 3.0)}, ["o"], 0, 16, placed=True)
-_METHOD_SQL = {"adaptive": Q.ADAPTIVE_DEMOSAIC, "vng": Q.VNG_DEMOSAIC, "ratio": Q.RATIO_DEMOSAIC}
+_kernel("tile_grain", ["r"], lambda r, at: {"o": r + K.grain(r.shape, at.y0, at.x0, 900.0, 3.0)}, ["o"], 0, 16, placed=True, sql=Q.GRAIN)
+_METHOD_SQL = {"adaptive": Q.ADAPTIVE_DEMOSAIC, "vng": Q.VNG_DEMOSAIC, "ratio": Q.RATIO_DEMOSAIC, "lmmse": Q.LMMSE_DEMOSAIC, "homogeneity": Q.HOMOGENEITY_DEMOSAIC}
 for _method, _f in R.METHODS.items():
-    _kernel(f"{_method}_demosaic", ["r" if _method in _METHOD_SQL else "v"], lambda v, f=_f: dict(zip("rgb", f(v), strict=True)), ["r", "g", "b"], 14, 16, 2, sql=_METHOD_SQL.get(_method), digits=3 if _method == "ratio" else 6)
+    _kernel(f"{_method}_demosaic", ["r" if _method in _METHOD_SQL else "v"], lambda v, f=_f: dict(zip("rgb", f(v), strict=True)), ["r", "g", "b"], 14, 16, 2, sql=_METHOD_SQL.get(_method), digits=3 if _method in ("ratio", "lmmse") else 6)
 
 
 # ---- operators of whole frames, on several tiles a frame
