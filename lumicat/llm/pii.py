@@ -109,10 +109,18 @@ def _alike(s: str) -> tuple[str, ...]:
     return tuple(k for k, rx in _SHAPES.items() if rx.fullmatch(s))
 
 
-def _shapes(text: str, masked: str, start: int, end: int) -> tuple[str, ...]:
-    """The shapes of text[start:end].  Beyond its first three characters no shape looks at which digit stands where, so spans
-    with digits in the same places share one answer; ``masked``: the text with all digits alike."""
-    return _alike(text[start : min(start + 3, end)] + masked[start + 3 : end])
+class Masked:
+    """A text with all digits alike, made when it is first asked for: most texts have no candidate."""
+
+    def __init__(self, text: str):
+        self.text, self.made = text, None
+
+    def shapes(self, start: int, end: int) -> tuple[str, ...]:
+        """The shapes of text[start:end].  Beyond its first three characters no shape looks at which digit stands where, so
+        spans with digits in the same places share one answer."""
+        if self.made is None:
+            self.made = self.text.translate(_SAME_DIGIT)
+        return _alike(self.text[start : min(start + 3, end)] + self.made[start + 3 : end])
 
 
 def span_features(text: str, start: int, end: int, before: str, shapes: tuple[str, ...] | None = None) -> list[int]:
@@ -150,7 +158,7 @@ def candidates(text: str) -> tuple[list[tuple[int, int]], list[list[tuple[int, l
     tokens = [m.span() for m in _TOKEN.finditer(text)]
     digit = np.cumsum([0, *(_digits(text, a, b) for a, b in tokens)]).tolist()
     mark = np.cumsum([0, *(_mark(text, a, b) for a, b in tokens)]).tolist()
-    masked = text.translate(_SAME_DIGIT)
+    masked = Masked(text)
     return tokens, [list(_ending(text, masked, tokens, digit, mark, j)) for j in range(len(tokens))]
 
 
@@ -162,7 +170,7 @@ def _mark(text: str, a: int, b: int) -> bool:
     return text[a] == "@" or b - a == 2 and text[a:b].lower() == "at" and a > 0 and text[a - 1] in "[({ "
 
 
-def _ending(text: str, masked: str, tokens: list[tuple[int, int]], digit: list[int], mark: list[int], j: int, bare: bool = True) -> Iterator[tuple[int, list[int]]]:
+def _ending(text: str, masked: Masked, tokens: list[tuple[int, int]], digit: list[int], mark: list[int], j: int, bare: bool = True) -> Iterator[tuple[int, list[int]]]:
     """The candidates that end with token j, shortest first; ``digit`` and ``mark`` count those before each token.  ``bare``: also
     those that match no shape."""
     if digit[j + 1] - digit[max(0, j + 1 - LONGEST)] < 4 and mark[j + 1] == mark[max(0, j + 1 - LONGEST)]:
@@ -177,7 +185,7 @@ def _ending(text: str, masked: str, tokens: list[tuple[int, int]], digit: list[i
             continue
         if broken and start and i:
             break
-        shapes = _shapes(text, masked, start, end)
+        shapes = masked.shapes(start, end)
         if not shapes and not bare:
             continue
         before = text[slice(*tokens[i - 1])].lower() if i else ""
@@ -249,7 +257,7 @@ class SemiCRF:
         """
         if not np.array_equal(self._known_of, self.weights):
             self._known, self._known_of = {}, self.weights.copy()
-        least, masked = -2 * max(0.0, self.follow), text.translate(_SAME_DIGIT)
+        least, masked = -2 * max(0.0, self.follow), Masked(text)
         bare = self._without_shape().max() >= least
         # a segment around a mere "at" has no other features than these
         few = self.weights[[_INDEX[k] for k in ("bias", "letters")]].sum(0) + self.weights[[_INDEX[k] for k in ("glued left", "glued right")]].clip(0).sum(0)
