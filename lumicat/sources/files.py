@@ -196,8 +196,8 @@ def read_lookup_table(spark: SparkSession, path: str) -> DataFrame:
     return rows.select((at % F.col("n")).alias("ri"), (F.floor(at / F.col("n")) % F.col("n")).alias("gi"), F.floor(at / (F.col("n") * F.col("n"))).alias("bi"), "r", "g", "b")
 
 
-def upsert(table: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
-    """Records of ``fresh`` in place of those with the same key."""
+def upsert(table: DataFrame, fresh: DataFrame, key: str | list[str]) -> DataFrame:
+    """Records of ``fresh`` in place of those with the same key, of one column or several."""
     return table.join(fresh.select(key), key, "left_anti").unionByName(fresh)
 
 
