@@ -35,18 +35,26 @@ def nearest_calibration(probes: DataFrame, frames: DataFrame, exact: list[str],
     """
     p = probes.select(probe_id, *camera, *weights, F.col(time).alias("_t"), calibration_key(exact).alias("_key"))
     f = frames.select(F.col(frame_id).alias("_f"), *[F.col(c).alias(f"_{c}") for c in (*camera, *weights)], F.col(time).alias("_t"), calibration_key(exact).alias("_key"))
-    same = nearest_in_time(p.select(probe_id, "_key", "_t"), f.select("_key", "_f", "_t"), probe_id).withColumn("distance", F.lit(0.0))
-    left = p.join(same, probe_id, "left_anti")
+    # a probe has a frame in time if its key has one with a time: known from the distinct keys, before anything is matched
+    keys = f.where(F.col("_t").isNotNull() & F.col("_f").isNotNull()).select("_key").distinct().withColumn("_timed", F.lit(True))
+    timed = F.coalesce(F.col("_timed"), F.lit(False)) & F.col("_t").isNotNull()
+    known = p.join(keys, "_key", "left")
+    same = nearest_in_time(known.where(timed).select(probe_id, "_key", "_t"), f.select("_key", "_f", "_t"), probe_id).withColumn("distance", F.lit(0.0))
+    left = known.where(~timed)
     # frames that share all values are one candidate, the first of them; probes that do are matched once
     kinds = f.groupBy(*[f"_{c}" for c in (*camera, *weights)]).agg(F.min("_f").alias("_f"))
     fields = [*camera, *weights]
-    wanted = left.select(*fields).distinct()
-    on = [F.upper(wanted[c]) == F.upper(kinds[f"_{c}"]) for c in camera]
     distance = F.sqrt(sum((F.lit(w) * F.pow(stops(F.col(c).cast("double"), F.col(f"_{c}").cast("double")), 2) for c, w in weights.items()), F.lit(0.0)))
-    near = wanted.join(kinds, on).withColumn("distance", distance).where(F.col("distance").isNotNull())
-    near = near.groupBy(*fields).agg(F.min(F.struct("distance", "_f")).alias("m")).select(*[F.col(c).alias(f"_{c}") for c in fields], F.col("m._f").alias("frame_id"), F.col("m.distance").alias("distance"))
-    near = left.join(near, [left[c].eqNullSafe(near[f"_{c}"]) for c in fields]).select(probe_id, "frame_id", "distance")
-    return probes.select(probe_id).join(same.unionByName(near), probe_id, "left")
+
+    def candidates(wanted: DataFrame) -> DataFrame:
+        return wanted.join(kinds, [F.upper(wanted[c]) == F.upper(kinds[f"_{c}"]) for c in camera]).withColumn("_d", distance)
+
+    # the least distance first, then the first frame at it: both hash aggregates, which hold a row a setting and no pairs
+    near = candidates(left.select(*fields).distinct()).where(F.col("_d").isNotNull()).groupBy(*fields).agg(F.min("_d").alias("distance"))
+    near = candidates(near).where(F.col("_d") == F.col("distance")).groupBy(*fields, "distance").agg(F.min("_f").alias("frame_id"))
+    near = near.select(*[F.col(c).alias(f"_{c}") for c in fields], "frame_id", "distance")
+    near = left.join(near, [left[c].eqNullSafe(near[f"_{c}"]) for c in fields], "left").select(probe_id, "frame_id", "distance")
+    return same.unionByName(near)
 
 
 def nearest_in_time(probes: DataFrame, frames: DataFrame, probe_id: str, span: int = 86_400) -> DataFrame:
@@ -54,19 +62,26 @@ def nearest_in_time(probes: DataFrame, frames: DataFrame, probe_id: str, span: i
     smallest id; probes without any, or without a time, are left out.
 
     Both sides are dealt by key and ``span`` of time and read in the order of time, so neither a pair of a probe and a frame
-    nor a key as a whole comes together anywhere; what lies in other spans is carried over by one row a key and span.
+    nor a key as a whole comes together anywhere.  Only spans with probes are read; what lies in others comes as one frame
+    before and one after.
     """
-    frame = F.when(F.col("_f").isNotNull(), F.struct("_t", "_f"))
-    sole = frames.groupBy("_key", "_t").agg(F.min("_f").alias("_f"))
-    rows = probes.select("_key", "_t", F.col(probe_id).alias("_p"), F.lit(True).alias("_probe"), F.lit(None).cast(frames.schema["_f"].dataType).alias("_f"))
-    rows = rows.unionByName(sole.select("_key", "_t", F.lit(None).cast(probes.schema[probe_id].dataType).alias("_p"), F.lit(False).alias("_probe"), "_f")).where(F.col("_t").isNotNull())
-    rows = rows.withColumns({"_span": F.floor(F.col("_t") / span), "_x": frame})
-    spans = rows.groupBy("_key", "_span").agg(F.max("_x").alias("_last"), F.min("_x").alias("_first"))
+    id_type, frame_type = probes.schema[probe_id].dataType, frames.schema["_f"].dataType
+    at = F.floor(F.col("_t") / span).alias("_span")
+    sole = frames.where(F.col("_t").isNotNull() & F.col("_f").isNotNull()).groupBy("_key", "_t").agg(F.min("_f").alias("_f")).select("_key", at, "_t", "_f")
+    asked = probes.where(F.col("_t").isNotNull()).select("_key", at, "_t", F.col(probe_id).alias("_p"))
+    spans = sole.withColumn("_probe", F.lit(False)).unionByName(asked.select("_key", "_span", F.lit(None).cast(sole.schema["_t"].dataType).alias("_t"), F.lit(None).cast(frame_type).alias("_f"), F.lit(True).alias("_probe")))
+    # times differ within a key, so the frame at the last or first of them is one
+    spans = spans.groupBy("_key", "_span").agg(F.max("_probe").alias("_probe"), F.max("_t").alias("_t1"), F.max_by("_f", "_t").alias("_f1"), F.min("_t").alias("_t0"), F.min_by("_f", "_t").alias("_f0"))
+    ends = {k: F.when(F.col(f"_t{k}").isNotNull(), F.struct(F.col(f"_t{k}").alias("_t"), F.col(f"_f{k}").alias("_f"))) for k in (0, 1)}
     whole = W.partitionBy("_key").rowsBetween(W.unboundedPreceding, -1)
-    spans = spans.select("_key", "_span", F.last("_last", True).over(whole.orderBy("_span")).alias("_before"), F.last("_first", True).over(whole.orderBy(F.desc("_span"))).alias("_after"))
+    carried = spans.select("_key", "_span", "_probe", F.last(ends[1], True).over(whole.orderBy("_span")).alias("_before"), F.last(ends[0], True).over(whole.orderBy(F.desc("_span"))).alias("_after")).where("_probe")
+    carried = carried.select("_key", "_span", F.explode(F.array_compact(F.array("_before", "_after"))).alias("_x")).select("_key", "_span", "_x.*")
+    inside = sole.join(asked.select("_key", "_span").distinct(), ["_key", "_span"], "left_semi")
+    rows = inside.unionByName(carried).withColumn("_p", F.lit(None).cast(id_type)).withColumn("_probe", F.lit(False))
+    rows = rows.unionByName(asked.withColumn("_f", F.lit(None).cast(frame_type)).withColumn("_probe", F.lit(True)))
+    frame = F.when(~F.col("_probe"), F.struct("_t", "_f"))
     within = W.partitionBy("_key", "_span").rangeBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumns({"_lo": F.max("_x").over(within.orderBy("_t")), "_hi": F.min("_x").over(within.orderBy(F.desc("_t")))})
-    found = rows.where("_probe").join(spans, ["_key", "_span"]).withColumns({"_lo": F.coalesce("_lo", "_before"), "_hi": F.coalesce("_hi", "_after")})
+    found = rows.withColumns({"_lo": F.max(frame).over(within.orderBy("_t")), "_hi": F.min(frame).over(within.orderBy(F.desc("_t")))}).where("_probe")
     gap = lambda c: F.struct(F.abs(F.col("_t") - F.col(f"{c}._t")).alias("gap"), F.col(f"{c}._f").alias("f"))
     best = F.least(*[F.when(F.col(c).isNotNull(), gap(c)) for c in ("_lo", "_hi")])
     return found.select(F.col("_p").alias(probe_id), best["f"].alias("frame_id")).where(F.col("frame_id").isNotNull())

@@ -1,8 +1,13 @@
-"""Queries on tables of larger keys than the smallest ones have, against their SQL."""
+"""What shows on larger tables only: keys past a million, and what a task holds."""
 
+import math
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from lumicat import queries as catalog
+from lumicat.operators import match
 
 from .compare import connect, difference
 
@@ -14,3 +19,21 @@ def test_cache_upsert_past_a_million(spark, sf_dir, tmp_path):
     both.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     df = catalog.QUERIES["cache_upsert"](spark, str(tmp_path))
     assert difference(df, connect(str(tmp_path)), catalog.ORACLE_SQL["cache_upsert"]) == ""
+
+
+def test_nearest_settings_hold_no_pairs(spark):
+    """Pairs of settings go through hash aggregates of a row a setting; none are sorted or gathered."""
+    r = random.Random(21)
+    row = lambda i: (i, r.choice("ab"), "m", r.choice([100, 200, 300, 400, 800]), r.choice([0.5, 0.25, 0.125, 0.3]), r.choice([None, r.randint(0, 300_000)]))
+    probes, darks = [row(i) for i in range(200)], [row(i) for i in range(14)]
+    schema = "shot_id long, make string, model string, iso int, shutter double, ts long"
+    df = match.dark_frames(spark.createDataFrame(probes, schema), spark.createDataFrame(darks, schema).withColumnRenamed("shot_id", "frame_id"))
+    assert "SortAggregate" not in df._jdf.queryExecution().executedPlan().toString()
+    got = {x.shot_id: (x.frame_id, x.distance) for x in df.collect()}
+    assert len(got) == len(probes) == df.count()
+    for i, make, _, iso, shutter, ts in probes:
+        timed = [(abs(ts - d[5]), d[0]) for d in darks if d[1:5] == (make, "m", iso, shutter) and d[5] is not None] if ts is not None else []
+        near = [(math.hypot(math.log2(iso / d[3]), math.log2(shutter / d[4])), d[0]) for d in darks if d[1] == make]
+        least = min(near)[0]
+        want = (min(timed)[1], 0.0) if timed else (min(j for d, j in near if d - least < 1e-9), pytest.approx(least, abs=1e-9))
+        assert got[i] == want
