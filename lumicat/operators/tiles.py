@@ -1,13 +1,14 @@
 """Tile kernels: operators whose recursion, iteration or solver has no column form.
 
 A frame is cut into tiles with a halo (``halo_tiles``); every pixel is sent to the tiles whose halo holds it, each tile is
-one array in one task, and a kernel returns the tile's core.  Tiles bound the memory of a task however large a frame is;
-kernels with unbounded reach (recursive filters, solvers) state their halo.
+one array in one task, and a kernel returns the tile's core.  Pixels travel as pieces, the samples of one tile that lay in one
+batch, since a row a pixel and tile takes several times their bytes in exchanges and sorts.  Tiles bound the memory of a task
+however large a frame is; kernels with unbounded reach (recursive filters, solvers) state their halo.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -27,14 +28,34 @@ class Place(NamedTuple):
     right: bool
 
 
-def halo_tiles(px: DataFrame, size: int, halo: int) -> DataFrame:
-    """``px`` with (ty, tx), a row for each tile whose halo holds the pixel."""
-    def reach(c: str):
-        lo, hi = F.floor((F.col(c) - halo) / size), F.floor((F.col(c) + halo) / size)
-        return F.sequence(F.greatest(lo, F.lit(0)), F.greatest(hi, F.lit(0)))
-
-    rows = px.withColumn("ty", F.explode(reach("y")))
-    return rows.withColumn("tx", F.explode(reach("x")))
+def halo_tiles(px: DataFrame, columns: list[str], size: int, halo: int) -> DataFrame:
+    """(frame, ty, tx, at, samples): pieces of the tiles whose halo holds the pixels of ``px`` (frame, y, x, *columns).  ``at``:
+    32-bit places in the tile's square with its halo, row by row; ``samples``: doubles, a column after the other.
+
+    A batch is dealt as it comes: where pixels of a frame lie together a piece is a large part of a tile, else a few samples.
+    """
+    side = size + 2 * halo
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            frame, y, x = (batch[c].to_numpy(zero_copy_only=False) for c in ("frame", "y", "x"))
+            values = [batch[c].to_numpy(zero_copy_only=False) for c in columns]
+            first = [np.maximum((c - halo) // size, 0) for c in (y, x)]
+            more = [np.maximum((c + halo) // size, 0) - f for c, f in zip((y, x), first, strict=True)]
+            for dy in range(int(more[0].max(initial=-1)) + 1):
+                for dx in range(int(more[1].max(initial=-1)) + 1):
+                    i = np.flatnonzero((more[0] >= dy) & (more[1] >= dx))
+                    ty, tx = first[0][i] + dy, first[1][i] + dx
+                    order = np.lexsort((tx, ty, frame[i]))
+                    i, ty, tx = i[order], ty[order], tx[order]
+                    f = frame[i]
+                    new = np.flatnonzero(np.r_[True, (f[1:] != f[:-1]) | (ty[1:] != ty[:-1]) | (tx[1:] != tx[:-1])][: len(i)])
+                    at = ((y[i] - np.maximum(ty * size - halo, 0)) * side + x[i] - np.maximum(tx * size - halo, 0)).astype(np.int32)
+                    samples = np.array([v[i] for v in values], np.float64)
+                    parts = [slice(a, b) for a, b in zip(new.tolist(), [*new[1:].tolist(), len(i)])]
+                    yield pa.RecordBatch.from_arrays([pa.array(f[new]), pa.array(ty[new]), pa.array(tx[new]), pa.array([at[p].tobytes() for p in parts], pa.binary()), pa.array([samples[:, p].tobytes() for p in parts], pa.binary())], names=["frame", "ty", "tx", "at", "samples"])
+
+    return px.select("frame", "y", "x", *columns).mapInArrow(run, "frame long, ty long, tx long, at binary, samples binary")
 
 
 def apply_kernel(px: DataFrame, columns: list[str], kernel: Callable[..., dict[str, np.ndarray]], out: list[str], size: int = 256, halo: int = 16, period: int = 1, placed: bool = False) -> DataFrame:
@@ -45,24 +66,26 @@ def apply_kernel(px: DataFrame, columns: list[str], kernel: Callable[..., dict[s
         raise ValueError("size must be a multiple of the period")
     halo = -(-halo // period) * period
 
+    side = size + 2 * halo
+
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         frame, ty, tx = (k.as_py() for k in key)
-        y, x = table["y"].to_numpy(), table["x"].to_numpy()
         y0, x0 = max(0, ty * size - halo), max(0, tx * size - halo)
-        shape = (int(y.max()) - y0 + 1, int(x.max()) - x0 + 1)
-        planes = []
-        for c in columns:
-            a = np.full(shape, np.nan)
-            a[y - y0, x - x0] = table[c].to_numpy()
-            planes.append(a)
-        at = Place(y0, x0, y0 > 0, x0 > 0, int(y.max()) == (ty + 1) * size - 1 + halo, int(x.max()) == (tx + 1) * size - 1 + halo)
-        made = kernel(*planes, at=at) if placed else kernel(*planes)
-        core = (y // size == ty) & (x // size == tx)
+        at = [np.frombuffer(b.as_buffer(), np.int32) for b in table["at"]]
+        samples = [np.frombuffer(b.as_buffer(), np.float64).reshape(len(columns), len(a)) for a, b in zip(at, table["samples"], strict=True)]
+        y, x = np.divmod(np.concatenate(at).astype(np.int64), side)
+        shape = (int(y.max()) + 1, int(x.max()) + 1)
+        planes = np.full((len(columns), *shape), np.nan)
+        planes[:, y, x] = np.concatenate(samples, 1)
+        bottom, right = y0 + shape[0] == (ty + 1) * size + halo, x0 + shape[1] == (tx + 1) * size + halo
+        place = Place(y0, x0, y0 > 0, x0 > 0, bottom, right)
+        made = kernel(*planes, at=place) if placed else kernel(*planes)
+        core = ((y + y0) // size == ty) & ((x + x0) // size == tx)
         y, x = y[core], x[core]
-        return pa.table({"frame": pa.array(np.full(len(y), frame, np.int64)), "y": pa.array(y), "x": pa.array(x), **{o: pa.array(np.asarray(made[o], np.float64)[y - y0, x - x0]) for o in out}})
+        return pa.table({"frame": pa.array(np.full(len(y), frame, np.int64)), "y": pa.array(y + y0), "x": pa.array(x + x0), **{o: pa.array(np.asarray(made[o], np.float64)[y, x]) for o in out}})
 
-    rows = px.select(*[F.col(c).cast("long").alias(c) for c in ("frame", "y", "x")], *[F.col(c).cast("double").alias(c) for c in columns])
-    return halo_tiles(rows, size, halo).groupBy("frame", "ty", "tx").applyInArrow(run, "frame long, y long, x long, " + ", ".join(f"{o} double" for o in out))
+    rows = px.select(*[F.col(c).cast("long").alias(c) for c in ("frame", "y", "x")], *[F.col(c).cast("double").alias(c) for c in dict.fromkeys(columns)])
+    return halo_tiles(rows, columns, size, halo).groupBy("frame", "ty", "tx").applyInArrow(run, "frame long, y long, x long, " + ", ".join(f"{o} double" for o in out))
 
 
 # ---- kernels over arrays

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumicat import queries as catalog
-from lumicat.operators import match
+from lumicat.operators import match, tiles
 
 from .compare import connect, difference
 
@@ -37,3 +37,18 @@ def test_nearest_settings_hold_no_pairs(spark):
         least = min(near)[0]
         want = (min(timed)[1], 0.0) if timed else (min(j for d, j in near if d - least < 1e-9), pytest.approx(least, abs=1e-9))
         assert got[i] == want
+
+
+def test_tiles_get_pieces_not_pixels(spark):
+    """Pixels reach their tiles as pieces of many samples, and in any order of the rows the tiles are the same."""
+    px = spark.range(2 * 3000).select((F.col("id") / 3000).cast("long").alias("frame"), (F.col("id") % 3000 / 50).cast("long").alias("y"), (F.col("id") % 50).alias("x"), (F.col("id") * 7919 % 997).cast("double").alias("v"))
+    df = tiles.apply_kernel(px, ["v"], lambda a: {"o": tiles.gaussian(a, 2.0)}, ["o"], 16, 6)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "explode" not in plan
+    pieces = tiles.halo_tiles(px.coalesce(1), ["v"], 16, 6).selectExpr("length(at) div 4 as n", "length(samples) div 8 as m").collect()
+    lines = lambda n: sum(k // 16 * 16 - 6 <= c < k // 16 * 16 + 22 for c in range(n) for k in range(0, n + 6, 16))
+    assert sum(p.n for p in pieces) == sum(p.m for p in pieces) == 2 * lines(60) * lines(50)
+    assert len(pieces) < 2 * 3000 / 20
+    mixed = tiles.apply_kernel(px.orderBy(F.hash("frame", "y", "x")), ["v"], lambda a: {"o": tiles.gaussian(a, 2.0)}, ["o"], 16, 6)
+    assert df.count() == 6000 and df.exceptAll(mixed).count() == 0
+    assert tiles.apply_kernel(px.where("v < 0"), ["v"], lambda a: {"o": a}, ["o"], 16, 6).count() == 0
