@@ -26,14 +26,16 @@ BINS = 256
 def quantiles(px: DataFrame, columns: list[str], share: float, suffix: str) -> DataFrame:
     """(frame, column + suffix ...): quantiles of magnitudes from logarithmic bins, as the middle of the first bin that holds
     ``share`` of the samples: within 0.14 % of the value, from counts of bounded size.  Zero is a bin of its own."""
-    named = px.select("frame", F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.abs(c).alias("v")) for c in columns])).alias("s")).select("frame", "s.*")
-    bins = named.withColumn("bin", F.when(F.col("v") > 0, F.floor(F.log2("v") * BINS))).groupBy("frame", "c", "bin").agg(F.count("*").alias("n"))
+    # column and bin are one number: the counts before the exchange hold a row for every few samples
+    bin_of = lambda v: F.coalesce(F.when(v > 0, F.least(F.floor(F.log2(v) * BINS), F.lit((1 << 19) - 1)) + (1 << 19)), F.lit(0))
+    places = px.select("frame", F.explode(F.array(*[bin_of(F.abs(c)) + (k << 20) for k, c in enumerate(columns)])).alias("at"))
+    bins = places.groupBy("frame", "at").agg(F.count("*").alias("n")).withColumn("c", F.shiftright("at", 20))
     w = W.partitionBy("frame", "c")
-    # a few thousand bins a frame and column, null (zero) first
-    ranked = bins.withColumns({"cum": F.sum("n").over(w.orderBy(F.col("bin").asc_nulls_first())), "total": F.sum("n").over(w)})
-    first = F.min(F.when(F.col("cum") >= share * F.col("total"), F.coalesce(F.pow(F.lit(2.0), (F.col("bin") + 0.5) / BINS), F.lit(0.0))))
-    found = ranked.groupBy("frame", "c").agg(first.alias("q"))
-    return found.groupBy("frame").agg(*[F.max(F.when(F.col("c") == c, F.col("q"))).alias(c + suffix) for c in columns])
+    # a few thousand bins a frame and column, zero first
+    ranked = bins.withColumns({"cum": F.sum("n").over(w.orderBy("at")), "total": F.sum("n").over(w), "bin": F.col("at") % (1 << 20)})
+    middle = F.when(F.col("bin") > 0, F.pow(F.lit(2.0), (F.col("bin") - (1 << 19) + 0.5) / BINS)).otherwise(0.0)
+    found = ranked.groupBy("frame", "c").agg(F.min(F.when(F.col("cum") >= share * F.col("total"), middle)).alias("q"))
+    return found.groupBy("frame").agg(*[F.max(F.when(F.col("c") == k, F.col("q"))).alias(c + suffix) for k, c in enumerate(columns)])
 
 
 def _clip(c: Column, low: Column, high: Column) -> Column:

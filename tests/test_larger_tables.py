@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumicat import queries as catalog
-from lumicat.operators import match, tiles
+from lumicat.operators import frames, match, tiles
 
 from .compare import connect, difference
 
@@ -52,3 +52,14 @@ def test_tiles_get_pieces_not_pixels(spark):
     mixed = tiles.apply_kernel(px.orderBy(F.hash("frame", "y", "x")), ["v"], lambda a: {"o": tiles.gaussian(a, 2.0)}, ["o"], 16, 6)
     assert df.count() == 6000 and df.exceptAll(mixed).count() == 0
     assert tiles.apply_kernel(px.where("v < 0"), ["v"], lambda a: {"o": a}, ["o"], 16, 6).count() == 0
+
+
+def test_quantile_counts_have_short_keys(spark):
+    """Counts of magnitudes are kept under two numbers; no name of a column goes with each of them."""
+    values = [0.0, 5e-324, 1e-300, 3.0, -3.0, 7.0, 1.7e308, float("inf"), None]
+    px = spark.createDataFrame([(f, v, -2.0 * f) for f in range(2) for v in values], "frame long, a double, b double")
+    df = frames.quantiles(px, ["a", "b"], 0.5, "_q")
+    keys = [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "partial_count" in line]
+    assert keys and all(line.partition("keys=[")[2].partition("]")[0].count(",") == 1 for line in keys)
+    assert {r.frame: (r.a_q, r.b_q) for r in df.collect()} == {0: (pytest.approx(3, rel=0.002), 0.0), 1: (pytest.approx(3, rel=0.002), pytest.approx(2, rel=0.002))}
+    assert frames.quantiles(px, ["a"], 1.0, "_q").first().a_q == float("inf")
