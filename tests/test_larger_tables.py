@@ -63,3 +63,9 @@ def test_quantile_counts_have_short_keys(spark):
     assert keys and all(line.partition("keys=[")[2].partition("]")[0].count(",") == 1 for line in keys)
     assert {r.frame: (r.a_q, r.b_q) for r in df.collect()} == {0: (pytest.approx(3, rel=0.002), 0.0), 1: (pytest.approx(3, rel=0.002), pytest.approx(2, rel=0.002))}
     assert frames.quantiles(px, ["a"], 1.0, "_q").first().a_q == float("inf")
+
+
+@pytest.mark.parametrize("name", ["tile_wavelet", "tile_shrinkage", "tile_retinex"])
+def test_whole_frame_queries_send_no_pixel_rows_to_tiles(spark, sf_dir, name):
+    plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan and "MapInArrow" in plan
