@@ -7,6 +7,7 @@ the tiles' size.  Where a statistic is taken of a kernel's result, the kernel ru
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from math import ceil
 
 import numpy as np
@@ -16,11 +17,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .detail import resample
-from .tiles import Place, a_trous, apply_kernel, conjugate_gradient, gaussian
+from .tiles import Place, a_trous, apply_kernel, conjugate_gradient, gaussian, on_tiles, pixels, tile_pieces
 from .window import _line
 
 #: Bins an octave of the quantiles of magnitudes.
 BINS = 256
+#: Counts that a task holds before it merges them.
+HELD = 1 << 18
 
 
 def quantiles(px: DataFrame, columns: list[str], share: float, suffix: str) -> DataFrame:
@@ -33,9 +36,79 @@ def quantiles(px: DataFrame, columns: list[str], share: float, suffix: str) -> D
     w = W.partitionBy("frame", "c")
     # a few thousand bins a frame and column, zero first
     ranked = bins.withColumns({"cum": F.sum("n").over(w.orderBy("at")), "total": F.sum("n").over(w), "bin": F.col("at") % (1 << 20)})
-    middle = F.when(F.col("bin") > 0, F.pow(F.lit(2.0), (F.col("bin") - (1 << 19) + 0.5) / BINS)).otherwise(0.0)
-    found = ranked.groupBy("frame", "c").agg(F.min(F.when(F.col("cum") >= share * F.col("total"), middle)).alias("q"))
-    return found.groupBy("frame").agg(*[F.max(F.when(F.col("c") == k, F.col("q"))).alias(c + suffix) for k, c in enumerate(columns)])
+    return _middles(ranked.groupBy("frame", "c").agg(F.min(F.when(F.col("cum") >= share * F.col("total"), F.col("bin"))).alias("bin")), columns, suffix)
+
+
+def _middles(found: DataFrame, columns: list[str], suffix: str) -> DataFrame:
+    """One row a frame with the middles of the bins of (frame, c, bin)."""
+    middle = F.when(F.col("bin") > 0, F.pow(F.lit(2.0), (F.col("bin") - (1 << 19) + 0.5) / BINS)).when(F.col("bin") == 0, 0.0)
+    return found.groupBy("frame").agg(*[F.max(F.when(F.col("c") == k, middle)).alias(c + suffix) for k, c in enumerate(columns)])
+
+
+def _bins(v: np.ndarray) -> np.ndarray:
+    """The bins of ``quantiles`` for magnitudes in arrays."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        at = np.minimum(np.floor(np.log2(v) * BINS), (1 << 19) - 1) + (1 << 19)
+    return np.where(v > 0, at, np.where(np.isnan(v), 1 << 19, 0)).astype(np.int64)  # a comparison of Spark's takes NaN as large
+
+
+def _sums(keys: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct keys in order, and the sums of their counts."""
+    order = np.lexsort(keys[::-1])
+    keys, n = [k[order] for k in keys], n[order]
+    first = np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)])
+    return [k[first] for k in keys], np.add.reduceat(n, first)
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (frame, at, n) to pieces (frame, c, at, n), arrays of a frame's and column's bins and counts.  Tiles of a frame follow
+    each other in a task, so few pieces are made of a frame; what is held is bounded in any order."""
+
+    def pieces(frame: np.ndarray, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        c = at >> 20
+        first = np.flatnonzero(np.r_[True, (frame[1:] != frame[:-1]) | (c[1:] != c[:-1])])
+        parts = [slice(a, b) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(at)], strict=True)]
+        packed = at.astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(frame[first]), pa.array(c[first]), *[pa.array([a[p].tobytes() for p in parts], pa.binary()) for a in (packed, n)]], names=["frame", "c", "at", "n"])
+
+    def merge(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        frame, at, n = (np.concatenate(a) for a in zip(*held, strict=True))
+        keys, n = _sums([frame, at], n)
+        return (*keys, n)
+
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(tuple(batch[k].to_numpy(zero_copy_only=False) for k in ("frame", "at", "n")))
+            size += batch.num_rows
+        if size >= HELD:
+            held = [merge(held)]
+            size = len(held[0][0])
+            if size >= HELD // 2:
+                yield pieces(*held[0])
+                held, size = [], 0
+    if size:
+        yield pieces(*merge(held))
+
+
+def tile_quantiles(tiles: DataFrame, kernel: Callable[..., dict[str, np.ndarray]], columns: list[str], share: float, suffix: str, size: int, halo: int) -> DataFrame:
+    """``quantiles`` of what ``kernel`` makes of one plane's pieces.  Magnitudes are counted where the tile is: a small tile
+    has about as many bins as samples, so that a hash aggregate over the tiles of a task would hold nearly all their samples."""
+
+    def counted(frame: int, _y: np.ndarray, _x: np.ndarray, made: dict[str, np.ndarray]) -> pa.Table:
+        at, n = np.unique(np.concatenate([_bins(np.abs(made[c])) + (k << 20) for k, c in enumerate(columns)]), return_counts=True)
+        return pa.table({"frame": pa.array(np.full(len(at), frame, np.int64)), "at": pa.array(at), "n": pa.array(n.astype(np.int64))})
+
+    def found(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        at, n = (np.concatenate([np.frombuffer(b.as_buffer(), t) for b in table[c]]) for c, t in (("at", np.int32), ("n", np.int64)))
+        (at,), n = _sums([at], n)
+        cum = np.cumsum(n)
+        return pa.table({"frame": [key[0]], "c": [key[1]], "bin": pa.array(at[[np.argmax(cum >= share * cum[-1])]] % (1 << 20), pa.int64())})
+
+    counts = on_tiles(tiles, 1, kernel, size, halo, counted, "frame long, at long, n long")
+    pieces = counts.mapInArrow(_merged, "frame long, c long, at binary, n binary")
+    return _middles(pieces.groupBy("frame", "c").applyInArrow(found, "frame long, c long, bin long"), columns, suffix)
 
 
 def _clip(c: Column, low: Column, high: Column) -> Column:
@@ -64,9 +137,12 @@ def _details(px: DataFrame, value: str, levels: int, size: int) -> tuple[DataFra
         details, rest = a_trous(a, levels)
         return dict(zip(names, details, strict=True)) | {"_rest": rest}
 
-    rows = apply_kernel(px, [value], split, [*names, "_rest"], size, 2 * (2**levels - 1))
-    noise = quantiles(rows, names, 0.5, "_n")
-    return rows.join(noise, "frame").withColumns({f"{n}_n": F.col(f"{n}_n") / 0.6745 for n in names}), names
+    halo = 2 * (2**levels - 1)
+    tiles = tile_pieces(px, [value], size, halo)
+    rows = pixels(tiles, 1, split, [*names, "_rest"], size, halo)
+    noise = tile_quantiles(tiles, split, names, 0.5, "_n", size, halo)
+    # by estimates from before the kernels the pixels look smaller than one row a frame: they are neither sent to all nor sorted
+    return rows.join(noise.hint("shuffle_hash"), "frame").withColumns({f"{n}_n": F.col(f"{n}_n") / 0.6745 for n in names}), names
 
 
 def wavelet_equalize(px: DataFrame, value: str, out: str, gains: list[float], thresholds: list[float] | None = None, size: int = 256) -> DataFrame:

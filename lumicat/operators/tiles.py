@@ -58,34 +58,53 @@ def halo_tiles(px: DataFrame, columns: list[str], size: int, halo: int) -> DataF
     return px.select("frame", "y", "x", *columns).mapInArrow(run, "frame long, ty long, tx long, at binary, samples binary")
 
 
-def apply_kernel(px: DataFrame, columns: list[str], kernel: Callable[..., dict[str, np.ndarray]], out: list[str], size: int = 256, halo: int = 16, period: int = 1, placed: bool = False) -> DataFrame:
-    """(frame, y, x, *out): ``kernel`` gets one array a column (tile with halo; NaN where there is no pixel) and returns
-    arrays of the same shape; the core is kept.  ``period``: arrays begin at multiples of it, as kernels of mosaics need
-    (the halo is widened to one; the size must be one).  ``placed``: the kernel gets the tile's ``Place`` as ``at``."""
-    if size % period:
-        raise ValueError("size must be a multiple of the period")
-    halo = -(-halo // period) * period
+def tile_pieces(px: DataFrame, columns: list[str], size: int, halo: int) -> DataFrame:
+    """``halo_tiles`` of columns of any numeric type."""
+    rows = px.select(*[F.col(c).cast("long").alias(c) for c in ("frame", "y", "x")], *[F.col(c).cast("double").alias(c) for c in dict.fromkeys(columns)])
+    return halo_tiles(rows, columns, size, halo)
+
 
+def on_tiles(pieces: DataFrame, planes: int, kernel: Callable[..., dict[str, np.ndarray]], size: int, halo: int, gather: Callable[..., pa.Table], schema: str, placed: bool = False) -> DataFrame:
+    """Rows of ``schema`` that ``gather`` makes of each tile's frame, the places (y, x) of its core and the core's part of what
+    ``kernel`` returns.  ``pieces``: of ``tile_pieces``; where several are made of the same, its exchange is read again."""
     side = size + 2 * halo
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         frame, ty, tx = (k.as_py() for k in key)
         y0, x0 = max(0, ty * size - halo), max(0, tx * size - halo)
         at = [np.frombuffer(b.as_buffer(), np.int32) for b in table["at"]]
-        samples = [np.frombuffer(b.as_buffer(), np.float64).reshape(len(columns), len(a)) for a, b in zip(at, table["samples"], strict=True)]
+        samples = [np.frombuffer(b.as_buffer(), np.float64).reshape(planes, len(a)) for a, b in zip(at, table["samples"], strict=True)]
         y, x = np.divmod(np.concatenate(at).astype(np.int64), side)
         shape = (int(y.max()) + 1, int(x.max()) + 1)
-        planes = np.full((len(columns), *shape), np.nan)
-        planes[:, y, x] = np.concatenate(samples, 1)
+        arrays = np.full((planes, *shape), np.nan)
+        arrays[:, y, x] = np.concatenate(samples, 1)
         bottom, right = y0 + shape[0] == (ty + 1) * size + halo, x0 + shape[1] == (tx + 1) * size + halo
         place = Place(y0, x0, y0 > 0, x0 > 0, bottom, right)
-        made = kernel(*planes, at=place) if placed else kernel(*planes)
+        made = kernel(*arrays, at=place) if placed else kernel(*arrays)
         core = ((y + y0) // size == ty) & ((x + x0) // size == tx)
         y, x = y[core], x[core]
-        return pa.table({"frame": pa.array(np.full(len(y), frame, np.int64)), "y": pa.array(y + y0), "x": pa.array(x + x0), **{o: pa.array(np.asarray(made[o], np.float64)[y, x]) for o in out}})
+        return gather(frame, y + y0, x + x0, {o: np.asarray(m, np.float64)[y, x] for o, m in made.items()})
 
-    rows = px.select(*[F.col(c).cast("long").alias(c) for c in ("frame", "y", "x")], *[F.col(c).cast("double").alias(c) for c in dict.fromkeys(columns)])
-    return halo_tiles(rows, columns, size, halo).groupBy("frame", "ty", "tx").applyInArrow(run, "frame long, y long, x long, " + ", ".join(f"{o} double" for o in out))
+    return pieces.groupBy("frame", "ty", "tx").applyInArrow(run, schema)
+
+
+def pixels(pieces: DataFrame, planes: int, kernel: Callable[..., dict[str, np.ndarray]], out: list[str], size: int, halo: int, placed: bool = False) -> DataFrame:
+    """(frame, y, x, *out) of the tiles' cores."""
+
+    def gather(frame: int, y: np.ndarray, x: np.ndarray, made: dict[str, np.ndarray]) -> pa.Table:
+        return pa.table({"frame": pa.array(np.full(len(y), frame, np.int64)), "y": pa.array(y), "x": pa.array(x), **{o: pa.array(made[o]) for o in out}})
+
+    return on_tiles(pieces, planes, kernel, size, halo, gather, "frame long, y long, x long, " + ", ".join(f"{o} double" for o in out), placed)
+
+
+def apply_kernel(px: DataFrame, columns: list[str], kernel: Callable[..., dict[str, np.ndarray]], out: list[str], size: int = 256, halo: int = 16, period: int = 1, placed: bool = False) -> DataFrame:
+    """(frame, y, x, *out): ``kernel`` gets one array a column (tile with halo; NaN where there is no pixel) and returns
+    arrays of the same shape; the core is kept.  ``period``: arrays begin at multiples of it, as kernels of mosaics need
+    (the halo is widened to one; the size must be one).  ``placed``: the kernel gets the tile's ``Place`` as ``at``."""
+    if size % period:
+        raise ValueError("size must be a multiple of the period")
+    halo = -(-halo // period) * period
+    return pixels(tile_pieces(px, columns, size, halo), len(columns), kernel, out, size, halo, placed)
 
 
 # ---- kernels over arrays

@@ -1,8 +1,11 @@
 """What shows on larger tables only: keys past a million, and what a task holds."""
 
+import collections
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,3 +72,50 @@ def test_quantile_counts_have_short_keys(spark):
 def test_whole_frame_queries_send_no_pixel_rows_to_tiles(spark, sf_dir, name):
     plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "sequence(" not in plan and "MapInArrow" in plan
+
+
+@pytest.mark.parametrize("name", ["tile_wavelet", "tile_shrinkage"])
+def test_noise_is_counted_where_tiles_are(spark, sf_dir, name):
+    """No row a pixel and level reaches a hash aggregate; a frame's bins travel as arrays, and its pixels meet one row unsorted."""
+    plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "partial_count" not in plan and "Generate" not in plan and "Window" not in plan
+    assert "ShuffledHashJoin" in plan and "BroadcastHashJoin" not in plan and "SortMergeJoin" not in plan
+
+
+def test_tile_quantiles_are_those_of_the_pixels(spark):
+    """Zeros, both signs, ends of the range, missing numbers, a ragged frame and one of a pixel."""
+    r = random.Random(5)
+    odd = [0.0, 1.0, -8.0, 0.25, 5e-324, 1e-300, 1.7e308, math.inf, -math.inf, math.nan]
+    rows = [(f, i // 40, i % 40, r.choice(odd) if i % 3 == f % 3 else r.gauss(0, 900)) for f, n in enumerate([1600, 1600, 1333, 1]) for i in range(n)]
+    px = spark.createDataFrame(rows, "frame long, y long, x long, a double").repartition(5)
+    pieces = tiles.tile_pieces(px, ["a"], 16, 6)
+    for share in (0.001, 0.5, 1.0):
+        df = frames.tile_quantiles(pieces, lambda a: {"a": a, "b": -2 * a, "z": 0 * a}, ["a", "b"], share, "_q", 16, 6)
+        got, want = ({x.frame: (x.a_q, x.b_q) for x in d.collect()} for d in (df, frames.quantiles(px.withColumn("b", -2 * px.a), ["a", "b"], share, "_q")))
+        assert len(got) == 4 and got == want
+    assert frames.tile_quantiles(tiles.tile_pieces(px.where("y < 0"), ["a"], 16, 6), lambda a: {"a": a}, ["a"], 0.5, "_q", 16, 6).count() == 0
+
+
+@pytest.mark.parametrize("ordered", [True, False])
+def test_merged_counts_hold_a_bounded_number(monkeypatch, ordered):
+    monkeypatch.setattr(frames, "HELD", 400)
+    r = random.Random(6)
+    rows = [(r.randrange(40), (r.randrange(3) << 20) + r.randrange(30), r.randrange(1, 5)) for _ in range(6000)]
+    rows = sorted(rows) if ordered else rows
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[k : k + 100], strict=True)], names=["frame", "at", "n"]) for k in range(0, 6000, 100)]
+    want, got, pieces, most = collections.Counter(), collections.Counter(), 0, 0
+    for f, a, n in rows:
+        want[f, a] += n
+    for b in frames._merged(iter([*batches[:7], batches[0].slice(0, 0), *batches[7:]])):
+        pieces += b.num_rows
+        entries = 0
+        for f, c, a, n in zip(*(b[k].to_pylist() for k in ("frame", "c", "at", "n")), strict=True):
+            at, counts = np.frombuffer(a, np.int32).tolist(), np.frombuffer(n, np.int64).tolist()
+            assert len(at) == len(counts) == len(set(at)) and {k >> 20 for k in at} == {c}
+            entries += len(at)
+            for k, m in zip(at, counts, strict=True):
+                got[f, k] += m
+        most = max(most, entries)
+    assert got == want and most <= 500
+    assert pieces <= (3 * 40 + 60 if ordered else 6000)
+    assert list(frames._merged(iter([]))) == []
