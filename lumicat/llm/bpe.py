@@ -76,7 +76,7 @@ def bpe_encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_i
                 ids = [encode(enc, t) for t in part["text"].to_pylist()]
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
-    return texts(docs, id_col, text_col).mapInArrow(lean(run), "doc_id long, n_tokens long, ids binary")
+    return texts(docs, id_col, text_col).mapInArrow(lean(run, "tokenizers"), "doc_id long, n_tokens long, ids binary")
 
 
 def bpe_decode(encoded: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
@@ -90,4 +90,4 @@ def bpe_decode(encoded: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
                 out = [enc.decode_bytes(np.frombuffer(x, "<u4").tolist()) for x in part["ids"].to_pylist()]
                 yield part.append_column("decoded", pa.array(out, pa.binary()))
 
-    return encoded.select("doc_id", "n_tokens", F.coalesce("ids", F.lit(b"")).alias("ids")).mapInArrow(lean(run), "doc_id long, n_tokens long, ids binary, decoded binary")
+    return encoded.select("doc_id", "n_tokens", F.coalesce("ids", F.lit(b"")).alias("ids")).mapInArrow(lean(run, "tokenizers"), "doc_id long, n_tokens long, ids binary, decoded binary")

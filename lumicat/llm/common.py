@@ -84,11 +84,25 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     return df.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
 
 
-def lean(run: Callable) -> Callable:
+#: What a process holds from task to task, by name: how to drop it.
+HELD: dict[str, Callable[[], None]] = {}
+
+
+def forget(but: str = "") -> None:
+    """Drops what this process holds, but for what is held as ``but``; it is made again where it is needed."""
+    for name, drop in HELD.items():
+        if name != but:
+            drop()
+
+
+def lean(run: Callable, keep: str = "") -> Callable:
     """A function over Arrow batches that gives its task's memory back to the system at the end: workers live on, and
-    what their allocators keep would add up over the stages of a session."""
+    what their allocators keep would add up over the stages of a session.  What earlier tasks left in the worker is dropped
+    first, but for what is held as ``keep``: Spark hands a stage's tasks to all workers in turn, so that each would keep its
+    tokenizer through all stages that follow."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(keep)
         yield from run(batches)
         pa.default_memory_pool().release_unused()
         with contextlib.suppress(AttributeError, OSError):
@@ -117,6 +131,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+HELD["powers"] = _POWERS.clear
 
 
 def powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:

@@ -205,13 +205,8 @@ def _held(docs: DataFrame, hits: DataFrame, key_bits: int) -> DataFrame:
     """The normalised texts of the rows whose key may be a hit, with whether the row may be its key's leader."""
     spark, n = docs.sparkSession, hits.count()
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key, i = (batch[c].to_numpy(zero_copy_only=False) for c in ("key", "leader"))
-            yield pa.RecordBatch.from_arrays([pa.array(pair_key(key, i))], names=["key"])
-
     wanted = spark.sparkContext.broadcast(sent_filter(hits.select("key"), n))
-    leaders = spark.sparkContext.broadcast(sent_filter(hits.select("key", "leader").mapInArrow(lean(pairs), "key long"), n))
+    leaders = spark.sparkContext.broadcast(sent_filter(hits.select("key", "leader"), n))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (p for batch in batches for p in slices(batch)):

@@ -58,12 +58,14 @@ class SentFilter:
 
 
 def sent_filter(keys: DataFrame, n: int) -> SentFilter:
-    """The filter of about ``n`` keys (a column of 64-bit integers), each block built by one task."""
+    """The filter of about ``n`` keys, each block built by one task: a column of 64-bit integers, or two for ``pair_key`` (in
+    the same function, since each one of a stage takes a worker of its own beside the others)."""
     bits = SentFilter.width(n)
 
     def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            block, h = SentFilter.place(batch["key"].to_numpy(zero_copy_only=False))
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            block, h = SentFilter.place(pair_key(*cols) if len(cols) > 1 else cols[0])
             yield pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), pa.array(h.view(np.int64))], names=["block", "h"])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -97,7 +97,7 @@ def pack_documents(docs: DataFrame, tokenizer: bytes, end_id: int, capacity: int
         if kept[0]:
             yield packed()
 
-    pieces = texts(docs, id_col, text_col).mapInArrow(lean(local), "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, place long, fill long")
+    pieces = texts(docs, id_col, text_col).mapInArrow(lean(local, "tokenizers"), "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, place long, fill long")
     pieces = materialise(pieces, "pieces")
     moved = merge_tree(pieces.where(F.col("fill") < int(full * capacity)).groupBy("bin").agg(F.max("fill").alias("fill")), capacity)
     return pieces.join(moved, "bin", "left").select("doc_id", "piece", "start", "length", "ids_crc32", F.coalesce("sequence", "bin").alias("sequence_id"), (F.col("place") + F.coalesce("base", F.lit(0))).alias("offset"))

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import bound_batches, lean, slices, texts
+from .common import HELD, bound_batches, lean, slices, texts
 
 KINDS = ("email", "ip", "card", "phone")
 #: Tokens of a typed segment at most.
@@ -109,6 +109,9 @@ def _alike(s: str) -> tuple[str, ...]:
     return tuple(k for k, rx in _SHAPES.items() if rx.fullmatch(s))
 
 
+HELD["shapes"] = _alike.cache_clear
+
+
 class Masked:
     """A text with all digits alike, made when it is first asked for: most texts have no candidate."""
 
@@ -458,7 +461,7 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
                 got = [all_spans(t, model.value) for t in part["text"].to_pylist()]
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([name(b) for b, _ in got], pa.list_(pa.string())), pa.array([name(a) for _, a in got], pa.list_(pa.string()))], names=["doc_id", "base", "added"])
 
-    return texts(docs, id_col, text_col).mapInArrow(lean(run), "doc_id long, base array<string>, added array<string>")
+    return texts(docs, id_col, text_col).mapInArrow(lean(run, "shapes"), "doc_id long, base array<string>, added array<string>")
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: SemiCRF | None = None) -> DataFrame:
@@ -493,4 +496,4 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
                 cols[place] = pa.array([clean(t) for t in cols[place].to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays(cols, names=part.schema.names)
 
-    return docs.mapInArrow(lean(run), schema)
+    return docs.mapInArrow(lean(run, "shapes"), schema)

@@ -127,7 +127,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: bytes, end_id: int,
             yield packed()
 
     schema = pa.schema([("segment", pa.int64()), ("part", pa.int32()), ("before", pa.int64()), ("width", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("ends", pa.binary()), ("ids", pa.binary())])
-    dealt.mapInArrow(lean(pack), _SCHEMA).write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(path)
+    dealt.mapInArrow(lean(pack, "tokenizers"), _SCHEMA).write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(path)
     return read_token_files(spark, path)
 
 

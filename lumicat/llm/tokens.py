@@ -8,9 +8,9 @@ from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
-from .common import mix64, powers
+from .common import HELD, mix64, powers
 
 #: Characters for which all Unicode versions and regex engines agree on classes, case and normal forms.
 _PLAIN = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xac\xae-\xff]")
@@ -25,10 +25,14 @@ _BASE = 0xD1342543DE82EF95
 _BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 #: Characters of a text worked on together.
 CHUNK = 1 << 19
+#: Characters of short texts worked on together, and new pre-tokens given to the library together: its encodings take some
+#: hundred bytes a token.
+TOGETHER, NEW = 1 << 18, 4096
 #: A single white-space character between two letters or digits: every match of a split pattern of this family begins
 #: anew there, and no look-ahead reaches over it.
 _SAFE = re.compile(r"(?<=[0-9A-Za-z])[ \n](?=[0-9A-Za-z])")
 _READY: dict[tuple, object] = {}
+HELD["tokenizers"] = _READY.clear
 
 
 def chunks(text: str, size: int = CHUNK) -> Iterator[str]:
@@ -43,6 +47,18 @@ def chunks(text: str, size: int = CHUNK) -> Iterator[str]:
     yield text[at:]
 
 
+def together(texts: list[str], size: int) -> Iterator[slice]:
+    """``texts`` in runs of at most ``size`` characters, an end mark for each included (one text at least)."""
+    lo = n = 0
+    for i, t in enumerate(texts):
+        if i > lo and n + len(t) + 1 > size:
+            yield slice(lo, i)
+            lo, n = i, 0
+        n += len(t) + 1
+    if lo < len(texts):
+        yield slice(lo, len(texts))
+
+
 def ready(raw: bytes, make: Callable[[bytes], object], kind: str) -> object:
     """One tokenizer a process, file and kind."""
     k = (hash(raw), len(raw), kind)
@@ -93,11 +109,11 @@ def split_points(b: np.ndarray, words_only: bool) -> tuple[np.ndarray, np.ndarra
 
 class WordTable:
     """Pre-token -> its ids, as an open-addressing table of arrays by a 64-bit hash: whole batches are looked up at once,
-    and what is found is compared with the pre-token byte by byte."""
+    and what is found is compared with the pre-token byte by byte.  The table grows with its entries, at most half full."""
 
     def __init__(self, bound: int = 500_000, dtype: np.dtype = np.uint16):
         self.bound = bound
-        self.slots = 1 << (4 * bound - 1).bit_length()
+        self.slots = 1 << 12
         self.hashes, self.counts, self.pool = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, dtype)
         self.sizes, self.text = np.empty(0, np.int64), np.empty(0, np.uint8)
         self._index()
@@ -139,10 +155,15 @@ class WordTable:
             self.hashes, self.counts, self.sizes = self.hashes[:k], self.counts[:k], self.sizes[:k]
             self._index()
         first = len(self.hashes)
+        grown = 2 * (first + len(h)) > self.slots
         counts, sizes = (np.array([len(x) for x in group], np.int64) for group in (ids, words))
         self.pool = np.concatenate((self.pool, np.array(list(chain.from_iterable(ids)), self.pool.dtype)))
         self.text = np.concatenate((self.text, np.frombuffer(b"".join(words), np.uint8)))
         self.hashes, self.counts, self.sizes = np.concatenate((self.hashes, h)), np.concatenate((self.counts, counts)), np.concatenate((self.sizes, sizes))
+        if grown:
+            self.slots = 1 << (2 * len(self.hashes)).bit_length()
+            self._index()
+            return
         self.offsets = np.concatenate((self.offsets, self.offsets[-1] + np.cumsum(counts)))
         self.places = np.concatenate((self.places, self.places[-1] + np.cumsum(sizes)))
         self._place(h, np.arange(first, first + len(h), dtype=np.int32))
@@ -192,9 +213,9 @@ class Encoder:
             first, *rest = before["pretokenizers"]
             if first["type"] == "Split" and first["pattern"].get("Regex") == WORD_LEVEL and first["behavior"] == "Removed" and first["invert"] and [(x["type"], x["use_regex"], x["add_prefix_space"]) for x in rest] == [("ByteLevel", False, False)]:
                 self.words, self.words_only = WordTable(dtype=self.dtype), True
-        if self.words:  # for single pre-tokens: they need no splitting
-            conf |= {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}, "post_processor": None, "added_tokens": []}
-            self.single = Tokenizer.from_str(json.dumps(conf))
+        if self.words:  # for single pre-tokens: they need no splitting; both tokenizers share one model
+            self.single = Tokenizer(self.tokenizer.model)
+            self.single.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
@@ -204,22 +225,17 @@ class Encoder:
             if len(texts[i]) > CHUNK:  # a long text in pieces
                 out[i] = np.concatenate([self._plain([x])[0] for x in chunks(texts[i])])
         plain = [i for i in plain if out[i] is None]
-        lo = 0
-        while lo < len(plain):  # about half a megabyte at a time
-            hi, size = lo, 0
-            while hi < len(plain) and size < CHUNK:
-                size += len(texts[plain[hi]])
-                hi += 1
-            for i, x in zip(plain[lo:hi], self._plain([texts[i] for i in plain[lo:hi]]), strict=True):
+        some = [texts[i] for i in plain]
+        for run in together(some, TOGETHER):
+            for i, x in zip(plain[run], self._plain(some[run]), strict=True):
                 out[i] = x
-            lo = hi
         whole = [i for i, x in enumerate(out) if x is None]
         for i, x in zip(whole, self._library([texts[i] for i in whole]), strict=True):
             out[i] = x
         return out
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, self.dtype) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(x.ids, self.dtype) for run in together(texts, TOGETHER) for x in self.tokenizer.encode_batch_fast(texts[run], add_special_tokens=False)]
 
     def _listed(self, text: str) -> bool:
         return any(x in text for x in self.exact) or self.loose is not None and self.loose.search(text) is not None
@@ -254,7 +270,8 @@ class Encoder:
             order = np.argsort(first)  # in the order of the texts: what comes early is kept longest
             new, first = new[order], missing[first[order]]
             words = [raw[a:z] for a, z in zip(at[first].tolist(), end[first].tolist(), strict=True)]
-            self.words.learn(new, words, [x.ids for x in self.single.encode_batch_fast([w.decode("latin-1") for w in words], add_special_tokens=False)])
+            ids = [x.ids for k in range(0, len(words), NEW) for x in self.single.encode_batch_fast([w.decode("latin-1") for w in words[k : k + NEW]], add_special_tokens=False)]
+            self.words.learn(new, words, ids)
             entries = self.words.find(h)
         return self.words.ids(entries) if self.words.alike(entries, b, at, end) else None
 
